@@ -107,8 +107,7 @@ SELECT id, source, chars, bytes,
 FROM shaped
 """
 
-_QUERY = r"""
-WITH grams AS (
+_GRAMS = r"""
   SELECT g.w1, g.w2, g.w3,
     sum(g.inside) AS inside, sum(g.stop) AS stop, sum(g.last) AS last
   FROM (
@@ -125,23 +124,31 @@ WITH grams AS (
     FROM {marked} WHERE size(tokens) > 0
   )
   GROUP BY 1, 2, 3
-), words AS (
-  SELECT w3 AS w, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM grams GROUP BY 1
-), total AS (
-  SELECT sum(inside + stop + last) AS n FROM words
-), common AS (
-  SELECT w FROM words, total WHERE inside + stop + last >= greatest({common_share} * n, 2)
-), classed AS (
+"""
+
+_WORDS = r"""
+  SELECT w3 AS w, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {grams} GROUP BY 1
+"""
+
+_COMMON = r"""
+  SELECT w FROM {words}
+  JOIN (SELECT sum(inside + stop + last) AS n FROM {words}) ON inside + stop + last >= greatest({common_share} * n, 2)
+"""
+
+_EXACT = r"""
+WITH classed AS (
   SELECT /*+ BROADCAST(a), BROADCAST(b), BROADCAST(c) */
     IF(w1 = '$', '$', coalesce(a.w, '*')) AS m1,
     IF(w2 = '$', '$', coalesce(b.w, '*')) AS m2,
     w3, coalesce(c.w, '*') AS m3, inside, stop, last
-  FROM grams
-  LEFT JOIN common a ON w1 = a.w LEFT JOIN common b ON w2 = b.w LEFT JOIN common c ON w3 = c.w
-), exact AS (
+  FROM {grams}
+  LEFT JOIN {common} a ON w1 = a.w LEFT JOIN {common} b ON w2 = b.w LEFT JOIN {common} c ON w3 = c.w
+)
   SELECT m1, m2, w3, first(m3) AS m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last
   FROM classed GROUP BY 1, 2, 3
-), final AS (
+"""
+
+_FINAL = r"""
   SELECT /*+ BROADCAST(a), BROADCAST(b), BROADCAST(c) */ id,
     IF(w1 = '$', '$', coalesce(a.w, '*')) AS m1,
     IF(w2 = '$', '$', coalesce(b.w, '*')) AS m2,
@@ -153,13 +160,16 @@ WITH grams AS (
       element_at(tokens, -1) AS w3
     FROM {marked} WHERE ending = 'word' AND size(tokens) > 0 AND element_at(tokens, -1) <> '$'
   )
-  LEFT JOIN common a ON w1 = a.w LEFT JOIN common b ON w2 = b.w LEFT JOIN common c ON w3 = c.w
-), longer AS (
+  LEFT JOIN {common} a ON w1 = a.w LEFT JOIN {common} b ON w2 = b.w LEFT JOIN {common} c ON w3 = c.w
+"""
+
+_VERDICTS = r"""
+WITH longer AS (
   SELECT m1, m2, p, sum(n) AS n FROM (
     SELECT m1, m2, inside + stop + last AS n,
       explode(transform(filter(sequence(1, least(length(w3) - 1, 64)),
         k -> substring(w3, k + 1, 1) RLIKE r'[\p{L}.]'), k -> substring(w3, 1, k))) AS p
-    FROM exact LEFT SEMI JOIN (SELECT DISTINCT m1 AS x1, m2 AS x2 FROM final) ON m1 = x1 AND m2 = x2
+    FROM {exact} LEFT SEMI JOIN (SELECT DISTINCT m1 AS x1, m2 AS x2 FROM {final}) ON m1 = x1 AND m2 = x2
     WHERE length(w3) > 1
   ) GROUP BY 1, 2, 3
 ), longer_words AS (
@@ -167,10 +177,10 @@ WITH grams AS (
     SELECT inside + stop AS n,
       explode(transform(filter(sequence(1, least(length(w) - 1, 64)),
         k -> substring(w, k + 1, 1) RLIKE r'[\p{L}.]'), k -> substring(w, 1, k))) AS p
-    FROM words WHERE length(w) > 1
+    FROM {words} WHERE length(w) > 1
   ) GROUP BY 1
 ), by_class AS (
-  SELECT m1, m2, m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM exact GROUP BY 1, 2, 3
+  SELECT m1, m2, m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {exact} GROUP BY 1, 2, 3
 ), by_two AS (
   SELECT m2, m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_class GROUP BY 1, 2
 ), by_one AS (
@@ -187,10 +197,10 @@ WITH grams AS (
     END AS cut,
     -- ends a sentence, mostly before a mark: at a length limit the mark is what was cut off
     c.stop > c.last AS before_mark
-  FROM (SELECT DISTINCT m1, m2, w3, m3 FROM final) f
-  LEFT JOIN exact e ON e.m1 = f.m1 AND e.m2 = f.m2 AND e.w3 = f.w3
+  FROM (SELECT DISTINCT m1, m2, w3, m3 FROM {final}) f
+  LEFT JOIN {exact} e ON e.m1 = f.m1 AND e.m2 = f.m2 AND e.w3 = f.w3
   LEFT JOIN longer l ON l.m1 = f.m1 AND l.m2 = f.m2 AND l.p = f.w3
-  LEFT JOIN words u ON u.w = f.w3
+  LEFT JOIN {words} u ON u.w = f.w3
   LEFT JOIN longer_words lw ON lw.p = f.w3
   LEFT JOIN by_class c ON c.m1 = f.m1 AND c.m2 = f.m2 AND c.m3 = f.m3
   LEFT JOIN by_two t ON t.m2 = f.m2 AND t.m3 = f.m3
@@ -208,7 +218,7 @@ WITH grams AS (
 )
 SELECT id AS {key}, ending AS why FROM {marked} WHERE ending <> 'word'
 UNION ALL
-SELECT f.id, IF(j.cut, 'word', 'limit') FROM final f
+SELECT f.id, IF(j.cut, 'word', 'limit') FROM {final} f
 JOIN judged j ON j.m1 = f.m1 AND j.m2 = f.m2 AND j.w3 = f.w3
 LEFT JOIN limits c ON c.source <=> f.source AND c.unit = 'chars' AND c.n = f.chars
 LEFT JOIN limits b ON b.source <=> f.source AND b.unit = 'bytes' AND b.n = f.bytes
@@ -222,48 +232,56 @@ def _filled(text: str, **values: object) -> str:
     return text
 
 
-def tokens_sql(docs: str, key: str = "doc_id", source: str = "source") -> str:
-    """First statement: the ending and the tokens of each text."""
-    text = _TOKENS.replace("{{", "{").replace("}}", "}")
-    return _filled(text, key=key, source=source, docs=docs, token=_TOKEN)
-
-
-def truncation_sql(
-    marked: str,
+def truncated_texts(
+    docs: DataFrame,
     key: str = "doc_id",
+    source: str = "source",
     common_share: float = COMMON_SHARE,
     least: int = LEAST,
     stop_share: float = STOP_SHARE,
     word_share: float = WORD_SHARE,
     limit_peak: float = LIMIT_PEAK,
-) -> str:
-    """Second statement: counts, joins and verdicts, over the result of the first."""
-    return _filled(
-        _QUERY,
-        key=key,
-        marked=marked,
-        common_share=f"{common_share!r}D",
-        least=least,
-        stop_share=f"{stop_share!r}D",
-        word_share=f"{word_share!r}D",
-        limit_peak=f"{limit_peak!r}D",
-    )
-
-
-def truncated_texts(docs: DataFrame, key: str = "doc_id", source: str = "source", **limits: float) -> DataFrame:
+) -> DataFrame:
     """(key, why) of every text of which only a first part is stored.
 
-    The tokens are written once to the shared folder, since several counts read them.
+    One statement per step. Steps that several later ones read are written once
+    to the shared folder, so that no text is cut and no trigram counted twice.
     """
     spark = docs.sparkSession
-    names = [f"railspoke_{x}_{uuid.uuid4().hex}" for x in ("texts", "tokens")]
-    docs.select(key, source, "text").createOrReplaceTempView(names[0])
+    run = uuid.uuid4().hex
+    values = {
+        "key": key,
+        "source": source,
+        "token": _TOKEN,
+        "common_share": f"{common_share!r}D",
+        "least": least,
+        "stop_share": f"{stop_share!r}D",
+        "word_share": f"{word_share!r}D",
+        "limit_peak": f"{limit_peak!r}D",
+    }
+    views = []
+
+    def view(name: str, rows: DataFrame) -> None:
+        values[name] = f"railspoke_{name}_{run}"
+        rows.createOrReplaceTempView(values[name])
+        views.append(values[name])
+
     try:
-        written(spark.sql(tokens_sql(names[0], key, source)), "tokens").createOrReplaceTempView(names[1])
-        return spark.sql(truncation_sql(names[1], key, **limits))
+        view("docs", docs.select(key, source, "text"))
+        tokens = _TOKENS.replace("{{", "{").replace("}}", "}")
+        for name, text in (
+            ("marked", tokens),
+            ("grams", _GRAMS),
+            ("words", _WORDS),
+            ("common", _COMMON),
+            ("exact", _EXACT),
+            ("final", _FINAL),
+        ):
+            view(name, written(spark.sql(_filled(text, **values)), name))
+        return spark.sql(_filled(_VERDICTS, **values))
     finally:
-        for n in names:
-            spark.catalog.dropTempView(n)
+        for v in views:
+            spark.catalog.dropTempView(v)
 
 
 def truncation_rates(docs: DataFrame, key: str = "doc_id", source: str = "source", **limits: float) -> DataFrame:
