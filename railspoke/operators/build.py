@@ -224,7 +224,8 @@ def split_at_extrema(edges: DataFrame, *keys: str, band_m: float = K.Z_BAND_M) -
 
 def entrances(stations: DataFrame, bike_nodes: DataFrame, radius_m: float = K.STATION_RADIUS_M, most: int = K.STATION_ENTRANCES) -> DataFrame:
     """(station, osmid, distance_m, rank): up to ``most`` bike nodes within the radius of each station."""
-    return nearest(stations, bike_nodes, "osmid_s", most, (radius_m,)).withColumnRenamed("osmid_s", "station")
+    named = stations.withColumnRenamed("osmid", "station")
+    return nearest(named, bike_nodes, "station", most, (radius_m,))
 
 
 def nearest_track(stations: DataFrame, rail_edges: DataFrame, radius_m: float = K.STATION_RADIUS_M) -> DataFrame:

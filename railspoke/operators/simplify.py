@@ -68,7 +68,7 @@ def waypoints(lines: DataFrame, key: str, count: int = K.GMAPS_POINTS) -> DataFr
             pdf["points"] = out
             yield pdf
 
-    xy = [F.transform("line", lambda v, c=c: v[c]).alias(n) for c, n in (("lon", "xs"), ("lat", "ys"))]
+    xy = [F.transform("line", lambda v: v["lon"]).alias("xs"), F.transform("line", lambda v: v["lat"]).alias("ys")]
     rows = lines.where("size(line) >= 2").select(key, *xy)
     return rows.mapInPandas(run, f"`{key}` {kind}, points array<struct<lat:double,lon:double>>")
 

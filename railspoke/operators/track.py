@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from railspoke.functions import columns as C
 from railspoke.functions import constants as K
 
-_ROUTE = Window.partitionBy("query_id").orderBy("seq")
+
+def _route():
+    return Window.partitionBy("query_id").orderBy("seq")
+
 
 
 def hops(path_edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def hops(path_edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def track_points(h: DataFrame) -> DataFrame:
     """(query_id, seq, lat, lon, elevation_m, elapsed_s, mode, surface_bad, road_bad, grade, kmh); seq 0 is the start."""
     carried = ["mode", "surface_bad", "road_bad", "grade", "kmh"]
-    elapsed = F.sum("leg_s").over(_ROUTE.rowsBetween(Window.unboundedPreceding, 0))
+    elapsed = F.sum("leg_s").over(_route().rowsBetween(Window.unboundedPreceding, 0))
     arriving = h.select(
         "query_id",
         "seq",
@@ -63,18 +66,18 @@ def track_points(h: DataFrame) -> DataFrame:
 
 def cumulative_km(points: DataFrame) -> DataFrame:
     """Points with ``leg_km`` to the point before and ``km`` from the start."""
-    before = [F.lag(c).over(_ROUTE) for c in ("lat", "lon")]
+    before = [F.lag(c).over(_route()) for c in ("lat", "lon")]
     leg = F.coalesce(C.haversine_m(*before, F.col("lat"), F.col("lon")) / 1000.0, F.lit(0.0))
     return points.withColumn("leg_km", leg).withColumn(
-        "km", F.sum("leg_km").over(_ROUTE.rowsBetween(Window.unboundedPreceding, 0))
+        "km", F.sum("leg_km").over(_route().rowsBetween(Window.unboundedPreceding, 0))
     )
 
 
 def mode_runs(h: DataFrame) -> DataFrame:
     """Hops with ``run``: the number, from 1, of their maximal run of hops of one mode."""
-    new = F.when(F.col("mode") == F.lag("mode").over(_ROUTE), 0).otherwise(1)
+    new = F.when(F.col("mode") == F.lag("mode").over(_route()), 0).otherwise(1)
     return h.withColumn("_new", new).withColumn(
-        "run", F.sum("_new").over(_ROUTE.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+        "run", F.sum("_new").over(_route().rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     ).drop("_new")
 
 
@@ -178,7 +181,7 @@ def densified(h: DataFrame) -> DataFrame:
     the point lies; ``seq`` is the hop that emitted it.
     """
     rows = hop_vertices(h)
-    end = F.sum("leg_s").over(_ROUTE.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum("leg_s").over(_route().rowsBetween(Window.unboundedPreceding, 0))
     last = F.max("seq").over(Window.partitionBy("query_id"))
     rows = rows.withColumn("_t1", end).withColumn("_t0", F.col("_t1") - F.col("leg_s")).withColumn("_last", last)
     total = F.coalesce(F.nullif(F.element_at("along", -1), F.lit(0.0)), F.lit(1.0))
@@ -332,10 +335,10 @@ def ribbon_runs(points: DataFrame) -> DataFrame:
     )
     same = F.lit(True)
     for c in ("colour", "width_m", "tooltip"):
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(_ROUTE))
-    first = F.lag("seq").over(_ROUTE).isNull()
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(_route()))
+    first = F.lag("seq").over(_route()).isNull()
     runs = looks.withColumn("_new", F.when(same & ~first, 0).otherwise(1)).withColumn(
-        "run", F.sum("_new").over(_ROUTE.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+        "run", F.sum("_new").over(_route().rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     )
     return runs.groupBy("query_id", "run", "colour", "width_m", "tooltip").agg(
         (F.min("seq") - 1).alias("first_seq"), F.max("seq").alias("last_seq")
@@ -345,11 +348,11 @@ def ribbon_runs(points: DataFrame) -> DataFrame:
 def profile_runs(points: DataFrame) -> DataFrame:
     """(query_id, run, mode, from_km, to_km, low_m, high_m) of each run of one mode, ends shared."""
     at = cumulative_km(points)
-    before = [F.lag(c).over(_ROUTE).alias(f"_{c}") for c in ("km", "elevation_m")]
+    before = [F.lag(c).over(_route()).alias(f"_{c}") for c in ("km", "elevation_m")]
     rows = at.select("*", *before).where("seq > 0")
-    new = F.when(F.col("mode") == F.lag("mode").over(_ROUTE), 0).otherwise(1)
+    new = F.when(F.col("mode") == F.lag("mode").over(_route()), 0).otherwise(1)
     runs = rows.withColumn("_new", new).withColumn(
-        "run", F.sum("_new").over(_ROUTE.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+        "run", F.sum("_new").over(_route().rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     )
     return runs.groupBy("query_id", "run", "mode").agg(
         F.min("_km").alias("from_km"),
