@@ -175,7 +175,8 @@ def short_place(text: Column) -> Column:
 
 
 def place_label(name: Column, elevation_m: Column) -> Column:
-    return F.format_string("%s (%.0f m)", F.coalesce(name, F.lit(K.UNNAMED_STOP)), elevation_m)
+    # halves go to the even metre
+    return F.format_string("%s (%.0f m)", F.coalesce(name, F.lit(K.UNNAMED_STOP)), F.bround(elevation_m, 0))
 
 
 def latlon_text(lat: Column, lon: Column) -> Column:

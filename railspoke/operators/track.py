@@ -325,9 +325,9 @@ def ribbon_runs(points: DataFrame) -> DataFrame:
             " · ",
             F.when(F.col("surface_bad"), "unpaved path").otherwise("paved road"),
             F.when(F.col("road_bad"), "main road").otherwise("quiet way"),
-            F.format_string("%+.0f%% %s", pct, way),
-            F.format_string("~%.0f km/h", "kmh"),
-            F.format_string("%.0f m", "elevation_m"),
+            F.format_string("%+.0f%% %s", F.bround(pct, 0), way),
+            F.format_string("~%.0f km/h", F.bround("kmh", 0)),
+            F.format_string("%.0f m", F.bround("elevation_m", 0)),
         )
     )
     looks = points.where("seq > 0").select(

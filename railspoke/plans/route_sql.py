@@ -89,14 +89,18 @@ _GRADE = f"""CASE WHEN mode = 'rail' THEN 'train' WHEN grade >= {K.GRADE_MARGIN}
     WHEN grade <= -{K.GRADE_MARGIN} THEN 'downhill' ELSE 'flat' END"""
 _WIDTH = f"CASE WHEN mode = 'bike' THEN {K.RIBBON_WIDTH_M} * sqrt({K.RIBBON_KMH}::DOUBLE / kmh) ELSE {K.RIBBON_WIDTH_M}::DOUBLE END"
 
-_QUERIES = """
+_QUERIES = (
+    """
 , ends AS (
   SELECT place_key AS query_id, min(struct_pack(lon, osmid, lat)) AS a, max(struct_pack(lon, osmid, lat)) AS b
   FROM n WHERE node_type = 'bike' AND place_key IS NOT NULL GROUP BY 1
 ), q AS MATERIALIZED (
   SELECT query_id, a.osmid AS source, b.osmid AS target, a.lat AS lat_a, a.lon AS lon_a, b.lat AS lat_b, b.lon AS lon_b
-  FROM ends WHERE a.osmid <> b.osmid
+  FROM ends WHERE a.osmid <> b.osmid AND """
+    + _hav("a.lat", "a.lon", "b.lat", "b.lon")
+    + f""" <= {K.MAX_TRIP_KM * 1000.0}
 )"""
+)
 
 
 def _tube(name: str, kind: str, half_km: float, extend_km: float) -> str:
@@ -402,8 +406,8 @@ def oracle_sql() -> dict[str, str]:
               THEN 'out_of_coverage' END AS verdict FROM g""",
         "view_state": w
         + _QUERIES
-        + f""" SELECT query_id, {_r("(lat_a + lat_b) / 2", 6)} AS mid_lat, {_r("(lon_a + lon_b) / 2", 6)} AS mid_lon,
-            {_r(f'''greatest(7.0::DOUBLE, least(14.0::DOUBLE, 11.0::DOUBLE + log2(8000.0::DOUBLE / {_hav("lat_a", "lon_a", "lat_b", "lon_b")})))''', 6)} AS zoom FROM q""",
+        + f""" SELECT query_id, {_r("(lat_a + lat_b) / 2", 7)} AS mid_lat, {_r("(lon_a + lon_b) / 2", 7)} AS mid_lon,
+            {_r(f'''greatest(7.0::DOUBLE, least(14.0::DOUBLE, 11.0::DOUBLE + log2(8000.0::DOUBLE / {_hav("lat_a", "lon_a", "lat_b", "lon_b")})))''', 7)} AS zoom FROM q""",
         "corridor_nodes_bike": w + _QUERIES + _TUBES + " SELECT * FROM tb",
         "corridor_nodes_rail": w + _QUERIES + _TUBES + " SELECT * FROM tr",
         "corridor_edges_combined": w + _CORRIDOR + " SELECT query_id, mode, count(*) AS n_edges FROM ce GROUP BY ALL",
@@ -431,8 +435,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT query_id, node AS osmid, {_r("cost")} AS reached FROM reach""",
         "path_edges_cheapest": h + f" SELECT query_id, seq, from_node, to_node, key, mode, {_r('cost')} AS cost FROM h",
         "track_points": h
-        + f""" SELECT query_id, seq, {_r("lat")} AS lat, {_r("lon")} AS lon, {_r("elevation_m")} AS elevation_m,
-            {_r("elapsed_s")} AS elapsed_s, mode, surface_bad, road_bad, {_r("grade")} AS grade, {_r("kmh")} AS kmh FROM pts""",
+        + f""" SELECT query_id, seq, {_r("lat", 6)} AS lat, {_r("lon", 6)} AS lon, {_r("elevation_m", 6)} AS elevation_m,
+            {_r("elapsed_s", 6)} AS elapsed_s, mode, surface_bad, road_bad, {_r("grade", 6)} AS grade, {_r("kmh", 6)} AS kmh FROM pts""",
         "track_cumulative_km": h
         + f""" SELECT query_id, seq, {_r("leg_km", 6)} AS leg_km,
             {_r("sum(leg_km) OVER (PARTITION BY query_id ORDER BY seq)", 6)} AS km FROM kms""",
@@ -460,8 +464,8 @@ def oracle_sql() -> dict[str, str]:
         "densified_track": h
         + _VERTS
         + _DENSE
-        + f""" SELECT query_id, seq, pt, {_r("lat")} AS lat, {_r("lon")} AS lon, {_r("elevation_m")} AS elevation_m,
-            {_r("elapsed_s")} AS elapsed_s, mode, surface_bad, road_bad, {_r("grade")} AS grade, {_r("kmh")} AS kmh FROM dense""",
+        + f""" SELECT query_id, seq, pt, {_r("lat", 6)} AS lat, {_r("lon", 6)} AS lon, {_r("elevation_m", 6)} AS elevation_m,
+            {_r("elapsed_s", 6)} AS elapsed_s, mode, surface_bad, road_bad, {_r("grade", 6)} AS grade, {_r("kmh", 6)} AS kmh FROM dense""",
         "composition_long": h + _composed("kms") + f" SELECT query_id, dimension, label, ord, {_r('km', 6)} AS km FROM composed",
         "composition_pct": h
         + _VERTS
@@ -478,6 +482,9 @@ def oracle_sql() -> dict[str, str]:
           , p2 AS (SELECT *, sum(new) OVER (PARTITION BY query_id ORDER BY seq)::INTEGER AS run FROM p1)
           SELECT query_id, run, mode, {_r("min(pk)", 5)} AS from_km, {_r("max(km)", 5)} AS to_km,
             {_r("min(least(elevation_m, pe))", 5)} AS low_m, {_r("max(greatest(elevation_m, pe))", 5)} AS high_m FROM p2 GROUP BY 1, 2, 3""",
+        "gpx_points": h
+        + """ SELECT query_id, seq, printf('<trkpt lat="%.6f" lon="%.6f"><ele>%.1f</ele><time>%s</time></trkpt>', lat, lon, elevation_m,
+            strftime(TIMESTAMP '2024-06-01 08:00:00' + to_microseconds(trunc(elapsed_s * 1e6::DOUBLE)::BIGINT), '%Y-%m-%dT%H:%M:%SZ')) AS trkpt FROM pts""",
         "maps_url": w
         + _QUERIES
         + f""" SELECT query_id, '{K.GMAPS_BASE}&origin=' || {_url("printf('%.6f,%.6f', lat_a, lon_a)")} || '&destination=' ||

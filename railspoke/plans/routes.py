@@ -48,7 +48,7 @@ class Graph:
         return self
 
     def queries(self) -> DataFrame:
-        """One route per place: from its westernmost to its easternmost bike node."""
+        """One route per place, from its westernmost to its easternmost bike node; trips that are too long are left out."""
         bike = self.nodes.where("node_type = 'bike' and place_key is not null")
         ends = bike.groupBy(F.col("place_key").alias("query_id")).agg(
             F.min(F.struct("lon", "osmid", "lat")).alias("a"), F.max(F.struct("lon", "osmid", "lat")).alias("b")
@@ -61,7 +61,7 @@ class Graph:
             F.col("a.lon").alias("lon_a"),
             F.col("b.lat").alias("lat_b"),
             F.col("b.lon").alias("lon_b"),
-        )
+        ).where(C.haversine_m(*map(F.col, ("lat_a", "lon_a", "lat_b", "lon_b"))) <= K.MAX_TRIP_KM * 1000.0)
 
     def in_corridors(self) -> DataFrame:
         return G.corridor_edges(self.queries(), self.nodes, self.edges, BIKE_TUBE, RAIL_TUBE)
@@ -342,7 +342,7 @@ def _guard(g: Graph) -> DataFrame:
 def _view(g: Graph) -> DataFrame:
     span = C.haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     mid = [((F.col(f"{c}_a") + F.col(f"{c}_b")) / 2).alias(f"mid_{c}") for c in ("lat", "lon")]
-    return _r(g.queries().select("query_id", *mid, C.zoom_for_span(span).alias("zoom")), digits=6)
+    return _r(g.queries().select("query_id", *mid, C.zoom_for_span(span).alias("zoom")), digits=7)
 
 
 def _stats(g: Graph) -> DataFrame:
@@ -421,14 +421,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "route_one_to_all_cost": _g(_one_to_all, True),
         "path_edges_cheapest": _g(lambda g: _r(g.hops().select("query_id", "seq", "from_node", "to_node", "key", "mode", "cost")), True),
         # tracks
-        "track_points": _g(lambda g: _r(_track(g)), True),
+        "track_points": _g(lambda g: _r(_track(g), digits=6), True),
         "track_cumulative_km": _g(lambda g: _r(T.cumulative_km(_track(g)).select("query_id", "seq", "leg_km", "km"), digits=6), True),
         "track_stats": _g(_stats, True),
         "windowed_climb": _g(lambda g: _r(T.windowed_climb(g.hops()), digits=3), True),
         "mode_runs": _g(lambda g: T.mode_runs(g.hops()).select("query_id", "seq", "mode", "run"), True),
         "leg_lines": _g(_legs, True),
         "rail_leg_tooltips": _g(lambda g: T.rail_leg_lines(g.hops()).select("query_id", "leg", "tooltip"), True),
-        "densified_track": _g(lambda g: _r(_dense(g)), True),
+        "densified_track": _g(lambda g: _r(_dense(g), digits=6), True),
         "composition_long": _g(lambda g: _r(points(_track(g)).select("query_id", "dimension", "label", "ord", "km"), digits=6), True),
         "composition_pct": _g(lambda g: _r(points(_dense_numbered(g)).select("query_id", "dimension", "label", "pct"), digits=3), True),
         "ribbon_runs": _g(lambda g: T.ribbon_runs(_track(g)), True),
