@@ -233,7 +233,8 @@ def nearest(
             .join(place, F.col("right_id") == F.col("osmid").cast(kind))
             .select("_p", "osmid", C.haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("distance_m"))
         )
-        w = Window.partitionBy("_p").orderBy("distance_m", "osmid")
+        # equal to the micrometre is a tie
+        w = Window.partitionBy("_p").orderBy(F.round("distance_m", 6), "osmid")
         ranked = whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
         last = k == len(radii) - 1
         ranked = written(ranked, "nearest")

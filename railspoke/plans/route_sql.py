@@ -284,7 +284,7 @@ def _near(points: str, key: str, nodes: str, radius: float, most: int, id_name:
     return f"""SELECT * FROM (
       SELECT p.{key}, o.{id_name} AS other, {_hav("p.lat", "p.lon", "o.lat", "o.lon")} AS distance_m
       FROM {points} p JOIN {nodes} o ON o.lat BETWEEN p.lat - {radius / 111_000.0!r} AND p.lat + {radius / 111_000.0!r})
-      WHERE distance_m <= {radius} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY distance_m, other) <= {most}"""
+      WHERE distance_m <= {radius} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(distance_m, 6), other) <= {most}"""
 
 
 def _labels(source: str) -> str:
@@ -502,7 +502,7 @@ def oracle_sql() -> dict[str, str]:
                 SELECT place_key, name, lower(name[1:2]) AS prefix, {_hav("lat", "lon", "m_lat", "m_lon")} AS d
                 FROM gazetteer, m WHERE name IS NOT NULL AND lat IS NOT NULL)) WHERE rank <= 5""",
         "station_entrances": w
-        + f" SELECT osmid AS station, other AS osmid, {_r('distance_m')} AS distance_m, (row_number() OVER (PARTITION BY station ORDER BY x.distance_m, other))::INTEGER AS rank FROM ("
+        + f" SELECT osmid AS station, other AS osmid, {_r('distance_m')} AS distance_m, (row_number() OVER (PARTITION BY station ORDER BY round(x.distance_m, 6), other))::INTEGER AS rank FROM ("
         + _near("(SELECT * FROM n WHERE node_type = 'rail')", "osmid", "(SELECT * FROM n WHERE node_type = 'bike')", 200.0, 5)
         + ") x",
         "station_wiring": w
