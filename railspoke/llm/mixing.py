@@ -59,7 +59,7 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     while len(todo):
         left, right = out[todo] >> bits[todo], out[todo] & mask[todo]
         for r in range(4):
-            mixed = right * np.uint64(0x9E3779B97F4A7C15) + key[todo] + np.uint64(r) * np.uint64(0xD1B54A32D192ED03)
+            mixed = right * np.uint64(0x9E3779B97F4A7C15) + key[todo] + np.uint64(r * 0xD1B54A32D192ED03 % 2**64)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
