@@ -28,24 +28,40 @@ def tile_name(row: Column, col: Column) -> Column:
     return F.format_string("tile_%d_%d", row, col)
 
 
-def segment_distance_deg(
-    lat: Column, lon: Column, lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, extend_km: float
-) -> Column:
-    """Distance to the segment a-b, extended at both ends, where one unit is one degree of latitude on both axes."""
+def axis(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> dict[str, Column]:
+    """What the distance to the segment a-b needs of it, in a frame where one unit is a degree of latitude on both axes.
+
+    To be kept as columns of a query, so that it is computed once and not for every candidate.
+    """
     scale = F.cos(F.radians((lat_a + lat_b) / 2))
-    ax, ay, bx, by = lon_a * scale, lat_a, lon_b * scale, lat_b
-    length = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
-    ux, uy = (bx - ax) / length, (by - ay) / length
+    dx, dy = (lon_b - lon_a) * scale, lat_b - lat_a
+    length = F.sqrt(dx * dx + dy * dy)
+    return {
+        "ax_scale": scale,
+        "ax_x": lon_a * scale,
+        "ax_y": lat_a,
+        "ax_len": length,
+        "ax_ux": dx / length,
+        "ax_uy": dy / length,
+    }
+
+
+AXIS = ("ax_scale", "ax_x", "ax_y", "ax_len", "ax_ux", "ax_uy")
+
+
+def near_axis(lat: Column, lon: Column, reach: float | Column, extend_km: float) -> Column:
+    """Whether a place is within ``reach`` (units of the frame) of the segment, extended at both ends; the rim is in."""
+    scale, x, y, length, ux, uy = (F.col(c) for c in AXIS)
     ext = F.lit(extend_km * 1000.0 / K.METRES_PER_DEGREE)
-    px, py = lon * scale - ax, lat - ay
+    px, py = lon * scale - x, lat - y
     along = F.greatest(-ext, F.least(length + ext, px * ux + py * uy))
     dx, dy = px - along * ux, py - along * uy
-    return F.sqrt(dx * dx + dy * dy)
+    return F.sqrt(dx * dx + dy * dy) <= reach
 
 
-def in_corridor(*ends: Column, half_width_km: float, extend_km: float) -> Column:
-    """ends: lat, lon, lat_a, lon_a, lat_b, lon_b. The rim belongs to the corridor."""
-    return segment_distance_deg(*ends, extend_km) <= F.lit(half_width_km * 1000.0 / K.METRES_PER_DEGREE)
+def in_corridor(lat: Column, lon: Column, half_width_km: float, extend_km: float) -> Column:
+    """Over rows with the columns of ``axis``."""
+    return near_axis(lat, lon, F.lit(half_width_km * 1000.0 / K.METRES_PER_DEGREE), extend_km)
 
 
 def normal_tags(tags: Column) -> Column:

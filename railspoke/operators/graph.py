@@ -134,7 +134,7 @@ _ENDS = ("lat_a", "lon_a", "lat_b", "lon_b")
 
 
 def corridor_cells(queries: DataFrame, half_km: float, extend_km: float, cell: float) -> DataFrame:
-    """(query_id, ends, row, col) of the grid cells that a corridor can touch; the exact test comes later."""
+    """(query_id, axis, row, col) of the grid cells that a corridor can touch; the exact test comes later."""
     reach = (half_km + extend_km) * 1000.0 / K.METRES_PER_DEGREE
     scale = F.cos(F.radians((F.col("lat_a") + F.col("lat_b")) / 2))
     low = lambda a, b, r: F.floor((F.least(F.col(a), F.col(b)) - r) / cell)
@@ -142,13 +142,13 @@ def corridor_cells(queries: DataFrame, half_km: float, extend_km: float, cell: f
     wide = F.lit(reach) / scale
     cells = (
         queries.where((F.col("lat_a") != F.col("lat_b")) | (F.col("lon_a") != F.col("lon_b")))
+        .withColumns(C.axis(*map(F.col, _ENDS)))
         .withColumn("row", F.explode(F.sequence(low("lat_a", "lat_b", reach), high("lat_a", "lat_b", reach))))
         .withColumn("col", F.explode(F.sequence(low("lon_a", "lon_b", wide), high("lon_a", "lon_b", wide))))
     )
     middle = [(F.col("row") + 0.5) * cell, (F.col("col") + 0.5) * cell]
-    near = C.segment_distance_deg(*middle, *map(F.col, _ENDS), extend_km)
-    diagonal = cell * 0.7072
-    return cells.where(near <= F.lit(half_km * 1000.0 / K.METRES_PER_DEGREE + diagonal))
+    reach = F.lit(half_km * 1000.0 / K.METRES_PER_DEGREE + cell * 0.7072)
+    return cells.where(C.near_axis(*middle, reach, extend_km)).select("query_id", *C.AXIS, "row", "col")
 
 
 def corridor_nodes(
@@ -157,15 +157,8 @@ def corridor_nodes(
     """(query_id, node columns) of the nodes in each query's corridor."""
     cells = corridor_cells(queries, half_km, extend_km, cell)
     placed = nodes.withColumn("row", F.floor(F.col("lat") / cell)).withColumn("col", F.floor(F.col("lon") / cell))
-    inside = C.in_corridor(
-        F.col("lat"), F.col("lon"), *map(F.col, _ENDS), half_width_km=half_km, extend_km=extend_km
-    )
-    return (
-        cells.select("query_id", *_ENDS, "row", "col")
-        .join(placed, ["row", "col"])
-        .where(inside)
-        .select("query_id", *nodes.columns)
-    )
+    inside = C.in_corridor(F.col("lat"), F.col("lon"), half_km, extend_km)
+    return cells.join(placed, ["row", "col"]).where(inside).select("query_id", *nodes.columns)
 
 
 def corridor_edges(
@@ -174,18 +167,30 @@ def corridor_edges(
     edges: DataFrame,
     bike: tuple[float, float] = (K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM),
     rail: tuple[float, float] = (K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM),
+    cell: float = 0.05,
 ) -> DataFrame:
     """(query_id, edge columns): bike nodes in the narrow tube, rail nodes in the wide one, edges with both ends in.
 
     A station link has one end in each tube, which its ends' kinds see to.
     """
-    inside = corridor_nodes(queries, nodes.where("node_type = 'bike'"), *bike).unionByName(
-        corridor_nodes(queries, nodes.where("node_type = 'rail'"), *rail)
+    tubes = {"bike": bike, "rail": rail}
+    placed = with_ends(edges, nodes).withColumn("row", F.floor(F.col("from_lat") / cell)).withColumn(
+        "col", F.floor(F.col("from_lon") / cell)
     )
-    ids = inside.select("query_id", "osmid")
-    begin = ids.withColumnRenamed("osmid", "from_node")
-    end = ids.withColumnRenamed("osmid", "to_node")
-    return edges.join(begin, "from_node").join(end, ["query_id", "to_node"], "left_semi").select("query_id", *edges.columns)
+
+    def inside(side: str, kind: str) -> Column:
+        half, extend = tubes[kind]
+        return C.in_corridor(F.col(f"{side}_lat"), F.col(f"{side}_lon"), half, extend)
+
+    # one equi-join on the cell of the edge's start; the other end is tested by its own place
+    end = F.when(F.col("to_type") == "bike", inside("to", "bike")).otherwise(inside("to", "rail"))
+    out = None
+    for kind, (half, extend) in tubes.items():
+        cells = corridor_cells(queries, half, extend, cell)
+        rows = cells.join(placed.where(F.col("from_type") == kind), ["row", "col"]).where(inside("from", kind) & end)
+        rows = rows.select("query_id", *edges.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def too_large(edges: DataFrame, most: int = K.MAX_CORRIDOR_EDGES) -> DataFrame:
@@ -305,6 +310,7 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, most: int = K.MAX_CORRI
     four narrow columns; queries with more than ``most`` edges are left out
     here (see ``too_large``) and can be answered by ``reach_all``.
     """
+    edges = written(edges.select("query_id", "from_node", "to_node", "cost"), "corridors")
     small = edges.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("query_id")
     rows = (
         edges.join(small, "query_id", "left_semi")

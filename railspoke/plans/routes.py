@@ -64,7 +64,7 @@ class Graph:
         ).where(C.haversine_m(*map(F.col, ("lat_a", "lon_a", "lat_b", "lon_b"))) <= K.MAX_TRIP_KM * 1000.0)
 
     def in_corridors(self) -> DataFrame:
-        return G.corridor_edges(self.queries(), self.nodes, self.edges, BIKE_TUBE, RAIL_TUBE)
+        return G.corridor_edges(self.queries(), self.nodes, self.edges.drop("geometry_wkt"), BIKE_TUBE, RAIL_TUBE)
 
     def paths(self) -> DataFrame:
         slim = G.costed(self.in_corridors(), route_prefs()).select("query_id", "from_node", "to_node", "key", "cost")

@@ -148,8 +148,9 @@ def test_corridor_pruning_is_exact(spark, graph):
     )
     for half in (0.5, 1.2, 30.0):
         got = {r["osmid"] for r in G.corridor_nodes(q, nodes, half, 0.1).collect()}
-        inside = C.in_corridor(*map(F.col, ("lat", "lon", "lat_a", "lon_a", "lat_b", "lon_b")), half_width_km=half, extend_km=0.1)
-        assert got == {r["osmid"] for r in nodes.crossJoin(q).where(inside).collect()}
+        whole = nodes.crossJoin(q.withColumns(C.axis(*map(F.col, ("lat_a", "lon_a", "lat_b", "lon_b")))))
+        inside = C.in_corridor(F.col("lat"), F.col("lon"), half, 0.1)
+        assert got == {r["osmid"] for r in whole.where(inside).collect()}
     assert {r["verdict"] for r in G.trip_guard(q, 0.0, 0.0, 90.0, 90.0).collect()} == {"too_short"}
 
 
