@@ -308,9 +308,12 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, most: int = K.MAX_CORRI
     ``queries`` has query_id (string), source and target; ``edges`` has
     query_id, from_node, to_node and cost. One task searches one query, over
     four narrow columns; queries with more than ``most`` edges are left out
-    here (see ``too_large``) and can be answered by ``reach_all``.
+    here (see ``too_large``) and are answered by ``large_paths``.
     """
-    edges = written(edges.select("query_id", "from_node", "to_node", "cost"), "corridors")
+    return _small_paths(queries, written(edges.select("query_id", "from_node", "to_node", "cost"), "corridors"), most)
+
+
+def _small_paths(queries: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     small = edges.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("query_id")
     rows = (
         edges.join(small, "query_id", "left_semi")
@@ -320,6 +323,110 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, most: int = K.MAX_CORRI
     return rows.groupBy("query_id").applyInPandas(_search, "query_id string, seq int, osmid long, reached double")
 
 
+def _spread(key: tuple, known: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Costs carried from the changed nodes of one block along its edges until nothing in the block gets cheaper."""
+    best = {u: (d, h) for u, d, h in zip(known["osmid"].tolist(), known["reached"].tolist(), known["hops"].tolist(), strict=True)}
+    inner = set(edges["from_node"].tolist()) | set(best)
+    out: dict[int, list[tuple[int, float]]] = {}
+    for u, v, c in zip(edges["from_node"].tolist(), edges["to_node"].tolist(), edges["cost"].tolist(), strict=True):
+        out.setdefault(u, []).append((v, c))
+    heap = [(*best[u], u) for u in known.loc[known["changed"], "osmid"].tolist()]
+    heapq.heapify(heap)
+    new = {}
+    while heap:
+        d, h, u = heapq.heappop(heap)
+        if (d, h) > best[u]:
+            continue
+        for v, c in out.get(u, ()):
+            reached = (d + c, h + 1)
+            if v not in best or reached < best[v]:
+                best[v] = new[v] = reached
+                if v in inner:
+                    heapq.heappush(heap, (*reached, v))
+    return pd.DataFrame(
+        {
+            "query_id": pd.Series([key[0]] * len(new), dtype="object"),
+            "osmid": np.array(list(new), dtype="int64"),
+            "reached": np.array([d for d, _ in new.values()], dtype="float64"),
+            "hops": np.array([h for _, h in new.values()], dtype="int64"),
+            "across": np.array([v not in inner for v in new], dtype="bool"),
+        }
+    )
+
+
+def large_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, cell: float = 0.1) -> DataFrame:
+    """As ``shortest_paths``, for corridors too large for one task: a task searches one grid cell of one query.
+
+    Rounds run until no cost crosses into another cell and gets a node cheaper
+    there, so their number grows with the cells along a path. A node's state is
+    its cost and, at equal cost, its number of hops; the predecessor is the
+    smallest node id that gives the node's cost, as in ``shortest_paths``.
+    Paths are read back by pointer doubling. ``nodes`` has osmid, lat and lon.
+    """
+    block = F.concat_ws("/", F.floor(F.col("lat") / cell), F.floor(F.col("lon") / cell)).alias("block")
+    at = written(nodes.select("osmid", block), "blocks")
+    edges = written(
+        edges.select("query_id", "from_node", "to_node", "cost").join(at.withColumnRenamed("osmid", "from_node"), "from_node"), "edges"
+    )
+    state = "query_id", "osmid", "reached", "hops"
+    start = queries.select("query_id", F.col("source").alias("osmid"), F.lit(0.0).alias("reached"), F.lit(0).cast("long").alias("hops"))
+    known = written(start.join(at, "osmid").withColumn("changed", F.lit(True)).select(*state, "block", "changed"), "reach")
+    while not known.where("changed").isEmpty():
+        open_ = known.where("changed").select("query_id", "block").distinct()
+        there = known.join(open_, ["query_id", "block"], "left_semi").groupBy("query_id", "block")
+        along = edges.join(open_, ["query_id", "block"], "left_semi").groupBy("query_id", "block")
+        new = there.cogroup(along).applyInPandas(
+            _spread, "query_id string, osmid long, reached double, hops long, across boolean"
+        )
+        both = known.select(*state, F.lit(False).alias("across")).unionByName(new)
+        label = F.struct("reached", "hops")
+        one = both.groupBy("query_id", "osmid").agg(
+            F.min(label).alias("_l"), F.min(F.when(~F.col("across"), label)).alias("_own")
+        )
+        changed = F.col("_own").isNull() | (F.col("_l") < F.col("_own"))
+        one = one.select("query_id", "osmid", "_l.*", changed.alias("changed")).join(at, "osmid")
+        known = written(one.select(*state, "block", "changed"), "reach")
+    known = known.select(*state)
+    # a predecessor is strictly before its node in (reached, hops), so pointers have no cycle
+    head = known.select("query_id", F.col("osmid").alias("to_node"), F.col("reached").alias("_r"), F.col("hops").alias("_h"))
+    pointer = (
+        known.withColumnRenamed("osmid", "from_node")
+        .join(edges, ["query_id", "from_node"])
+        .join(head, ["query_id", "to_node"])
+        .where("reached + cost = _r and (reached < _r or hops < _h)")
+        .groupBy("query_id", "to_node")
+        .agg(F.min("from_node").alias("before"))
+        .select("query_id", F.col("to_node").alias("osmid"), "before")
+    )
+    # nothing leads on from a source
+    ends = queries.select("query_id", F.col("source").alias("osmid"))
+    pointer = written(pointer.join(ends, ["query_id", "osmid"], "left_anti"), "pointers")
+    ends = queries.select("query_id", F.col("target").alias("osmid"))
+    path = written(ends.join(known, ["query_id", "osmid"], "left_semi"), "path")
+    while True:
+        found = path.join(pointer, ["query_id", "osmid"]).select("query_id", F.col("before").alias("osmid"))
+        if found.isEmpty():
+            break
+        path = written(path.unionByName(found), "path")
+        onward = pointer.select("query_id", F.col("osmid").alias("before"), F.col("before").alias("_b"))
+        pointer = written(pointer.join(onward, ["query_id", "before"]).select("query_id", "osmid", F.col("_b").alias("before")), "pointers")
+    w = Window.partitionBy("query_id").orderBy("reached", "hops")
+    return path.join(known, ["query_id", "osmid"]).select(
+        "query_id", (F.row_number().over(w) - 1).cast("int").alias("seq"), "osmid", "reached"
+    )
+
+
+def all_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = K.MAX_CORRIDOR_EDGES) -> DataFrame:
+    """``shortest_paths``, and ``large_paths`` for the queries that have more than ``most`` edges."""
+    edges = written(edges.select("query_id", "from_node", "to_node", "cost"), "corridors")
+    large = written(too_large(edges, most).select("query_id"), "large")
+    found = _small_paths(queries, edges, most)
+    if large.isEmpty():
+        return found
+    rest = [rows.join(large, "query_id", "left_semi") for rows in (queries, edges)]
+    return found.unionByName(large_paths(*rest, nodes))
+
+
 def reach_all(sources: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(query_id, osmid, reached) of every node that a query's source reaches, by rounds of relaxation on DataFrames.
 

@@ -68,7 +68,7 @@ class Graph:
 
     def paths(self) -> DataFrame:
         slim = G.costed(self.in_corridors(), route_prefs()).select("query_id", "from_node", "to_node", "key", "cost")
-        return G.shortest_paths(self.queries(), G.min_collapse(slim, "query_id"))
+        return G.all_paths(self.queries(), G.min_collapse(slim, "query_id"), self.nodes)
 
     def hops(self) -> DataFrame:
         return written(T.hops(G.path_edges(self.paths(), G.costed(self.edges, route_prefs())), self.nodes), "hops")

@@ -1,8 +1,11 @@
 """Registered queries give all of their input's rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from railspoke.operators import graph as G
 from railspoke.plans import routes
 
 #: place, longitudes and latitudes of two bike nodes; one place per row.
@@ -44,3 +47,30 @@ def test_round_trip_gives_every_tile(spark, stored):
     got = routes.queries()["tiled_store_round_trip"](spark, stored)
     sums = {r["table_name"]: r["n"] for r in got.groupBy("table_name").agg(F.sum("n").alias("n")).collect()}
     assert sums == {"nodes": 2 * len(PLACES), "edges": len(PLACES)}
+
+
+def test_queries_over_the_cap_get_the_same_paths(spark):
+    rng = random.Random(7)
+    side = 12
+    at = {(i, j): side * i + j + 1 for i in range(side) for j in range(side)}
+    nodes = spark.createDataFrame(
+        [(n, 48.0 + 0.03 * i, 8.0 + 0.03 * j) for (i, j), n in at.items()], "osmid long, lat double, lon double"
+    )
+    # whole costs make ties
+    rows = [
+        (n, at[i + a, j + b], float(rng.randint(1, 3))) for (i, j), n in at.items() for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if (i + a, j + b) in at
+    ]
+    edges = spark.createDataFrame([(q, *r) for q in ("p", "q", "r") for r in rows], "query_id string, from_node long, to_node long, cost double")
+    queries = spark.createDataFrame([("p", 1, 144), ("q", 140, 7), ("r", 1, 999)], "query_id string, source long, target long")
+    want = {tuple(r) for r in G.shortest_paths(queries, edges).collect()}
+    assert {r[0] for r in want} == {"p", "q"}
+    assert {tuple(r) for r in G.all_paths(queries, edges, nodes, 10).collect()} == want
+
+
+def test_large_paths_pass_edges_without_cost(spark):
+    nodes = spark.createDataFrame([(n, 48.0, 8.0 + 0.2 * (n % 3)) for n in range(1, 6)], "osmid long, lat double, lon double")
+    pairs = [(5, 4, 0.0), (4, 5, 0.0), (4, 3, 0.0), (3, 4, 0.0), (3, 1, 2.0), (5, 5, 0.0), (4, 1, 2.0)]
+    edges = spark.createDataFrame([("q", *p) for p in pairs], "query_id string, from_node long, to_node long, cost double")
+    queries = spark.createDataFrame([("q", 5, 1), ("same", 2, 2)], "query_id string, source long, target long")
+    got = G.large_paths(queries, edges, nodes).orderBy("query_id", "seq").collect()
+    assert [(r["query_id"], r["osmid"], r["reached"]) for r in got] == [("q", 5, 0.0), ("q", 4, 0.0), ("q", 3, 0.0), ("q", 1, 2.0), ("same", 2, 0.0)]
