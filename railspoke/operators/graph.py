@@ -198,7 +198,9 @@ def too_large(edges: DataFrame, most: int = K.MAX_CORRIDOR_EDGES) -> DataFrame:
     return edges.groupBy("query_id").agg(F.count(F.lit(1)).alias("edges")).where(F.col("edges") > most)
 
 
-def trip_guard(queries: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+def trip_guard(
+    queries: DataFrame, west: Column | float, south: Column | float, east: Column | float, north: Column | float
+) -> DataFrame:
     """Queries with ``trip_km`` and ``verdict``: out_of_coverage, too_short, too_long or null."""
     km = C.haversine_m(*map(F.col, _ENDS)) / 1000.0
     inside = reduce(

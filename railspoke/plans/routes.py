@@ -47,8 +47,8 @@ class Graph:
         self.edges = written(G.clean_edges(table(self.s, self.d, "edges"), self.nodes), "edges")
         return self
 
-    def queries(self) -> DataFrame:
-        """One route per place, from its westernmost to its easternmost bike node; trips that are too long are left out."""
+    def trips(self) -> DataFrame:
+        """One route per place, from its westernmost to its easternmost bike node, of any length."""
         bike = self.nodes.where("node_type = 'bike' and place_key is not null")
         ends = bike.groupBy(F.col("place_key").alias("query_id")).agg(
             F.min(F.struct("lon", "osmid", "lat")).alias("a"), F.max(F.struct("lon", "osmid", "lat")).alias("b")
@@ -61,7 +61,11 @@ class Graph:
             F.col("a.lon").alias("lon_a"),
             F.col("b.lat").alias("lat_b"),
             F.col("b.lon").alias("lon_b"),
-        ).where(C.haversine_m(*map(F.col, ("lat_a", "lon_a", "lat_b", "lon_b"))) <= K.MAX_TRIP_KM * 1000.0)
+        )
+
+    def queries(self) -> DataFrame:
+        """The trips that are searched: those that are not too long."""
+        return self.trips().where(C.haversine_m(*map(F.col, ("lat_a", "lon_a", "lat_b", "lon_b"))) <= K.MAX_TRIP_KM * 1000.0)
 
     def in_corridors(self) -> DataFrame:
         return G.corridor_edges(self.queries(), self.nodes, self.edges.drop("geometry_wkt"), BIKE_TUBE, RAIL_TUBE)
@@ -335,7 +339,11 @@ def _dropped(g: Graph) -> DataFrame:
 
 
 def _guard(g: Graph) -> DataFrame:
-    return _r(G.trip_guard(g.queries(), 6.0, 46.2, 15.0, 54.0).select("query_id", "trip_km", "verdict"), digits=6)
+    """Every trip with its verdict; covered is the box of the build regions."""
+    box = g.regions.agg(*[f(c).alias(c) for c, f in (("west", F.min), ("south", F.min), ("east", F.max), ("north", F.max))])
+    # one row
+    trips = g.trips().crossJoin(F.broadcast(box))
+    return _r(G.trip_guard(trips, *map(F.col, ("west", "south", "east", "north"))).select("query_id", "trip_km", "verdict"), digits=6)
 
 
 def _view(g: Graph) -> DataFrame:
@@ -406,7 +414,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tag_road_weight_tier": _g(lambda g: _tag_query(g, "highway", K.ROAD_WEIGHT, K.ROAD_UNTAGGED)),
         "edge_speed_and_classes": _g(_speed),
         # corridors, snapping, search
-        "route_queries": _g(lambda g: g.queries().select("query_id", "source", "target")),
+        "route_queries": _g(lambda g: g.trips().select("query_id", "source", "target")),
         "trip_guards": _g(_guard),
         "view_state": _g(_view),
         "corridor_nodes_bike": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'bike'"), *BIKE_TUBE).select("query_id", "osmid")),

@@ -74,3 +74,10 @@ def test_large_paths_pass_edges_without_cost(spark):
     queries = spark.createDataFrame([("q", 5, 1), ("same", 2, 2)], "query_id string, source long, target long")
     got = G.large_paths(queries, edges, nodes).orderBy("query_id", "seq").collect()
     assert [(r["query_id"], r["osmid"], r["reached"]) for r in got] == [("q", 5, 0.0), ("q", 4, 0.0), ("q", 3, 0.0), ("q", 1, 2.0), ("same", 2, 0.0)]
+
+
+def test_every_trip_has_a_verdict(spark, stored):
+    got = {r["query_id"]: r["verdict"] for r in routes.queries()["trip_guards"](spark, stored).collect()}
+    assert got == {"west": None, "middle": None, "east": None, "swapped": "too_long", "outside": "out_of_coverage"}
+    assert routes.queries()["route_queries"](spark, stored).count() == len(PLACES)
+    assert routes.Graph(spark, stored).queries().where("query_id = 'swapped'").isEmpty()
