@@ -19,7 +19,7 @@ from railspoke.operators.lineage import shared_folder, written
 from railspoke.sources import tiles
 from railspoke.sources.tables import table
 
-#: Corridors of the registered place-to-place queries: half width and extension in km, bike and rail.
+#: Corridors of the SQL, half width and extension in km, bike and rail; the queries search the wider ones of the constants.
 BIKE_TUBE, RAIL_TUBE = (2.0, 0.5), (5.0, 2.0)
 #: Preferences of the registered route queries: a rider who likes trains, so that rides occur on short trips.
 ROUTE_PREFS = {"uphill": 12.0, "unpaved": 3.0, "main": 1.0, "rail": 0.0, "boarding": 0.5}
@@ -68,7 +68,7 @@ class Graph:
         return self.trips().where(C.haversine_m(*map(F.col, ("lat_a", "lon_a", "lat_b", "lon_b"))) <= K.MAX_TRIP_KM * 1000.0)
 
     def in_corridors(self) -> DataFrame:
-        return G.corridor_edges(self.queries(), self.nodes, self.edges.drop("geometry_wkt"), BIKE_TUBE, RAIL_TUBE)
+        return G.corridor_edges(self.queries(), self.nodes, self.edges.drop("geometry_wkt"))
 
     def paths(self) -> DataFrame:
         slim = G.costed(self.in_corridors(), route_prefs()).select("query_id", "from_node", "to_node", "key", "cost")
@@ -417,8 +417,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "route_queries": _g(lambda g: g.trips().select("query_id", "source", "target")),
         "trip_guards": _g(_guard),
         "view_state": _g(_view),
-        "corridor_nodes_bike": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'bike'"), *BIKE_TUBE).select("query_id", "osmid")),
-        "corridor_nodes_rail": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'rail'"), *RAIL_TUBE).select("query_id", "osmid")),
+        "corridor_nodes_bike": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'bike'"), K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM).select("query_id", "osmid")),
+        "corridor_nodes_rail": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'rail'"), K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM).select("query_id", "osmid")),
         "corridor_edges_combined": _g(lambda g: g.in_corridors().groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("n_edges")), True),
         "snap_nearest_any": _g(lambda g: _snap(g, None)),
         "snap_nearest_bike": _g(lambda g: _snap(g, "bike")),

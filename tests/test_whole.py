@@ -15,11 +15,15 @@ PLACES = [
 ]
 
 
+#: Off the axis of "west": a bike node by 11 km, a rail node by 56 km.
+OFF_AXIS = [(101, 48.1, 8.15, 100.0, "bike", None, None, "r"), (-101, 48.5, 8.15, 100.0, "rail", None, None, "r")]
+
+
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     """Tables of a graph with one bike edge in each place."""
     d = str(tmp_path_factory.mktemp("stored"))
-    nodes, edges = [], []
+    nodes, edges = [*OFF_AXIS], []
     for k, (place, lon_a, lat_a, lon_b, lat_b) in enumerate(PLACES):
         a, b = 2 * k + 1, 2 * k + 2
         nodes += [(a, lat_a, lon_a, 100.0, "bike", None, place, "r"), (b, lat_b, lon_b, 100.0, "bike", None, place, "r")]
@@ -46,7 +50,7 @@ def stored(spark, tmp_path_factory):
 def test_round_trip_gives_every_tile(spark, stored):
     got = routes.queries()["tiled_store_round_trip"](spark, stored)
     sums = {r["table_name"]: r["n"] for r in got.groupBy("table_name").agg(F.sum("n").alias("n")).collect()}
-    assert sums == {"nodes": 2 * len(PLACES), "edges": len(PLACES)}
+    assert sums == {"nodes": 2 * len(PLACES) + len(OFF_AXIS), "edges": len(PLACES)}
 
 
 def test_queries_over_the_cap_get_the_same_paths(spark):
@@ -81,3 +85,9 @@ def test_every_trip_has_a_verdict(spark, stored):
     assert got == {"west": None, "middle": None, "east": None, "swapped": "too_long", "outside": "out_of_coverage"}
     assert routes.queries()["route_queries"](spark, stored).count() == len(PLACES)
     assert routes.Graph(spark, stored).queries().where("query_id = 'swapped'").isEmpty()
+
+
+def test_corridors_are_as_wide_as_the_reference(spark, stored):
+    for kind, node in (("bike", 101), ("rail", -101)):
+        got = routes.queries()[f"corridor_nodes_{kind}"](spark, stored).where(F.col("osmid") == node)
+        assert [r["query_id"] for r in got.collect()] == ["west"]
