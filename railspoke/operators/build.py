@@ -270,13 +270,32 @@ def nearest_track(stations: DataFrame, rail_edges: DataFrame, radius_m: float =
     return rows.groupBy("station").agg(best.alias("_b")).select("station", "_b.*")
 
 
-def wired(stations: DataFrame, bike_nodes: DataFrame) -> DataFrame:
-    """Station edges, both ways, between each station and its entrances: from_node, to_node, key, length_m, mode."""
-    ways = entrances(stations, bike_nodes)
-    there = ways.select(F.col("station").alias("from_node"), F.col("osmid").alias("to_node"), "distance_m")
-    back = ways.select(F.col("osmid").alias("from_node"), F.col("station").alias("to_node"), "distance_m")
+def wired(stations: DataFrame, bike_nodes: DataFrame, rail_edges: DataFrame | None = None) -> DataFrame:
+    """Edges, both ways, of each station: from_node, to_node, key, length_m, mode.
+
+    Station edges lead to its entrances. With ``rail_edges`` (as in
+    ``nearest_track``) rail edges lead to the nearer end of its nearest track,
+    and stations more than the radius off every track are dropped; one that is
+    that end itself needs no rail edge. Without any track no station is dropped.
+    """
+    links = None
+    if rail_edges is not None and not rail_edges.isEmpty():
+        near = written(nearest_track(stations, rail_edges).select("station", "node"), "tracks")
+        stations = stations.join(near.select(F.col("station").alias("osmid")), "osmid", "left_semi")
+        ends = [rail_edges.select(F.col(f"{e}_node").alias("node"), F.col(f"{e}_lat").alias("_lat"), F.col(f"{e}_lon").alias("_lon")) for e in ("from", "to")]
+        length = C.haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+        links = (
+            near.where("station <> node")
+            .join(stations.select(F.col("osmid").alias("station"), "lat", "lon"), "station")
+            .join(ends[0].unionByName(ends[1]).dropDuplicates(["node"]), "node")
+            .select("station", F.col("node").alias("osmid"), length.alias("distance_m"), F.lit("rail").alias("mode"))
+        )
+    ways = entrances(stations, bike_nodes).select("station", "osmid", "distance_m", F.lit("station").alias("mode"))
+    ways = ways if links is None else ways.unionByName(links)
+    there = ways.select(F.col("station").alias("from_node"), F.col("osmid").alias("to_node"), "distance_m", "mode")
+    back = ways.select(F.col("osmid").alias("from_node"), F.col("station").alias("to_node"), "distance_m", "mode")
     return there.unionByName(back).select(
-        "from_node", "to_node", F.lit(0).cast("long").alias("key"), F.col("distance_m").alias("length_m"), F.lit("station").alias("mode")
+        "from_node", "to_node", F.lit(0).cast("long").alias("key"), F.col("distance_m").alias("length_m"), "mode"
     )
 
 

@@ -309,7 +309,7 @@ def _renumbered(g: Graph) -> DataFrame:
 
 def _wired(g: Graph) -> DataFrame:
     st = g.nodes.where("node_type = 'rail' and station_name is not null")
-    return _r(B.wired(st, g.nodes.where("node_type = 'bike'")))
+    return _r(B.wired(st, g.nodes.where("node_type = 'bike'"), G.with_ends(g.edges.where("mode = 'rail'"), g.nodes)))
 
 
 def _entrances(g: Graph) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from railspoke.operators import build as B
 from railspoke.operators import graph as G
 from railspoke.plans import routes
 
@@ -91,3 +92,19 @@ def test_corridors_are_as_wide_as_the_reference(spark, stored):
     for kind, node in (("bike", 101), ("rail", -101)):
         got = routes.queries()[f"corridor_nodes_{kind}"](spark, stored).where(F.col("osmid") == node)
         assert [r["query_id"] for r in got.collect()] == ["west"]
+
+
+def test_stations_are_linked_to_their_track(spark):
+    place = "osmid long, lat double, lon double"
+    stations = spark.createDataFrame([(-1, 48.001, 8.001), (-2, 48.01, 8.001), (-3, 48.0, 8.0)], place)
+    bike = spark.createDataFrame([(1, 48.001, 8.0015), (2, 48.01, 8.0015)], place)
+    track = spark.createDataFrame(
+        [(-3, -12, 48.0, 8.0, 48.0, 8.02)],
+        "from_node long, to_node long, from_lat double, from_lon double, to_lat double, to_lon double",
+    )
+    got = {(r["from_node"], r["to_node"], r["mode"]): r["length_m"] for r in B.wired(stations, bike, track).collect()}
+    # -2 is a kilometre off the line, -3 lies on it
+    links = {(-1, 1, "station"), (1, -1, "station"), (-1, -3, "rail"), (-3, -1, "rail"), (-3, 1, "station"), (1, -3, "station")}
+    assert set(got) == links
+    assert got[-1, -3, "rail"] == pytest.approx(133.7, abs=0.5)
+    assert {r["from_node"] for r in B.wired(stations, bike, track.limit(0)).collect()} == {-1, -2, -3, 1, 2}
