@@ -1,33 +1,46 @@
 """Texts cut off by field limits, found from word trigrams, in pure SQL.
 
-Every word of every text is counted with the two tokens before it, once as
+Every word of every text is counted with the two words before it, once as
 *inside* (another word follows), once as *stop* (a sentence or paragraph ends
 there) and once as *last* (the text ends there without a mark). The final
-trigram of each text that ends without a mark is joined with these counts and
-the text is flagged where the trigram is frequent inside texts but almost never
-stands at an end. Words cut in the middle never occur inside texts, so the
-counts of the longer words that begin with them (*longer*) stand on the inside.
-
-Context words below ``COMMON_SHARE`` of all words (names, mostly) count as one
-class, else most trigrams would be seen once. Where the final trigram is too
-rare for a judgement, the decision falls back, in this order, to: the word
-being the beginning of known words but no word itself; the trigram with a rare
-last word as a class; the last two words; the last word.
-
-Before counting, closed quotes, mark-up and character references are taken out;
-trailing dots that stand for left-out text are taken off. Texts that end inside
-a tag, a character reference, a list number, or after a comma, colon, hyphen or
-opening bracket stop inside a sentence by that alone, as do texts whose last
-character was cut to bytes (U+FFFD).
+trigram of each text that does not end with a mark is joined with these counts
+and the text is flagged where the trigram is frequent inside texts but almost
+never stands at an end.
+
+* A word carries the mark that follows it (comma, colon, opening or closing
+  bracket, hyphen, ampersand), so a text that ends in a comma or an opened
+  bracket is judged by how often that word, or such a word, stands inside with
+  that mark. The word without its mark counts as inside, since more follows.
+  Tags are words of their own. What stands in brackets is counted apart, as
+  words that begin with a bracket, so that more must follow the last of them.
+* Words cut in the middle never occur inside texts, so the counts of the
+  *longer* words that begin with them, in the same place, stand on the inside.
+  They come from running sums over the sorted words: the words that begin with
+  p lie between p and the last string that begins with p. Nothing is cut into
+  prefixes, and words may have any length.
+* Context words below ``COMMON_SHARE`` of all words (names, mostly) count as one
+  class, else most trigrams would be seen once. Where the final trigram is too
+  rare for a judgement, the decision backs off, in this order, to: the word
+  being the beginning of known words but no word itself; the trigram with a rare
+  last word as a class; any word after the word before it; the last two words; the last
+  word; its mark. ``why``
+  names the evidence that decided.
+* A text that a length limit of its source's field cut exactly before a mark has
+  a last trigram that ends sentences. Such a text is flagged (``limit``) where
+  its length is a peak of the lengths of its source.
+
+Before counting, closed quotes and mark-up are taken out; trailing dots that
+stand for left-out text, and a last character that was cut to bytes (U+FFFD),
+are taken off.
 
 Defined results: null, empty and blank texts are no cases, nor are texts that
 end with a sentence mark, smiley, closing bracket or quote. Counts are over all
-texts, copies included. Words of more than 64 characters are not looked up as
-beginnings of longer words.
+texts, copies included.
 
-Skew: all counts are aggregates with partial aggregation; the list of common
-words has at most ``1 / COMMON_SHARE`` rows whatever the input, and is the only
-broadcast side.
+Skew: all counts are aggregates with partial aggregation; running sums are
+taken within a context and the first two letters, over distinct words. The list
+of common words has at most ``1 / COMMON_SHARE`` rows whatever the input, and is
+the only broadcast side.
 """
 
 from __future__ import annotations
@@ -40,7 +53,7 @@ from pyspark.sql import functions as F
 from railspoke.operators.lineage import written
 
 #: A word is common if it makes up this share of all words; so there are 1 / share common words at most.
-COMMON_SHARE = 0.0001
+COMMON_SHARE = 0.00008
 #: Occurrences a trigram needs to decide.
 LEAST = 5
 #: A trigram that stops or ends in a smaller share of its occurrences is an inside one.
@@ -49,180 +62,243 @@ STOP_SHARE = 0.4
 WORD_SHARE = 0.05
 #: A length of which a source has this many times the texts that it has of the lengths around is a limit of its field.
 LIMIT_PEAK = 8.0
+#: Words whose dot ends no sentence.
+ABBREVIATIONS = ("st", "dr", "nr", "ca")
 
-# The text without closed quotes, mark-up and references; accents folded, lower case.
+# The text in lower case without closed quotes and inline mark-up, accents folded, each number as 0.
+# Patterns are tried only on texts that hold what they look for.
 _CLEAN = r"""
-  translate(replace(lower(
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-    regexp_replace(regexp_replace(
-      text,
-      r'(?s)\[quote[^\]]*\](?:(?!\[/?quote).)*+\[/quote\]', '\n'),
-      r'(?s)\[quote[^\]]*\](?:(?!\[/?quote).)*+\[/quote\]', '\n'),
-      r'(?s)<blockquote>(?:(?!</?blockquote).)*+</blockquote>', '\n'),
-      r'(?s)<blockquote>(?:(?!</?blockquote).)*+</blockquote>', '\n'),
-      r'(?m)(^[^\n]*:\n)?(^>[^\n]*\n)+', '\n'),
-      r'</?[a-zA-Z][^<>]*>', '\n'),
-      r'\[/?[a-zA-Z]+(=[^\]]*)?\]', ''),
-      r'&([a-zA-Z])(uml|acute|grave|circ|cedil|tilde);|&#39;|&nbsp;', '$1'),
-      r'&szlig;', 'ss')
-  ), 'ß', 'ss'), 'äöüéèêëàâáçîïíôóûùúñ’', "aoueeeeaaaciiioouuun'")
+  SELECT id, source, chars, bytes, regexp_replace(
+    translate(replace(IF(contains(t, '&'), regexp_replace(replace(t, '&szlig;', 'ss'),
+      r'&([a-z])(uml|acute|grave|circ|cedil|tilde);|&#39;|&nbsp;', '$1'), t), 'ß', 'ss'),
+      'äöüéèêëàâáçîïíôóûùúñ’', "aoueeeeaaaciiioouuun'"), '[0-9]+', '0') AS clean
+  FROM (SELECT id, source, chars, bytes, IF(contains(t, '['), regexp_replace(t, r'\[/?[a-z]+(=[^\]]*)?\]', ''), t) AS t
+  FROM (SELECT id, source, chars, bytes, IF(startswith(t, '>') OR contains(t, '\n>'), regexp_replace(t, r'(?m)(^[^\n]*:\n)?(^>[^\n]*\n)+', '\n'), t) AS t
+  FROM (SELECT id, source, chars, bytes, IF(contains(t, '<blockquote>'), {block2}, t) AS t
+  FROM (SELECT id, source, chars, bytes, IF(contains(t, '[quote'), {quote2}, t) AS t
+  FROM (SELECT {key} AS id, {source} AS source, length(text) AS chars, octet_length(text) AS bytes, lower(text) AS t
+    FROM {docs} WHERE text IS NOT NULL AND trim(text) <> '')))))
 """
 
-_TOKEN = r"[\p{L}\p{N}_]+(?:[-.\x27][\p{L}\p{N}_]+)*|(?<!\b(?:st|dr|nr|ca))[.!?…。]+(?=[\s\x22»)\]]|$)|\)|\n"
+
+def _twice(pattern: str) -> str:
+    """Innermost blocks out, then those around them."""
+    return f"regexp_replace(regexp_replace(t, r'{pattern}', '\\n'), r'{pattern}', '\\n')"
+
+
+_QUOTE2 = _twice(r"\[quote[^\]]*\][^\[]*+(?:\[(?!/?quote)[^\[]*+)*+\[/quote\]")
+_BLOCK2 = _twice(r"<blockquote>[^<]*+(?:<(?!/?blockquote)[^<]*+)*+</blockquote>")
+
+# Tags, smileys, words with the mark that follows them, sentence marks, line breaks.
+_TOKEN = (
+    r"</?[a-z][^<>]*(?:>|$)|<$|[:;=]-?[()\[\]/|dpo](?![\p{L}\p{N}])"
+    r"|[\p{L}\p{N}_]+(?:[-.\x27][\p{L}\p{N}_]+)*(?:[,;:)]|\x27$| ?(?:\(|&(?:amp;|#?[a-z0-9]{0,7}$)|[-–/](?=\s|$)))?"
+    r"|(?<!\b(?:{abbreviations}))[.!?…。]+(?=[\s\x22»)\]]|$)|\)|\n"
+)
 
 # White space as it may stand at the end of a text, for linear trimming.
 _BLANKS = r" \n\t\r\u000b\u000c\u00a0\u0000"
 
-_TOKENS = rf"""
-WITH bodies AS (
-  SELECT {{key}} AS id, {{source}} AS source, length(text) AS chars, octet_length(text) AS bytes,
-    trim(TRAILING '{_BLANKS}' FROM {_CLEAN}) AS clean
-  FROM {{docs}} WHERE text IS NOT NULL AND trim(text) <> ''
-), shaped AS (
-  SELECT id, source, chars, bytes, clean,
-    -- without dots that stand for left-out text
-    trim(TRAILING '{_BLANKS}' FROM CASE
+# What stands in brackets; a smiley opens none.
+_BRACKET = r"(?<![:;=\-])\([^()\n]*\)?"
+
+_LOOKED = r"""transform(regexp_extract_all({of}, r'{token}', 0), t -> CASE
+    WHEN left(t, 1) IN ('.', '!', '?', '…', '。', ')', '\n', ':', ';', '=') THEN '$'
+    WHEN left(t, 1) = '<' THEN regexp_replace(t, r'\s[^>]*', '')
+    ELSE t END)"""
+_INNER = r"transform(filter(regexp_extract_all(p, r'{token}', 0), t -> left(t, 1) RLIKE r'[\p{L}\p{N}_]'), t -> concat('(', t))"
+
+_TOKENS = r"""
+WITH shaped AS (
+  SELECT id, source, chars, bytes,
+    -- without dots that stand for left-out text, and without a character cut to bytes
+    trim(TRAILING '{blanks}' FROM CASE
       WHEN endswith(clean, '[...]') THEN left(clean, length(clean) - 5)
       WHEN endswith(clean, '…') THEN left(clean, length(clean) - 1)
       WHEN endswith(clean, '...') AND right(clean, 4) RLIKE r'^[^.!?\s]' THEN left(clean, length(clean) - 3)
+      WHEN endswith(clean, '\ufffd') THEN trim(TRAILING '\ufffd' FROM clean)
       ELSE clean END) AS body
-  FROM bodies
+  FROM (SELECT id, source, chars, bytes, trim(TRAILING '{blanks}' FROM clean) AS clean FROM ({clean}))
 )
 SELECT id, source, chars, bytes,
-  CASE
-    WHEN endswith(clean, '\ufffd') THEN 'byte'
-    WHEN clean RLIKE r'(^|[^<])</?([a-z][^<>\n]*)?$' THEN 'markup'
-    WHEN clean RLIKE r'\[/?(b|i|u|quote|url|img)?(=[^\]\n]*)?$' THEN 'markup'
-    WHEN clean RLIKE r'&(#?[a-z0-9]{{{{1,7}}}})?$' THEN 'reference'
-    WHEN body RLIKE r'(^|\n)[ \t]*[0-9]+\.?$' AND clean NOT RLIKE r'^\s*[0-9]+\.?$' THEN 'number'
-    WHEN right(body, 1) RLIKE r'[,;:(\[\-–/]' AND right(body, 3) NOT RLIKE r'[:;=][\-]?[/(\[]$' THEN 'comma'
-    WHEN right(body, 2) RLIKE r'\p{{{{L}}}}\x27$' THEN 'comma'
-    WHEN body RLIKE r'(^|[^:;=\-])\([^()\n]*$' THEN 'bracket'
-    WHEN right(body, 1) RLIKE r'[\p{{{{L}}}}\p{{{{N}}}}_]' THEN 'word'
-  END AS ending,
-  transform(
-    regexp_extract_all(body, r'{{token}}', 0),
-    t -> CASE WHEN t RLIKE r'^[.!?…。)\n]' THEN '$' ELSE regexp_replace(t, r'[0-9]+', '0') END
-  ) AS tokens
-FROM shaped
+  body RLIKE r'(?:[\p{L}\p{N}_,;:(\-–/&\x27#]|<[^<>]*)$' AS unmarked,
+  IF(size(pieces) = 0, {looked_body}, concat(
+    flatten(transform(filter(pieces, p -> right(p, 1) = ')'), p -> concat({inner}, array('$', '$')))),
+    {looked_main},
+    flatten(transform(filter(slice(pieces, -1, 1), p -> right(p, 1) <> ')'), p -> concat(array('$', '$'), {inner})))
+  )) AS tokens
+FROM (SELECT *, IF(contains(body, '('), regexp_extract_all(body, r'{bracket}', 0), array()) AS pieces FROM shaped)
+"""
+
+_MARKS = " ,;:)(/&-–'"
+
+# (w, k): a token without and with its mark; a tag has none. A reference to a character is one mark.
+_SPLIT = f"""
+  SELECT id, source, chars, bytes, unmarked, transform(tokens, t -> CASE
+    WHEN left(t, 1) IN ('$', '<') THEN named_struct('w', t, 'k', '')
+    WHEN contains(t, '&') THEN named_struct('w', rtrim(substring_index(t, '&', 1)), 'k', '&')
+    ELSE named_struct('w', rtrim("{_MARKS}", t), 'k', ltrim(substring(t, length(rtrim("{_MARKS}", t)) + 1))) END) AS tokens
+  FROM {{marked}}
 """
 
+# A word with a mark counts as such and as the bare word, to which a closing bracket is what follows inside.
+# What follows a tag does not matter.
 _GRAMS = r"""
-  SELECT g.w1, g.w2, g.w3,
-    sum(g.inside) AS inside, sum(g.stop) AS stop, sum(g.last) AS last
+  SELECT g.w1, g.w2, g.w3, g.k3, sum(g.inside) AS inside, sum(g.stop) AS stop, sum(g.last) AS last
   FROM (
-    SELECT explode(transform(
-      filter(sequence(1, size(tokens)), i -> element_at(tokens, i) <> '$'),
-      i -> named_struct(
-        'w1', IF(i > 2, element_at(tokens, greatest(i - 2, 1)), '$'),
-        'w2', IF(i > 1, element_at(tokens, greatest(i - 1, 1)), '$'),
-        'w3', element_at(tokens, i),
-        'inside', IF(i < size(tokens) AND element_at(tokens, least(i + 1, size(tokens))) <> '$', 1L, 0L),
-        'stop', IF(i < size(tokens) AND element_at(tokens, least(i + 1, size(tokens))) = '$', 1L, 0L),
-        'last', IF(i = size(tokens), 1L, 0L))
-    )) AS g
-    FROM {marked} WHERE size(tokens) > 0
+    SELECT explode(flatten(transform(
+      filter(sequence(1, size(tokens)), i -> element_at(tokens, i).w <> '$'),
+      i -> transform(
+        IF(element_at(tokens, i).k = '', array(''), array(element_at(tokens, i).k, '')),
+        k -> named_struct(
+          'w1', IF(i > 2, element_at(tokens, greatest(i - 2, 1)).w, '$'),
+          'w2', IF(i > 1, element_at(tokens, greatest(i - 1, 1)).w, '$'),
+          'w3', element_at(tokens, i).w, 'k3', k,
+          'inside', IF(k = '' AND element_at(tokens, i).k = ')' OR i < size(tokens) AND (left(element_at(tokens, i).w, 1) = '<'
+            OR left(element_at(tokens, least(i + 1, size(tokens))).w, 1) NOT IN ('$', '<')), 1L, 0L),
+          'stop', IF(NOT (k = '' AND element_at(tokens, i).k = ')') AND i < size(tokens) AND left(element_at(tokens, i).w, 1) <> '<'
+            AND left(element_at(tokens, least(i + 1, size(tokens))).w, 1) IN ('$', '<'), 1L, 0L),
+          'last', IF(NOT (k = '' AND element_at(tokens, i).k = ')') AND i = size(tokens), 1L, 0L)))
+    ))) AS g
+    FROM {split} WHERE size(tokens) > 0
   )
-  GROUP BY 1, 2, 3
+  GROUP BY 1, 2, 3, 4
 """
 
 _WORDS = r"""
-  SELECT w3 AS w, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {grams} GROUP BY 1
+  SELECT w3 AS w, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {grams} WHERE k3 = '' GROUP BY 1
 """
 
 _COMMON = r"""
   SELECT w FROM {words}
-  JOIN (SELECT sum(inside + stop + last) AS n FROM {words}) ON inside + stop + last >= greatest({common_share} * n, 2)
+  JOIN (SELECT sum(inside + stop + last) AS n FROM {words} WHERE left(w, 1) <> '<') ON inside + stop + last >= greatest({common_share} * n, 2)
 """
 
-_EXACT = r"""
+_CLASS = "IF(left({0}, 1) IN ('$', '<'), '$', coalesce({1}.w, '*'))"
+
+_EXACT = rf"""
 WITH classed AS (
   SELECT /*+ BROADCAST(a), BROADCAST(b), BROADCAST(c) */
-    IF(w1 = '$', '$', coalesce(a.w, '*')) AS m1,
-    IF(w2 = '$', '$', coalesce(b.w, '*')) AS m2,
-    w3, coalesce(c.w, '*') AS m3, inside, stop, last
-  FROM {grams}
-  LEFT JOIN {common} a ON w1 = a.w LEFT JOIN {common} b ON w2 = b.w LEFT JOIN {common} c ON w3 = c.w
+    {_CLASS.format("w1", "a")} AS m1, {_CLASS.format("w2", "b")} AS m2, w3, k3, coalesce(c.w, '*') AS m3, inside, stop, last
+  FROM {{grams}}
+  LEFT JOIN {{common}} a ON w1 = a.w LEFT JOIN {{common}} b ON w2 = b.w LEFT JOIN {{common}} c ON w3 = c.w
 )
-  SELECT m1, m2, w3, first(m3) AS m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last
-  FROM classed GROUP BY 1, 2, 3
+  SELECT m1, m2, w3, k3, first(m3) AS m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last
+  FROM classed GROUP BY 1, 2, 3, 4
 """
 
-_FINAL = r"""
+_FINAL = rf"""
   SELECT /*+ BROADCAST(a), BROADCAST(b), BROADCAST(c) */ id,
-    IF(w1 = '$', '$', coalesce(a.w, '*')) AS m1,
-    IF(w2 = '$', '$', coalesce(b.w, '*')) AS m2,
-    w3, coalesce(c.w, '*') AS m3, source, chars, bytes
+    {_CLASS.format("w1", "a")} AS m1, {_CLASS.format("w2", "b")} AS m2, w3, k3, coalesce(c.w, '*') AS m3, source, chars, bytes
   FROM (
     SELECT id, source, chars, bytes,
-      IF(size(tokens) > 2, element_at(tokens, -least(3, size(tokens))), '$') AS w1,
-      IF(size(tokens) > 1, element_at(tokens, -least(2, size(tokens))), '$') AS w2,
-      element_at(tokens, -1) AS w3
-    FROM {marked} WHERE ending = 'word' AND size(tokens) > 0 AND element_at(tokens, -1) <> '$'
+      IF(size(tokens) > 2, element_at(tokens, -least(3, size(tokens))).w, '$') AS w1,
+      IF(size(tokens) > 1, element_at(tokens, -least(2, size(tokens))).w, '$') AS w2,
+      element_at(tokens, -1).w AS w3, element_at(tokens, -1).k AS k3
+    FROM {{split}} WHERE unmarked AND size(tokens) > 0 AND element_at(tokens, -1).w <> '$'
   )
-  LEFT JOIN {common} a ON w1 = a.w LEFT JOIN {common} b ON w2 = b.w LEFT JOIN {common} c ON w3 = c.w
+  LEFT JOIN {{common}} a ON w1 = a.w LEFT JOIN {{common}} b ON w2 = b.w LEFT JOIN {{common}} c ON w3 = c.w
 """
 
-_VERDICTS = r"""
-WITH longer AS (
-  SELECT m1, m2, p, sum(n) AS n FROM (
-    SELECT m1, m2, inside + stop + last AS n,
-      explode(transform(filter(sequence(1, least(length(w3) - 1, 64)),
-        k -> substring(w3, k + 1, 1) RLIKE r'[\p{L}.]'), k -> substring(w3, 1, k))) AS p
-    FROM {exact} LEFT SEMI JOIN (SELECT DISTINCT m1 AS x1, m2 AS x2 FROM {final}) ON m1 = x1 AND m2 = x2
-    WHERE length(w3) > 1
-  ) GROUP BY 1, 2, 3
-), longer_words AS (
-  SELECT p, sum(n) AS n FROM (
-    SELECT inside + stop AS n,
-      explode(transform(filter(sequence(1, least(length(w) - 1, 64)),
-        k -> substring(w, k + 1, 1) RLIKE r'[\p{L}.]'), k -> substring(w, 1, k))) AS p
-    FROM {words} WHERE length(w) > 1
-  ) GROUP BY 1
+
+def _longer(rows: str, finals: str, place: str) -> str:
+    """SQL of (place, p, n): how often words that go on after p, with a letter or a dot (a tag: or its end; in brackets: or a number), stand in the place.
+
+    ``rows``: place, w, n; ``finals``: place, p. Each p sends four probes into the sorted words, two for
+    each range; the running sums at its ends differ by what lies between. Words of one letter have their own key.
+    """
+    span = f"PARTITION BY {place}two, lead ORDER BY w, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f"""
+  SELECT {place}p, sum(IF(sign = 0, 0, sign * run)) AS n FROM (
+    SELECT {place}p, sign, sum(n) OVER ({span}) AS run FROM (
+      SELECT {place}two, IF(two, left(w, 2), left(w, 1)) AS lead, w, 1 AS turn, n, CAST(NULL AS STRING) AS p, 0 AS sign
+      FROM (SELECT *, explode(array(true, false)) AS two FROM ({rows})) WHERE length(w) > 1
+        AND (two OR EXISTS (SELECT 1 FROM ({finals}) o WHERE length(o.p) = 1 AND o.p = left(w, 1)))
+      UNION ALL
+      SELECT {place}length(p) > 1, left(p, IF(length(p) > 1, 2, 1)), concat(p, e.upto), IF(e.sign < 0, 0, 2), 0L, p, e.sign
+      FROM (SELECT *, explode(array(named_struct('upto', 'a', 'sign', -1), named_struct('upto', '\U0010ffff', 'sign', 1),
+        named_struct('upto', mark, 'sign', -1), named_struct('upto', concat(mark, '\U0010ffff'), 'sign', 1))) AS e
+        FROM (SELECT *, CASE left(p, 1) WHEN '<' THEN '>' WHEN '(' THEN '0' ELSE '.' END AS mark FROM ({finals})))
+    )
+  ) WHERE p IS NOT NULL GROUP BY {place}p"""
+
+
+_LONGER = _longer(
+    """SELECT m1, m2, w3 AS w, sum(inside + stop + last) AS n FROM {exact}
+      LEFT SEMI JOIN (SELECT DISTINCT m1 AS x1, m2 AS x2 FROM {final}) ON m1 = x1 AND m2 = x2 WHERE k3 = '' GROUP BY 1, 2, 3""",
+    "SELECT DISTINCT m1, m2, w3 AS p FROM {final} WHERE k3 = ''",
+    "m1, m2, ",
+)
+_LONGER_WORDS = _longer("SELECT w, inside + stop AS n FROM {words}", "SELECT DISTINCT w3 AS p FROM {final} WHERE k3 = ''", "")
+
+_VERDICTS = rf"""
+WITH longer AS ({_LONGER}
+), longer_words AS ({_LONGER_WORDS}
 ), by_class AS (
-  SELECT m1, m2, m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {exact} GROUP BY 1, 2, 3
+  SELECT m1, m2, m3, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {{exact}} GROUP BY 1, 2, 3, 4
+), by_place AS (
+  SELECT m1, m2, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_class GROUP BY 1, 2, 3
 ), by_two AS (
-  SELECT m2, m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_class GROUP BY 1, 2
+  SELECT m2, m3, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_class GROUP BY 1, 2, 3
 ), by_one AS (
-  SELECT m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_two GROUP BY 1
-), judged AS (
-  SELECT f.m1, f.m2, f.w3,
+  SELECT m3, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_two GROUP BY 1, 2
+), by_mark AS (
+  SELECT k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_one GROUP BY 1
+), counted AS (
+  SELECT f.m1, f.m2, f.w3, f.k3,
     CASE
-      WHEN e.stop + e.last + e.inside + coalesce(l.n, 0) >= {least}
-        THEN e.stop + e.last < {stop_share} * (e.stop + e.last + e.inside + coalesce(l.n, 0))
-      WHEN u.inside + u.stop < {word_share} * coalesce(lw.n, 0) THEN true
-      WHEN c.stop + c.last + c.inside >= {least} THEN c.stop + c.last < {stop_share} * (c.stop + c.last + c.inside)
-      WHEN t.stop + t.last + t.inside >= {least} THEN t.stop + t.last < {stop_share} * (t.stop + t.last + t.inside)
-      ELSE o.stop + o.last < {stop_share} * (o.stop + o.last + o.inside)
-    END AS cut,
+      WHEN e.stop + e.last + e.inside >= {{least}} AND coalesce(l.n, 0) = 0 THEN 'trigram'
+      WHEN coalesce(e.stop + e.last + e.inside, 0) + coalesce(l.n, 0) >= {{least}} THEN 'longer trigram'
+      WHEN coalesce(u.inside + u.stop, 0) < {{word_share}} * coalesce(lw.n, 0) THEN 'unknown word'
+      WHEN c.stop + c.last + c.inside >= {{least}} THEN 'class'
+      WHEN f.m2 <> '$' AND p.stop + p.last + p.inside >= {{least}} THEN 'place'
+      WHEN t.stop + t.last + t.inside >= {{least}} THEN 'two words'
+      WHEN o.stop + o.last + o.inside >= {{least}} THEN 'word'
+      ELSE 'mark'
+    END AS why,
+    coalesce(e.stop + e.last, 0) AS e_end, coalesce(e.stop + e.last + e.inside, 0) + coalesce(l.n, 0) AS e_all,
+    c.stop + c.last AS c_end, c.stop + c.last + c.inside AS c_all,
+    p.stop + p.last AS p_end, p.stop + p.last + p.inside AS p_all,
+    t.stop + t.last AS t_end, t.stop + t.last + t.inside AS t_all,
+    o.stop + o.last AS o_end, o.stop + o.last + o.inside AS o_all,
+    k.stop + k.last AS k_end, k.stop + k.last + k.inside AS k_all,
     -- ends a sentence, mostly before a mark: at a length limit the mark is what was cut off
     c.stop > c.last AS before_mark
-  FROM (SELECT DISTINCT m1, m2, w3, m3 FROM {final}) f
-  LEFT JOIN {exact} e ON e.m1 = f.m1 AND e.m2 = f.m2 AND e.w3 = f.w3
-  LEFT JOIN longer l ON l.m1 = f.m1 AND l.m2 = f.m2 AND l.p = f.w3
-  LEFT JOIN {words} u ON u.w = f.w3
-  LEFT JOIN longer_words lw ON lw.p = f.w3
-  LEFT JOIN by_class c ON c.m1 = f.m1 AND c.m2 = f.m2 AND c.m3 = f.m3
-  LEFT JOIN by_two t ON t.m2 = f.m2 AND t.m3 = f.m3
-  LEFT JOIN by_one o ON o.m3 = f.m3
+  FROM (SELECT DISTINCT m1, m2, w3, k3, m3 FROM {{final}}) f
+  LEFT JOIN {{exact}} e ON e.m1 = f.m1 AND e.m2 = f.m2 AND e.w3 = f.w3 AND e.k3 = f.k3
+  LEFT JOIN longer l ON l.m1 = f.m1 AND l.m2 = f.m2 AND l.p = f.w3 AND f.k3 = ''
+  LEFT JOIN {{words}} u ON u.w = f.w3
+  LEFT JOIN longer_words lw ON lw.p = f.w3 AND f.k3 = ''
+  LEFT JOIN by_class c ON c.m1 = f.m1 AND c.m2 = f.m2 AND c.m3 = f.m3 AND c.k3 = f.k3
+  LEFT JOIN by_place p ON p.m1 = f.m1 AND p.m2 = f.m2 AND p.k3 = f.k3
+  LEFT JOIN by_two t ON t.m2 = f.m2 AND t.m3 = f.m3 AND t.k3 = f.k3
+  LEFT JOIN by_one o ON o.m3 = f.m3 AND o.k3 = f.k3
+  LEFT JOIN by_mark k ON k.k3 = f.k3
+), judged AS (
+  SELECT m1, m2, w3, k3, why, before_mark, why = 'unknown word' OR CASE why
+    WHEN 'class' THEN c_end < {{stop_share}} * c_all
+    WHEN 'place' THEN p_end < {{stop_share}} * p_all
+    WHEN 'two words' THEN t_end < {{stop_share}} * t_all
+    WHEN 'word' THEN o_end < {{stop_share}} * o_all
+    WHEN 'mark' THEN k_end < {{stop_share}} * k_all
+    ELSE e_end < {{stop_share}} * e_all END AS cut
+  FROM counted
 ), lengths AS (
   SELECT source, unit, n, count(*) AS texts FROM (
-    SELECT source, explode(map('chars', chars, 'bytes', bytes)) AS (unit, n) FROM {marked}
+    SELECT source, explode(map('chars', chars, 'bytes', bytes)) AS (unit, n) FROM {{marked}}
   ) GROUP BY 1, 2, 3
 ), limits AS (
   SELECT DISTINCT source, unit, explode(IF(unit = 'bytes', sequence(n - 3, n), array(n))) AS n FROM (
     SELECT source, unit, n, texts, (sum(texts) OVER (
       PARTITION BY source, unit ORDER BY n RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING) - texts) / 50 AS around
     FROM lengths
-  ) WHERE texts >= {least} AND texts >= {limit_peak} * around
+  ) WHERE texts >= {{least}} AND texts >= {{limit_peak}} * around
 )
-SELECT id AS {key}, ending AS why FROM {marked} WHERE ending <> 'word'
-UNION ALL
-SELECT f.id, IF(j.cut, 'word', 'limit') FROM {final} f
-JOIN judged j ON j.m1 = f.m1 AND j.m2 = f.m2 AND j.w3 = f.w3
+SELECT f.id AS {{key}}, IF(j.cut, j.why, 'limit') AS why FROM {{final}} f
+JOIN judged j ON j.m1 = f.m1 AND j.m2 = f.m2 AND j.w3 = f.w3 AND j.k3 = f.k3
 LEFT JOIN limits c ON c.source <=> f.source AND c.unit = 'chars' AND c.n = f.chars
 LEFT JOIN limits b ON b.source <=> f.source AND b.unit = 'bytes' AND b.n = f.bytes
-WHERE j.cut OR (j.before_mark AND (c.n IS NOT NULL OR b.n IS NOT NULL))
+WHERE j.cut OR (j.before_mark AND f.k3 = '' AND (c.n IS NOT NULL OR b.n IS NOT NULL))
 """
 
 
@@ -241,6 +317,7 @@ def truncated_texts(
     stop_share: float = STOP_SHARE,
     word_share: float = WORD_SHARE,
     limit_peak: float = LIMIT_PEAK,
+    abbreviations: tuple[str, ...] = ABBREVIATIONS,
 ) -> DataFrame:
     """(key, why) of every text of which only a first part is stored.
 
@@ -252,7 +329,11 @@ def truncated_texts(
     values = {
         "key": key,
         "source": source,
-        "token": _TOKEN,
+        "token": _TOKEN.replace("{abbreviations}", "|".join(abbreviations)),
+        "blanks": _BLANKS,
+        "bracket": _BRACKET,
+        "quote2": _QUOTE2,
+        "block2": _BLOCK2,
         "common_share": f"{common_share!r}D",
         "least": least,
         "stop_share": f"{stop_share!r}D",
@@ -268,16 +349,23 @@ def truncated_texts(
 
     try:
         view("docs", docs.select(key, source, "text"))
-        tokens = _TOKENS.replace("{{", "{").replace("}}", "}")
+        values |= {
+            "clean": _filled(_CLEAN, **values),
+            "inner": _filled(_INNER, **values),
+            "looked_body": _filled(_LOOKED, of="body", **values),
+            "looked_main": _filled(_LOOKED, of=_filled("regexp_replace(body, r'{bracket}', '(')", **values), **values),
+        }
         for name, text in (
-            ("marked", tokens),
+            ("marked", _TOKENS),
+            ("split", _SPLIT),
             ("grams", _GRAMS),
             ("words", _WORDS),
             ("common", _COMMON),
             ("exact", _EXACT),
             ("final", _FINAL),
         ):
-            view(name, written(spark.sql(_filled(text, **values)), name))
+            rows = spark.sql(_filled(text, **values))
+            view(name, rows if name == "split" else written(rows, name))
         return spark.sql(_filled(_VERDICTS, **values))
     finally:
         for v in views:
