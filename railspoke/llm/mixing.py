@@ -1,29 +1,32 @@
 """Sources mixed to target weights, in fixed-length blocks of tokens.
 
-1. Each source's documents are put in a pseudorandom order, laid end to end and
-   cut into blocks of ``block_tokens`` tokens. A token's place is a prefix sum,
-   taken in two steps: sums per (source, bucket) of hashed document ids, and
-   windows inside the buckets, so no source is ever one task.
-2. A source gets as many slots as its share of the output needs, at most
-   ``max_repeats`` times its blocks. The output has ``shards`` shards. How many
-   slots of each source a shard gets is drawn from the multinomial distribution
-   of the shares, conditioned on the sources' totals (so that the totals hold
-   exactly and not only on average): shard by shard, a multivariate
-   hypergeometric draw from the slots not yet given out.
-3. The j-th slot of a source takes block ``perm(j mod blocks)`` of round
-   ``j div blocks``, where ``perm`` is a pseudorandom permutation of the block
-   numbers of that source and round (a keyed four-round Feistel network, walked
-   until it falls into the range). So no block is used twice in a round, and no
-   document is used more than once a round, at most ``max_repeats`` times in all.
-4. Slots and blocks are joined by (source, block).
+1. Each source's documents are put in a pseudorandom order and laid end to end:
+   its stream. A token's place is a prefix sum, taken in two steps: sums per
+   (source, bucket) of hashed document ids, and windows inside the buckets, so
+   no source is ever one task.
+2. A source gives as many tokens as its share of the output needs, at most
+   ``max_repeats`` times its stream. They are the first tokens of the stream
+   repeated again and again, cut into blocks of ``block_tokens`` tokens; only the
+   last block of a source may be shorter. So the tokens reached are exact, no
+   token is used more than ``max_repeats`` times, and a source falls short only
+   where all its repeats together hold fewer tokens than its target.
+3. The output has ``shards`` shards. How many slots of each source a shard gets is
+   drawn from the multinomial distribution of the source's slots over the shards,
+   so totals per source are exact and shards differ a little in length.
+4. Slot j of a source holds block ``perm(j)``, where ``perm`` is a pseudorandom
+   permutation of the source's block numbers (a keyed four-round Feistel network,
+   walked until it falls into the range). Slots are numbered through all sources
+   and made where they are needed; none is listed by the driver.
+5. Slots and the pieces of documents are joined by (source, block of the stream);
+   a block of the repeated stream touches at most two neighbouring blocks of it,
+   or, where a stream is shorter than a block, all of it.
 
 Defined results: documents of sources without a target, and documents without a
 token, stay out; a null source never has a target; a target without documents is
 reported with its whole share as shortfall; targets with null or non-positive
 share or repeats get no slot. The output is ``total_tokens`` long, by default as
 long as the documents of all targets together; what a source falls short is
-reported and not given to others. Shares are exact to one block per source. The
-last block of a source may be shorter.
+reported and not given to others.
 """
 
 from __future__ import annotations
@@ -69,27 +72,30 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _assign(seed: int):
+def _slots(seed: int, begin: list[int], blocks: list[int], names: list[str], shards: int):
+    """Shard and block of every slot, given its number through all sources; ``begin``: the first slot of each source."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, size = np.array(begin, "int64"), np.array(blocks, "int64")
+        ends: dict[int, np.ndarray] = {}
         for batch in batches:
-            j = batch.column("nth").to_numpy(zero_copy_only=False).astype("int64")
-            blocks = batch.column("blocks").to_numpy(zero_copy_only=False).astype("int64")
-            number = batch.column("number").to_numpy(zero_copy_only=False).astype("int64")
-            use = j // blocks
+            at = batch.column("id").to_numpy(zero_copy_only=False).astype("int64")
+            k = np.searchsorted(first, at, side="right") - 1
+            slot = at - first[k]
+            shard = np.empty(len(at), "int32")
+            for source in np.unique(k).tolist():
+                if source not in ends:
+                    # the same draw wherever a slot of the source is made
+                    drawn = np.random.default_rng([seed, source]).multinomial(size[source], np.full(shards, 1.0 / shards))
+                    ends[source] = np.cumsum(drawn)
+                own = k == source
+                shard[own] = np.searchsorted(ends[source], slot[own], side="right")
             with np.errstate(over="ignore"):
-                key = (number.astype("uint64") * np.uint64(1_000_003) + use.astype("uint64")) * np.uint64(
-                    0x94D049BB133111EB
-                ) + np.uint64(seed)
-                block = permute(j % blocks, blocks, key).astype("int64")
+                key = k.astype("uint64") * np.uint64(0x94D049BB133111EB) + np.uint64(seed)
+                block = permute(slot, size[k], key).astype("int64")
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("shard"),
-                    batch.column("source"),
-                    batch.column("nth"),
-                    pa.array((use + 1).astype("int32")),
-                    pa.array(block),
-                ],
-                names=["shard", "source", "slot", "use_no", "block"],
+                [pa.array(shard), pa.array(names, pa.string()).take(pa.array(k)), pa.array(slot), pa.array(block)],
+                names=["shard", "source", "slot", "block"],
             )
 
     return run
@@ -153,64 +159,72 @@ class Mixture:
         for r in wanted:
             n, _ = have.get(r["source"], (0, 0))
             share, repeats = r["target_share"] or 0.0, r["max_repeats"] or 0
-            blocks = -(-n // block_tokens)
-            slots = max(0, min(round(total * share / block_tokens), repeats * blocks))
-            self.plan.append((r["source"], float(share), int(repeats), n, int(blocks), slots, total * share))
-        rng = np.random.default_rng(seed)
-        left = np.array([p[5] for p in self.plan], dtype="int64")
-        rows, given = [], np.zeros(len(left), dtype="int64")
-        for shard in range(shards):
-            size = int(left.sum()) // (shards - shard)
-            drawn = rng.multivariate_hypergeometric(left, size, method="marginals") if size else np.zeros_like(left)
-            for k, c in enumerate(drawn.tolist()):
-                if c:
-                    rows.append((shard, self.plan[k][0], k, self.plan[k][4], int(given[k]), c))
-            given, left = given + drawn, left - drawn
-        # shards x sources rows: a plan, not data
-        self.counts = spark.createDataFrame(
-            rows, "shard int, source string, number int, blocks long, first long, slots long"
-        )
+            tokens = max(0, min(round(total * share), repeats * n))
+            # tokens of the source, tokens to take and their blocks
+            self.plan.append((r["source"], float(share), int(repeats), n, tokens, -(-tokens // block_tokens), total * share))
+        self.shards = shards
 
     def slots(self) -> DataFrame:
-        """(shard, source, slot, use_no, block) of every slot of the output."""
-        each = self.counts.repartition("shard", "source").select(
-            "shard",
-            "source",
-            "number",
-            "blocks",
-            F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)).alias("nth"),
-        )
-        return each.mapInArrow(
-            _assign(self.seed), "shard int, source string, slot long, use_no int, block long"
-        )
+        """(shard, source, slot, block) of every slot of the output; ``block`` numbers the source's repeated stream."""
+        spark = self.sized.sparkSession
+        used = [p for p in self.plan if p[5]]
+        begin = np.concatenate(([0], np.cumsum([p[5] for p in used]))).astype("int64").tolist()
+        # slots of a task: some megabytes
+        ids = spark.range(0, begin[-1], 1, max(1, min(begin[-1] // 200_000, 100_000)))
+        made = _slots(self.seed, begin[:-1], [p[5] for p in used], [p[0] for p in used], self.shards)
+        return ids.mapInArrow(made, "shard int, source string, slot long, block long")
 
     def blocks(self) -> DataFrame:
         """(shard, source, slot, use_no, block, doc_id, token_from, token_to): the pieces of every slot.
 
         ``token_from`` and ``token_to`` (exclusive) count inside the document.
         """
-        size = F.lit(self.block_tokens)
+        spark = self.sized.sparkSession
+        size = F.lit(self.block_tokens).cast("long")
         begin, n = F.col("first_token"), F.col("n_tokens")
+        every = lambda a, b: F.explode(F.sequence(a, b))
+        # a document's part of each block of the stream that it touches
         pieces = (
             placed_documents(self.sized, self.seed)
-            .withColumn(
-                "block",
-                F.explode(
-                    F.sequence(F.floor(begin / size).cast("long"), F.floor((begin + n - 1) / size).cast("long"))
-                ),
-            )
+            .withColumn("cell", every(F.floor(begin / size).cast("long"), F.floor((begin + n - 1) / size).cast("long")))
             .select(
                 "source",
-                "block",
+                "cell",
                 "doc_id",
-                F.greatest(F.lit(0), F.col("block") * size - begin).alias("token_from"),
-                F.least(n, (F.col("block") + 1) * size - begin).alias("token_to"),
+                "first_token",
+                F.greatest(begin, F.col("cell") * size).alias("_a"),
+                F.least(begin + n, (F.col("cell") + 1) * size).alias("_b"),
             )
         )
-        return (
+        # at most MOST_SOURCES rows
+        plan = spark.createDataFrame(
+            [(p[0], p[3], p[4]) for p in self.plan if p[5]], "source string, stream long, tokens long"
+        )
+        # the slot's tokens in the repeated stream, in each repeat, and the blocks of the stream that hold them
+        at = (
             self.slots()
-            .join(pieces, ["source", "block"])
-            .select("shard", "source", "slot", "use_no", "block", "doc_id", "token_from", "token_to")
+            .join(F.broadcast(plan), "source")
+            .withColumn("_from", F.col("block") * size)
+            .withColumn("_to", F.least((F.col("block") + 1) * size, "tokens"))
+            .withColumn("_use", every(F.floor(F.col("_from") / F.col("stream")).cast("long"), F.floor((F.col("_to") - 1) / F.col("stream")).cast("long")))
+            .withColumn("_f", F.greatest("_from", F.col("_use") * F.col("stream")) - F.col("_use") * F.col("stream"))
+            .withColumn("_t", F.least("_to", (F.col("_use") + 1) * F.col("stream")) - F.col("_use") * F.col("stream"))
+            .withColumn("cell", every(F.floor(F.col("_f") / size).cast("long"), F.floor((F.col("_t") - 1) / size).cast("long")))
+        )
+        a, b = F.greatest("_f", "_a"), F.least("_t", "_b")
+        return (
+            at.join(pieces, ["source", "cell"])
+            .where(a < b)
+            .select(
+                "shard",
+                "source",
+                "slot",
+                (F.col("_use") + 1).cast("int").alias("use_no"),
+                "block",
+                "doc_id",
+                (a - F.col("first_token")).alias("token_from"),
+                (b - F.col("first_token")).alias("token_to"),
+            )
         )
 
     def selection(self) -> DataFrame:
@@ -222,7 +236,7 @@ class Mixture:
         """One row per target: shares wanted and reached, tokens, shortfall and highest use."""
         spark = self.sized.sparkSession
         plan = spark.createDataFrame(
-            [(s, share, repeats, n, wanted) for s, share, repeats, n, _, _, wanted in self.plan],
+            [(p[0], p[1], p[2], p[3], p[6]) for p in self.plan],
             "source string, target_share double, max_repeats int, source_tokens long, target_tokens double",
         )
         uses = self.selection().groupBy("source").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from railspoke.llm.canonical import map_to_canonical
 from railspoke.llm.mixing import Mixture
@@ -44,5 +45,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_selection": lambda s, d: _mixture(s, d).selection(),
         "p8_report": lambda s, d: _mixture(s, d).report(),
         "p9_found": lambda s, d: truncated_texts(_docs(s, d)).select("doc_id"),
+        "p9_evidence": lambda s, d: truncated_texts(_docs(s, d)).groupBy("why").agg(F.count(F.lit(1)).alias("texts")),
         "p9_rates": lambda s, d: truncation_rates(_docs(s, d)),
     }

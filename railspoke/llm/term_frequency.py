@@ -1,19 +1,20 @@
 """Frequency of every term of a collection, by an external sort and a run-length scan.
 
-Each record gives its (field, term, record id) triples with the number of times
-the term occurs in it. The triples are range-partitioned by the whole triple,
-so a term that fills a third of the collection spreads over as many partitions
-as its share needs, and sorted inside each partition (Spark's sorter spills to
-disk). A linear scan then counts the runs of equal (field, term): equal record
-ids of a run are one record. Only one row per run and partition is left for
-the last, small aggregation that joins runs cut by a partition boundary; a
-record never lies in two partitions with the same term, so the sums are exact.
+Each record's terms are cut out once and written, one row per field that is not
+null, from which the fields' totals are counted too. The (field, term, record
+id) triples are then range-partitioned by the whole triple, so a term that
+fills a third of the collection spreads over as many partitions as its share
+needs, and sorted inside each partition (Spark's sorter spills to disk). A
+linear scan counts the runs of equal (field, term): equal record ids of a run
+are one record. Only one row per run and partition is left for the last, small
+aggregation that joins runs cut by a partition boundary; equal triples always
+lie in one partition, so the sums are exact.
 
 A term is a longest run of letters, digits and underscores of the lower-cased
 value (Unicode letters and numbers). Null and empty values have no term; a
 field without any value has no row; repeated rows count each. Record ids must
 be unique per row for the number of records to be the number of rows; copies
-of one id count as one record.
+of one id count as one record, and so do all rows whose id is null.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from railspoke.operators.lineage import written
 from railspoke.operators.packed import long_fields
 
 #: Fixed values of problem 1: at most so many records is rare, more than this share of the non-null records is common.
@@ -35,25 +37,21 @@ COMMON_SHARE = 0.05
 TERM_PATTERN = r"[\p{L}\p{N}_]+"
 
 
-def term_records(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(tag_field, term, key, n) of each term of each record, n times in it."""
+def term_lists(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(tag_field, key, terms) of each value that is not null; a term stands as often as it occurs."""
     long = long_fields(rows, key, fields).where(F.col("value").isNotNull())
     terms = F.regexp_extract_all(F.lower("value"), F.lit(TERM_PATTERN), F.lit(0))
-    one = long.select("tag_field", key, terms.alias("_t"))
-    # one row per distinct term of the record; most values hold one term only, which needs no counting
-    counted = F.when(
-        F.size("_t") == 1, F.array(F.struct(F.col("_t")[0].alias("term"), F.lit(1).alias("n")))
-    ).otherwise(
-        F.transform(
-            F.array_distinct("_t"),
-            lambda t: F.struct(t.alias("term"), F.size(F.filter("_t", lambda x: x == t)).alias("n")),
-        )
-    )
-    return one.select("tag_field", key, F.explode(counted).alias("_c")).select("tag_field", "_c.term", key, "_c.n")
+    return long.select("tag_field", F.col(key).alias("key"), terms.alias("terms"))
+
+
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether neighbours are equal; null equals null."""
+    both = pc.and_(pc.is_null(a), pc.is_null(b))
+    return pc.or_(pc.fill_null(pc.equal(a, b), False), both).to_numpy(zero_copy_only=False)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sorted (tag_field, term, key, n) rows as (tag_field, term, occurrences, records)."""
+    """Runs of sorted (tag_field, term, key) rows as (tag_field, term, occurrences, records)."""
     schema = pa.schema(
         [("tag_field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())]
     )
@@ -68,16 +66,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = batch.num_rows
         if not size:
             continue
-        field, term, key, n = batch.columns
+        field, term, key = batch.columns
         if size == 1:
             begin, new_key = np.array([0]), np.array([True])
         else:
-            same = pc.and_(pc.equal(field[1:], field[:-1]), pc.equal(term[1:], term[:-1]))
-            same = same.to_numpy(zero_copy_only=False)
+            same = _same(field[1:], field[:-1]) & _same(term[1:], term[:-1])
             begin = np.concatenate(([0], np.flatnonzero(~same) + 1))
-            other = ~pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
-            new_key = np.concatenate(([True], other | ~same))
-        occurrences = np.add.reduceat(n.to_numpy(zero_copy_only=False).astype("int64"), begin)
+            new_key = np.concatenate(([True], ~_same(key[1:], key[:-1]) | ~same))
+        occurrences = np.diff(np.append(begin, size))
         records = np.add.reduceat(new_key.astype("int64"), begin)
         at = pa.array(begin)
         fields, terms = field.take(at).to_pylist(), term.take(at).to_pylist()
@@ -97,12 +93,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([(open_run[0], open_run[1], open_run[3], open_run[4])])
 
 
-def term_frequencies(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(tag_field, term, occurrences, records) of every term of the fields."""
-    pairs = term_records(rows, key, fields)
-    order = ["tag_field", "term", key]
+def counted_terms(lists: DataFrame) -> DataFrame:
+    """(tag_field, term, occurrences, records) of the terms of ``term_lists``."""
+    order = ["tag_field", "term", "key"]
     runs = (
-        pairs.repartitionByRange(*order)
+        lists.select("tag_field", F.explode("terms").alias("term"), "key")
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .mapInArrow(_scan, "tag_field string, term string, occurrences long, records long")
     )
@@ -111,6 +107,11 @@ def term_frequencies(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     )
 
 
+def term_frequencies(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(tag_field, term, occurrences, records) of every term of the fields."""
+    return counted_terms(written(term_lists(rows, key, fields), "terms"))
+
+
 def marked_frequencies(
     rows: DataFrame,
     key: str,
@@ -122,14 +123,12 @@ def marked_frequencies(
 
     Where a term is both (a tiny collection), ``rare`` is given.
     """
-    totals = rows.agg(*[F.count(f).alias(f) for f in fields])
-    totals = totals.select(
-        F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).alias("_total")) for f in fields])).alias("_x")
-    ).select("_x.*")
+    lists = written(term_lists(rows, key, fields), "terms")
+    totals = lists.groupBy(F.col("tag_field").alias("_f")).agg(F.count(F.lit(1)).alias("_total"))
     mark = F.when(F.col("records") <= rare_records, "rare").when(
         F.col("records") > F.lit(common_share) * F.col("_total"), "common"
     )
-    freq = term_frequencies(rows, key, fields)
+    freq = counted_terms(lists)
     # one row per field: the joined side has len(fields) rows whatever the input
     joined = freq.join(F.broadcast(totals), F.col("tag_field") == F.col("_f"))
     return joined.select("tag_field", "term", "occurrences", "records", mark.alias("mark"))

@@ -23,7 +23,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,15 +42,15 @@ def default_path() -> str:
 
 
 class ByteBPE:
-    def __init__(self, path: str) -> None:
+    def __init__(self, lines: bytes) -> None:
+        """lines: a vocabulary file, a token in base 64 and its rank on each line."""
         import regex
 
         self.ranks: dict[bytes, int] = {}
-        with open(path, "rb") as f:
-            for line in f:
-                token, _, rank = line.rstrip().partition(b" ")
-                if token:
-                    self.ranks[base64.b64decode(token)] = int(rank)
+        for line in lines.splitlines():
+            token, _, rank = line.rstrip().partition(b" ")
+            if token:
+                self.ranks[base64.b64decode(token)] = int(rank)
         self.find = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
 
@@ -132,15 +133,29 @@ class ByteBPE:
         return [self.ranks[data[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def vocabulary(spark: SparkSession, path: str | None = None) -> Broadcast:
+    """The vocabulary file as the executors get it: read once, by the driver or from a shared file system, and sent.
+
+    A file of fixed size (about 1 MB for 50,000 tokens), whatever the corpus.
+    """
+    path = path or default_path()
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            lines = f.read()
+    else:
+        lines = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+    return spark.sparkContext.broadcast(lines)
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ByteBPE:
+def encoder(lines: bytes) -> ByteBPE:
     """One encoder per vocabulary and worker process."""
-    return ByteBPE(path)
+    return ByteBPE(lines)
 
 
-def _encode(path: str):
+def _encode(words: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(words.value)
         for batch in batches:
             # a few long texts at a time: the ids of a batch are held as one array
             for part in _bounded(batch):
@@ -155,9 +170,9 @@ def _encode(path: str):
     return run
 
 
-def _count(path: str):
+def _count(words: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(words.value)
         for batch in batches:
             n = pa.array([bpe.count(t.as_py()) for t in batch.column("text")], pa.int64())
             rest = batch.drop_columns(["text"])
@@ -190,10 +205,10 @@ def _select(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids) of every document."""
     chosen, schema = _select(docs, [key], text)
-    return chosen.mapInArrow(_encode(path or default_path()), f"{schema}, ids array<int>")
+    return chosen.mapInArrow(_encode(vocabulary(docs.sparkSession, path)), f"{schema}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """The kept columns and ``n_tokens`` of every document; ids are counted, not kept."""
     chosen, schema = _select(docs, keep, text)
-    return chosen.mapInArrow(_count(path or default_path()), f"{schema}, n_tokens long")
+    return chosen.mapInArrow(_count(vocabulary(docs.sparkSession, path)), f"{schema}, n_tokens long")

@@ -43,6 +43,14 @@ def test_marks_and_repeated_rows(spark):
     assert term_frequency.frequency_spectrum(df, "row_id", ["surface"]).count() == 2
 
 
+def test_terms_of_rows_without_id_and_of_long_values(spark):
+    long = " ".join(f"t{k}" for k in range(30_000)) + " t0"
+    rows = [(None, "a"), (None, "a b"), (1, "a"), (2, long)]
+    df = spark.createDataFrame(rows, "row_id long, surface string")
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in term_frequency.term_frequencies(df, "row_id", ["surface"]).collect()}
+    assert got["a"] == (3, 2) and got["b"] == (1, 1) and got["t0"] == (2, 1) and len(got) == 30_002
+
+
 # --- canonical values ---
 
 REFERENCE = [
@@ -81,12 +89,15 @@ def test_mapping(spark, slice_rows):
     }
     none = [None, "", " \xa0", "asphalt", "gravel;sett"]
     rows = [(i, v, None, "c") for i, v in enumerate([*cases, *none])] + [(0, "ASPHALT", None, "c"), (900, None, "Living-Street", "c")]
-    df = spark.createDataFrame(rows, "row_id long, surface string, highway string, canonical string").dropDuplicates(["row_id"])
+    rows += [(None, "schoter", None, "c"), (901, "frisch asphalt", None, "c")]
+    df = spark.createDataFrame(rows, "row_id long, surface string, highway string, canonical string")
     ref = spark.createDataFrame(REFERENCE, "tag_field string, canonical string, label_de string")
-    got = {r["row_id"]: r["canonical"] for r in canonical.map_to_canonical(df, "row_id", ["surface", "highway"], ref, slice_rows).collect()}
-    assert got == {**dict(enumerate(cases.values())), 900: "living_street"}
+    how = {"slice_rows": slice_rows, "remarks": [*canonical.REMARKS, "frisch"], "block_values": 7}
+    got = [(r["row_id"], r["canonical"]) for r in canonical.map_to_canonical(df, "row_id", ["surface", "highway"], ref, **how).collect()]
+    want = [*enumerate(cases.values()), (0, "asphalt"), (900, "living_street"), (901, "asphalt"), (None, "gravel")]
+    assert Counter(got) == Counter(want)
     empty = canonical.map_to_canonical(df.where("row_id = 0"), "row_id", ["surface"], ref.limit(0))
-    assert [r["canonical"] for r in empty.collect()] == ["unmatched"]
+    assert [r["canonical"] for r in empty.collect()] == ["unmatched"] * 2
 
 
 # --- tokenizer ---
@@ -94,7 +105,8 @@ def test_mapping(spark, slice_rows):
 
 @pytest.fixture(scope="module")
 def bpe():
-    return tokenizer.ByteBPE(tokenizer.default_path())
+    with open(tokenizer.default_path(), "rb") as f:
+        return tokenizer.ByteBPE(f.read())
 
 
 def test_same_as_the_library(bpe):
@@ -148,25 +160,55 @@ def mixture(spark):
 def test_shares_and_repeats(mixture):
     _, _, m = mixture
     report = {r["source"]: r for r in m.report().collect()}
-    for name in ("big", "small"):
-        assert abs(report[name]["reached_tokens"] - report[name]["target_tokens"]) <= 2 * 128
-        assert report[name]["shortfall_tokens"] <= 256
-    tiny = report["tiny"]
-    assert tiny["reached_tokens"] == min(2 * tiny["source_tokens"], tiny["reached_tokens"]) and tiny["most_uses"] <= 2
+    for name, share in (("big", 0.5), ("small", 0.4), ("tiny", 0.1)):
+        r = report[name]
+        assert r["target_tokens"] == round(60_000 * share)
+        # short only where all repeats together hold too little
+        assert r["reached_tokens"] == min(r["target_tokens"], r["max_repeats"] * r["source_tokens"])
+        assert r["shortfall_tokens"] == r["target_tokens"] - r["reached_tokens"]
+    assert report["big"]["shortfall_tokens"] == report["small"]["shortfall_tokens"] == 0
     assert report["absent"]["reached_tokens"] == 0 and report["odd"]["reached_tokens"] == 0 and "none" not in report
     pieces = m.blocks().collect()
+    lengths = {(r["doc_id"]): r["n_tokens"] for r in m.sized.collect()}
     for name, most in (("big", 1), ("small", 9), ("tiny", 2)):
-        used = Counter()
-        for p in (p for p in pieces if p["source"] == name):
+        own, used = [p for p in pieces if p["source"] == name], Counter()
+        for p in own:
+            assert 0 <= p["token_from"] < p["token_to"] <= lengths[p["doc_id"]]
             for t in range(p["token_from"], p["token_to"]):
                 used[p["doc_id"], t] += 1
-        assert max(used.values()) <= most
-    slots = Counter((p["source"], p["slot"], p["shard"]) for p in pieces)
-    assert len({(s, k) for s, k, _ in slots}) == len(slots)
+        assert max(used.values()) <= most and sum(used.values()) == report[name]["reached_tokens"]
+        # all blocks are full but the source's last
+        sizes = Counter()
+        for p in own:
+            sizes[p["slot"]] += p["token_to"] - p["token_from"]
+        assert sorted(sizes.values())[1:] == [128] * (len(sizes) - 1)
+    slots = {(p["source"], p["slot"], p["shard"]) for p in pieces}
+    assert len({(s, k) for s, k, _ in slots}) == len(slots) and {x for *_, x in slots} == set(range(7))
     rows = m.selection().groupBy("doc_id", "use_no").count().where("count > 1")
     assert rows.isEmpty()
 
 
+def test_streams_shorter_than_a_block(spark):
+    docs = spark.createDataFrame([(1, "ein wort", "s"), (2, "und noch eins", "s")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("s", 1.0, 50)], "source string, target_share double, max_repeats int")
+    m = mixing.Mixture(docs, targets, block_tokens=64, shards=2, total_tokens=150)
+    r = m.report().collect()[0]
+    assert r["reached_tokens"] == 150 and r["most_uses"] == -(-150 // r["source_tokens"])
+    short = mixing.Mixture(docs, targets.withColumn("max_repeats", F.lit(2)), block_tokens=64, shards=2, total_tokens=150).report().collect()[0]
+    assert short["reached_tokens"] == 2 * r["source_tokens"] and short["shortfall_tokens"] == 150 - short["reached_tokens"] > 0
+
+
+def test_more_slots_than_a_billion(spark):
+    targets = spark.createDataFrame([("s", 1.0, 2_000_000_000)], "source string, target_share double, max_repeats int")
+    docs = spark.createDataFrame([(1, "ein wort und noch eins", "s")], "doc_id long, text string, source string")
+    m = mixing.Mixture(docs, targets, block_tokens=1, shards=4, total_tokens=5_000_000_000)
+    made = mixing._slots(m.seed, [0], [m.plan[0][5]], ["s"], 4)
+    import pyarrow as pa
+
+    got = list(made([pa.record_batch([pa.array([0, 4_999_999_999])], names=["id"])]))[0].to_pydict()
+    assert got["shard"] == [0, 3] and all(0 <= b < 5_000_000_000 for b in got["block"])
+
+
 def test_same_seed_same_mix(mixture):
     df, targets, m = mixture
     again = mixing.Mixture(df, targets, block_tokens=128, shards=7, total_tokens=60_000)
@@ -219,6 +261,18 @@ def test_truncated(posts):
     assert not got & {5000, 5001, 5002, 5003, 5005} and 5004 in got
 
 
+def test_endings_are_judged_by_their_counts(spark):
+    """Texts that end in a mark, an opened bracket, a tag, a reference or a very long word."""
+    long = "donau" + "dampf" * 30 + "schiff"
+    whole = f"Heute war die Tour (klappt bei mir) schön, aber kurz &amp; nass.<br />\nDas {long} fuhr spät ab."
+    ends = ["Heute war die Tour (klappt", "Heute war die Tour (", "Heute war die Tour (klappt bei mir) schön,", "schön, aber kurz &am"]
+    ends += [f"{whole} Heute war die Tour (klappt bei mir) schön, aber kurz &amp; nass.<b", f"{whole}\nDas {long[:100]}", f"{whole}\nDas {long} fuhr sp\ufffd"]
+    rows = [(i, whole, "a") for i in range(40)] + [(100 + i, e, "a") for i, e in enumerate(ends)] + [(200, whole + " :)", "a"), (201, whole[:-1], "a")]
+    got = {r["doc_id"]: r["why"] for r in truncation.truncated_texts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert set(got) == {100 + i for i in range(len(ends))}, got
+    assert set(got.values()) <= {"trigram", "longer trigram", "class", "word", "unknown word", "mark", "place", "two words"}
+
+
 def test_limit_of_a_field(spark):
     r = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta", "eins", "zwei", "drei"]
