@@ -125,7 +125,7 @@ SELECT id, source, chars, bytes,
   IF(size(pieces) = 0, {looked_body}, concat(
     flatten(transform(filter(pieces, p -> right(p, 1) = ')'), p -> concat({inner}, array('$', '$')))),
     {looked_main},
-    flatten(transform(filter(slice(pieces, -1, 1), p -> right(p, 1) <> ')'), p -> concat(array('$', '$'), {inner})))
+    flatten(transform(filter(slice(pieces, -1, 1), p -> right(p, 1) <> ')' AND p RLIKE r'[\p{L}\p{N}_]'), p -> concat(array('$', '$'), {inner})))
   )) AS tokens
 FROM (SELECT *, IF(contains(body, '('), regexp_extract_all(body, r'{bracket}', 0), array()) AS pieces FROM shaped)
 """

@@ -267,7 +267,7 @@ def test_endings_are_judged_by_their_counts(spark):
     whole = f"Heute war die Tour (klappt bei mir) schön, aber kurz &amp; nass.<br />\nDas {long} fuhr spät ab."
     ends = ["Heute war die Tour (klappt", "Heute war die Tour (", "Heute war die Tour (klappt bei mir) schön,", "schön, aber kurz &am"]
     ends += [f"{whole} Heute war die Tour (klappt bei mir) schön, aber kurz &amp; nass.<b", f"{whole}\nDas {long[:100]}", f"{whole}\nDas {long} fuhr sp\ufffd"]
-    rows = [(i, whole, "a") for i in range(40)] + [(100 + i, e, "a") for i, e in enumerate(ends)] + [(200, whole + " :)", "a"), (201, whole[:-1], "a")]
+    rows = [(i, whole, "a") for i in range(40)] + [(100 + i, e, "a") for i, e in enumerate(ends)] + [(200, whole + " :)", "a"), (201, f"{whole} {whole[:-1]}", "a")]
     got = {r["doc_id"]: r["why"] for r in truncation.truncated_texts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert set(got) == {100 + i for i in range(len(ends))}, got
     assert set(got.values()) <= {"trigram", "longer trigram", "class", "word", "unknown word", "mark", "place", "two words"}
