@@ -11,19 +11,48 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests, local runs)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a temporary folder of this machine serves a local session
+    (tests); on a cluster, whose executors could not see it, that is an error.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="railspoke-")
     return _OWN[app]
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application's written tables lie."""
+    return f"{shared_folder(spark)}/railspoke/{spark.sparkContext.applicationId}"
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table written once; lost executors cost no recomputation."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/railspoke/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def forget(rows: DataFrame) -> None:
+    """Deletes the files of a table made by ``written``, once nothing reads it any more (rounds of an iteration)."""
+    for path in {f.rpartition("/")[0] for f in rows.inputFiles()}:
+        if "/railspoke/" in path:
+            _delete(rows.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables this application has written, when their results have been read."""
+    _delete(spark, application_folder(spark))

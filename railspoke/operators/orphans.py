@@ -2,9 +2,10 @@
 
 Parents have a history: deliveries and deletions, each with a time. The history
 is reduced to its changes of state, which are the starts of the parent's
-validity intervals. References and histories are then partitioned by key and
-sorted by (key, time), and one linear pass over the merged stream carries the
-last state seen to each reference.
+validity intervals, and to one row per delivered parent that comes first and
+tells when it was first delivered. References and histories are partitioned by
+key and sorted by (key, time), and one linear pass over the merged stream
+carries what the last rows told to each reference; no row is held back.
 
 Kinds: ``missing`` (no delivery of the key at all), ``late`` (deliveries only
 after the reference, and no deletion up to it), ``deleted`` (the last event up
@@ -18,8 +19,10 @@ nothing. An empty parent table makes every reference ``missing``.
 
 Skew: a key with more than ``heavy_rows`` references is cut into blocks by
 hash, each of which gets a copy of the key's (reduced) history, so a hot parent
-fills many partitions. Deliveries of a hot parent are reduced by partial
-aggregation before they are shuffled.
+fills many partitions. Heavy keys are found in a sample of the references, kept
+in a table and joined, however many there are; a block is a matter of speed
+only, results do not depend on it. Deliveries of a hot parent are reduced by
+partial aggregation before they are shuffled.
 """
 
 from __future__ import annotations
@@ -27,26 +30,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from railspoke.operators.lineage import written
+
 HEAVY_ROWS = 500_000
-#: No more keys than this can be heavy, whatever the input: the bound grows with it.
-MOST_HEAVY = 10_000
+#: References of the sample in which heavy keys are looked for.
+SAMPLE_ROWS = 2_000_000
 
 
 def parent_changes(parents: DataFrame, deletions: DataFrame, key: str, delivered: str, deleted: str) -> DataFrame:
-    """(key, at, alive, born): the changes of state of every key; ``born`` marks keys that were ever delivered."""
+    """(key, at, turn, alive, since, always) of every key.
+
+    One row with turn 0 for each key that was ever delivered: ``since`` is its
+    first delivery, ``always`` marks one without a time. For keys that were
+    deleted, also their changes of state: turn 1 deliveries, turn 2 deletions.
+    """
     gone = deletions.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(deleted).alias("at")).distinct()
     come = parents.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(delivered).alias("at"))
-    touched = gone.select("key").distinct()
-    # keys that were never deleted need their first delivery only
-    first = (
-        come.join(touched, "key", "left_anti")
-        .groupBy("key")
-        .agg(F.min("at").alias("_min"), F.count_if(F.col("at").isNull()).alias("_null"))
-        .select("key", F.when(F.col("_null") == 0, F.col("_min")).alias("at"), F.lit(True).alias("alive"))
-    )
-    # for the others, deliveries and deletions in turn, without repeats
+    nothing = F.lit(None)
+    born = come.groupBy("key").agg(F.min("at").alias("since"), F.max(F.col("at").isNull()).alias("always"))
+    kind = dict(come.dtypes)["at"]
+    born = born.select("key", nothing.cast(kind).alias("at"), F.lit(0).alias("turn"), nothing.cast("boolean").alias("alive"), "since", "always")
+    # for keys that were deleted, deliveries and deletions in turn, without repeats
     turns = (
-        come.join(touched, "key", "left_semi")
+        come.join(gone.select("key").distinct(), "key", "left_semi")
         .distinct()
         .withColumn("alive", F.lit(True))
         .unionByName(gone.withColumn("alive", F.lit(False)))
@@ -55,9 +61,22 @@ def parent_changes(parents: DataFrame, deletions: DataFrame, key: str, delivered
     changes = (
         turns.withColumn("_before", F.lag("alive").over(in_time))
         .where(F.col("_before").isNull() | (F.col("_before") != F.col("alive")))
-        .drop("_before")
+        .select("key", "at", F.when(F.col("alive"), 1).otherwise(2).alias("turn"), "alive")
     )
-    return first.unionByName(changes)
+    return born.unionByName(changes, allowMissingColumns=True)
+
+
+def heavy_keys(refs: DataFrame, heavy_rows: int, sample_rows: int = SAMPLE_ROWS) -> DataFrame | None:
+    """(key, cut) of the keys that a sample shows to have more than about ``heavy_rows`` references; None without any."""
+    n = refs.count()
+    if n <= heavy_rows:
+        return None
+    share = min(1.0, sample_rows / n)
+    drawn = refs.select("key").where("key is not null").sample(False, share, 11) if share < 1.0 else refs.select("key")
+    seen = F.count(F.lit(1)) / share
+    cut = drawn.groupBy("key").agg(F.ceil(seen / heavy_rows).cast("long").alias("cut")).where("cut > 1 and key is not null")
+    cut = written(cut, "heavy")
+    return None if cut.isEmpty() else cut
 
 
 def _references(rows: DataFrame, id_key: str, sides: list[str], at: str) -> DataFrame:
@@ -82,46 +101,32 @@ def judged_references(
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """(id, side, at, kind) of every reference; ``kind`` is null where the parent exists."""
-    spark = rows.sparkSession
     refs = _references(rows, id_key, sides, at)
     changes = parent_changes(parents, deletions, key, delivered, deleted)
-    per_key = refs.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
-    heavy = per_key.orderBy(F.desc("_n"), "key").limit(MOST_HEAVY).collect()
-    if heavy:
-        # at most MOST_HEAVY rows; lighter keys beyond it stay whole and are left to the sorter's spilling
-        cut = F.broadcast(
-            spark.createDataFrame(
-                [(r["key"], -(-r["_n"] // heavy_rows)) for r in heavy], f"key {dict(refs.dtypes)['key']}, _cut long"
-            )
-        )
-        n = F.coalesce("_cut", F.lit(1))
-        refs = refs.join(cut, "key", "left").withColumn("block", F.pmod(F.xxhash64("id", "side"), n)).drop("_cut")
+    cut = heavy_keys(refs, heavy_rows)
+    if cut is not None:
+        n = F.coalesce("cut", F.lit(1))
+        refs = refs.join(cut, "key", "left").withColumn("block", F.pmod(F.xxhash64("id", "side"), n)).drop("cut")
         changes = (
             changes.join(cut, "key", "left")
             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-            .drop("_cut")
+            .drop("cut")
         )
     else:
         zero = F.lit(0).cast("long")
         refs, changes = refs.withColumn("block", zero), changes.withColumn("block", zero)
-    stream = changes.withColumn("turn", F.when(F.col("alive"), 0).otherwise(1)).unionByName(
-        refs.withColumn("turn", F.lit(2)), allowMissingColumns=True
-    )
-    parts = Window.partitionBy("key", "block")
-    merged = parts.orderBy(F.col("at").asc_nulls_first(), "turn")
-    seen = (
-        stream.withColumn("_last", F.last("alive", True).over(merged.rowsBetween(Window.unboundedPreceding, 0)))
-        # after the last row of the key in time: was it ever delivered
-        .withColumn(
-            "_born",
-            F.max("alive").over(merged.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        )
-        .where(F.col("turn") == 2)
-    )
+    stream = changes.unionByName(refs.withColumn("turn", F.lit(3)), allowMissingColumns=True)
+    # what stands first has neither a time; deliveries without a time still come before references without one
+    merged = Window.partitionBy("key", "block").orderBy(F.when(F.col("turn") == 0, 0).otherwise(1), F.col("at").asc_nulls_first(), "turn")
+    so_far = merged.rowsBetween(Window.unboundedPreceding, 0)
+    seen = stream.select(
+        "id", "side", "at", "turn", *[F.last(c, True).over(so_far).alias(c) for c in ("alive", "since", "always")]
+    ).where("turn = 3")
+    late = ~F.col("always") & (F.col("at").isNull() | (F.col("at") < F.col("since")))
     kind = (
-        F.when(~F.coalesce("_born", F.lit(False)), "missing")
-        .when(F.col("_last").isNull(), "late")
-        .when(~F.col("_last"), "deleted")
+        F.when(F.col("always").isNull(), "missing")
+        .when(F.col("alive").isNull() & late, "late")
+        .when(~F.col("alive"), "deleted")
     )
     return seen.select("id", "side", "at", kind.alias("kind"))
 

@@ -21,8 +21,9 @@ underscores, hyphens, spaces and round brackets never separate.
 
 Defined results: null, empty and blank values have no element; empty elements
 do not count and take no position; a doubled or escaped quote inside quotes
-stands for one quote; text of any length is read in linear time (the end of a
-quote is searched once per opening mark, and each failing mark is remembered).
+stands for one quote; lists nest to any depth (open lists lie on a stack, not in
+calls), and each mark that failed is remembered. Reading takes time linear in the
+text, times the depth of lists that are closed but followed by other text.
 """
 
 from __future__ import annotations
@@ -56,48 +57,78 @@ _QUOTED = {
 _BLANK = re.compile(r"[^\S\n\r]*")
 
 NO_ERROR, BAD_QUOTE, BAD_BRACKET = "", "unbalanced_quote", "unbalanced_bracket"
-MAX_NESTING = 50
 
 
 class Grammar:
-    """One parse of one value; every rule gives the next position, or -1 where it fails."""
+    """One parse of one value. Lists that are open lie on a stack: where they begin, their closing mark, elements before them."""
 
     def __init__(self, text: str) -> None:
         self.text = text
         self.end = len(text)
         self.out: list[tuple[str, str]] = []
-        self.dead: set[str] = set()
+        self.open: list[tuple[int, str, int]] = []
         self.failed: set[tuple[int, str]] = set()
+        #: Where a list or a quote can be closed at last.
+        self.last = {mark: text.rfind(mark) for mark in (*CLOSING.values(), *QUOTES)}
 
     def parse(self) -> list[tuple[str, str]]:
-        pos = self.items(0, "", 0)
-        assert pos == self.end
-        return self.out
-
-    def items(self, pos: int, closing: str, depth: int) -> int:
+        pos = 0
         while True:
-            pos = self.item(pos, closing, depth)
-            if pos < self.end and self.text[pos] in SEPARATORS:
+            pos = self.item(pos)
+            # after an element: the next one, the end of its list, or of the value
+            while pos < self.end and self.open and self.text[pos] == self.open[-1][1]:
+                after = self.boundary(pos + 1, self.open[-2][1] if len(self.open) > 1 else "")
+                if after < 0:
+                    pos = self.give_up(len(self.open) - 1)
+                else:
+                    self.open.pop()
+                    pos = after
+            if pos < self.end:
+                # nothing else can stand here than a separator
                 pos += 1
-                continue
-            return pos
-
-    def item(self, pos: int, closing: str, depth: int) -> int:
-        pos = _BLANK.match(self.text, pos).end()
-        if pos == self.end:
-            return pos
-        first, flag = self.text[pos], NO_ERROR
-        if first in QUOTES:
-            after = self.quoted(pos, first, closing)
-            if after >= 0:
-                return after
-            flag = BAD_QUOTE
-        elif first in CLOSING:
-            after = self.bracketed(pos, CLOSING[first], closing, depth)
-            if after >= 0:
-                return after
-            flag = BAD_BRACKET
-        return self.bare(pos, closing, flag)
+            elif self.open:
+                k = len(self.open) - 1
+                # nor can a list be closed whose mark does not come any more after what is given up
+                while k and self.last[self.open[k - 1][1]] < self.open[k][0]:
+                    k -= 1
+                pos = self.give_up(k)
+                if pos < self.end and self.text[pos] in SEPARATORS:
+                    pos += 1
+                elif pos < self.end:
+                    continue
+            else:
+                return self.out
+
+    def closing(self) -> str:
+        return self.open[-1][1] if self.open else ""
+
+    def item(self, pos: int) -> int:
+        """The position after the next element; lists that it opens are entered."""
+        while True:
+            pos = _BLANK.match(self.text, pos).end()
+            if pos == self.end:
+                return pos
+            first, flag = self.text[pos], NO_ERROR
+            if first in QUOTES:
+                after = self.quoted(pos, first)
+                if after >= 0:
+                    return after
+                flag = BAD_QUOTE
+            elif first in CLOSING:
+                own = CLOSING[first]
+                if self.last[own] > pos and (pos, self.closing()) not in self.failed:
+                    self.open.append((pos, own, len(self.out)))
+                    pos += 1
+                    continue
+                flag = BAD_BRACKET
+            return self.bare(pos, flag)
+
+    def give_up(self, k: int) -> int:
+        """Backtracks to the k-th open list, which is no list, and reads its opening mark as bare text."""
+        begin, _, mark = self.open[k]
+        del self.open[k:], self.out[mark:]
+        self.failed.add((begin, self.closing()))
+        return self.bare(begin, BAD_BRACKET)
 
     def boundary(self, pos: int, closing: str) -> int:
         pos = _BLANK.match(self.text, pos).end()
@@ -105,38 +136,18 @@ class Grammar:
             return -1 if closing else pos
         return pos if self.text[pos] in SEPARATORS or self.text[pos] == closing else -1
 
-    def quoted(self, pos: int, quote: str, closing: str) -> int:
-        if quote in self.dead:
-            return -1
-        m = _QUOTED[quote].match(self.text, pos)
+    def quoted(self, pos: int, quote: str) -> int:
+        m = _QUOTED[quote].match(self.text, pos) if self.last[quote] > pos else None
         if not m:
-            if self.text.find(quote, pos + 1) < 0:
-                self.dead.add(quote)
             return -1
-        after = self.boundary(m.end(), closing)
+        after = self.boundary(m.end(), self.closing())
         if after < 0:
             return -1
-        body = m.group(1).replace(quote * 2, quote).replace("\\" + quote, quote)
-        self.add(body, NO_ERROR)
+        self.add(m.group(1).replace(quote * 2, quote).replace("\\" + quote, quote), NO_ERROR)
         return after
 
-    def bracketed(self, pos: int, own: str, closing: str, depth: int) -> int:
-        if own in self.dead or depth >= MAX_NESTING or (pos, closing) in self.failed:
-            return -1
-        mark = len(self.out)
-        inner = self.items(pos + 1, own, depth + 1)
-        if inner < self.end and self.text[inner] == own:
-            after = self.boundary(inner + 1, closing)
-            if after >= 0:
-                return after
-        else:
-            self.dead.add(own)
-        del self.out[mark:]
-        self.failed.add((pos, closing))
-        return -1
-
-    def bare(self, pos: int, closing: str, flag: str) -> int:
-        m = _BARE[closing].match(self.text, pos)
+    def bare(self, pos: int, flag: str) -> int:
+        m = _BARE[self.closing()].match(self.text, pos)
         if not m:
             return pos
         self.add(m.group(), flag)
