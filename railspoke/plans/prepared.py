@@ -7,14 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railspoke.operators.impute import (
-    EDGE_TREE_FIELDS,
-    NODE_TREE_FIELDS,
-    chow_liu_tree,
-    edge_fields,
-    fill_edges_and_nodes,
-    node_fields,
-)
+from railspoke.operators.impute import EDGE_TREE_FIELDS, NODE_TREE_FIELDS, fill_edges_and_nodes, posterior_fills, trees
 from railspoke.operators.orphans import orphan_references, orphan_report
 from railspoke.operators.packed import split_packed
 from railspoke.operators.spatial import boxes_around, points_within
@@ -43,14 +36,15 @@ def node_regions(s: SparkSession, d: str) -> DataFrame:
     return boxes_around(nodes, table(s, d, "build_regions")).withColumnRenamed("region_key", "region_around")
 
 
+def _filling(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: f(table(s, d, "edges"), table(s, d, "nodes"), table(s, d, "tag_reference"))
+
+
 def _tree(s: SparkSession, d: str) -> DataFrame:
-    rows = []
-    edges = edge_fields(table(s, d, "edges"), table(s, d, "tag_reference"))
-    for a, b, i in chow_liu_tree(edges, EDGE_TREE_FIELDS, ("way_id", "surface")):
-        rows.append(("edges", a, b, round(i, 6)))
-    for a, b, i in chow_liu_tree(node_fields(table(s, d, "nodes")), NODE_TREE_FIELDS, ("place_key", "elevation_bin")):
-        rows.append(("nodes", a, b, round(i, 6)))
-    return s.createDataFrame(rows, "table_name string, field_a string, field_b string, information double")
+    rows = [(*r[:3], round(r[3], 6) + 0.0, round(r[4], 6) + 0.0, r[5]) for r in _filling(trees)(s, d)]
+    return s.createDataFrame(
+        rows, "table_name string, field_a string, field_b string, information double, left_out double, in_tree boolean"
+    )
 
 
 def _references(s: SparkSession, d: str) -> dict:
@@ -71,10 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": near_nodes,
         "p3_regions": node_regions,
-        "p4_found": lambda s, d: fill_edges_and_nodes(
-            table(s, d, "edges"), table(s, d, "nodes"), table(s, d, "tag_reference")
-        ),
+        "p4_found": _filling(fill_edges_and_nodes),
         "p4_tree": _tree,
+        "p4_posterior": _filling(posterior_fills),
         "p5_found": lambda s, d: split_packed(table(s, d, "edges"), "row_id", TAGS, least=2).drop("error"),
         "p5_elements": lambda s, d: split_packed(table(s, d, "edges"), "row_id", TAGS),
         "p6_found": lambda s, d: orphan_references(**_references(s, d)),
@@ -130,6 +123,30 @@ SELECT 'nodes.elevation_m', osmid, coalesce(round_even(fill, 0)::BIGINT::VARCHAR
 FROM node LEFT JOIN place USING (place_key) WHERE h IS NULL
 """
 
+def _pairs(fields: list[str], rows: str) -> str:
+    """SQL of the information of each pair of fields, with and without each row itself, and of their best tree."""
+    pairs = [(i, a, j, b) for i, a in enumerate(fields) for j, b in enumerate(fields) if i < j]
+    each = " UNION ALL ".join(
+        f"SELECT {i} AS i, '{a}' AS fa, {j} AS j, '{b}' AS fb, {a}::VARCHAR AS a, {b}::VARCHAR AS b FROM r WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        for i, a, j, b in pairs
+    )
+    return f"""WITH RECURSIVE r AS ({rows}), c AS (SELECT i, fa, j, fb, a, b, count(*)::DOUBLE AS n FROM ({each}) GROUP BY ALL
+    ), m AS (
+      SELECT *, sum(n) OVER (PARTITION BY i, j, a) AS x, sum(n) OVER (PARTITION BY i, j, b) AS y, sum(n) OVER (PARTITION BY i, j) AS t FROM c
+    ), s AS (
+      SELECT i, fa, j, fb, sum(n * ln(n * t / x / y)) / any_value(t) AS info, least(
+        sum(n * ln((n - 1.0 + y / t) / x / (y / t))), sum(n * ln((n - 1.0 + x / t) / y / (x / t)))) / any_value(t) AS score FROM m GROUP BY ALL
+    ), pr AS MATERIALIZED (
+      SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, i, j) AS k FROM s
+    ), reach(k, node) AS (
+      SELECT k, i FROM pr
+      UNION
+      SELECT r.k, CASE WHEN p.i = r.node THEN p.j ELSE p.i END FROM reach r JOIN pr p ON p.k < r.k AND (p.i = r.node OR p.j = r.node)
+    )
+    SELECT fa AS field_a, fb AS field_b, round(info, 6) + 0.0 AS information, round(score, 6) + 0.0 AS left_out,
+      NOT EXISTS (SELECT 1 FROM reach x WHERE x.k = pr.k AND x.node = pr.j) AS in_tree FROM pr"""
+
+
 _PLACED = "osmid IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)"
 
 
@@ -150,6 +167,11 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN build_regions r ON n.lat BETWEEN r.south AND r.north AND n.lon BETWEEN r.west AND r.east
             """,
         "p4_found": _P4,
+        "p4_tree": f"""SELECT 'edges' AS table_name, * FROM ({_pairs(EDGE_TREE_FIELDS, """SELECT way_id, t.canonical AS surface, highway, region_key
+              FROM edges LEFT JOIN (SELECT DISTINCT canonical FROM tag_reference WHERE tag_field = 'surface') t ON surface = t.canonical WHERE mode = 'bike'""")})
+            UNION ALL SELECT 'nodes', * FROM ({_pairs(NODE_TREE_FIELDS, """SELECT max(place_key) AS place_key,
+              floor(max(CASE WHEN NOT isnan(elevation_m) AND elevation_m >= -500 THEN elevation_m END) / 50.0) AS elevation_bin,
+              max(region_key) AS region_key, max(lower(trim(node_type, ' '))) AS node_type FROM nodes WHERE osmid IS NOT NULL GROUP BY osmid""")})""",
         "p6_found": _JUDGED + "SELECT row_id, side, kind FROM judged WHERE kind IS NOT NULL",
         "p6_report": _JUDGED
         + """SELECT 'edges' AS table_name, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS month, side, count(*) AS refs,
