@@ -6,9 +6,11 @@
 2. Every object is a box: for a distance join, half the distance around the
    point; for containment, the box itself or the bare point. Objects go to all
    leaves that their box touches (boundary replication).
-3. Leaves that hold more than ``most_rows`` objects of a side are cut: the rows
-   of the side are dealt into blocks by hash, and blocks meet pairwise, so no
-   task holds more than two blocks, however many points share one place.
+3. Leaves that hold more than ``most_rows`` objects are split again, by their
+   counts, and their objects sent to the new leaves, until none is crowded. Only
+   where cells would become smaller than twice the boxes (objects at one place,
+   all of them near each other) a leaf is dealt into blocks by hash that meet
+   pairwise, so no task holds more than two blocks.
 4. In each leaf an R-tree is bulk-loaded (sort-tile-recursive) over the right
    side and probed with the boxes of the left side.
 5. Candidates are refined with the exact geometry, and a pair is given only by
@@ -19,7 +21,10 @@ Defined results: objects lacking a coordinate (null or NaN), or outside ±90
 degrees of latitude and ±180 of longitude, do not take part; distances are
 great-circle (haversine) with equality included; boxes include their rim; the
 180th meridian is crossed (objects near it appear on both sides). Rows that
-repeat the same id give each pair once. Empty sides give an empty result.
+repeat the same id and place give each pair once; an id stored with several
+places is near whatever one of them is near, and gives each pair once too, but
+for ``unique=False``, which leaves that to the caller. Empty sides give an empty
+result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from railspoke.operators.lineage import written
 EARTH_RADIUS_M = 6_371_000.0
 SAMPLE_ROWS = 100_000
 #: Sampled points above which a cell is split.
-CELL_SAMPLE = 24
+CELL_SAMPLE = 500
 MAX_DEPTH = 26
 #: Objects of one side that one task joins at most.
 MOST_ROWS = 40_000
@@ -67,12 +72,40 @@ class Quadtree:
                     self.bounds.append((mx if e else b0, b1 if e else mx, my if n else b2, b3 if n else my))
                     inner = (mx if e else x0, x1 if e else mx, my if n else y0, y1 if n else my)
                     stack.append((first + q, rows[(east == e) & (north == n)], inner, d + 1))
+        self.freeze()
+
+    def freeze(self) -> None:
         self.cx, self.cy = np.array(self.cx), np.array(self.cy)
         self.child, self.bounds = np.array(self.child), np.array(self.bounds)
 
-    def touched(self, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of every leaf that each box touches."""
-        rows, nodes = np.arange(len(x0)), np.zeros(len(x0), dtype="int64")
+    def split(self, leaves: dict[int, tuple[int, tuple[float, float, float, float]]]) -> Quadtree:
+        """The tree with each leaf split into 4 ** levels cells over its extent; leaf: (levels, extent)."""
+        out = Quadtree(np.empty(0), np.empty(0))
+        out.cx, out.cy, out.child, out.bounds = (list(v) for v in (self.cx, self.cy, self.child, self.bounds))
+        out.bounds = [tuple(b) for b in out.bounds]
+        stack = [(leaf, levels, extent) for leaf, (levels, extent) in leaves.items()]
+        while stack:
+            node, levels, (x0, x1, y0, y1) = stack.pop()
+            mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+            first = len(out.child)
+            out.cx[node], out.cy[node], out.child[node] = mx, my, first
+            b0, b1, b2, b3 = out.bounds[node]
+            for q in range(4):
+                e, n = bool(q & 1), bool(q & 2)
+                out.cx.append(0.0)
+                out.cy.append(0.0)
+                out.child.append(-1)
+                out.bounds.append((mx if e else b0, b1 if e else mx, my if n else b2, b3 if n else my))
+                if levels > 1:
+                    stack.append((first + q, levels - 1, (mx if e else x0, x1 if e else mx, my if n else y0, y1 if n else my)))
+        out.freeze()
+        return out
+
+    def touched(
+        self, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, start: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf that each box touches, below the node ``start`` of each box."""
+        rows, nodes = np.arange(len(x0)), np.zeros(len(x0), dtype="int64") if start is None else start.astype("int64")
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(rows):
             first = self.child[nodes]
@@ -150,44 +183,70 @@ def _boxes(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> tuple[np.ndarra
     return lon - dx, lon + dx, lat - dy, lat + dy
 
 
+_NAMES = ["leaf", "side", "id", "x0", "x1", "y0", "y1", "x", "y"]
 _ASSIGNED = "leaf long, side int, id {kind}, x0 double, x1 double, y0 double, y1 double, x double, y double"
 
 
-def _assign(tree: Quadtree):
-    """Leaves of each box; boxes over the 180th meridian also appear shifted by a turn."""
+def _sent(batch: pa.RecordBatch, at: np.ndarray, leaf: np.ndarray, box: list[np.ndarray], xy: list[np.ndarray]) -> pa.RecordBatch:
+    src = pa.array(at)
+    columns = [pa.array(leaf), batch.column("side").take(src), batch.column("id").take(src), *map(pa.array, box), *map(pa.array, xy)]
+    return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+
+def _assign(tree: Quadtree, radius_m: float | None):
+    """Leaves of each box; boxes over the 180th meridian also appear shifted by a turn.
+
+    With ``radius_m`` the objects are points (x, y), whose boxes are made here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("x0", "x1", "y0", "y1", "x", "y")}
+            x, y = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("x", "y"))
+            if radius_m is None:
+                bx0, bx1, by0, by1 = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("x0", "x1", "y0", "y1"))
+            else:
+                bx0, bx1, by0, by1 = _boxes(y, x, radius_m)
             at, shift = [np.arange(batch.num_rows)], [np.zeros(batch.num_rows)]
-            for over, turn in ((c["x1"] > 180.0, -360.0), (c["x0"] < -180.0, 360.0)):
+            for over, turn in ((bx1 > 180.0, -360.0), (bx0 < -180.0, 360.0)):
                 rows = np.flatnonzero(over)
                 at.append(rows)
                 shift.append(np.full(len(rows), turn))
             at, shift = np.concatenate(at), np.concatenate(shift)
-            x0, x1, y0, y1 = c["x0"][at] + shift, c["x1"][at] + shift, c["y0"][at], c["y1"][at]
+            x0, x1, y0, y1 = bx0[at] + shift, bx1[at] + shift, by0[at], by1[at]
             rows, leaf = tree.touched(x0, x1, y0, y1)
-            src = pa.array(at[rows])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(leaf),
-                    batch.column("side").take(src),
-                    batch.column("id").take(src),
-                    pa.array(x0[rows]),
-                    pa.array(x1[rows]),
-                    pa.array(y0[rows]),
-                    pa.array(y1[rows]),
-                    batch.column("x").take(src),
-                    batch.column("y").take(src),
-                ],
-                names=["leaf", "side", "id", "x0", "x1", "y0", "y1", "x", "y"],
-            )
+            at = at[rows]
+            yield _sent(batch, at, leaf, [x0[rows], x1[rows], y0[rows], y1[rows]], [x[at], y[at]])
+
+    return run
+
+
+def _resend(tree: Quadtree):
+    """Objects of leaves that were split, sent to the new leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in _NAMES if n not in ("side", "id")}
+            rows, leaf = tree.touched(c["x0"], c["x1"], c["y0"], c["y1"], c["leaf"])
+            yield _sent(batch, rows, leaf, [c[n][rows] for n in ("x0", "x1", "y0", "y1")], [c[n][rows] for n in ("x", "y")])
 
     return run
 
 
+def _firsts(code: np.ndarray, boxes: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """One row of each object and place: repeated deliveries need one copy."""
+    _, at, back, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    more = np.flatnonzero(n[back] > 1)
+    if not len(more):
+        return at
+    whole = np.column_stack([code[more], boxes[more], xy[more]])
+    _, kept = np.unique(whole, axis=0, return_index=True)
+    return np.concatenate([np.flatnonzero(n[back] == 1), more[kept]])
+
+
 def _join_leaf(tree: Quadtree, refine: Callable | None):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
@@ -195,9 +254,7 @@ def _join_leaf(tree: Quadtree, refine: Callable | None):
         ids = pa.concat_arrays(table.column("id").chunks)
         boxes = np.column_stack([table.column(n).to_numpy() for n in ("x0", "x1", "y0", "y1")])
         xy = np.column_stack([table.column("x").to_numpy(), table.column("y").to_numpy()])
-        # repeated deliveries of one object need one copy
-        code = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        _, first = np.unique(np.column_stack([side, code, boxes, xy]), axis=0, return_index=True)
+        first = _firsts(2 * ids.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype("int64") + side, boxes, xy)
         left, right = first[side[first] == 0], first[side[first] == 1]
         if not len(left) or not len(right):
             return
@@ -222,37 +279,67 @@ def _join_leaf(tree: Quadtree, refine: Callable | None):
     return run
 
 
+def _counts(assigned: DataFrame) -> DataFrame:
+    """Per leaf: objects of each side, the extent of their boxes' lower corners and the widths of the boxes."""
+    one = lambda side: F.count_if(F.col("side") == side).alias(f"n{side}")
+    return assigned.groupBy("leaf").agg(
+        one(0), one(1), *[f(c).alias(f"{f.__name__}_{c}") for c in ("x0", "y0") for f in (F.min, F.max)],
+        F.avg(F.col("x1") - F.col("x0")).alias("w"), F.avg(F.col("y1") - F.col("y0")).alias("h"),
+    )
+
+
 def box_join(
     objects: DataFrame,
     refine: Callable | None = None,
+    radius_m: float | None = None,
     sample_rows: int = SAMPLE_ROWS,
     most_rows: int = MOST_ROWS,
+    unique: bool = True,
 ) -> DataFrame:
-    """(left_id, right_id), each pair once, of objects (side 0 or 1, id, x0, x1, y0, y1, x, y) whose boxes touch.
+    """(left_id, right_id) of objects (side 0 or 1, id, x, y and, without ``radius_m``, x0, x1, y0, y1) whose boxes touch.
 
     ``refine`` gets the (x, y) of both ends of the candidates and keeps a subset.
     """
     kind = dict(objects.dtypes)["id"]
-    n = objects.count()
-    share = min(1.0, sample_rows / max(1, n))
-    drawn = objects.select("x0", "y0").sample(False, share, 7).limit(2 * sample_rows).toPandas()
-    tree = Quadtree(drawn["x0"].to_numpy("float64"), drawn["y0"].to_numpy("float64"))
-    assigned = written(objects.mapInArrow(_assign(tree), _ASSIGNED.format(kind=kind)), "leaves")
-    # one row per crowded leaf and side: fewer than assigned rows / most_rows
-    crowded = {
-        (r["leaf"], r["side"]): -(-r["n"] // most_rows)
-        for r in assigned.groupBy("leaf", "side").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows).collect()
-    }
-    blocks = F.lit(0).cast("int")
-    own, other = blocks.alias("own"), blocks.alias("other")
+    share = min(1.0, sample_rows / max(1, objects.count()))
+    drawn = objects.select("x", "y") if share == 1.0 else objects.select("x", "y").sample(False, share, 7).limit(2 * sample_rows)
+    drawn = drawn.toPandas()
+    tree = Quadtree(drawn["x"].to_numpy("float64"), drawn["y"].to_numpy("float64"))
+    schema = _ASSIGNED.format(kind=kind)
+    assigned = written(objects.mapInArrow(_assign(tree, radius_m), schema), "leaves")
+    parts, crowded = [], {}
+    while True:
+        # one row per crowded leaf: fewer than assigned rows / most_rows
+        full = _counts(assigned).where(F.col("n0") + F.col("n1") > most_rows).collect()
+        cut = {}
+        for r in full:
+            if not r["n0"] or not r["n1"]:
+                # nothing to meet
+                crowded[r["leaf"]] = (0, 0)
+                continue
+            wide, high = r["max_x0"] - r["min_x0"], r["max_y0"] - r["min_y0"]
+            levels = 1 + int(np.log((r["n0"] + r["n1"]) / most_rows) / np.log(4.0))
+            # cells no smaller than twice the boxes: else each box goes to all of them
+            room = max(wide / max(r["w"], 1e-12), high / max(r["h"], 1e-12)) / 2
+            levels = min(levels, int(np.log2(room)) if room >= 1 else 0)
+            if levels > 0 and (wide > 0 or high > 0):
+                cut[r["leaf"]] = (levels, (r["min_x0"], r["max_x0"] + r["w"], r["min_y0"], r["max_y0"] + r["h"]))
+            else:
+                crowded[r["leaf"]] = (-(-r["n0"] // most_rows), -(-r["n1"] // most_rows))
+        if not cut:
+            break
+        spark = objects.sparkSession
+        split = spark.createDataFrame([(leaf,) for leaf in cut], "leaf long")
+        parts.append(assigned.join(split, "leaf", "left_anti"))
+        tree = tree.split(cut)
+        assigned = written(assigned.join(split, "leaf", "left_semi").select(*_NAMES).mapInArrow(_resend(tree), schema), "leaves")
+    for p in parts:
+        assigned = assigned.unionByName(p)
+    zero = F.lit(0).cast("int")
     if crowded:
         spark = objects.sparkSession
-        leaves = sorted({leaf for leaf, _ in crowded})
-        cut = spark.createDataFrame(
-            [(leaf, crowded.get((leaf, 0), 1), crowded.get((leaf, 1), 1)) for leaf in leaves],
-            "leaf long, n0 int, n1 int",
-        )
-        rows = assigned.join(cut, "leaf", "left")
+        blocks = spark.createDataFrame([(leaf, *n) for leaf, n in crowded.items()], "leaf long, n0 int, n1 int")
+        rows = assigned.join(blocks, "leaf", "left").where("n0 is null or n0 > 0")
         mine = F.coalesce(F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.lit(1))
         theirs = F.coalesce(F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")), F.lit(1))
         rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), mine).cast("int")).withColumn(
@@ -261,12 +348,11 @@ def box_join(
         b0 = F.when(F.col("side") == 0, F.col("_own")).otherwise(F.col("_other")).alias("b0")
         b1 = F.when(F.col("side") == 0, F.col("_other")).otherwise(F.col("_own")).alias("b1")
     else:
-        rows, b0, b1 = assigned, own.alias("b0"), other.alias("b1")
-    names = ["leaf", "side", "id", "x0", "x1", "y0", "y1", "x", "y"]
-    groups = rows.select(*names, b0, b1).groupBy("leaf", "b0", "b1")
+        rows, b0, b1 = assigned, zero.alias("b0"), zero.alias("b1")
+    groups = rows.select(*_NAMES, b0, b1).groupBy("leaf", "b0", "b1")
     pairs = groups.applyInArrow(_join_leaf(tree, refine), f"left_id {kind}, right_id {kind}")
     # an id may be stored with several places, and a box may be shifted by a turn
-    return pairs.dropDuplicates(["left_id", "right_id"])
+    return pairs.dropDuplicates(["left_id", "right_id"]) if unique else pairs
 
 
 def _on_earth(lat: str, lon: str):
@@ -280,22 +366,8 @@ def _on_earth(lat: str, lon: str):
     )
 
 
-def _grown(radius_m: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lat = batch.column("y").to_numpy(zero_copy_only=False)
-            lon = batch.column("x").to_numpy(zero_copy_only=False)
-            sides = [pa.array(v) for v in _boxes(lat, lon, radius_m)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("side"), batch.column("id"), *sides, batch.column("x"), batch.column("y")],
-                names=["side", "id", "x0", "x1", "y0", "y1", "x", "y"],
-            )
-
-    return run
-
-
 def points_within(
-    left: DataFrame, right: DataFrame, radius_m: float, key: str = "osmid", **limits: int
+    left: DataFrame, right: DataFrame, radius_m: float, key: str = "osmid", unique: bool = True, **limits: int
 ) -> DataFrame:
     """(left_id, right_id) of points (key, lat, lon) at most ``radius_m`` apart."""
     kind = dict(left.dtypes)[key]
@@ -308,14 +380,11 @@ def points_within(
             F.col("lat").cast("double").alias("y"),
         )
         both = one if both is None else both.unionByName(one)
-    grown = both.mapInArrow(
-        _grown(radius_m / 2), f"side int, id {kind}, x0 double, x1 double, y0 double, y1 double, x double, y double"
-    )
 
     def refine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return great_circle_m(a[:, 1], a[:, 0], b[:, 1], b[:, 0]) <= radius_m
 
-    return box_join(grown, refine, **limits)
+    return box_join(both, refine, radius_m / 2, unique=unique, **limits)
 
 
 def boxes_around(
@@ -345,6 +414,6 @@ def boxes_around(
         F.col("west").alias("x"),
         F.col("south").alias("y"),
     )
-    pairs = box_join(a.unionByName(b), None, **limits)
-    found = pairs.select(F.col("left_id").cast(kind).alias(key), F.col("right_id").alias(box_key))
+    pairs = box_join(a.unionByName(b), None, unique=False, **limits)
+    found = pairs.select(F.col("left_id").cast(kind).alias(key), F.col("right_id").alias(box_key)).distinct()
     return whole.select(key).distinct().join(found, key, "left")

@@ -22,7 +22,7 @@ def near_nodes(s: SparkSession, d: str) -> DataFrame:
     nodes = table(s, d, "nodes").where("not (lat = 0 and lon = 0)")
     kind = F.lower(F.regexp_replace("node_type", r"(?U)^\s+|\s+$", ""))
     of = nodes.select("osmid", "lat", "lon", kind.alias("kind"))
-    pairs = points_within(of.where("kind = 'rail'"), of.where("kind = 'bike'"), WALK_M)
+    pairs = points_within(of.where("kind = 'rail'"), of.where("kind = 'bike'"), WALK_M, unique=False)
     return (
         pairs.where("left_id <> right_id")
         .select(F.least("left_id", "right_id").alias("osmid_a"), F.greatest("left_id", "right_id").alias("osmid_b"))

@@ -35,6 +35,19 @@ def test_against_brute_force(spark):
     assert pairs(again) == want
 
 
+def test_crowded_leaves_are_split(spark):
+    """Two clusters of a thousandth of the width that the sample sees, and a crowd of one side alone."""
+    rng = np.random.default_rng(9)
+    place = lambda k, n, lat, lon: [(k + i, float(lat + a), float(lon + b)) for i, (a, b) in enumerate(rng.uniform(0, 0.02, (n, 2)))]
+    left = place(0, 700, 50.0, 8.0) + place(5000, 600, 10.0, -70.0) + place(9000, 900, -20.0, 100.0)
+    right = place(20_000, 700, 50.0, 8.0) + place(30_000, 500, 10.0, -70.0)
+    want = brute(left[:1300], right, 60.0)
+    got = points_within(frame(spark, left), frame(spark, right), 60.0, sample_rows=10, most_rows=100)
+    assert pairs(got) == want and len(want) > 100
+    several = frame(spark, [*left, (0, 10.0, -70.0)])
+    assert pairs(points_within(several, frame(spark, right), 60.0, sample_rows=10, most_rows=100)) >= want
+
+
 def test_one_place_poles_and_date_line(spark):
     same = [(i, 10.0, 10.0) for i in range(60)]
     got = pairs(points_within(frame(spark, same), frame(spark, same), 1.0, most_rows=20))
