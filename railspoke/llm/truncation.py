@@ -89,10 +89,10 @@ def _twice(pattern: str) -> str:
 _QUOTE2 = _twice(r"\[quote[^\]]*\][^\[]*+(?:\[(?!/?quote)[^\[]*+)*+\[/quote\]")
 _BLOCK2 = _twice(r"<blockquote>[^<]*+(?:<(?!/?blockquote)[^<]*+)*+</blockquote>")
 
-# Tags, smileys, words with the mark that follows them, sentence marks, line breaks.
+# Words with the mark that follows them, tags, smileys, sentence marks, line breaks.
 _TOKEN = (
-    r"</?[a-z][^<>]*(?:>|$)|<$|[:;=]-?[()\[\]/|dpo](?![\p{L}\p{N}])"
-    r"|[\p{L}\p{N}_]+(?:[-.\x27][\p{L}\p{N}_]+)*(?:[,;:)]|\x27$| ?(?:\(|&(?:amp;|#?[a-z0-9]{0,7}$)|[-–/](?=\s|$)))?"
+    r"[\p{L}\p{N}_]+(?:[-.\x27][\p{L}\p{N}_]+)*(?:[,;:)]|\x27$| ?(?:\(|&(?:amp;|#?[a-z0-9]{0,7}$)|[-–/](?=\s|$)))?"
+    r"|</?[a-z][^<>]*(?:>|$)|<$|[:;=]-?[()\[\]/|dpo](?![\p{L}\p{N}])"
     r"|(?<!\b(?:{abbreviations}))[.!?…。]+(?=[\s\x22»)\]]|$)|\)|\n"
 )
 
@@ -102,10 +102,6 @@ _BLANKS = r" \n\t\r\u000b\u000c\u00a0\u0000"
 # What stands in brackets; a smiley opens none.
 _BRACKET = r"(?<![:;=\-])\([^()\n]*\)?"
 
-_LOOKED = r"""transform(regexp_extract_all({of}, r'{token}', 0), t -> CASE
-    WHEN left(t, 1) IN ('.', '!', '?', '…', '。', ')', '\n', ':', ';', '=') THEN '$'
-    WHEN left(t, 1) = '<' THEN regexp_replace(t, r'\s[^>]*', '')
-    ELSE t END)"""
 _INNER = r"transform(filter(regexp_extract_all(p, r'{token}', 0), t -> left(t, 1) RLIKE r'[\p{L}\p{N}_]'), t -> concat('(', t))"
 
 _TOKENS = r"""
@@ -122,47 +118,44 @@ WITH shaped AS (
 )
 SELECT id, source, chars, bytes,
   body RLIKE r'(?:[\p{L}\p{N}_,;:(\-–/&\x27#]|<[^<>]*)$' AS unmarked,
-  IF(size(pieces) = 0, {looked_body}, concat(
+  IF(size(pieces) = 0, regexp_extract_all(body, r'{token}', 0), concat(
     flatten(transform(filter(pieces, p -> right(p, 1) = ')'), p -> concat({inner}, array('$', '$')))),
-    {looked_main},
+    regexp_extract_all(regexp_replace(body, r'{bracket}', '('), r'{token}', 0),
     flatten(transform(filter(slice(pieces, -1, 1), p -> right(p, 1) <> ')' AND p RLIKE r'[\p{L}\p{N}_]'), p -> concat(array('$', '$'), {inner})))
   )) AS tokens
 FROM (SELECT *, IF(contains(body, '('), regexp_extract_all(body, r'{bracket}', 0), array()) AS pieces FROM shaped)
 """
 
+_STOPS = "('.', '!', '?', '…', '。', ')', '$', '\\n', ':', ';', '=')"
 _MARKS = " ,;:)(/&-–'"
 
-# (w, k): a token without and with its mark; a tag has none. A reference to a character is one mark.
-_SPLIT = f"""
-  SELECT id, source, chars, bytes, unmarked, transform(tokens, t -> CASE
-    WHEN left(t, 1) IN ('$', '<') THEN named_struct('w', t, 'k', '')
-    WHEN contains(t, '&') THEN named_struct('w', rtrim(substring_index(t, '&', 1)), 'k', '&')
-    ELSE named_struct('w', rtrim("{_MARKS}", t), 'k', ltrim(substring(t, length(rtrim("{_MARKS}", t)) + 1))) END) AS tokens
-  FROM {{marked}}
-"""
+
+def _word(t: str) -> str:
+    """SQL of a token without its mark; a reference to a character is a mark, marks alone and line breaks are stops."""
+    return f"""CASE WHEN left({t}, 1) IN {_STOPS} THEN '$' WHEN left({t}, 1) = '<' THEN regexp_replace({t}, r'\s[^>]*', '')
+      WHEN contains({t}, '&') THEN rtrim(substring_index({t}, '&', 1)) ELSE rtrim("{_MARKS}", {t}) END"""
+
+
+def _mark(t: str) -> str:
+    return f"""CASE WHEN left({t}, 1) IN {_STOPS} OR left({t}, 1) = '<' THEN '' WHEN contains({t}, '&') THEN '&'
+      ELSE ltrim(substring({t}, length(rtrim("{_MARKS}", {t})) + 1)) END"""
+
 
 # A word with a mark counts as such and as the bare word, to which a closing bracket is what follows inside.
-# What follows a tag does not matter.
-_GRAMS = r"""
-  SELECT g.w1, g.w2, g.w3, g.k3, sum(g.inside) AS inside, sum(g.stop) AS stop, sum(g.last) AS last
-  FROM (
-    SELECT explode(flatten(transform(
-      filter(sequence(1, size(tokens)), i -> element_at(tokens, i).w <> '$'),
-      i -> transform(
-        IF(element_at(tokens, i).k = '', array(''), array(element_at(tokens, i).k, '')),
-        k -> named_struct(
-          'w1', IF(i > 2, element_at(tokens, greatest(i - 2, 1)).w, '$'),
-          'w2', IF(i > 1, element_at(tokens, greatest(i - 1, 1)).w, '$'),
-          'w3', element_at(tokens, i).w, 'k3', k,
-          'inside', IF(k = '' AND element_at(tokens, i).k = ')' OR i < size(tokens) AND (left(element_at(tokens, i).w, 1) = '<'
-            OR left(element_at(tokens, least(i + 1, size(tokens))).w, 1) NOT IN ('$', '<')), 1L, 0L),
-          'stop', IF(NOT (k = '' AND element_at(tokens, i).k = ')') AND i < size(tokens) AND left(element_at(tokens, i).w, 1) <> '<'
-            AND left(element_at(tokens, least(i + 1, size(tokens))).w, 1) IN ('$', '<'), 1L, 0L),
-          'last', IF(NOT (k = '' AND element_at(tokens, i).k = ')') AND i = size(tokens), 1L, 0L)))
-    ))) AS g
-    FROM {split} WHERE size(tokens) > 0
-  )
-  GROUP BY 1, 2, 3, 4
+# What follows a tag does not matter. The tokens are laid beside themselves, shifted, so that nothing is looked up by number.
+_GRAMS = f"""
+WITH shifted AS (
+  SELECT concat(array('$', '$'), tokens) AS a, concat(array('$'), tokens) AS b, tokens AS c, slice(tokens, 2, size(tokens)) AS d FROM {{marked}} WHERE size(tokens) > 0
+), each AS (
+  SELECT {_word("g.a")} AS w1, {_word("g.b")} AS w2, {_word("g.c")} AS w3, {_mark("g.c")} AS k, g.d AS next
+  FROM (SELECT explode(arrays_zip(a, b, c, d)) AS g FROM shifted) WHERE g.c IS NOT NULL AND left(g.c, 1) NOT IN {_STOPS}
+), marks AS (
+  SELECT w1, w2, w3, k3, k3 = '' AND k = ')' AS closed, next IS NULL AS at_end, left(w3, 1) <> '<' AND left(next, 1) IN {_STOPS[:-1]}, '<') AS at_stop
+  FROM (SELECT *, explode(IF(k = '', array(''), array(k, ''))) AS k3 FROM each)
+)
+  SELECT w1, w2, w3, k3, count_if(closed OR NOT at_end AND NOT at_stop) AS inside,
+    count_if(NOT closed AND NOT at_end AND at_stop) AS stop, count_if(NOT closed AND at_end) AS last
+  FROM marks GROUP BY 1, 2, 3, 4
 """
 
 _WORDS = r"""
@@ -191,11 +184,9 @@ _FINAL = rf"""
   SELECT /*+ BROADCAST(a), BROADCAST(b), BROADCAST(c) */ id,
     {_CLASS.format("w1", "a")} AS m1, {_CLASS.format("w2", "b")} AS m2, w3, k3, coalesce(c.w, '*') AS m3, source, chars, bytes
   FROM (
-    SELECT id, source, chars, bytes,
-      IF(size(tokens) > 2, element_at(tokens, -least(3, size(tokens))).w, '$') AS w1,
-      IF(size(tokens) > 1, element_at(tokens, -least(2, size(tokens))).w, '$') AS w2,
-      element_at(tokens, -1).w AS w3, element_at(tokens, -1).k AS k3
-    FROM {{split}} WHERE unmarked AND size(tokens) > 0 AND element_at(tokens, -1).w <> '$'
+    SELECT id, source, chars, bytes, {_word("t[0]")} AS w1, {_word("t[1]")} AS w2, {_word("t[2]")} AS w3, {_mark("t[2]")} AS k3
+    FROM (SELECT *, slice(concat(array('$', '$'), tokens), -3, 3) AS t FROM {{marked}} WHERE unmarked AND size(tokens) > 0)
+    WHERE left(t[2], 1) NOT IN {_STOPS}
   )
   LEFT JOIN {{common}} a ON w1 = a.w LEFT JOIN {{common}} b ON w2 = b.w LEFT JOIN {{common}} c ON w3 = c.w
 """
@@ -352,20 +343,16 @@ def truncated_texts(
         values |= {
             "clean": _filled(_CLEAN, **values),
             "inner": _filled(_INNER, **values),
-            "looked_body": _filled(_LOOKED, of="body", **values),
-            "looked_main": _filled(_LOOKED, of=_filled("regexp_replace(body, r'{bracket}', '(')", **values), **values),
         }
         for name, text in (
             ("marked", _TOKENS),
-            ("split", _SPLIT),
             ("grams", _GRAMS),
             ("words", _WORDS),
             ("common", _COMMON),
             ("exact", _EXACT),
             ("final", _FINAL),
         ):
-            rows = spark.sql(_filled(text, **values))
-            view(name, rows if name == "split" else written(rows, name))
+            view(name, written(spark.sql(_filled(text, **values)), name))
         return spark.sql(_filled(_VERDICTS, **values))
     finally:
         for v in views:
