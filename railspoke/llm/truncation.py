@@ -132,7 +132,7 @@ _MARKS = " ,;:)(/&-–'"
 
 def _word(t: str) -> str:
     """SQL of a token without its mark; a reference to a character is a mark, marks alone and line breaks are stops."""
-    return f"""CASE WHEN left({t}, 1) IN {_STOPS} THEN '$' WHEN left({t}, 1) = '<' THEN regexp_replace({t}, r'\s[^>]*', '')
+    return rf"""CASE WHEN left({t}, 1) IN {_STOPS} THEN '$' WHEN left({t}, 1) = '<' THEN regexp_replace({t}, r'\s[^>]*', '')
       WHEN contains({t}, '&') THEN rtrim(substring_index({t}, '&', 1)) ELSE rtrim("{_MARKS}", {t}) END"""
 
 
@@ -176,8 +176,8 @@ WITH classed AS (
   FROM {{grams}}
   LEFT JOIN {{common}} a ON w1 = a.w LEFT JOIN {{common}} b ON w2 = b.w LEFT JOIN {{common}} c ON w3 = c.w
 )
-  SELECT m1, m2, w3, k3, first(m3) AS m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last
-  FROM classed GROUP BY 1, 2, 3, 4
+  SELECT m1, m2, w3, k3, m3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last
+  FROM classed GROUP BY 1, 2, 3, 4, 5
 """
 
 _FINAL = rf"""
