@@ -87,14 +87,14 @@ def repointed(edges: DataFrame, merged: DataFrame) -> DataFrame:
     for side in ("from_node", "to_node"):
         out = out.join(merged.withColumnRenamed("osmid", side), side).withColumn(side, F.col("kept")).drop("kept")
     out = without_loops(out.select(*edges.columns))
-    rest = [c for c in edges.columns if c not in ("from_node", "to_node", "mode", "key")]
+    rest = [c for c in edges.columns if c not in ("from_node", "to_node", "mode", "key", "length_m")]
     wkt = F.coalesce("geometry_wkt", F.lit("")).alias("_wkt")
     one = out.groupBy("from_node", "to_node", "mode", wkt).agg(
-        F.min_by(F.struct("key", *rest), F.struct("key", "length_m")).alias("_e")
+        F.min(F.struct("key", "length_m", *rest)).alias("_e")
     )
     number = F.row_number().over(Window.partitionBy("from_node", "to_node").orderBy("mode", "_e.key", "_wkt"))
     return one.select(
-        "from_node", "to_node", "mode", (number - 1).cast("long").alias("key"), *[F.col(f"_e.{c}").alias(c) for c in rest]
+        "from_node", "to_node", "mode", (number - 1).cast("long").alias("key"), *[F.col(f"_e.{c}").alias(c) for c in ("length_m", *rest)]
     ).select(*edges.columns)
 
 
@@ -225,7 +225,7 @@ def split_at_extrema(edges: DataFrame, *keys: str, band_m: float = K.Z_BAND_M) -
 def entrances(stations: DataFrame, bike_nodes: DataFrame, radius_m: float = K.STATION_RADIUS_M, most: int = K.STATION_ENTRANCES) -> DataFrame:
     """(station, osmid, distance_m, rank): up to ``most`` bike nodes within the radius of each station."""
     named = stations.withColumnRenamed("osmid", "station")
-    return nearest(named, bike_nodes, "station", most, (radius_m,))
+    return nearest(named, bike_nodes, "station", most, (radius_m,), beyond=False)
 
 
 def nearest_track(stations: DataFrame, rail_edges: DataFrame, radius_m: float = K.STATION_RADIUS_M) -> DataFrame:

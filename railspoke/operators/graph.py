@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from railspoke.functions import columns as C
 from railspoke.functions import constants as K
-from railspoke.operators.lineage import written
+from railspoke.operators.lineage import forget, written
 from railspoke.operators.spatial import points_within
 
 
@@ -60,13 +60,13 @@ def clean_nodes(nodes: DataFrame) -> DataFrame:
 def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row per (from_node, to_node, key, mode), the first delivered, with both ends and their elevation difference.
 
-    Self-loops of bike edges are dropped, and edges whose ends do not fit their mode.
+    ``row_id`` is unique per delivered row. Self-loops of bike edges are dropped, and edges whose ends do not fit their mode.
     """
-    kept = ["length_m", "surface", "highway", "geometry_wkt", "way_id", "row_id"]
-    first = edges.groupBy("from_node", "to_node", "key", "mode").agg(
-        F.min_by(F.struct(*kept), F.struct("loaded_at", "row_id")).alias("_e")
-    )
-    rows = first.select("from_node", "to_node", "key", "mode", "_e.*").where("not (mode = 'bike' and from_node = to_node)")
+    # what repeats an earlier delivery is found over narrow columns; geometries are not regrouped for it
+    same = Window.partitionBy("from_node", "to_node", "key", "mode").orderBy("loaded_at", "row_id")
+    narrow = edges.select("from_node", "to_node", "key", "mode", "loaded_at", "row_id")
+    again = narrow.withColumn("_nth", F.row_number().over(same)).where("_nth > 1").select("row_id")
+    rows = edges.join(again, "row_id", "left_anti").where("not (mode = 'bike' and from_node = to_node)")
     return typed_edges(with_ends(rows, nodes), True).select(
         "from_node",
         "to_node",
@@ -199,17 +199,23 @@ def too_large(edges: DataFrame, most: int = K.MAX_CORRIDOR_EDGES) -> DataFrame:
 
 
 def trip_guard(
-    queries: DataFrame, west: Column | float, south: Column | float, east: Column | float, north: Column | float
+    queries: DataFrame,
+    west: Column | float,
+    south: Column | float,
+    east: Column | float,
+    north: Column | float,
+    min_km: float = K.MIN_TRIP_KM,
+    max_km: float = K.MAX_TRIP_KM,
 ) -> DataFrame:
-    """Queries with ``trip_km`` and ``verdict``: out_of_coverage, too_short, too_long or null."""
+    """Queries with ``trip_km`` and ``verdict``: too_short, too_long, out_of_coverage or null."""
     km = C.haversine_m(*map(F.col, _ENDS)) / 1000.0
     inside = reduce(
         lambda a, b: a & b,
         [F.col(f"lat_{e}").between(south, north) & F.col(f"lon_{e}").between(west, east) for e in "ab"],
     )
     verdict = (
-        F.when(km < K.MIN_TRIP_KM, "too_short")
-        .when(km > K.MAX_TRIP_KM, "too_long")
+        F.when(km < min_km, "too_short")
+        .when(km > max_km, "too_long")
         .when(~inside, "out_of_coverage")
     )
     return queries.withColumn("trip_km", km).withColumn("verdict", verdict)
@@ -218,32 +224,72 @@ def trip_guard(
 # --- nearest ---
 
 
+#: Half the way around the globe, and a little.
+EVERYWHERE_M = 20_100_000.0
+
+
+def _around(points: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:
+    """The nodes in the grid cells that the radius around any point touches; a bounded number of cells per point."""
+    rows = max(1, int(180.0 / max(radius_m / K.METRES_PER_DEGREE, 0.01)))
+    cell = 180.0 / rows
+    # columns lie around the globe; near the poles a point would touch them all, so its row is taken whole
+    reach = F.lit(radius_m / K.METRES_PER_DEGREE * 1.01)
+    wide = reach / F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(80.0))))
+    row = lambda y: F.floor((y + 90.0) / cell)
+    col = lambda x: F.floor((x + 180.0) / cell)
+    polar = F.abs("lat") + reach >= 80.0
+    cells = points.select("lat", "lon", F.explode(F.sequence(row(F.col("lat") - reach), row(F.col("lat") + reach))).alias("_row"), polar.alias("_polar"), wide.alias("_w"))
+    cells = cells.select(
+        "_row",
+        F.explode(F.when(F.col("_polar"), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(col(F.col("lon") - F.col("_w")), col(F.col("lon") + F.col("_w"))))).alias("_col"),
+    )
+    cells = cells.select("_row", F.when(F.col("_col") >= 0, F.pmod("_col", F.lit(2 * rows))).otherwise(F.when(F.col("_col") < -1, F.pmod("_col", F.lit(2 * rows))).otherwise(F.col("_col"))).alias("_col")).distinct()
+    placed = nodes.withColumn("_row", row(F.col("lat"))).withColumn("_at", F.array(F.pmod(col(F.col("lon")), F.lit(2 * rows)), F.lit(-1).cast("long")))
+    hit = placed.withColumn("_col", F.explode("_at")).join(cells, ["_row", "_col"], "left_semi")
+    return hit.select(*nodes.columns).distinct()
+
+
 def nearest(
-    points: DataFrame, nodes: DataFrame, key: str, most: int = 1, radii: tuple[float, ...] = (500.0, 2000.0, 8000.0, 32000.0)
+    points: DataFrame,
+    nodes: DataFrame,
+    key: str,
+    most: int = 1,
+    radii: tuple[float, ...] = (500.0, 2000.0, 8000.0),
+    beyond: bool = True,
 ) -> DataFrame:
     """(key, osmid, distance_m, rank) of the ``most`` nodes nearest to each point, ties by osmid.
 
     Radii are tried in turn, the next one only for points that found too few
-    nodes, so no point meets more of the graph than it needs; points with fewer
-    nodes than ``most`` within the last radius give those.
+    nodes, and each search meets only nodes in the cells around those points.
+    With ``beyond`` the radius then grows fourfold until it goes around the
+    globe, so every point gets its nodes; without, points with fewer nodes than
+    ``most`` within the last radius give those.
     """
-    at = points.select(F.col(key).alias("_p"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    place = nodes.select("osmid", "lat", "lon")
+    whole = "lat is not null and lon is not null"
+    at = points.where(whole).select(F.col(key).alias("_p"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    place = nodes.where(whole).select("osmid", "lat", "lon")
     kind = "string"
+    steps = list(radii)
+    while beyond and steps[-1] < EVERYWHERE_M:
+        steps.append(min(EVERYWHERE_M, 4 * steps[-1]))
     left = at.select(F.col("_p").cast(kind).alias("osmid"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
-    right = place.select(F.col("osmid").cast(kind).alias("osmid"), "lat", "lon")
     found = None
-    for k, radius in enumerate(radii):
-        pairs = points_within(left, right, radius)
-        whole = (
+    for k, radius in enumerate(steps):
+        near = _around(left, place, radius) if radius <= 50_000.0 else place
+        right = near.select(F.col("osmid").cast(kind).alias("osmid"), "lat", "lon")
+        pairs = points_within(left, right, radius, one_sided=True)
+        rows = (
             pairs.join(at, F.col("left_id") == F.col("_p").cast(kind))
-            .join(place, F.col("right_id") == F.col("osmid").cast(kind))
+            .join(near, F.col("right_id") == F.col("osmid").cast(kind))
             .select("_p", "osmid", C.haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("distance_m"))
         )
         # equal to the micrometre is a tie
         w = Window.partitionBy("_p").orderBy(F.round("distance_m", 6), "osmid")
-        ranked = whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-        last = k == len(radii) - 1
+        ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+        last = k == len(steps) - 1
+        if last and found is None:
+            found = ranked
+            break
         ranked = written(ranked, "nearest")
         full = ranked.where(F.col("rank") == most).select(F.col("_p").cast(kind).alias("osmid"))
         done = ranked if last else ranked.join(full.withColumnRenamed("osmid", "_f"), F.col("_p").cast(kind) == F.col("_f"), "left_semi")
@@ -429,35 +475,173 @@ def all_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, most: int
     return found.unionByName(large_paths(*rest, nodes))
 
 
+#: Queries that one task searches on the edges it holds.
+BLOCK_QUERIES = 24
+
+
+def query_groups(queries: DataFrame, tubes: dict[str, tuple[float, float]], size: float = K.TILE_DEG) -> tuple[DataFrame, DataFrame]:
+    """(query_id, group) and (group, tile_row, tile_col): queries whose corridors touch the same tiles are one group."""
+    cells = None
+    for half, extend in tubes.values():
+        one = corridor_cells(queries, half, extend, size).select("query_id", "row", "col")
+        cells = one if cells is None else cells.unionByName(one)
+    sets = cells.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("row", "col"))).alias("_t"))
+    named = written(sets.withColumn("group", F.md5(F.to_json("_t"))), "groups")
+    tiles = named.groupBy("group").agg(F.first("_t").alias("_t")).select("group", F.explode("_t").alias("_c"))
+    return named.select("query_id", "group"), tiles.select(
+        "group", F.col("_c.row").cast("int").alias("tile_row"), F.col("_c.col").cast("int").alias("tile_col")
+    )
+
+
+def _near(lat: np.ndarray, lon: np.ndarray, q: dict, half_km: float, extend_km: float) -> np.ndarray:
+    """As ``in_corridor``, over arrays."""
+    reach, ext = half_km * 1000.0 / K.METRES_PER_DEGREE, extend_km * 1000.0 / K.METRES_PER_DEGREE
+    px, py = lon * q["ax_scale"] - q["ax_x"], lat - q["ax_y"]
+    along = np.clip(px * q["ax_ux"] + py * q["ax_uy"], -ext, q["ax_len"] + ext)
+    return np.hypot(px - along * q["ax_ux"], py - along * q["ax_uy"]) <= reach
+
+
+def _search_group(tubes: dict[str, tuple[float, float]]):
+    """Binary-heap Dijkstra of the queries of a block, over the edges they share, each in its own corridor."""
+
+    def run(queries: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        ids, codes = np.unique(np.concatenate([edges["from_node"].to_numpy(), edges["to_node"].to_numpy()]), return_inverse=True)
+        n = len(edges)
+        lat, lon, rail = np.empty(len(ids)), np.empty(len(ids)), np.zeros(len(ids), bool)
+        for part, side in ((codes[n:], "to"), (codes[:n], "from")):
+            lat[part], lon[part] = edges[f"{side}_lat"].to_numpy(), edges[f"{side}_lon"].to_numpy()
+            rail[part] = edges[f"{side}_type"].to_numpy() == "rail"
+        tail, head, cost = codes[:n], codes[n:], edges["cost"].to_numpy("float64")
+        order = np.argsort(tail, kind="stable")
+        begin = np.searchsorted(tail[order], np.arange(len(ids) + 1)).tolist()
+        heads, costs = head[order].tolist(), cost[order].tolist()
+        at = {int(o): k for k, o in enumerate(ids.tolist())}
+        out = []
+        for q in queries.to_dict("records"):
+            inside = np.where(rail, _near(lat, lon, q, *tubes["rail"]), _near(lat, lon, q, *tubes["bike"])).tolist()
+            s, t = at.get(int(q["source"]), -1), at.get(int(q["target"]), -2)
+            if s < 0 or t < 0 or not inside[s] or not inside[t]:
+                continue
+            best, before, settled, heap = {s: 0.0}, {s: -1}, set(), [(0.0, s)]
+            while heap:
+                d, u = heapq.heappop(heap)
+                if u in settled:
+                    continue
+                settled.add(u)
+                if u == t:
+                    break
+                for k in range(begin[u], begin[u + 1]):
+                    v = heads[k]
+                    if not inside[v]:
+                        continue
+                    reached = d + costs[k]
+                    old = best.get(v)
+                    if old is None or reached < old or (reached == old and u < before[v]):
+                        best[v], before[v] = reached, u
+                        heapq.heappush(heap, (reached, v))
+            if t not in settled:
+                continue
+            path, u = [], t
+            while u >= 0:
+                path.append(u)
+                u = before[u]
+            path.reverse()
+            out.append(pd.DataFrame({"query_id": q["query_id"], "seq": np.arange(len(path), dtype="int32"), "osmid": ids[path], "reached": [best[u] for u in path]}))
+        if out:
+            return pd.concat(out)
+        return pd.DataFrame({"query_id": pd.Series([], dtype="object"), "seq": np.array([], "int32"), "osmid": np.array([], "int64"), "reached": np.array([], "float64")})
+
+    return run
+
+
+def routes(
+    queries: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    bike: tuple[float, float] = (K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM),
+    rail: tuple[float, float] = (K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM),
+    most: int = K.MAX_CORRIDOR_EDGES,
+    block: int = BLOCK_QUERIES,
+) -> DataFrame:
+    """(query_id, seq, osmid, reached): the cheapest path of each query within its corridor, none where there is none.
+
+    ``queries``: query_id, source, target, lat_a, lon_a, lat_b, lon_b; ``edges``
+    has a cost. Queries whose corridors touch the same tiles share one copy of
+    these tiles' edges, at most ``block`` queries a task, and each is searched
+    within its own corridor there; so the edges moved grow with the groups and
+    not with the queries. Groups of more than ``most`` edges are answered query
+    by query, on corridor edges (``all_paths``). Trips that begin where they end
+    have no corridor and no path.
+    """
+    tubes = {"bike": bike, "rail": rail}
+    named, tiles = query_groups(queries, tubes)
+    # edges of one kind between two nodes count once, the cheapest
+    ends = with_ends(edges.select("from_node", "to_node", "cost"), nodes)
+    ends = ends.groupBy("from_node", "to_node", "from_lat", "from_lon", "to_lat", "to_lon", "from_type", "to_type").agg(F.min("cost").alias("cost"))
+    placed = ends.withColumn("tile_row", C.tile(F.col("from_lat"))).withColumn("tile_col", C.tile(F.col("from_lon")))
+    placed = written(placed, "placed")
+    # counts per tile, then per group: the edges themselves are not joined for it
+    per_tile = placed.groupBy("tile_row", "tile_col").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = tiles.join(per_tile, ["tile_row", "tile_col"]).groupBy("group").agg(F.sum("_n").alias("edges"))
+    sizes = written(sizes, "sizes")
+    small = sizes.where(F.col("edges") <= most).select("group")
+    w = Window.partitionBy("group").orderBy("query_id")
+    axis = C.axis(*map(F.col, _ENDS))
+    asked = queries.join(named, "query_id").join(small, "group").withColumn("block", F.floor((F.row_number().over(w) - 1) / block))
+    asked = written(asked.withColumns(axis).select("group", "block", "query_id", "source", "target", *C.AXIS), "asked")
+    blocks = asked.groupBy("group").agg((F.max("block") + 1).alias("_blocks"))
+    copies = blocks.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"))
+    shared = tiles.join(copies, "group").join(placed, ["tile_row", "tile_col"]).drop("tile_row", "tile_col")
+    found = (
+        asked.groupBy("group", "block")
+        .cogroup(shared.groupBy("group", "block"))
+        .applyInPandas(_search_group(tubes), "query_id string, seq int, osmid long, reached double")
+    )
+    rest = queries.join(named, "query_id").join(sizes.where(F.col("edges") > most), "group", "left_semi").select(*queries.columns)
+    if rest.isEmpty():
+        return found
+    rest = written(rest, "rest")
+    own = corridor_edges(rest, nodes, edges.select("from_node", "to_node", "cost"), bike, rail)
+    own = own.groupBy("query_id", "from_node", "to_node").agg(F.min("cost").alias("cost"))
+    return found.unionByName(all_paths(rest, own, nodes, most))
+
+
 def reach_all(sources: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(query_id, osmid, reached) of every node that a query's source reaches, by rounds of relaxation on DataFrames.
 
-    For corridors too large for one task. ``sources`` has query_id and source,
-    ``edges`` query_id, from_node, to_node, cost. Each round extends only the
-    nodes that got cheaper in the last one; results of a round are written, so
-    lineage does not grow.
+    ``sources`` has query_id and source; ``edges`` from_node, to_node and cost,
+    and query_id where each query has its own. Each round extends only the nodes
+    that got cheaper in the last one and writes only rows that are new; the rows
+    of all rounds are folded into one table now and then. More than ``rounds``
+    rounds are an error, not a result.
     """
-    known = written(sources.select("query_id", F.col("source").alias("osmid"), F.lit(0.0).alias("reached")), "reach")
-    frontier = known
-    for _ in range(rounds):
-        step = (
-            frontier.join(edges, [frontier["query_id"] == edges["query_id"], frontier["osmid"] == edges["from_node"]])
-            .select(frontier["query_id"], edges["to_node"].alias("osmid"), (F.col("reached") + F.col("cost")).alias("reached"))
-            .groupBy("query_id", "osmid")
-            .agg(F.min("reached").alias("new"))
-        )
-        merged = known.join(step, ["query_id", "osmid"], "full").select(
-            "query_id",
-            "osmid",
-            F.least(F.coalesce("reached", "new"), F.coalesce("new", "reached")).alias("reached"),
-            (F.col("reached").isNull() | (F.col("new") < F.col("reached"))).alias("better"),
-        )
-        merged = written(merged, "reach")
-        frontier = merged.where("better").select("query_id", "osmid", "reached")
-        known = merged.select("query_id", "osmid", "reached")
-        if frontier.isEmpty():
+    spark = sources.sparkSession
+    own = "query_id" in edges.columns
+    front = written(sources.select("query_id", F.col("source").alias("osmid"), F.lit(0.0).alias("reached")), "reach")
+    deltas = [front]
+    for k in range(rounds):
+        walk = front.withColumnRenamed("osmid", "from_node")
+        step = walk.join(edges, ["query_id", "from_node"] if own else "from_node")
+        step = step.groupBy("query_id", F.col("to_node").alias("osmid")).agg(F.min(F.col("reached") + F.col("cost")).alias("new"))
+        known = deltas[0]
+        for d in deltas[1:]:
+            known = known.unionByName(d)
+        if len(deltas) > 8:
+            # a node's last row is its cheapest
+            folded = written(known.groupBy("query_id", "osmid").agg(F.min("reached").alias("reached")), "reach")
+            for d in deltas[:-1]:
+                forget(d)
+            deltas, known = [folded], folded
+        best = known.groupBy("query_id", "osmid").agg(F.min("reached").alias("reached")) if len(deltas) > 1 else known
+        better = step.join(best, ["query_id", "osmid"], "left").where("reached is null or new < reached")
+        front = written(better.select("query_id", "osmid", F.col("new").alias("reached")), "reach")
+        if front.isEmpty():
             break
-    return known
+        deltas.append(front)
+    else:
+        raise RuntimeError(f"costs still fall after {rounds} rounds")
+    every = spark.read.schema(deltas[0].schema).parquet(*sorted({f.rpartition("/")[0] for d in deltas for f in d.inputFiles()}))
+    return every.groupBy("query_id", "osmid").agg(F.min("reached").alias("reached"))
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -507,9 +691,12 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
             "u", "old", F.least(F.col("l"), F.coalesce("jl", "l")).alias("l")
         )
         stepped = written(stepped, "labels")
+        forget(label)
         label = stepped.select("u", "l")
         if stepped.where("old <> l").isEmpty():
             break
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     return label.select(F.col("u").alias("osmid"), F.col("l").alias("component"))
 
 

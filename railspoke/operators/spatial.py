@@ -172,14 +172,15 @@ def great_circle_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: n
     return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
 
-def _boxes(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> tuple[np.ndarray, ...]:
+def _boxes(lat: np.ndarray, lon: np.ndarray, radius_m: np.ndarray) -> tuple[np.ndarray, ...]:
     """Boxes that hold every point within the radius; a hair too large."""
     grow = 1.0 + 1e-6
     dy = np.degrees(radius_m / EARTH_RADIUS_M) * grow + 1e-9
     high = np.minimum(90.0, np.abs(lat) + 2 * dy)
     with np.errstate(divide="ignore", invalid="ignore"):
-        s = np.sin(radius_m / EARTH_RADIUS_M) / np.cos(np.radians(high))
-        dx = np.where((high >= 90.0) | (s >= 1.0), 360.0, np.degrees(np.arcsin(np.clip(s, 0, 1))) * grow + 1e-9)
+        turn = radius_m / EARTH_RADIUS_M
+        s = np.sin(turn) / np.cos(np.radians(high))
+        dx = np.where((high >= 90.0) | (s >= 1.0) | (turn >= np.pi / 2), 360.0, np.degrees(np.arcsin(np.clip(s, 0, 1))) * grow + 1e-9)
     return lon - dx, lon + dx, lat - dy, lat + dy
 
 
@@ -193,10 +194,10 @@ def _sent(batch: pa.RecordBatch, at: np.ndarray, leaf: np.ndarray, box: list[np.
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
-def _assign(tree: Quadtree, radius_m: float | None):
+def _assign(tree: Quadtree, radii: tuple[float, float] | None):
     """Leaves of each box; boxes over the 180th meridian also appear shifted by a turn.
 
-    With ``radius_m`` the objects are points (x, y), whose boxes are made here.
+    With ``radii``, of both sides, the objects are points (x, y), whose boxes are made here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +205,11 @@ def _assign(tree: Quadtree, radius_m: float | None):
             if not batch.num_rows:
                 continue
             x, y = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("x", "y"))
-            if radius_m is None:
+            if radii is None:
                 bx0, bx1, by0, by1 = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("x0", "x1", "y0", "y1"))
             else:
-                bx0, bx1, by0, by1 = _boxes(y, x, radius_m)
+                side = batch.column("side").to_numpy(zero_copy_only=False)
+                bx0, bx1, by0, by1 = _boxes(y, x, np.where(side == 0, radii[0], radii[1]))
             at, shift = [np.arange(batch.num_rows)], [np.zeros(batch.num_rows)]
             for over, turn in ((bx1 > 180.0, -360.0), (bx0 < -180.0, 360.0)):
                 rows = np.flatnonzero(over)
@@ -291,12 +293,12 @@ def _counts(assigned: DataFrame) -> DataFrame:
 def box_join(
     objects: DataFrame,
     refine: Callable | None = None,
-    radius_m: float | None = None,
+    radii: tuple[float, float] | None = None,
     sample_rows: int = SAMPLE_ROWS,
     most_rows: int = MOST_ROWS,
     unique: bool = True,
 ) -> DataFrame:
-    """(left_id, right_id) of objects (side 0 or 1, id, x, y and, without ``radius_m``, x0, x1, y0, y1) whose boxes touch.
+    """(left_id, right_id) of objects (side 0 or 1, id, x, y and, without ``radii``, x0, x1, y0, y1) whose boxes touch.
 
     ``refine`` gets the (x, y) of both ends of the candidates and keeps a subset.
     """
@@ -306,7 +308,7 @@ def box_join(
     drawn = drawn.toPandas()
     tree = Quadtree(drawn["x"].to_numpy("float64"), drawn["y"].to_numpy("float64"))
     schema = _ASSIGNED.format(kind=kind)
-    assigned = written(objects.mapInArrow(_assign(tree, radius_m), schema), "leaves")
+    assigned = written(objects.mapInArrow(_assign(tree, radii), schema), "leaves")
     parts, crowded = [], {}
     while True:
         # one row per crowded leaf: fewer than assigned rows / most_rows
@@ -367,9 +369,13 @@ def _on_earth(lat: str, lon: str):
 
 
 def points_within(
-    left: DataFrame, right: DataFrame, radius_m: float, key: str = "osmid", unique: bool = True, **limits: int
+    left: DataFrame, right: DataFrame, radius_m: float, key: str = "osmid", unique: bool = True, one_sided: bool = False, **limits: int
 ) -> DataFrame:
-    """(left_id, right_id) of points (key, lat, lon) at most ``radius_m`` apart."""
+    """(left_id, right_id) of points (key, lat, lon) at most ``radius_m`` apart.
+
+    ``one_sided``: only the left points are grown to boxes, by the whole distance, so that the right ones go to one
+    leaf each; for few points on the left.
+    """
     kind = dict(left.dtypes)[key]
     both = None
     for side, rows in enumerate((left, right)):
@@ -384,7 +390,8 @@ def points_within(
     def refine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return great_circle_m(a[:, 1], a[:, 0], b[:, 1], b[:, 0]) <= radius_m
 
-    return box_join(both, refine, radius_m / 2, unique=unique, **limits)
+    radii = (radius_m, 0.0) if one_sided else (radius_m / 2, radius_m / 2)
+    return box_join(both, refine, radii, unique=unique, **limits)
 
 
 def boxes_around(

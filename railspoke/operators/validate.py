@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railspoke.functions import columns as C
-from railspoke.operators.build import vertices
+from railspoke.functions import constants as K
 
 
 def height_mismatches(edges: DataFrame, most_m: float = 0.5) -> DataFrame:
@@ -15,11 +15,41 @@ def height_mismatches(edges: DataFrame, most_m: float = 0.5) -> DataFrame:
     return edges.withColumn("off_m", off).where(F.col("off_m") > most_m)
 
 
+def _gap(line: str) -> Column:
+    """The longest step between neighbours of an array of vertices, within the row."""
+    step = lambda k: C.haversine_m(
+        F.get(line, k - 1)["lat"], F.get(line, k - 1)["lon"], F.get(line, k)["lat"], F.get(line, k)["lon"]
+    )
+    inner = F.when(F.size(line) >= 2, F.sequence(F.lit(1), F.size(line) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_max(F.transform(inner, step))
+
+
 def vertex_gaps(edges: DataFrame, *keys: str) -> DataFrame:
-    """(keys, gap_m): the longest step between neighbouring vertices of each stored geometry."""
-    w = Window.partitionBy(*keys).orderBy("v")
-    step = C.haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return vertices(edges, *keys).withColumn("_d", step).groupBy(*keys).agg(F.max("_d").alias("gap_m"))
+    """(keys, gap_m): the longest step between neighbouring vertices of each stored geometry; nothing is shuffled."""
+    rows = edges.select(*keys, C.parsed_wkt(F.col("geometry_wkt")).alias("_l")).where("_l is not null")
+    return rows.select(*keys, _gap("_l").alias("gap_m"))
+
+
+def geometry_faults(edges: DataFrame, *keys: str, most_gap_m: float = K.MAX_VERTEX_GAP_M, band_m: float = K.Z_BAND_M) -> DataFrame:
+    """(keys, fault, off_m) of bike edges: no_geometry (fewer than two vertices), no_height, gap and band, one row per fault."""
+    rows = edges.select(*keys, C.parsed_wkt(F.col("geometry_wkt")).alias("_l"))
+    z = F.transform("_l", lambda v: v["z"])
+    a, b = F.element_at(z, 1), F.element_at(z, -1)
+    over = F.greatest(F.array_max(z) - F.greatest(a, b), F.least(a, b) - F.array_min(z), F.lit(0.0))
+    none = F.coalesce(F.size("_l") < 2, F.lit(True)) | F.col("_l").isNull()
+    flat = ~none & F.exists("_l", lambda v: v["z"].isNull())
+    faults = F.array(
+        F.when(none, F.struct(F.lit("no_geometry").alias("fault"), F.lit(None).cast("double").alias("off_m"))),
+        F.when(flat, F.struct(F.lit("no_height").alias("fault"), F.lit(None).cast("double").alias("off_m"))),
+        F.when(_gap("_l") > most_gap_m, F.struct(F.lit("gap").alias("fault"), _gap("_l").alias("off_m"))),
+        F.when(~none & ~flat & (over > band_m), F.struct(F.lit("band").alias("fault"), over.alias("off_m"))),
+    )
+    return rows.select(*keys, F.explode(F.array_compact(faults)).alias("_f")).select(*keys, "_f.*")
+
+
+def worst(violations: DataFrame, by: str, *keys: str) -> DataFrame:
+    """The one row that violates most, ties by the keys; none where there is none."""
+    return violations.where(F.col(by).isNotNull()).orderBy(F.desc(by), *keys).limit(1)
 
 
 def z_excess(edges: DataFrame, *keys: str) -> DataFrame:
@@ -82,11 +112,13 @@ def over_ceiling(meta: DataFrame, most_nodes: int) -> DataFrame:
 __all__ = [
     "broken_paths",
     "cost_sanity",
+    "geometry_faults",
     "height_mismatches",
     "missing_regions",
     "over_ceiling",
     "reduction_ok",
     "region_overlaps",
     "vertex_gaps",
+    "worst",
     "z_excess",
 ]

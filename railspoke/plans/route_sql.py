@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from railspoke.functions import constants as K
-from railspoke.plans.routes import BIKE_TUBE, RAIL_TUBE, ROUTE_PREFS, SWEEP, params_token
+from railspoke.plans.routes import BIKE_TUBE, RAIL_TUBE, ROUTE_PREFS, SHORTEST_KM, SWEEP, params_token
 
 
 def _values(name: str, weights: dict[str, float]) -> str:
@@ -89,16 +89,40 @@ _GRADE = f"""CASE WHEN mode = 'rail' THEN 'train' WHEN grade >= {K.GRADE_MARGIN}
     WHEN grade <= -{K.GRADE_MARGIN} THEN 'downhill' ELSE 'flat' END"""
 _WIDTH = f"CASE WHEN mode = 'bike' THEN {K.RIBBON_WIDTH_M} * sqrt({K.RIBBON_KMH}::DOUBLE / kmh) ELSE {K.RIBBON_WIDTH_M}::DOUBLE END"
 
+_INSIDE = " AND ".join(
+    f"lat_{e} BETWEEN bx.south AND bx.north AND lon_{e} BETWEEN bx.west AND bx.east" for e in "ab"
+)
+
+
+def _verdict(min_km: float) -> str:
+    return f"""CASE WHEN km < {min_km} THEN 'too_short' WHEN km > {K.MAX_TRIP_KM} THEN 'too_long'
+      WHEN NOT ({_INSIDE}) THEN 'out_of_coverage' END"""
+
+
+_TRIPS = f"""
+, places AS (
+  SELECT region_key, place_key, min(struct_pack(lon, osmid, lat)) AS a, max(struct_pack(lon, osmid, lat)) AS b
+  FROM n WHERE node_type = 'bike' AND place_key IS NOT NULL GROUP BY 1, 2
+), firsts AS (
+  SELECT region_key, arg_min(a, place_key) AS a FROM places GROUP BY 1
+), bx AS (SELECT min(west) AS west, min(south) AS south, max(east) AS east, max(north) AS north FROM build_regions
+), ends AS (
+  SELECT region_key || '/' || place_key AS query_id, a, coalesce(lead(b) OVER w, first_value(b) OVER w) AS b
+  FROM places WINDOW w AS (PARTITION BY region_key ORDER BY place_key)
+  UNION ALL
+  SELECT region_key || '/next', a, lead(a) OVER (ORDER BY region_key) FROM firsts
+  UNION ALL
+  SELECT region_key || '/south', a, struct_pack(lon := a.lon, osmid := 0::BIGINT, lat := south - 0.5::DOUBLE) FROM firsts, bx
+), trips AS MATERIALIZED (
+  SELECT *, {_hav("lat_a", "lon_a", "lat_b", "lon_b")} / 1000.0::DOUBLE AS km FROM (
+    SELECT query_id, a.osmid AS source, b.osmid AS target, a.lat AS lat_a, a.lon AS lon_a, b.lat AS lat_b, b.lon AS lon_b
+    FROM ends WHERE b IS NOT NULL AND a.osmid <> b.osmid)
+)"""
 _QUERIES = (
-    """
-, ends AS (
-  SELECT place_key AS query_id, min(struct_pack(lon, osmid, lat)) AS a, max(struct_pack(lon, osmid, lat)) AS b
-  FROM n WHERE node_type = 'bike' AND place_key IS NOT NULL GROUP BY 1
-), q AS MATERIALIZED (
-  SELECT query_id, a.osmid AS source, b.osmid AS target, a.lat AS lat_a, a.lon AS lon_a, b.lat AS lat_b, b.lon AS lon_b
-  FROM ends WHERE a.osmid <> b.osmid AND """
-    + _hav("a.lat", "a.lon", "b.lat", "b.lon")
-    + f""" <= {K.MAX_TRIP_KM * 1000.0}
+    _TRIPS
+    + f"""
+, q AS MATERIALIZED (
+  SELECT query_id, source, target, lat_a, lon_a, lat_b, lon_b FROM trips, bx WHERE ({_verdict(SHORTEST_KM)}) IS NULL
 )"""
 )
 
@@ -108,7 +132,7 @@ def _tube(name: str, kind: str, half_km: float, extend_km: float) -> str:
     return f"""
 , {name}0 AS (
   SELECT query_id, osmid, cos(radians((lat_a + lat_b) / 2)) AS sc, lat, lon, lat_a, lon_a, lat_b, lon_b
-  FROM q JOIN n ON node_type = '{kind}' AND n.lat BETWEEN least(lat_a, lat_b) - 1 AND greatest(lat_a, lat_b) + 1
+  FROM q JOIN n ON node_type = '{kind}' AND n.lat BETWEEN least(lat_a, lat_b) - {(ext + rad) * 1.01!r} AND greatest(lat_a, lat_b) + {(ext + rad) * 1.01!r}
 ), {name}1 AS (
   SELECT *, lon_b * sc - lon_a * sc AS vx, lat_b - lat_a AS vy, lon * sc - lon_a * sc AS px, lat - lat_a AS py FROM {name}0
 ), {name}2 AS (
@@ -367,10 +391,13 @@ def oracle_sql() -> dict[str, str]:
         + f" SELECT row_id, {tile.format('from_lat', 'tile_row')}, {tile.format('from_lon', 'tile_col')} FROM e",
         "tile_counts": w + f" SELECT {tiles}, node_type, count(*) AS n FROM n GROUP BY ALL",
         "tiled_store_round_trip": w
-        + """, st AS (SELECT 'nodes' AS table_name, floor(lat / 0.5)::INTEGER AS r, floor(lon / 0.5)::INTEGER AS c FROM n
-            UNION ALL SELECT 'edges', floor(from_lat / 0.5)::INTEGER, floor(from_lon / 0.5)::INTEGER FROM e)
-            SELECT table_name, 'tile_' || r || '_' || c AS tile, count(*) AS n FROM st
-            WHERE r BETWEEN 92 AND 109 AND c BETWEEN 12 AND 24 GROUP BY ALL""",
+        + """ SELECT 'nodes' AS table_name, 'tile_' || floor(lat / 0.5)::INTEGER || '_' || floor(lon / 0.5)::INTEGER AS tile,
+              osmid AS a, osmid AS b, 0::BIGINT AS key FROM n
+            UNION ALL SELECT 'edges', 'tile_' || floor(from_lat / 0.5)::INTEGER || '_' || floor(from_lon / 0.5)::INTEGER, from_node, to_node, key FROM e""",
+        "store_meta": w
+        + f""" SELECT min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north, {K.TILE_DEG}::DOUBLE AS tile_deg,
+            {K.MERGE_TOLERANCE_M}::DOUBLE AS tolerance_m, count(*) AS n_nodes,
+            (SELECT count(*) FROM e) AS n_edges, count(*) FILTER (WHERE node_type = 'rail') AS n_stations FROM n""",
         "bbox_meta": w
         + """ SELECT min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north, count(*) AS n_nodes,
             (SELECT count(*) FROM e) AS n_edges, count(*) FILTER (WHERE node_type = 'rail') AS n_stations FROM n""",
@@ -397,13 +424,13 @@ def oracle_sql() -> dict[str, str]:
         + _SPEED
         + f""" SELECT row_id, mode, {_r("grade")} AS grade, {_r("kmh")} AS kmh, {_r("leg_s")} AS seconds, {_GRADE} AS grade_class,
             {_CONDITION} AS condition_class, {_r(_WIDTH)} AS ribbon_m FROM es""",
-        "route_queries": w + _QUERIES + " SELECT query_id, source, target FROM q",
-        "trip_guards": w
-        + _QUERIES
-        + f""", g AS (SELECT *, {_hav("lat_a", "lon_a", "lat_b", "lon_b")} / 1000.0::DOUBLE AS km FROM q)
-            SELECT query_id, {_r("km", 6)} AS trip_km, CASE WHEN km < 5 THEN 'too_short' WHEN km > 300 THEN 'too_long'
-              WHEN NOT (lat_a BETWEEN 46.2 AND 54 AND lat_b BETWEEN 46.2 AND 54 AND lon_a BETWEEN 6 AND 15 AND lon_b BETWEEN 6 AND 15)
-              THEN 'out_of_coverage' END AS verdict FROM g""",
+        "route_queries": w + _TRIPS + " SELECT query_id, source, target FROM trips",
+        "trip_guards": w + _TRIPS + f" SELECT query_id, {_r('km', 6)} AS trip_km, {_verdict(K.MIN_TRIP_KM)} AS verdict FROM trips, bx",
+        "route_verdicts": rec
+        + _ROUTE
+        + f""" SELECT t.query_id, coalesce({_verdict(K.MIN_TRIP_KM)}, 'ok') AS specified,
+            coalesce({_verdict(SHORTEST_KM)}, CASE WHEN c.cost IS NULL THEN 'no_route' ELSE 'ok' END) AS outcome, {_r("c.cost")} AS cost
+            FROM trips t CROSS JOIN bx LEFT JOIN (SELECT query_id, max(reached) AS cost FROM path GROUP BY 1) c USING (query_id)""",
         "view_state": w
         + _QUERIES
         + f""" SELECT query_id, {_r("(lat_a + lat_b) / 2", 7)} AS mid_lat, {_r("(lon_a + lon_b) / 2", 7)} AS mid_lon,
@@ -414,7 +441,7 @@ def oracle_sql() -> dict[str, str]:
         **{
             f"snap_nearest_{name}": w
             + f" SELECT place_key, other AS osmid, {_r('distance_m')} AS distance_m FROM ("
-            + _near("(SELECT * FROM gazetteer WHERE lat IS NOT NULL AND lon IS NOT NULL)", "place_key", nodes, 8000.0, 1)
+            + _near("(SELECT * FROM gazetteer WHERE lat IS NOT NULL AND lon IS NOT NULL)", "place_key", nodes, 20_100_000.0, 1)
             + ")"
             for name, nodes in (("any", "n"), ("bike", "(SELECT * FROM n WHERE node_type = 'bike')"))
         },
@@ -521,12 +548,11 @@ def oracle_sql() -> dict[str, str]:
         "dedup_nodes": w + merged + " SELECT * FROM mg",
         "dedup_edges": w
         + merged
-        + """, rp AS (SELECT a.kept AS f, b.kept AS t, e.mode, e.key, e.length_m, coalesce(geometry_wkt, '') AS g
+        + """, rp AS (SELECT a.kept AS f, b.kept AS t, e.mode, e.key, e.length_m, e.height_diff_m, e.surface, e.highway, e.row_id, coalesce(geometry_wkt, '') AS g
               FROM e JOIN mg a ON e.from_node = a.osmid JOIN mg b ON e.to_node = b.osmid)
-            , dd AS (SELECT f, t, mode, g FROM rp WHERE NOT (mode = 'bike' AND f = t) GROUP BY ALL)
-            , nb AS (SELECT *, row_number() OVER (PARTITION BY f, t) - 1 AS k, FROM dd)
-            , mk AS (SELECT mode, max(k) AS mk FROM (SELECT mode, count(*) OVER (PARTITION BY f, t) - 1 AS k FROM dd) GROUP BY 1)
-            SELECT mode, count(*) AS n_edges, any_value(mk.mk) AS most_key, count(DISTINCT f) AS n_from FROM dd JOIN mk USING (mode) GROUP BY mode""",
+            , dd AS (SELECT * FROM rp WHERE NOT (mode = 'bike' AND f = t)
+              QUALIFY row_number() OVER (PARTITION BY f, t, mode, g ORDER BY key, length_m, height_diff_m NULLS FIRST, surface NULLS FIRST, highway NULLS FIRST, row_id) = 1)
+            SELECT f AS from_node, t AS to_node, row_number() OVER (PARTITION BY f, t ORDER BY mode, key, g) - 1 AS key, mode, g AS geometry_wkt, row_id FROM dd""",
         "reid_contiguous": w + ids + " SELECT * FROM ids",
         "reid_edges": w
         + ids
@@ -534,6 +560,76 @@ def oracle_sql() -> dict[str, str]:
         "combine_offsets": w
         + """ SELECT region_key, nodes, coalesce(sum(nodes) OVER (ORDER BY region_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_id
             FROM (SELECT region_key, count(*) AS nodes FROM n GROUP BY 1)""",
+        "ribbon_runs": h
+        + f""", lk AS (
+            SELECT query_id, seq, CASE {_CONDITION} WHEN 'train' THEN '#9600c8' WHEN 'good' THEN '#1565c0' WHEN 'unpaved' THEN '#ef7f18' ELSE '#c80d29' END AS colour,
+              round({_WIDTH}, 4) AS width_m, CASE WHEN mode = 'rail' THEN 'Train' ELSE concat_ws(' · ',
+                CASE WHEN surface_bad THEN 'unpaved path' ELSE 'paved road' END, CASE WHEN road_bad THEN 'main road' ELSE 'quiet way' END,
+                printf('%+.0f%% %s', round_even(grade * 100.0::DOUBLE, 0) + 0.0::DOUBLE, CASE WHEN grade * 100.0::DOUBLE > 0.5 THEN 'uphill' WHEN grade * 100.0::DOUBLE < -0.5 THEN 'downhill' ELSE 'flat' END),
+                printf('~%.0f km/h', round_even(kmh, 0)), printf('%.0f m', round_even(elevation_m, 0))) END AS tooltip
+            FROM pts WHERE seq > 0
+          ), lr AS (SELECT *, sum(new) OVER (PARTITION BY query_id ORDER BY seq)::INTEGER AS run FROM (
+            SELECT *, CASE WHEN lag(seq) OVER w IS NOT NULL AND colour IS NOT DISTINCT FROM lag(colour) OVER w AND width_m IS NOT DISTINCT FROM lag(width_m) OVER w
+              AND tooltip IS NOT DISTINCT FROM lag(tooltip) OVER w THEN 0 ELSE 1 END AS new FROM lk WINDOW w AS (PARTITION BY query_id ORDER BY seq)))
+          SELECT query_id, run, colour, width_m, tooltip, min(seq) - 1 AS first_seq, max(seq) AS last_seq FROM lr GROUP BY 1, 2, 3, 4, 5""",
+        "station_nearest_track": w
+        + f""", st AS ({named}), ln AS (SELECT DISTINCT from_node, to_node, from_lat, from_lon, to_lat, to_lon FROM e WHERE mode = 'rail'
+          ), xy AS (
+            SELECT st.osmid AS station, from_node, to_node,
+              (from_lon - lon) * cos(radians(lat)) * {K.METRES_PER_DEGREE}::DOUBLE AS pax, (from_lat - lat) * {K.METRES_PER_DEGREE}::DOUBLE AS pay,
+              (to_lon - lon) * cos(radians(lat)) * {K.METRES_PER_DEGREE}::DOUBLE AS pbx, (to_lat - lat) * {K.METRES_PER_DEGREE}::DOUBLE AS pby
+            FROM st JOIN ln ON lat BETWEEN least(from_lat, to_lat) - 0.002 AND greatest(from_lat, to_lat) + 0.002
+          ), tt AS (
+            SELECT *, CASE WHEN (pbx - pax) * (pbx - pax) + (pby - pay) * (pby - pay) > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+              -(pax * (pbx - pax) + pay * (pby - pay)) / ((pbx - pax) * (pbx - pax) + (pby - pay) * (pby - pay)))) ELSE 0.0::DOUBLE END AS t FROM xy
+          ), off AS (SELECT *, sqrt(pow(pax + t * (pbx - pax), 2) + pow(pay + t * (pby - pay), 2)) AS distance_m FROM tt)
+          SELECT station, from_node, to_node, {_r("distance_m", 3)} AS distance_m, CASE WHEN pax * pax + pay * pay <= pbx * pbx + pby * pby THEN from_node ELSE to_node END AS node
+          FROM off WHERE distance_m <= {K.STATION_RADIUS_M} QUALIFY row_number() OVER (PARTITION BY station ORDER BY round(distance_m, 6), from_node, to_node) = 1""",
+        "densify_edges": w
+        + bike_verts
+        + f""", st AS (
+            SELECT *, floor({_hav("lat", "lon", "lat1", "lon1")} / {0.9 * K.MAX_VERTEX_GAP_M!r}::DOUBLE)::INTEGER + 1 AS steps FROM (
+              SELECT *, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1, lead(z) OVER w AS z1 FROM pv WHERE nv >= 2 WINDOW w AS (PARTITION BY row_id ORDER BY k))
+          ), ins AS (
+            SELECT row_id, lon, lat, z, lon1, lat1, z1, steps, unnest(generate_series(0, steps - 1)) AS i FROM st WHERE lat1 IS NOT NULL
+          ), al AS (
+            SELECT row_id, lon + (lon1 - lon) * i / steps AS lon, lat + (lat1 - lat) * i / steps AS lat, z + (z1 - z) * i / steps AS z FROM ins
+            UNION ALL SELECT row_id, lon, lat, z FROM st WHERE lat1 IS NULL)
+          SELECT row_id, count(*)::INTEGER AS n_vertices, {_r("sum(lon) * 0.7310585786::DOUBLE", 6)} AS sum_lon, {_r("sum(lat) * 0.7310585786::DOUBLE", 6)} AS sum_lat, {_r("sum(z) * 0.7310585786::DOUBLE", 4)} AS sum_z FROM al GROUP BY 1""",
+        "wkt_text": w + f" SELECT row_id, geometry_wkt AS wkt FROM e WHERE {_Z}",
+        "split_edges_extrema": rec
+        + bike_verts
+        + f""", parts(row_id, a, b, cut) AS (
+            SELECT row_id, 1::BIGINT, max(nv), NULL::BIGINT FROM pv WHERE nv >= 2 GROUP BY 1
+            UNION ALL
+            SELECT row_id, s.x.a, s.x.b, NULL FROM (
+              SELECT p.row_id, unnest([struct_pack(a := p.a, b := arg_min(v.k, struct_pack(w := -v.off, k := v.k))), struct_pack(a := arg_min(v.k, struct_pack(w := -v.off, k := v.k)), b := p.b)]) AS x
+              FROM parts p JOIN pv f ON f.row_id = p.row_id AND f.k = p.a JOIN pv t ON t.row_id = p.row_id AND t.k = p.b
+              JOIN (SELECT row_id, k, z AS off, z FROM pv) v0 ON v0.row_id = p.row_id AND v0.k > p.a AND v0.k < p.b
+              , LATERAL (SELECT v0.k AS k, greatest(least(f.z, t.z) - v0.z, v0.z - greatest(f.z, t.z)) AS off) v
+              WHERE v.off > 2.0 GROUP BY p.row_id, p.a, p.b) s
+          ), leaves AS (
+            SELECT p.row_id, p.a, p.b FROM parts p WHERE NOT EXISTS (SELECT 1 FROM parts c WHERE c.row_id = p.row_id AND c.a = p.a AND c.b < p.b)
+          ), seg AS (
+            SELECT row_id, k, {_hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS d FROM pv WINDOW w AS (PARTITION BY row_id ORDER BY k))
+          SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY a) - 1)::INTEGER AS part, (b - a + 1)::INTEGER AS n_vertices,
+            (SELECT {_r("sum(d)", 3)} FROM seg s WHERE s.row_id = l.row_id AND s.k > l.a AND s.k <= l.b) AS length_m FROM leaves l""",
+        "contracted_chains": rec
+        + """, und2 AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT from_node AS u, to_node AS v FROM e WHERE mode = 'bike' AND from_node <> to_node
+              UNION ALL SELECT to_node, from_node FROM e WHERE mode = 'bike' AND from_node <> to_node))
+          , inn AS MATERIALIZED (SELECT u FROM und2 GROUP BY 1 HAVING count(*) = 2)
+          , lk AS (SELECT u AS from_node, v AS to_node FROM und2 WHERE u IN (SELECT u FROM inn) AND v IN (SELECT u FROM inn))"""
+        + _labels("lk")
+        + " SELECT inn.u AS osmid, coalesce(lab.l, inn.u) AS chain FROM inn LEFT JOIN lab ON lab.u = inn.u",
+        "prune_components": rec
+        + "\n, bk AS (SELECT * FROM e WHERE mode = 'bike')"
+        + _labels("bk")
+        + pair_len
+        + _labels("(SELECT * FROM e WHERE mode = 'rail')").replace("und", "undr").replace("lab(", "labr(").replace("lab ", "labr ").replace("lab.", "labr.").replace("labr x", "labr x")
+        + """, keep AS MATERIALIZED (SELECT u FROM lab WHERE l IN (SELECT component FROM cl WHERE length_m >= 5000)
+            UNION SELECT u FROM labr WHERE l = (SELECT l FROM labr GROUP BY 1 ORDER BY count(*) DESC, l LIMIT 1))
+          SELECT node_type AS kind, count(*) AS n FROM n WHERE osmid IN (SELECT u FROM keep) GROUP BY 1
+          UNION ALL SELECT 'edge ' || mode, count(*) FROM e WHERE from_node IN (SELECT u FROM keep) AND to_node IN (SELECT u FROM keep) GROUP BY mode""",
         "components_bike": labelled + pair_len + " SELECT component, nodes, length_m FROM cs JOIN cl USING (component)",
         "dem_sample_nodes": w + f" SELECT osmid, {dem} AS elevation_m FROM n",
         "nan_fill_mean": w

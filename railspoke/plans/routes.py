@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railspoke.functions import columns as C
@@ -15,12 +15,15 @@ from railspoke.operators import graph as G
 from railspoke.operators import simplify as S
 from railspoke.operators import track as T
 from railspoke.operators import validate as V
-from railspoke.operators.lineage import shared_folder, written
+from railspoke.operators.lineage import application_folder, forget, written
 from railspoke.sources import tiles
 from railspoke.sources.tables import table
 
-#: Corridors of the SQL, half width and extension in km, bike and rail; the queries search the wider ones of the constants.
-BIKE_TUBE, RAIL_TUBE = (2.0, 0.5), (5.0, 2.0)
+#: Corridors, half width and extension in km, bike and rail.
+BIKE_TUBE, RAIL_TUBE = (K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM), (K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM)
+#: The shortest trip of the registered route queries. The stored graph is 24 towns some 3 to 7 km wide, without a way
+#: between them, so that with the specified 5 km nearly no trip would have a route; ``route_verdicts`` has both.
+SHORTEST_KM = 1.0
 #: Preferences of the registered route queries: a rider who likes trains, so that rides occur on short trips.
 ROUTE_PREFS = {"uphill": 12.0, "unpaved": 3.0, "main": 1.0, "rail": 0.0, "boarding": 0.5}
 #: Five sets of preferences for the what-if query.
@@ -33,6 +36,21 @@ SWEEP = [
 ]
 
 
+#: Tiled stores that this session has built: by application, folder and what lay in it.
+_STORES: dict[tuple, str] = {}
+
+
+def _contents(s: SparkSession, files: list[str]) -> tuple:
+    """Names, sizes and times of the files of a table."""
+    conf = s._jsparkSession.sessionState().newHadoopConf()
+    out = []
+    for f in sorted(files):
+        path = s._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 class Graph:
     def __init__(self, s: SparkSession, d: str) -> None:
         self.s, self.d = s, d
@@ -42,18 +60,58 @@ class Graph:
         self.regions = table(s, d, "build_regions")
 
     def saved(self) -> Graph:
-        """With the clean tables written once, for plans that read them several times."""
-        self.nodes = written(self.nodes, "nodes")
-        self.edges = written(G.clean_edges(table(self.s, self.d, "edges"), self.nodes), "edges")
+        """Over the tiled store of the clean graph, which a session builds once for the same files."""
+        raw = [table(self.s, self.d, name) for name in ("nodes", "edges")]
+        key = (self.s.sparkContext.applicationId, self.d, *(_contents(self.s, r.inputFiles()) for r in raw))
+        if key not in _STORES:
+            path = f"{application_folder(self.s)}/store-{uuid.uuid4().hex}"
+            nodes = written(G.clean_nodes(raw[0]), "nodes")
+            edges = written(G.clean_edges(raw[1], nodes), "edges")
+            tiles.write_store(nodes, edges, path, extra=(["place_key", "region_key"], ["row_id", "way_id"]))
+            forget(nodes)
+            forget(edges)
+            _STORES[key] = path
+        self.path = _STORES[key]
+        self.nodes, self.edges = (tiles.read_store(self.s, self.path, name).drop("tile_row", "tile_col") for name in ("nodes", "edges"))
         return self
 
+    def pruned(self) -> Graph:
+        """Over the tiles of the store that the searched trips' corridors touch."""
+        asked = self.queries()
+        cells = None
+        for tube in (BIKE_TUBE, RAIL_TUBE):
+            one = G.corridor_cells(asked, *tube, K.TILE_DEG).select("row", "col")
+            cells = one if cells is None else cells.unionByName(one)
+        # at most as many as the globe has tiles
+        touched = [(int(r["row"]), int(r["col"])) for r in cells.distinct().collect()]
+        out = Graph(self.s, self.d)
+        out.path, out.asked = self.path, asked
+        out.nodes, out.edges = (tiles.read_store(self.s, self.path, name, touched).drop("tile_row", "tile_col") for name in ("nodes", "edges"))
+        return out
+
+    asked: DataFrame | None = None
+
     def trips(self) -> DataFrame:
-        """One route per place, from its westernmost to its easternmost bike node, of any length."""
+        """Trips of any length: from each place's westernmost bike node to the easternmost of the next place of its region
+        (a region of one place: of itself); from each region to the next one; and from each region to a place south of all.
+        """
         bike = self.nodes.where("node_type = 'bike' and place_key is not null")
-        ends = bike.groupBy(F.col("place_key").alias("query_id")).agg(
-            F.min(F.struct("lon", "osmid", "lat")).alias("a"), F.max(F.struct("lon", "osmid", "lat")).alias("b")
+        end = lambda f: f(F.struct("lon", "osmid", "lat"))
+        places = bike.groupBy("region_key", "place_key").agg(end(F.min).alias("a"), end(F.max).alias("b"))
+        # one row per place
+        ring = Window.partitionBy("region_key").orderBy("place_key")
+        whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        near = places.select(
+            F.concat("region_key", F.lit("/"), "place_key").alias("query_id"), "a", F.coalesce(F.lead("b").over(ring), F.first("b").over(whole)).alias("b")
         )
-        return ends.where("a.osmid <> b.osmid").select(
+        # one row per region
+        first = places.groupBy("region_key").agg(F.min_by("a", "place_key").alias("a"))
+        far = first.select(F.concat("region_key", F.lit("/next")).alias("query_id"), "a", F.lead("a").over(Window.orderBy("region_key")).alias("b"))
+        south = self.regions.agg((F.min("south") - 0.5).alias("_s"))
+        off = F.struct(F.col("a.lon").alias("lon"), F.lit(0).cast("long").alias("osmid"), F.col("_s").alias("lat"))
+        out = first.crossJoin(F.broadcast(south)).select(F.concat("region_key", F.lit("/south")).alias("query_id"), "a", off.alias("b"))
+        every = near.unionByName(far.where("b is not null")).unionByName(out)
+        return every.where("a.osmid <> b.osmid").select(
             "query_id",
             F.col("a.osmid").alias("source"),
             F.col("b.osmid").alias("target"),
@@ -63,19 +121,28 @@ class Graph:
             F.col("b.lon").alias("lon_b"),
         )
 
+    def guarded(self, min_km: float = SHORTEST_KM) -> DataFrame:
+        """Every trip with its length and the verdict of the guards; covered is the box of the build regions."""
+        box = self.regions.agg(*[f(c).alias(c) for c, f in (("west", F.min), ("south", F.min), ("east", F.max), ("north", F.max))])
+        # one row
+        trips = self.trips().crossJoin(F.broadcast(box))
+        return G.trip_guard(trips, *map(F.col, ("west", "south", "east", "north")), min_km).drop("west", "south", "east", "north")
+
     def queries(self) -> DataFrame:
-        """The trips that are searched: those that are not too long."""
-        return self.trips().where(C.haversine_m(*map(F.col, ("lat_a", "lon_a", "lat_b", "lon_b"))) <= K.MAX_TRIP_KM * 1000.0)
+        """The trips that pass the guards."""
+        if self.asked is None:
+            self.asked = written(self.guarded().where("verdict is null").drop("verdict", "trip_km"), "queries")
+        return self.asked
 
     def in_corridors(self) -> DataFrame:
         return G.corridor_edges(self.queries(), self.nodes, self.edges.drop("geometry_wkt"))
 
     def paths(self) -> DataFrame:
-        slim = G.costed(self.in_corridors(), route_prefs()).select("query_id", "from_node", "to_node", "key", "cost")
-        return G.all_paths(self.queries(), G.min_collapse(slim, "query_id"), self.nodes)
+        return G.routes(self.queries(), self.nodes, G.costed(self.edges, route_prefs()))
 
     def hops(self) -> DataFrame:
-        return written(T.hops(G.path_edges(self.paths(), G.costed(self.edges, route_prefs())), self.nodes), "hops")
+        paths = written(self.paths(), "paths")
+        return written(T.hops(G.path_edges(paths, G.costed(self.edges, route_prefs())), self.nodes), "hops")
 
 
 def route_prefs() -> dict:
@@ -92,10 +159,14 @@ def _r(rows: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     )
 
 
-def _g(f: Callable[[Graph], DataFrame], saved: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def _g(f: Callable[[Graph], DataFrame], saved: bool = False, pruned: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """``saved``: over the tiled store; ``pruned``: over its tiles that the trips' corridors touch."""
+
     def run(s: SparkSession, d: str) -> DataFrame:
         g = Graph(s, d)
-        return f(g.saved() if saved else g)
+        if saved or pruned:
+            g = g.saved()
+        return f(g.pruned() if pruned else g)
 
     return run
 
@@ -138,18 +209,28 @@ def _speed(g: Graph) -> DataFrame:
 
 
 def _round_trip(g: Graph) -> DataFrame:
-    """All tiles written and read again: rows that come out, by tile."""
-    path = f"{shared_folder(g.s)}/railspoke/store-{uuid.uuid4().hex}"
-    g.saved()
-    tiles.write_store(g.nodes, g.edges, path)
+    """All tiles of the store read again: every row with its tile."""
     out = None
-    for name in ("nodes", "edges"):
-        rows = tiles.read_store(g.s, path, name).groupBy("tile_row", "tile_col").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.select(F.lit(name).alias("table_name"), C.tile_name(F.col("tile_row"), F.col("tile_col")).alias("tile"), "n")
+    for name, ends in (("nodes", ("osmid", "osmid")), ("edges", ("from_node", "to_node"))):
+        rows = tiles.read_store(g.s, g.path, name)
+        rows = rows.select(
+            F.lit(name).alias("table_name"),
+            C.tile_name(F.col("tile_row"), F.col("tile_col")).alias("tile"),
+            F.col(ends[0]).alias("a"),
+            F.col(ends[1]).alias("b"),
+            F.lit(0).cast("long").alias("key") if name == "nodes" else F.col("key"),
+        )
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _meta_file(g: Graph) -> DataFrame:
+    """What the store's meta.json says."""
+    m = tiles.read_meta(g.s, g.path)
+    box = [m["bbox"][k].alias(n) for k, n in enumerate(("west", "south", "east", "north"))]
+    return m.select(*box, "tile_deg", "tolerance_m", "n_nodes", "n_edges", "n_stations")
+
+
 def _meta(g: Graph) -> DataFrame:
     m = tiles.meta(g.nodes, g.edges)
     return m.select(*[m["bbox"][k].alias(n) for k, n in enumerate(("west", "south", "east", "north"))], "n_nodes", "n_edges", "n_stations")
@@ -157,7 +238,7 @@ def _meta(g: Graph) -> DataFrame:
 
 def _snap(g: Graph, kind: str | None) -> DataFrame:
     nodes = g.nodes if kind is None else g.nodes.where(F.col("node_type") == kind)
-    found = G.nearest(g.places.where("lat is not null and lon is not null"), nodes, "place_key", 1, (500.0, 2000.0, 8000.0))
+    found = G.nearest(g.places.where("lat is not null and lon is not null"), nodes, "place_key")
     return _r(found.select("place_key", "osmid", "distance_m"))
 
 
@@ -165,7 +246,7 @@ def _nearest_place(g: Graph) -> DataFrame:
     """The settlement nearest to each named station, within 10 km."""
     stations = g.nodes.where("node_type = 'rail' and station_name is not null").select(F.col("osmid").alias("station"), "lat", "lon")
     places = g.places.where("lat is not null").select(F.col("place_key").alias("osmid"), "lat", "lon")
-    found = G.nearest(stations, places, "station", 1, (1000.0, 10_000.0))
+    found = G.nearest(stations, places, "station", 1, (1000.0, 10_000.0), beyond=False)
     names = g.places.select(F.col("place_key").alias("osmid"), "name")
     return _r(found.join(names, "osmid").select("station", F.col("osmid").alias("place_key"), "name", "distance_m"))
 
@@ -180,8 +261,6 @@ def _dense(g: Graph) -> DataFrame:
 
 def _dense_numbered(g: Graph) -> DataFrame:
     """Dense points with one running number, each carrying the hop that its segment lies on."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy("seq", "pt")
     points = _dense(g)
     carried = ["mode", "surface_bad", "road_bad", "grade", "kmh"]
@@ -236,8 +315,6 @@ def _literals(g: Graph) -> DataFrame:
 
 def _autocomplete(g: Graph) -> DataFrame:
     """The five places nearest to the graph's middle for each two-letter beginning of a name (a top-k report)."""
-    from pyspark.sql import Window
-
     mid = g.nodes.agg(((F.min("lat") + F.max("lat")) / 2).alias("m_lat"), ((F.min("lon") + F.max("lon")) / 2).alias("m_lon"))
     # one row
     rows = g.places.where("name is not null and lat is not null").crossJoin(F.broadcast(mid))
@@ -279,7 +356,15 @@ def _filled(g: Graph) -> DataFrame:
 
 def _dense_lines(g: Graph) -> DataFrame:
     lines = B.densified_lines(g.edges.where("mode = 'bike'"))
-    return lines.select("row_id", F.size("line").alias("n_vertices"), B.wkt_text(F.col("line")).alias("wkt"))
+    total = lambda c: F.aggregate("line", F.lit(0.0), lambda acc, v: acc + v[c])
+    # times a number without a short form, so that no sum lies halfway between two rounded ones
+    sums = [(F.round(total(c) * 0.7310585786, d) + F.lit(0.0)).alias(f"sum_{c}") for c, d in (("lon", 6), ("lat", 6), ("z", 4))]
+    return lines.select("row_id", F.size("line").alias("n_vertices"), *sums)
+
+
+def _wkt(g: Graph) -> DataFrame:
+    """Stored geometries parsed and written again."""
+    return g.edges.where("geometry_wkt is not null").select("row_id", B.wkt_text(C.parsed_wkt(F.col("geometry_wkt"))).alias("wkt"))
 
 
 def _splits(g: Graph) -> DataFrame:
@@ -298,7 +383,7 @@ def _merged(g: Graph) -> DataFrame:
 
 def _repointed(g: Graph) -> DataFrame:
     out = B.repointed(g.edges, written(_merged(g), "merged"))
-    return out.groupBy("mode").agg(F.count(F.lit(1)).alias("n_edges"), F.max("key").alias("most_key"), F.countDistinct("from_node").alias("n_from"))
+    return out.select("from_node", "to_node", "key", "mode", F.coalesce("geometry_wkt", F.lit("")).alias("geometry_wkt"), "row_id")
 
 
 def _renumbered(g: Graph) -> DataFrame:
@@ -339,11 +424,16 @@ def _dropped(g: Graph) -> DataFrame:
 
 
 def _guard(g: Graph) -> DataFrame:
-    """Every trip with its verdict; covered is the box of the build regions."""
-    box = g.regions.agg(*[f(c).alias(c) for c, f in (("west", F.min), ("south", F.min), ("east", F.max), ("north", F.max))])
-    # one row
-    trips = g.trips().crossJoin(F.broadcast(box))
-    return _r(G.trip_guard(trips, *map(F.col, ("west", "south", "east", "north"))).select("query_id", "trip_km", "verdict"), digits=6)
+    return _r(g.guarded(K.MIN_TRIP_KM).select("query_id", "trip_km", "verdict"), digits=6)
+
+
+def _verdicts(g: Graph) -> DataFrame:
+    """Every trip: what the guards say with the specified and with the registered shortest trip, and what the search found."""
+    specified = g.guarded(K.MIN_TRIP_KM).select("query_id", F.coalesce("verdict", F.lit("ok")).alias("specified"))
+    found = g.pruned().paths().groupBy("query_id").agg(F.max("reached").alias("cost"))
+    trips = g.guarded().join(found, "query_id", "left").join(specified, "query_id")
+    outcome = F.coalesce("verdict", F.when(F.col("cost").isNull(), "no_route").otherwise("ok"))
+    return _r(trips.select("query_id", "specified", outcome.alias("outcome"), "cost"))
 
 
 def _view(g: Graph) -> DataFrame:
@@ -361,31 +451,7 @@ def _one_to_all(g: Graph) -> DataFrame:
     start = g.nodes.where("node_type = 'bike'").groupBy(F.col("region_key").alias("query_id")).agg(F.min("osmid").alias("source"))
     slim = written(G.min_collapse(G.costed(g.edges)).select("from_node", "to_node", "cost"), "slim")
     # each query walks the same graph: edges are not copied per query, sources are labelled instead
-    known = reach_shared(start, slim)
-    return _r(known)
-
-
-def reach_shared(sources: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    known = written(sources.select("query_id", F.col("source").alias("osmid"), F.lit(0.0).alias("reached")), "reach")
-    frontier = known
-    for _ in range(rounds):
-        step = (
-            frontier.join(edges, frontier["osmid"] == edges["from_node"])
-            .groupBy("query_id", F.col("to_node").alias("osmid"))
-            .agg(F.min(F.col("reached") + F.col("cost")).alias("new"))
-        )
-        merged = known.join(step, ["query_id", "osmid"], "full").select(
-            "query_id",
-            "osmid",
-            F.least(F.coalesce("reached", "new"), F.coalesce("new", "reached")).alias("reached"),
-            F.coalesce(F.col("reached").isNull() | (F.col("new") < F.col("reached")), F.lit(False)).alias("better"),
-        )
-        merged = written(merged, "reach")
-        frontier = merged.where("better").select("query_id", "osmid", "reached")
-        known = merged.select("query_id", "osmid", "reached")
-        if frontier.isEmpty():
-            break
-    return known
+    return _r(G.reach_all(start, slim))
 
 
 def route_costs(g: Graph) -> DataFrame:
@@ -402,7 +468,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tile_assign_nodes": _g(lambda g: tiles.with_tile(g.nodes).select("osmid", "tile_row", "tile_col", C.tile_name(F.col("tile_row"), F.col("tile_col")).alias("tile"))),
         "tile_assign_edges": _g(lambda g: tiles.edges_with_tile(g.edges, g.nodes).select("row_id", "tile_row", "tile_col")),
         "tile_counts": _g(lambda g: tiles.with_tile(g.nodes).groupBy("tile_row", "tile_col", "node_type").agg(F.count(F.lit(1)).alias("n"))),
-        "tiled_store_round_trip": _g(_round_trip),
+        "tiled_store_round_trip": _g(_round_trip, True),
+        "store_meta": _g(_meta_file, True),
         "bbox_meta": _g(_meta),
         # cost
         "edge_cost_default": _g(lambda g: _r(G.costed(g.edges).select("row_id", "cost"))),
@@ -414,35 +481,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tag_road_weight_tier": _g(lambda g: _tag_query(g, "highway", K.ROAD_WEIGHT, K.ROAD_UNTAGGED)),
         "edge_speed_and_classes": _g(_speed),
         # corridors, snapping, search
-        "route_queries": _g(lambda g: g.trips().select("query_id", "source", "target")),
-        "trip_guards": _g(_guard),
-        "view_state": _g(_view),
-        "corridor_nodes_bike": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'bike'"), K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM).select("query_id", "osmid")),
-        "corridor_nodes_rail": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'rail'"), K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM).select("query_id", "osmid")),
-        "corridor_edges_combined": _g(lambda g: g.in_corridors().groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("n_edges")), True),
-        "snap_nearest_any": _g(lambda g: _snap(g, None)),
-        "snap_nearest_bike": _g(lambda g: _snap(g, "bike")),
-        "nearest_place": _g(_nearest_place),
-        "route_shortest_cost": _g(route_costs, True),
-        "route_path_nodes": _g(lambda g: _r(g.paths()), True),
+        "route_queries": _g(lambda g: g.trips().select("query_id", "source", "target"), True),
+        "trip_guards": _g(_guard, True),
+        "route_verdicts": _g(_verdicts, True),
+        "view_state": _g(_view, True),
+        "corridor_nodes_bike": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'bike'"), K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM).select("query_id", "osmid"), pruned=True),
+        "corridor_nodes_rail": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'rail'"), K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM).select("query_id", "osmid"), pruned=True),
+        "corridor_edges_combined": _g(lambda g: g.in_corridors().groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("n_edges")), pruned=True),
+        "snap_nearest_any": _g(lambda g: _snap(g, None), True),
+        "snap_nearest_bike": _g(lambda g: _snap(g, "bike"), True),
+        "nearest_place": _g(_nearest_place, True),
+        "route_shortest_cost": _g(route_costs, pruned=True),
+        "route_path_nodes": _g(lambda g: _r(g.paths()), pruned=True),
         "route_one_to_all_cost": _g(_one_to_all, True),
-        "path_edges_cheapest": _g(lambda g: _r(g.hops().select("query_id", "seq", "from_node", "to_node", "key", "mode", "cost")), True),
+        "path_edges_cheapest": _g(lambda g: _r(g.hops().select("query_id", "seq", "from_node", "to_node", "key", "mode", "cost")), pruned=True),
         # tracks
-        "track_points": _g(lambda g: _r(_track(g), digits=6), True),
-        "track_cumulative_km": _g(lambda g: _r(T.cumulative_km(_track(g)).select("query_id", "seq", "leg_km", "km"), digits=6), True),
-        "track_stats": _g(_stats, True),
-        "windowed_climb": _g(lambda g: _r(T.windowed_climb(g.hops()), digits=3), True),
-        "mode_runs": _g(lambda g: T.mode_runs(g.hops()).select("query_id", "seq", "mode", "run"), True),
-        "leg_lines": _g(_legs, True),
-        "rail_leg_tooltips": _g(lambda g: T.rail_leg_lines(g.hops()).select("query_id", "leg", "tooltip"), True),
-        "densified_track": _g(lambda g: _r(_dense(g), digits=6), True),
-        "composition_long": _g(lambda g: _r(points(_track(g)).select("query_id", "dimension", "label", "ord", "km"), digits=6), True),
-        "composition_pct": _g(lambda g: _r(points(_dense_numbered(g)).select("query_id", "dimension", "label", "pct"), digits=3), True),
-        "ribbon_runs": _g(lambda g: T.ribbon_runs(_track(g)), True),
-        "profile_runs": _g(lambda g: _r(T.profile_runs(_track(g)), digits=5), True),
-        "gpx_points": _g(_gpx, True),
-        "waypoints_visvalingam": _g(_waypoints, True),
-        "maps_url": _g(_maps_url),
+        "track_points": _g(lambda g: _r(_track(g), digits=6), pruned=True),
+        "track_cumulative_km": _g(lambda g: _r(T.cumulative_km(_track(g)).select("query_id", "seq", "leg_km", "km"), digits=6), pruned=True),
+        "track_stats": _g(_stats, pruned=True),
+        "windowed_climb": _g(lambda g: _r(T.windowed_climb(g.hops()), digits=3), pruned=True),
+        "mode_runs": _g(lambda g: T.mode_runs(g.hops()).select("query_id", "seq", "mode", "run"), pruned=True),
+        "leg_lines": _g(_legs, pruned=True),
+        "rail_leg_tooltips": _g(lambda g: T.rail_leg_lines(g.hops()).select("query_id", "leg", "tooltip"), pruned=True),
+        "densified_track": _g(lambda g: _r(_dense(g), digits=6), pruned=True),
+        "composition_long": _g(lambda g: _r(points(_track(g)).select("query_id", "dimension", "label", "ord", "km"), digits=6), pruned=True),
+        "composition_pct": _g(lambda g: _r(points(_dense_numbered(g)).select("query_id", "dimension", "label", "pct"), digits=3), pruned=True),
+        "ribbon_runs": _g(lambda g: T.ribbon_runs(_track(g)), pruned=True),
+        "profile_runs": _g(lambda g: _r(T.profile_runs(_track(g)), digits=5), pruned=True),
+        "gpx_points": _g(_gpx, pruned=True),
+        "waypoints_visvalingam": _g(_waypoints, pruned=True),
+        "maps_url": _g(_maps_url, True),
         "output_names": _g(_names),
         "parse_latlon_literals": _g(_literals),
         "autocomplete_prefix": _g(_autocomplete),
@@ -465,13 +533,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dem_sample_nodes": _g(_dem),
         "nan_fill_mean": _g(_filled),
         "densify_edges": _g(_dense_lines),
+        "wkt_text": _g(_wkt),
         "split_edges_extrema": _g(_splits),
         # validation
         "validate_types": _g(_types),
         "validate_height_diff": _g(_heights),
         "validate_vertex_gap": _g(lambda g: _r(V.vertex_gaps(g.edges.where("mode = 'bike'"), "row_id"))),
         "validate_z_band": _g(lambda g: _r(V.z_excess(g.edges.where("mode = 'bike'"), "row_id"))),
-        "validate_path_continuity": _g(lambda g: V.broken_paths(g.hops()).select("query_id", "seq", "from_node", "to_node"), True),
+        "validate_path_continuity": _g(lambda g: V.broken_paths(g.hops()).select("query_id", "seq", "from_node", "to_node"), pruned=True),
         "sanity_cost_model": _g(lambda g: _r(V.cost_sanity(G.costed(g.edges)))),
         "region_overlap": _g(lambda g: V.region_overlaps(g.regions)),
         "region_completeness": _g(lambda g: V.missing_regions(g.regions, table(g.s, g.d, "nodes"))),
