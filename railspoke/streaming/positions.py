@@ -16,9 +16,9 @@ from railspoke.operators.graph import nearest
 def snap_positions(
     positions: DataFrame, nodes: DataFrame, key: str, sink: str, checkpoint: str, radii: tuple[float, ...] = (100.0, 500.0, 2000.0)
 ) -> StreamingQuery:
-    """Writes (key, osmid, distance_m, rank) of each position's nearest node, however far, to Parquet under ``sink``."""
+    """Writes (key, osmid, distance_m, rank) of each position's nearest node to Parquet under ``sink``; positions off the graph (past the last radius) get none."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        nearest(rows, nodes, key, 1, radii).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        nearest(rows, nodes, key, 1, radii, beyond=False).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return positions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

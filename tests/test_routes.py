@@ -80,7 +80,7 @@ def graph(spark):
     raw = spark.createDataFrame(
         [(a, b, k, n, 0.0, s, h, m, g) for a, b, k, n, s, h, m, g in edges], EDGE
     ).selectExpr("*", "cast(null as long) AS way_id", "monotonically_increasing_id() AS row_id", "timestamp '2024-01-01' AS loaded_at")
-    return nodes, G.clean_edges(raw.unionByName(raw), nodes)
+    return nodes, G.clean_edges(raw.unionByName(raw.withColumn("row_id", F.col("row_id") + (1 << 40))), nodes)
 
 
 def routed(spark, graph, prefs):
@@ -168,7 +168,13 @@ def test_nearest_ties_and_rings(spark):
     nodes = spark.createDataFrame([(2, 48.0, 8.001), (1, 48.0, 7.999), (3, 48.05, 8.0)], "osmid long, lat double, lon double")
     points = spark.createDataFrame([("a", 48.0, 8.0), ("b", 48.049, 8.0), ("far", 10.0, 10.0)], "p string, lat double, lon double")
     got = {(r["p"], r["osmid"]) for r in G.nearest(points, nodes, "p").collect()}
-    assert got == {("a", 1), ("b", 3)}
+    assert got == {("a", 1), ("b", 3), ("far", 2)}
+    here = {(r["p"], r["osmid"]) for r in G.nearest(points, nodes, "p", radii=(500.0,), beyond=False).collect()}
+    assert here == {("a", 1), ("b", 3)}
+    # over the 180th meridian and at the poles
+    round_ = spark.createDataFrame([(5, 0.0, 179.999), (6, 89.99, 90.0), (7, -89.0, 0.0)], "osmid long, lat double, lon double")
+    ends = spark.createDataFrame([("d", 0.0, -179.999), ("n", 89.99, -90.0), ("s", -89.5, 180.0), ("none", None, 1.0)], "p string, lat double, lon double")
+    assert {(r["p"], r["osmid"]) for r in G.nearest(ends, round_, "p").collect()} == {("d", 5), ("n", 6), ("s", 7)}
     assert G.nearest(points, nodes, "p", 3).where("p = 'a'").count() == 3
 
 
@@ -214,3 +220,51 @@ def test_store(spark, graph, tmp_path):
     box = tiles.covering_tiles(8.0, 48.0, 8.1, 48.1)
     assert tiles.read_store(spark, str(tmp_path / "store"), "nodes", box).count() == 5
     assert tiles.read_meta(spark, str(tmp_path / "store")).collect()[0]["n_stations"] == 2
+    assert tiles.read_store(spark, str(tmp_path / "store"), "nodes", [(96, 16)]).count() == 5
+    checks = tiles.checked_store(spark, str(tmp_path / "store"))
+    assert checks["missing_end"] == checks["types"] == checks["heights"] == 0 and checks["no_geometry"] == 3 and checks["gap"] == 2
+
+
+def test_grouped_search_gives_the_same_as_single(spark):
+    """Random towns: each query in its own corridor, groups split into blocks, and all of them over the cap."""
+    import random
+
+    rng = random.Random(2)
+    at = {n: (48.0 + rng.random() * 0.5, 8.0 + rng.random() * 0.7, "bike" if n % 5 else "rail") for n in range(1, 160)}
+    nodes = spark.createDataFrame([(n, la, lo, 0.0, k) for n, (la, lo, k) in at.items()], "osmid long, lat double, lon double, elevation_m double, node_type string")
+    near = lambda n: sorted(at, key=lambda m: (at[m][0] - at[n][0]) ** 2 + (at[m][1] - at[n][1]) ** 2)[1:5]
+    edges = spark.createDataFrame([(n, m, float(rng.randint(1, 9))) for n in at for m in near(n)], "from_node long, to_node long, cost double")
+    rows = [(f"q{i}", a, b, *at[a][:2], *at[b][:2]) for i, (a, b) in enumerate((rng.choice([n for n in at if n % 5]), rng.choice([n for n in at if n % 5])) for _ in range(40))]
+    rows += [("none", 1, 999, *at[1][:2], 48.2, 8.2)]
+    queries = spark.createDataFrame(rows, "query_id string, source long, target long, lat_a double, lon_a double, lat_b double, lon_b double").where("source <> target")
+    tubes = {"bike": (6.0, 2.0), "rail": (12.0, 3.0)}
+    own = G.corridor_edges(queries, nodes.withColumn("station_name", F.lit("x")), edges, **tubes)
+    want = {tuple(r) for r in G.shortest_paths(queries, own).collect()}
+    assert len({r[0] for r in want}) > 10
+    for how in ({}, {"block": 3}, {"most": 1}):
+        assert {tuple(r) for r in G.routes(queries, nodes, edges, **tubes, **how).collect()} == want, how
+
+
+def test_tiles_of_a_list():
+    f = tiles.tile_filter([(1, 2), (1, 3), (1, 5), (2, 2)])
+    assert str(f).count("tile_row") == 3
+
+
+def test_violations_come_out(spark, graph):
+    from railspoke.operators import validate as V
+
+    nodes, edges = graph
+    crossed = edges.select("from_node", "to_node", "key", F.when(F.col("mode") == "bike", "rail").otherwise(F.col("mode")).alias("mode"))
+    assert G.typed_edges(G.with_ends(crossed, nodes), False).count() == 5
+    path = spark.createDataFrame([("q", 1, 1, 2), ("q", 2, 2, 3), ("q", 3, 9, 4)], "query_id string, seq int, from_node long, to_node long")
+    assert [r["seq"] for r in V.broken_paths(path).collect()] == [3]
+    regions = spark.createDataFrame([("a",), ("b",)], "region_key string")
+    assert [r["region_key"] for r in V.missing_regions(regions, regions.where("region_key = 'a'")).collect()] == ["b"]
+    lines = [
+        (1, "LINESTRING Z (8.0 48.0 1.0, 8.0005 48.0 2.0)"), (2, None), (3, "LINESTRING (8.0 48.0, 8.0005 48.0)"),
+        (4, "LINESTRING Z (8.0 48.0 1.0, 8.01 48.0 2.0)"), (5, "LINESTRING Z (8.0 48.0 1.0, 8.0001 48.0 50.0, 8.0002 48.0 1.0)"),
+    ]
+    faults = V.geometry_faults(spark.createDataFrame(lines, "row_id long, geometry_wkt string"), "row_id")
+    assert {(r["row_id"], r["fault"]) for r in faults.collect()} == {(2, "no_geometry"), (3, "no_height"), (4, "gap"), (5, "band")}
+    assert V.worst(faults, "off_m", "row_id").collect()[0]["row_id"] == 4
+    assert V.reduction_ok(spark.range(30), spark.range(10)).collect()[0]["sound"] and not V.reduction_ok(spark.range(30), spark.range(20)).collect()[0]["sound"]

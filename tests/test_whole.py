@@ -27,7 +27,7 @@ def stored(spark, tmp_path_factory):
     nodes, edges = [*OFF_AXIS], []
     for k, (place, lon_a, lat_a, lon_b, lat_b) in enumerate(PLACES):
         a, b = 2 * k + 1, 2 * k + 2
-        nodes += [(a, lat_a, lon_a, 100.0, "bike", None, place, "r"), (b, lat_b, lon_b, 100.0, "bike", None, place, "r")]
+        nodes += [(a, lat_a, lon_a, 100.0, "bike", None, place, place), (b, lat_b, lon_b, 100.0, "bike", None, place, place)]
         edges.append((a, b, 0, 20_000.0, 0.0, "asphalt", "residential", "bike", None, None, k))
     spark.createDataFrame(
         nodes,
@@ -48,10 +48,24 @@ def stored(spark, tmp_path_factory):
     return d
 
 
-def test_round_trip_gives_every_tile(spark, stored):
+def test_round_trip_gives_every_row(spark, stored):
     got = routes.queries()["tiled_store_round_trip"](spark, stored)
-    sums = {r["table_name"]: r["n"] for r in got.groupBy("table_name").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["table_name"]: r["n"] for r in got.groupBy("table_name").agg(F.count("tile").alias("n")).collect()}
     assert sums == {"nodes": 2 * len(PLACES) + len(OFF_AXIS), "edges": len(PLACES)}
+    assert routes.queries()["store_meta"](spark, stored).collect()[0]["n_edges"] == len(PLACES)
+
+
+def test_the_store_follows_the_files(spark, stored, tmp_path):
+    import shutil
+
+    d = str(tmp_path / "copy")
+    shutil.copytree(stored, d)
+    before = routes.Graph(spark, d).saved()
+    assert routes.Graph(spark, d).saved().path == before.path
+    more = spark.read.parquet(f"{d}/nodes.parquet").where("osmid = 101").withColumn("osmid", F.lit(202).cast("long"))
+    more.write.mode("append").parquet(f"{d}/nodes.parquet")
+    after = routes.Graph(spark, d).saved()
+    assert after.path != before.path and after.nodes.count() == before.nodes.count() + 1
 
 
 def test_queries_over_the_cap_get_the_same_paths(spark):
@@ -83,15 +97,27 @@ def test_large_paths_pass_edges_without_cost(spark):
 
 def test_every_trip_has_a_verdict(spark, stored):
     got = {r["query_id"]: r["verdict"] for r in routes.queries()["trip_guards"](spark, stored).collect()}
-    assert got == {"west": None, "middle": None, "east": None, "swapped": "too_long", "outside": "out_of_coverage"}
-    assert routes.queries()["route_queries"](spark, stored).count() == len(PLACES)
-    assert routes.Graph(spark, stored).queries().where("query_id = 'swapped'").isEmpty()
-
-
-def test_corridors_are_as_wide_as_the_reference(spark, stored):
+    assert got == {
+        "west/west": None, "middle/middle": None, "east/east": None, "swapped/swapped": "too_long", "outside/outside": "out_of_coverage",
+        "east/next": "too_long", "middle/next": "too_long", "outside/next": "too_long", "swapped/next": None,
+        "west/south": "out_of_coverage", "east/south": "out_of_coverage", "outside/south": "out_of_coverage", "middle/south": "too_long", "swapped/south": "too_long",
+    }
+    assert routes.queries()["route_queries"](spark, stored).count() == len(got)
+    outcome = {r["query_id"]: (r["specified"], r["outcome"]) for r in routes.queries()["route_verdicts"](spark, stored).collect()}
+    assert outcome["west/west"] == ("ok", "ok") and outcome["swapped/next"] == ("ok", "no_route")
+    assert {k: o for k, (o, _) in outcome.items()} == {k: v or "ok" for k, v in got.items()}
+
+
+def test_corridors_are_as_wide_as_specified(spark, stored):
     for kind, node in (("bike", 101), ("rail", -101)):
         got = routes.queries()[f"corridor_nodes_{kind}"](spark, stored).where(F.col("osmid") == node)
-        assert [r["query_id"] for r in got.collect()] == ["west"]
+        assert {r["query_id"] for r in got.collect()} == {"west/west", "swapped/next"}
+
+
+def test_scans_are_pruned(spark, stored):
+    plan = routes.queries()["corridor_edges_combined"](spark, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((tile_row" in plan or "PartitionFilters: [(((" in plan
+    assert "geometry_wkt" not in plan
 
 
 def test_stations_are_linked_to_their_track(spark):
