@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from railspoke.functions import constants as K
-from railspoke.plans.routes import BIKE_TUBE, RAIL_TUBE, ROUTE_PREFS, SHORTEST_KM, SWEEP, params_token
+from railspoke.plans.routes import BIKE_TUBE, CLIP, RAIL_TUBE, ROUTE_PREFS, SHORTEST_KM, SWEEP, params_token
 
 
 def _values(name: str, weights: dict[str, float]) -> str:
@@ -354,6 +354,20 @@ def oracle_sql() -> dict[str, str]:
   SELECT row_id, k, split_part(trim(v), ' ', 1)::DOUBLE AS lon, split_part(trim(v), ' ', 2)::DOUBLE AS lat,
     split_part(trim(v), ' ', 3)::DOUBLE AS z, count(*) OVER (PARTITION BY row_id) AS nv FROM raw
 )"""
+    cuts = f""", parts(row_id, a, b, cut) AS (
+            SELECT row_id, 1::BIGINT, max(nv), NULL::BIGINT FROM pv WHERE nv >= 2 GROUP BY 1
+            UNION ALL
+            SELECT row_id, s.x.a, s.x.b, NULL FROM (
+              SELECT p.row_id, unnest([struct_pack(a := p.a, b := arg_min(v.k, struct_pack(w := -v.off, k := v.k))), struct_pack(a := arg_min(v.k, struct_pack(w := -v.off, k := v.k)), b := p.b)]) AS x
+              FROM parts p JOIN pv f ON f.row_id = p.row_id AND f.k = p.a JOIN pv t ON t.row_id = p.row_id AND t.k = p.b
+              JOIN (SELECT row_id, k, z AS off, z FROM pv) v0 ON v0.row_id = p.row_id AND v0.k > p.a AND v0.k < p.b
+              , LATERAL (SELECT v0.k AS k, greatest(least(f.z, t.z) - v0.z, v0.z - greatest(f.z, t.z)) AS off) v
+              WHERE v.off > 2.0 GROUP BY p.row_id, p.a, p.b) s
+          ), leaves AS (
+            SELECT p.row_id, p.a, p.b FROM parts p WHERE NOT EXISTS (SELECT 1 FROM parts c WHERE c.row_id = p.row_id AND c.a = p.a AND c.b < p.b)
+          ), seg AS (
+            SELECT row_id, k, {_hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS d FROM pv WINDOW w AS (PARTITION BY row_id ORDER BY k))
+"""
     mixed = "(floor((60.0::DOUBLE - lat) * 1000.0::DOUBLE)::INTEGER * 31 + floor((lon - 0.0::DOUBLE) * 1000.0::DOUBLE)::INTEGER * 17)"
     dem = f"CASE WHEN {mixed} % 50 = 0 THEN NULL ELSE ({mixed} % 1000)::DOUBLE / 10.0::DOUBLE END"
     named = "SELECT osmid, lat, lon, elevation_m, station_name FROM n WHERE node_type = 'rail' AND station_name IS NOT NULL"
@@ -597,23 +611,67 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT row_id, lon, lat, z FROM st WHERE lat1 IS NULL)
           SELECT row_id, count(*)::INTEGER AS n_vertices, {_r("sum(lon) * 0.7310585786::DOUBLE", 6)} AS sum_lon, {_r("sum(lat) * 0.7310585786::DOUBLE", 6)} AS sum_lat, {_r("sum(z) * 0.7310585786::DOUBLE", 4)} AS sum_z FROM al GROUP BY 1""",
         "wkt_text": w + f" SELECT row_id, geometry_wkt AS wkt FROM e WHERE {_Z}",
-        "split_edges_extrema": rec
-        + bike_verts
-        + f""", parts(row_id, a, b, cut) AS (
-            SELECT row_id, 1::BIGINT, max(nv), NULL::BIGINT FROM pv WHERE nv >= 2 GROUP BY 1
-            UNION ALL
-            SELECT row_id, s.x.a, s.x.b, NULL FROM (
-              SELECT p.row_id, unnest([struct_pack(a := p.a, b := arg_min(v.k, struct_pack(w := -v.off, k := v.k))), struct_pack(a := arg_min(v.k, struct_pack(w := -v.off, k := v.k)), b := p.b)]) AS x
-              FROM parts p JOIN pv f ON f.row_id = p.row_id AND f.k = p.a JOIN pv t ON t.row_id = p.row_id AND t.k = p.b
-              JOIN (SELECT row_id, k, z AS off, z FROM pv) v0 ON v0.row_id = p.row_id AND v0.k > p.a AND v0.k < p.b
-              , LATERAL (SELECT v0.k AS k, greatest(least(f.z, t.z) - v0.z, v0.z - greatest(f.z, t.z)) AS off) v
-              WHERE v.off > 2.0 GROUP BY p.row_id, p.a, p.b) s
-          ), leaves AS (
-            SELECT p.row_id, p.a, p.b FROM parts p WHERE NOT EXISTS (SELECT 1 FROM parts c WHERE c.row_id = p.row_id AND c.a = p.a AND c.b < p.b)
-          ), seg AS (
-            SELECT row_id, k, {_hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS d FROM pv WINDOW w AS (PARTITION BY row_id ORDER BY k))
-          SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY a) - 1)::INTEGER AS part, (b - a + 1)::INTEGER AS n_vertices,
+        "split_edges_extrema": rec + bike_verts + cuts
+        + f""" SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY a) - 1)::INTEGER AS part, (b - a + 1)::INTEGER AS n_vertices,
             (SELECT {_r("sum(d)", 3)} FROM seg s WHERE s.row_id = l.row_id AND s.k > l.a AND s.k <= l.b) AS length_m FROM leaves l""",
+        "split_graph": rec + bike_verts + cuts
+        + f""", sp AS (SELECT DISTINCT round(v.lat, 6) AS lat, round(v.lon, 6) AS lon FROM leaves l JOIN pv v ON v.row_id = l.row_id AND v.k = l.a WHERE l.a > 1
+          ), sid AS (SELECT lat, lon, (SELECT max(osmid) FROM n) + row_number() OVER (ORDER BY lat, lon) AS osmid FROM sp
+          ), pe AS (
+            SELECT l.*, coalesce(x.osmid, e.from_node) AS f, coalesce(y.osmid, e.to_node) AS t, e.length_m AS old, va.nv
+            FROM leaves l JOIN e ON e.row_id = l.row_id JOIN pv va ON va.row_id = l.row_id AND va.k = l.a JOIN pv vb ON vb.row_id = l.row_id AND vb.k = l.b
+            LEFT JOIN sid x ON l.a > 1 AND x.lat = round(va.lat, 6) AND x.lon = round(va.lon, 6)
+            LEFT JOIN sid y ON l.b < va.nv AND y.lat = round(vb.lat, 6) AND y.lon = round(vb.lon, 6))
+          SELECT 'node' AS kind, osmid AS a, 0::BIGINT AS b, 0.0::DOUBLE AS length_m FROM n UNION ALL SELECT 'node', osmid, 0, 0.0 FROM sid
+          UNION ALL SELECT 'edge bike', f, t, CASE WHEN a = 1 AND b = nv THEN {_r("old", 3)}
+            ELSE (SELECT {_r("sum(d)", 3)} FROM seg s WHERE s.row_id = pe.row_id AND s.k > pe.a AND s.k <= pe.b) END FROM pe
+          UNION ALL SELECT 'edge ' || mode, from_node, to_node, {_r("length_m", 3)} FROM e WHERE row_id NOT IN (SELECT row_id FROM leaves)""",
+        "baked_vertices": w
+        + f""", raw AS (
+            SELECT row_id, unnest(string_split(regexp_extract(geometry_wkt, '\\(([^)]*)\\)', 1), ',')) AS v,
+              generate_subscripts(string_split(regexp_extract(geometry_wkt, '\\(([^)]*)\\)', 1), ','), 1) AS k FROM e WHERE {_Z}
+          ), bv AS (SELECT row_id, k, split_part(trim(v), ' ', 1)::DOUBLE AS lon, split_part(trim(v), ' ', 2)::DOUBLE AS lat FROM raw
+          ), bz AS (SELECT *, {dem} AS z FROM bv
+          ), bw AS (SELECT row_id, 'LINESTRING Z (' || string_agg(printf('%.6f %.6f %.1f', lon, lat, coalesce(z, (SELECT avg(z) FROM bz))), ', ' ORDER BY k) || ')' AS wkt FROM bz GROUP BY 1
+          ), nz0 AS (SELECT osmid, {dem} AS z FROM n), nz AS (SELECT osmid, coalesce(z, (SELECT avg(z) FROM nz0)) AS z FROM nz0)
+          SELECT e.row_id, {_r("b.z - a.z")} AS height_diff_m, coalesce(wkt, '') AS wkt FROM e JOIN nz a ON a.osmid = from_node JOIN nz b ON b.osmid = to_node LEFT JOIN bw USING (row_id)""",
+        "regions_united": w
+        + """, ids AS (SELECT osmid, row_number() OVER (ORDER BY region_key, osmid) - 1 AS new_id FROM n)
+          SELECT 'node' AS kind, new_id AS a, 0::BIGINT AS b, 0::BIGINT AS row_id FROM ids
+          UNION ALL SELECT 'edge', a.new_id, b.new_id, row_id FROM e JOIN ids a ON a.osmid = from_node JOIN ids b ON b.osmid = to_node""",
+        "composed_graphs": w
+        + """, sh AS (SELECT (SELECT max(osmid) FROM n WHERE node_type = 'bike') + 1 - (SELECT min(osmid) FROM n WHERE node_type = 'rail') AS d)
+          SELECT 'node' AS kind, osmid + CASE node_type WHEN 'rail' THEN d ELSE 0 END AS a, 0::BIGINT AS b FROM n, sh
+          UNION ALL SELECT 'edge', from_node + CASE mode WHEN 'rail' THEN d ELSE 0 END, to_node + CASE mode WHEN 'rail' THEN d ELSE 0 END FROM e, sh WHERE mode IN ('bike', 'rail')""",
+        "clipped_ways": w
+        + f""", ins AS (SELECT osmid FROM n WHERE lon BETWEEN {CLIP[0]} AND {CLIP[2]} AND lat BETWEEN {CLIP[1]} AND {CLIP[3]}
+          ), ew AS (SELECT e.*, o.way_id FROM e JOIN edges o USING (row_id)
+          ), hit AS (SELECT * FROM ew WHERE from_node IN (SELECT osmid FROM ins) OR to_node IN (SELECT osmid FROM ins)
+          ), kept AS (SELECT row_id, from_node, to_node FROM ew WHERE way_id IN (SELECT way_id FROM hit WHERE way_id IS NOT NULL)
+            UNION ALL SELECT row_id, from_node, to_node FROM hit WHERE way_id IS NULL)
+          SELECT 'edge' AS kind, row_id AS id FROM kept
+          UNION ALL SELECT 'node', osmid FROM n WHERE osmid IN (SELECT from_node FROM kept UNION ALL SELECT to_node FROM kept)""",
+        "raster_bounds": w
+        + f""", rc AS (SELECT floor((60.0::DOUBLE - lat) * 1000.0::DOUBLE)::INTEGER AS r, floor(lon * 1000.0::DOUBLE)::INTEGER AS c FROM n)
+          SELECT {_r("min(c) / 1000.0::DOUBLE")} AS west, {_r("60.0::DOUBLE - (max(r) + 1) / 1000.0::DOUBLE")} AS south,
+            {_r("(max(c) + 1) / 1000.0::DOUBLE")} AS east, {_r("60.0::DOUBLE - min(r) / 1000.0::DOUBLE")} AS north FROM rc""",
+        "contracted_edges": rec
+        + """, und2 AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT from_node AS u, to_node AS v FROM e WHERE mode = 'bike' AND from_node <> to_node
+              UNION ALL SELECT to_node, from_node FROM e WHERE mode = 'bike' AND from_node <> to_node))
+          , inn AS MATERIALIZED (SELECT u FROM und2 WHERE u NOT IN (SELECT from_node FROM e WHERE mode <> 'bike' UNION ALL SELECT to_node FROM e WHERE mode <> 'bike')
+              GROUP BY 1 HAVING count(*) = 2)
+          , hp AS MATERIALIZED (SELECT from_node AS u, to_node AS v, key, length_m FROM e WHERE mode = 'bike' AND from_node <> to_node
+              QUALIFY row_number() OVER (PARTITION BY from_node, to_node ORDER BY length_m, key) = 1)
+          , prd AS (SELECT b.u, b.v FROM hp b JOIN hp p ON p.v = b.u AND p.u <> b.v WHERE b.u IN (SELECT u FROM inn))
+          , wk(hu, hv, u, v, r) AS (
+              SELECT u, v, u, v, 0 FROM hp WHERE (u, v) NOT IN (SELECT (u, v) FROM prd)
+              UNION ALL
+              SELECT w.hu, w.hv, h.u, h.v, w.r + 1 FROM wk w JOIN hp h ON h.u = w.v AND h.v <> w.u WHERE w.v IN (SELECT u FROM inn))
+          , ring AS (SELECT u AS hu, v AS hv, u, v, 0 AS r FROM hp WHERE (u, v) NOT IN (SELECT (u, v) FROM wk))
+          , al AS (SELECT * FROM wk UNION ALL SELECT * FROM ring)"""
+        + f""" SELECT hu AS from_node, arg_max(al.v, r) AS to_node, 'bike' AS mode, round(sum(hp.length_m::DECIMAL(20,4))::DOUBLE, 4) + 0.0 AS length_m
+            FROM al JOIN hp ON hp.u = al.u AND hp.v = al.v GROUP BY hu, hv
+          UNION ALL SELECT from_node, to_node, mode, {_r("length_m")} FROM e WHERE mode <> 'bike' OR from_node = to_node OR (from_node, to_node, key) NOT IN (SELECT (u, v, key) FROM hp)""",
         "contracted_chains": rec
         + """, und2 AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT from_node AS u, to_node AS v FROM e WHERE mode = 'bike' AND from_node <> to_node
               UNION ALL SELECT to_node, from_node FROM e WHERE mode = 'bike' AND from_node <> to_node))

@@ -12,6 +12,7 @@ from railspoke.functions import columns as C
 from railspoke.functions import constants as K
 from railspoke.operators import build as B
 from railspoke.operators import graph as G
+from railspoke.operators import region as R
 from railspoke.operators import simplify as S
 from railspoke.operators import track as T
 from railspoke.operators import validate as V
@@ -338,7 +339,11 @@ def _components(g: Graph) -> DataFrame:
 
 def _raster(g: Graph) -> DataFrame:
     """A raster made from a formula, a cell per thousandth of a degree around every node; every 50th cell is nodata."""
-    at = g.nodes.select(
+    return _raster_around(g.nodes)
+
+
+def _raster_around(places: DataFrame) -> DataFrame:
+    at = places.select(
         F.floor((F.lit(60.0) - F.col("lat")) * 1000.0).cast("int").alias("row"), F.floor((F.col("lon") - F.lit(0.0)) * 1000.0).cast("int").alias("col")
     ).distinct()
     mixed = F.col("row") * 31 + F.col("col") * 17
@@ -346,7 +351,7 @@ def _raster(g: Graph) -> DataFrame:
 
 
 def _dem(g: Graph) -> DataFrame:
-    out = B.sampled(g.nodes.select("osmid", "lat", "lon"), _raster(g), 1000.0, 0.0, 60.0, -9999.0)
+    out = B.sampled(g.nodes.select("osmid", "lat", "lon"), _raster(g), *FRAME)
     return out.select("osmid", "elevation_m")
 
 
@@ -407,6 +412,69 @@ def _track_of_station(g: Graph) -> DataFrame:
     return _r(B.nearest_track(st, G.with_ends(g.edges.where("mode = 'rail'"), g.nodes)), digits=3)
 
 
+def _chains(g: Graph) -> DataFrame:
+    _, out = R.contracted_graph(g.nodes, g.edges)
+    return _r(out.select("from_node", "to_node", "mode", "length_m"))
+
+
+def _merged_towns(g: Graph) -> DataFrame:
+    nodes, edges = R.consolidated_graph(g.nodes, g.edges)
+    a = nodes.groupBy(F.col("node_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("elevation_m").alias("total"))
+    b = edges.groupBy(F.concat(F.lit("edge "), "mode").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("length_m").alias("total"))
+    return _r(a.unionByName(b), digits=2)
+
+
+def _split_rows(g: Graph) -> DataFrame:
+    nodes, edges = R.split_graph(g.nodes, g.edges, 2.0)
+    a = nodes.select(F.lit("node").alias("kind"), F.col("osmid").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("length_m"))
+    return _r(a.unionByName(edges.select(F.concat(F.lit("edge "), "mode"), "from_node", "to_node", "length_m").toDF(*a.columns)), digits=3)
+
+
+#: Cells per degree, west, north and nodata of the raster made from a formula.
+FRAME = (1000.0, 0.0, 60.0, -9999.0)
+
+
+def _vertex_raster(g: Graph) -> DataFrame:
+    """Cells of the formula's raster around every node and every stored vertex."""
+    at = g.nodes.select("lat", "lon").unionByName(B.vertices(g.edges).select("lat", "lon"))
+    return _raster_around(at)
+
+
+def _baked(g: Graph) -> DataFrame:
+    _, edges = R.baked(g.nodes, g.edges, _vertex_raster(g), "row_id", *FRAME)
+    return _r(edges.select("row_id", "height_diff_m", F.coalesce("geometry_wkt", F.lit("")).alias("wkt")))
+
+
+def _united(g: Graph) -> DataFrame:
+    nodes, edges = R.regions_united(g.nodes, g.edges)
+    a = nodes.select(F.lit("node").alias("kind"), F.col("osmid").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("row_id"))
+    return a.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("from_node").alias("a"), F.col("to_node").alias("b"), "row_id"))
+
+
+def _composed(g: Graph) -> DataFrame:
+    """The bike part and the rail part of the graph, composed apart."""
+    parts = [(g.nodes.where(F.col("node_type") == k).select("osmid"), g.edges.where(F.col("mode") == k).select("from_node", "to_node")) for k in ("bike", "rail")]
+    nodes, edges = R.composed(*parts)
+    return nodes.select(F.lit("node").alias("kind"), F.col("osmid").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("from_node").alias("a"), F.col("to_node").alias("b")))
+
+
+#: West, south, east and north of the registered clip.
+CLIP = (8.88, 50.0, 8.91, 50.03)
+
+
+def _clipped(g: Graph) -> DataFrame:
+    nodes, edges = R.clipped(g.nodes, g.edges, *CLIP)
+    return nodes.select(F.lit("node").alias("kind"), F.col("osmid").alias("id")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("row_id").alias("id")))
+
+
+def _region_build(g: Graph) -> DataFrame:
+    nodes, edges = R.region_build(g.nodes, g.edges, _vertex_raster(g), FRAME)
+    ends = G.with_ends(edges, nodes)
+    ok = G.typed_edges(ends, True).where(F.abs(F.col("height_diff_m") - (F.col("to_elev") - F.col("from_elev"))) <= 0.5)
+    kinds = edges.groupBy("mode").agg(F.count(F.lit(1)).alias("n_edges")).join(ok.groupBy("mode").agg(F.count(F.lit(1)).alias("n_sound")), "mode", "left")
+    return kinds.crossJoin(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n_nodes"))))
+
+
 def _types(g: Graph) -> DataFrame:
     rows = G.typed_edges(G.with_ends(table(g.s, g.d, "edges").select("row_id", "from_node", "to_node", "mode"), g.nodes), False)
     return rows.select("row_id", "mode", "from_type", "to_type")
@@ -529,7 +597,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "components_bike": _g(_components, True),
         "prune_components": _g(_pruned, True),
         "contracted_chains": _g(lambda g: B.contracted(g.edges), True),
+        "contracted_edges": _g(_chains, True),
         "consolidate_nodes": _g(_consolidated),
+        "consolidated_graph": _g(_merged_towns, True),
+        "split_graph": _g(_split_rows, True),
+        "baked_vertices": _g(_baked, True),
+        "regions_united": _g(_united, True),
+        "composed_graphs": _g(_composed, True),
+        "clipped_ways": _g(_clipped, True),
+        "raster_bounds": _g(lambda g: _r(R.raster_bounds(_raster(g), *FRAME[:3]))),
+        "region_build": _g(_region_build, True),
         "dem_sample_nodes": _g(_dem),
         "nan_fill_mean": _g(_filled),
         "densify_edges": _g(_dense_lines),
