@@ -218,6 +218,16 @@ def clipped(nodes: DataFrame, edges: DataFrame, west: float, south: float, east:
     return B.used_nodes(nodes, kept), kept
 
 
+def covered(nodes: DataFrame, edges: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes within the box of all regions, and the edges between them: places off the map (swapped coordinates) go."""
+    box = regions.agg(*[f(c).alias(f"_{c}") for c, f in (("west", F.min), ("south", F.min), ("east", F.max), ("north", F.max))])
+    # one row
+    inside = nodes.crossJoin(F.broadcast(box)).where("lon between _west and _east and lat between _south and _north").select(*nodes.columns)
+    ids = inside.select("osmid")
+    kept = edges.join(ids.withColumnRenamed("osmid", "from_node"), "from_node", "left_semi").join(ids.withColumnRenamed("osmid", "to_node"), "to_node", "left_semi")
+    return inside, kept.select(*edges.columns)
+
+
 def station_points(features: DataFrame) -> DataFrame:
     """(osmid, lat, lon, station_name) of features whose ``railway`` is station or halt; nameless ones are called "station"."""
     return features.where(F.lower("railway").isin("station", "halt") & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(

@@ -468,7 +468,7 @@ def _clipped(g: Graph) -> DataFrame:
 
 
 def _region_build(g: Graph) -> DataFrame:
-    nodes, edges = R.region_build(g.nodes, g.edges, _vertex_raster(g), FRAME)
+    nodes, edges = R.region_build(*R.covered(g.nodes, g.edges, g.regions), _vertex_raster(g), FRAME)
     ends = G.with_ends(edges, nodes)
     ok = G.typed_edges(ends, True).where(F.abs(F.col("height_diff_m") - (F.col("to_elev") - F.col("from_elev"))) <= 0.5)
     kinds = edges.groupBy("mode").agg(F.count(F.lit(1)).alias("n_edges")).join(ok.groupBy("mode").agg(F.count(F.lit(1)).alias("n_sound")), "mode", "left")
