@@ -308,15 +308,18 @@ def composition(points: DataFrame) -> DataFrame:
     )
 
 
-def ribbon_runs(points: DataFrame) -> DataFrame:
-    """(query_id, run, first_seq, last_seq, colour, width_m, tooltip): neighbouring runs share the seam point."""
-    label = C.condition_class(F.col("mode"), F.col("surface_bad"), F.col("road_bad"))
-    colour = (
+def condition_colour(label: Column) -> Column:
+    return (
         F.when(label == "train", "#9600c8")
         .when(label == "good", "#1565c0")
         .when(label == "unpaved", "#ef7f18")
         .otherwise("#c80d29")
     )
+
+
+def ribbon_runs(points: DataFrame) -> DataFrame:
+    """(query_id, run, first_seq, last_seq, colour, width_m, tooltip): neighbouring runs share the seam point."""
+    colour = condition_colour(C.condition_class(F.col("mode"), F.col("surface_bad"), F.col("road_bad")))
     width = F.when(F.col("mode") == "bike", C.ribbon_width_m(F.col("kmh"))).otherwise(F.lit(K.RIBBON_WIDTH_M))
     pct = F.col("grade") * 100.0
     way = F.when(pct > 0.5, "uphill").when(pct < -0.5, "downhill").otherwise("flat")

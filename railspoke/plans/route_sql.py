@@ -526,6 +526,68 @@ def oracle_sql() -> dict[str, str]:
         "gpx_points": h
         + """ SELECT query_id, seq, printf('<trkpt lat="%.6f" lon="%.6f"><ele>%.1f</ele><time>%s</time></trkpt>', lat, lon, elevation_m,
             strftime(TIMESTAMP '2024-06-01 08:00:00' + to_microseconds(trunc(elapsed_s * 1e6::DOUBLE)::BIGINT), '%Y-%m-%dT%H:%M:%SZ')) AS trkpt FROM pts""",
+        "gpx_documents": h
+        + """ SELECT query_id, '<?xml version="1.0" encoding="UTF-8"?>\n<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="railspoke">\n<trk><name>'
+            || query_id || '</name><trkseg>\n' || string_agg(printf('<trkpt lat="%.6f" lon="%.6f"><ele>%.1f</ele><time>%s</time></trkpt>', lat, lon, elevation_m,
+            strftime(TIMESTAMP '2024-06-01 08:00:00' + to_microseconds(trunc(elapsed_s * 1e6::DOUBLE)::BIGINT), '%Y-%m-%dT%H:%M:%SZ')), '\n' ORDER BY seq)
+            || '\n</trkseg></trk>\n</gpx>\n' AS gpx FROM pts GROUP BY query_id""",
+        "sub_paths": rec + _ROUTE + " SELECT query_id, seq - 1 AS seq, osmid FROM path WHERE seq BETWEEN 1 AND 4",
+        "markers_on_track": h
+        + f""", mk AS (SELECT *, lag(mode) OVER w AS mb, lead(mode) OVER w AS ma FROM h WINDOW w AS (PARTITION BY query_id ORDER BY seq)
+          ), ms AS (SELECT query_id, 'from/' || seq AS marker, from_lat AS lat, from_lon AS lon FROM mk WHERE mode = 'rail' AND (mb IS NULL OR mb <> 'rail')
+            UNION ALL SELECT query_id, 'to/' || seq, to_lat, to_lon FROM mk WHERE mode = 'rail' AND (ma IS NULL OR ma <> 'rail')
+          ), ck AS (SELECT *, sum(leg_km) OVER (PARTITION BY query_id ORDER BY seq) AS km FROM kms)
+          SELECT m.query_id, marker, {_r("km", 5)} AS km, {_r("elevation_m", 5)} AS elevation_m FROM ms m JOIN ck c ON c.query_id = m.query_id
+          QUALIFY row_number() OVER (PARTITION BY m.query_id, marker ORDER BY round({_hav("m.lat", "m.lon", "c.lat", "c.lon")}, 6), seq) = 1""",
+        "trip_reports": h
+        + _VERTS
+        + _CLIMB
+        + _composed("kms")
+        + _legs("bike")
+        + _legs("rail")
+        + f""", stt AS ({stats}), fmt AS (
+            SELECT query_id, printf('%.1f km · %.0f min · +%.0f m / −%.0f m', round(total_km, 1), round_even(total_min, 0), round_even(total_ascent_m, 0), round_even(total_descent_m, 0)) AS total,
+              printf('%.1f km · %.0f min · +%.0f m / −%.0f m', round(bike_km, 1), round_even(bike_min, 0), round_even(bike_ascent_m, 0), round_even(bike_descent_m, 0)) AS bike FROM stt
+          ), pc AS (SELECT query_id, dimension, ord, printf('  %s: %.0f%%', label, round_even(km / nullif(sum(km) OVER (PARTITION BY query_id, dimension), 0.0) * 100.0::DOUBLE, 0)) AS line FROM composed
+          ), pd AS (SELECT query_id, dimension || ':\n' || string_agg(line, '\n' ORDER BY ord) AS t, CASE dimension WHEN 'Quality' THEN 0 WHEN 'Grade' THEN 1 ELSE 2 END AS d FROM pc GROUP BY query_id, dimension
+          ), pt AS (SELECT query_id, string_agg(t, '\n' ORDER BY d) AS parts FROM pd GROUP BY 1
+          ), rl AS (SELECT query_id, string_agg('  Train ' || leg || ': ' || coalesce(begin_name, {unnamed}) || ' → ' || coalesce(end_name, {unnamed}), '\n' ORDER BY leg) AS rails FROM l_rail GROUP BY 1
+          ), bl AS (SELECT l.query_id, string_agg('  Bike Route ' || l.leg || ': ' || CASE WHEN first_seq = 1 THEN 'start of ' || l.query_id ELSE coalesce(b.from_name, {unnamed}) END || ' → ' ||
+              CASE WHEN last_seq = m.last THEN 'end of ' || l.query_id ELSE coalesce(a.to_name, {unnamed}) END, '\n' ORDER BY l.leg) AS bikes
+            FROM l_bike l JOIN (SELECT query_id, max(seq) AS last FROM h GROUP BY 1) m USING (query_id)
+            LEFT JOIN h b ON b.query_id = l.query_id AND b.seq = l.first_seq - 1 LEFT JOIN h a ON a.query_id = l.query_id AND a.seq = l.last_seq + 1 GROUP BY 1)
+          SELECT query_id, concat_ws('\n', 'Total (bike + train): ' || total, 'Bike only:            ' || bike, parts, 'Trains to catch:\n' || rails, 'Bike legs:\n' || bikes) AS report
+          FROM fmt JOIN pt USING (query_id) LEFT JOIN rl USING (query_id) LEFT JOIN bl USING (query_id)""",
+        "geocode_places": w
+        + f""", m AS (SELECT (min(lat) + max(lat)) / 2 AS m_lat, (min(lon) + max(lon)) / 2 AS m_lon FROM n
+          ), tx AS (SELECT place_key AS id, name, lat, lon, (length(place_key) + ascii(place_key[-1])) % 5 AS k FROM gazetteer
+          ), tt AS (SELECT *, CASE k WHEN 0 THEN upper(name) WHEN 1 THEN '  ' || name || ' ' WHEN 2 THEN printf('%.5f, %.5f', round(lat, 5), round(lon, 5)) || coalesce(' (' || nullif(trim(name), '') || ')', '')
+            WHEN 3 THEN '  ' ELSE name || ' xyz' END AS text FROM tx
+          ), bp AS (SELECT lower(trim(name)) AS nm, lat, lon, name FROM gazetteer, m WHERE name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY round({_hav("lat", "lon", "m_lat", "m_lon")}, 3), place_key) = 1)
+          SELECT id, {_r("CASE WHEN k = 2 THEN round(tt.lat, 5) ELSE bp.lat END", 5)} AS lat, {_r("CASE WHEN k = 2 THEN round(tt.lon, 5) ELSE bp.lon END", 5)} AS lon,
+            CASE WHEN k = 2 THEN nullif(trim(tt.name), '') ELSE bp.name END AS label,
+            CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN k = 2 THEN 'literal' WHEN bp.nm IS NOT NULL THEN 'place' ELSE 'not_found' END AS status
+          FROM tt LEFT JOIN bp ON k <> 2 AND bp.nm = lower(trim(text))""",
+        "station_suggestions": w
+        + f""", m AS (SELECT (min(lat) + max(lat)) / 2 AS m_lat, (min(lon) + max(lon)) / 2 AS m_lon FROM n
+          ), st AS ({named}), tm AS (SELECT DISTINCT lower(trim(t)) AS term FROM (SELECT station_name[1:2] AS t FROM st UNION ALL SELECT station_name[1:4] FROM st) WHERE trim(t) <> ''
+          ), sb AS (SELECT term, osmid, station_name AS name, lat, lon FROM tm JOIN st ON starts_with(lower(trim(station_name)), term), m
+            QUALIFY row_number() OVER (PARTITION BY term ORDER BY round({_hav("lat", "lon", "m_lat", "m_lon")}, 3), osmid) = 1
+          ), pb AS (SELECT term, name, kind, row_number() OVER (PARTITION BY term ORDER BY round({_hav("lat", "lon", "m_lat", "m_lon")}, 3), place_key)::INTEGER AS rank
+            FROM tm JOIN gazetteer ON starts_with(lower(trim(name)), term), m WHERE lat IS NOT NULL AND lon IS NOT NULL)
+          SELECT term, 0 AS rank, printf('%.5f, %.5f', round(lat, 5), round(lon, 5)) || ' (' || trim(name) || CASE WHEN ends_with(lower(trim(name)), 'bahnhof') THEN '' ELSE ' Bahnhof' END || ')' AS suggestion FROM sb
+          UNION ALL SELECT term, rank, concat_ws(', ', nullif(trim(name), ''), CASE WHEN trim(kind) <> trim(name) THEN nullif(trim(kind), '') END) FROM pb WHERE rank <= 3""",
+        "place_labels": w
+        + f""", st AS ({named}) SELECT osmid::VARCHAR AS id, trim(station_name) || CASE WHEN ends_with(lower(trim(station_name)), 'bahnhof') THEN '' ELSE ' Bahnhof' END AS label FROM st
+          UNION ALL SELECT region_key, string_split(extract_path, '/')[-1] FROM build_regions""",
+        "condition_colours": w
+        + _SPEED
+        + f""", cc AS (SELECT {_CONDITION} AS condition FROM es), cn AS (SELECT condition, count(*) AS n_edges FROM cc GROUP BY 1)
+          SELECT condition, n_edges, '#' || hx AS colour, ('0x' || hx[1:2])::INTEGER AS red, ('0x' || hx[3:4])::INTEGER AS green, ('0x' || hx[5:6])::INTEGER AS blue
+          FROM (SELECT *, CASE condition WHEN 'train' THEN '9600c8' WHEN 'good' THEN '1565c0' WHEN 'unpaved' THEN 'ef7f18' ELSE 'c80d29' END AS hx FROM cn)""",
+        "overview_cells": w
+        + f""" SELECT mode, floor(from_lat / 0.1::DOUBLE)::BIGINT AS row, floor(from_lon / 0.1::DOUBLE)::BIGINT AS col, count(*) AS edges, {_r("sum(length_m) / 1000.0::DOUBLE", 5)} AS km FROM e GROUP BY 1, 2, 3""",
         "maps_url": w
         + _QUERIES
         + f""" SELECT query_id, '{K.GMAPS_BASE}&origin=' || {_url("printf('%.6f,%.6f', lat_a, lon_a)")} || '&destination=' ||

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from railspoke.functions import columns as C
 from railspoke.functions import constants as K
 from railspoke.operators import build as B
+from railspoke.operators import geocode as N
 from railspoke.operators import graph as G
 from railspoke.operators import region as R
+from railspoke.operators import report as P
 from railspoke.operators import simplify as S
 from railspoke.operators import track as T
 from railspoke.operators import validate as V
@@ -277,11 +279,14 @@ def _legs(g: Graph) -> DataFrame:
     return lines.select("query_id", "leg", "line").unionByName(T.rail_leg_lines(h).select("query_id", "leg", "line"))
 
 
-def _waypoints(g: Graph) -> DataFrame:
+def _waypoint_points(g: Graph) -> DataFrame:
     h = T.mode_runs(T.hop_vertices(g.hops())).where("mode = 'bike'")
     points = S.waypoints(S.joined_lines(h.withColumn("leg_id", F.concat_ws("/", "query_id", "run")), "leg_id"), "leg_id")
-    kept = points.withColumn("points", S.thinned(F.col("points"), 0.2))
-    return kept.select("leg_id", F.size("points").alias("n_points"), C.maps_url(F.col("points")).alias("url"))
+    return points.withColumn("points", S.thinned(F.col("points"), 0.2))
+
+
+def _waypoints(g: Graph) -> DataFrame:
+    return _waypoint_points(g).select("leg_id", F.size("points").alias("n_points"), C.maps_url(F.col("points")).alias("url"))
 
 
 def _maps_url(g: Graph) -> DataFrame:
@@ -290,7 +295,79 @@ def _maps_url(g: Graph) -> DataFrame:
 
 
 def _gpx(g: Graph) -> DataFrame:
-    return T.gpx_points(_track(g), F.to_timestamp(F.lit("2024-06-01 08:00:00")))
+    return T.gpx_points(_track(g), F.to_timestamp(F.lit(START)))
+
+
+START = "2024-06-01 08:00:00"
+
+
+def _gpx_documents(g: Graph) -> DataFrame:
+    return P.gpx_documents(_track(g), F.to_timestamp(F.lit(START)), F.col("query_id"))
+
+
+def _reports(g: Graph) -> DataFrame:
+    h = g.hops()
+    return P.trip_reports(h, _r(T.route_stats(h), digits=3), T.track_points(h))
+
+
+def _markers(g: Graph) -> DataFrame:
+    h = g.hops()
+    return _r(P.markers_on_track(P.station_markers(h), T.track_points(h)), digits=5)
+
+
+def _sub_paths(g: Graph) -> DataFrame:
+    """The second to the fifth node of every path."""
+    return P.sub_path(g.paths(), F.lit(1), F.lit(4)).select("query_id", "seq", "osmid")
+
+
+def _geocode(g: Graph) -> DataFrame:
+    """Names, coordinate literals, blanks and names of nothing, as typed by hand."""
+    n = F.pmod(F.length("place_key") + F.ascii(F.substring("place_key", -1, 1)), F.lit(5))
+    text = (
+        F.when(n == 0, F.upper("name")).when(n == 1, F.concat(F.lit("  "), "name", F.lit(" "))).when(n == 2, N.box_value(F.col("lat"), F.col("lon"), F.col("name")))
+        .when(n == 3, F.lit("  ")).otherwise(F.concat("name", F.lit(" xyz")))
+    )
+    return _r(N.geocoded(g.places.select(F.col("place_key").alias("id"), text.alias("text")), g.places, N.middle(g.nodes), "id"), digits=5)
+
+
+def _suggestions(g: Graph) -> DataFrame:
+    """For each beginning of two and of four letters of a station's name: the station button and three places (a top-k report)."""
+    st = g.nodes.where("node_type = 'rail' and station_name is not null").select("osmid", F.col("station_name").alias("name"), "lat", "lon")
+    terms = st.select(F.explode(F.array(F.substring("name", 1, 2), F.substring("name", 1, 4))).alias("term"))
+    centre = N.middle(g.nodes)
+    button = N.suggested(terms, st, centre, 1).select("term", F.lit(0).alias("rank"), N.box_value(F.col("lat"), F.col("lon"), N.station_label(F.col("name"))).alias("suggestion"))
+    places = g.places.select(F.col("place_key").alias("osmid"), "name", "lat", "lon", "kind")
+    found = N.suggested(terms, places, centre, 3)
+    kinds = places.select("osmid", "kind")
+    label = N.feature_label(F.col("name"), F.col("name"), F.col("kind"))
+    return button.unionByName(found.join(kinds, "osmid").select("term", "rank", label.alias("suggestion")))
+
+
+def _labels(g: Graph) -> DataFrame:
+    """What is shown for the stations' box values, and the leaves of the regions' paths."""
+    st = g.nodes.where("node_type = 'rail' and station_name is not null")
+    shown = N.display_label(N.box_value(F.col("lat"), F.col("lon"), N.station_label(F.col("station_name"))))
+    a = st.select(F.col("osmid").cast("string").alias("id"), shown.alias("label"))
+    return a.unionByName(g.regions.select(F.col("region_key").alias("id"), N.extract_leaf(F.col("extract_path")).alias("label")))
+
+
+def _named_waypoints(g: Graph) -> DataFrame:
+    """Waypoints of the bike legs that have a place within 10 km, with its name; the others are dropped."""
+    legs = _waypoint_points(g).select("leg_id", F.posexplode("points").alias("k", "_p"))
+    at = legs.select(F.concat_ws("#", "leg_id", "k").alias("waypoint"), "_p.lat", "_p.lon")
+    places = g.places.where("lat is not null").select(F.col("place_key").alias("osmid"), "lat", "lon")
+    found = G.nearest(at, places, "waypoint", 1, (1000.0, 10_000.0), beyond=False)
+    return _r(found.join(g.places.select(F.col("place_key").alias("osmid"), "name"), "osmid").where("name is not null").select("waypoint", "name", "distance_m"), digits=3)
+
+
+def _colours(g: Graph) -> DataFrame:
+    """Edges per condition, with its colour as hex and as red, green and blue."""
+    weight, road = C.surface_weight(F.col("surface")), C.road_weight(F.col("highway"))
+    bike = F.col("mode") == "bike"
+    label = C.condition_class(F.col("mode"), bike & (C.colour_tier(weight) != 0), bike & (C.colour_tier(road) != 0))
+    rows = g.edges.groupBy(label.alias("condition")).agg(F.count(F.lit(1)).alias("n_edges"))
+    rgb = C.hex_rgb(T.condition_colour(F.col("condition")))
+    return rows.select("condition", "n_edges", T.condition_colour(F.col("condition")).alias("colour"), *[rgb[k].alias(n) for k, n in enumerate(("red", "green", "blue"))])
 
 
 def _names(g: Graph) -> DataFrame:
@@ -578,6 +655,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "profile_runs": _g(lambda g: _r(T.profile_runs(_track(g)), digits=5), pruned=True),
         "gpx_points": _g(_gpx, pruned=True),
         "waypoints_visvalingam": _g(_waypoints, pruned=True),
+        "named_waypoints": _g(_named_waypoints, pruned=True),
+        "gpx_documents": _g(_gpx_documents, pruned=True),
+        "trip_reports": _g(_reports, pruned=True),
+        "markers_on_track": _g(_markers, pruned=True),
+        "sub_paths": _g(_sub_paths, pruned=True),
+        "geocode_places": _g(_geocode, True),
+        "station_suggestions": _g(_suggestions, True),
+        "place_labels": _g(_labels, True),
+        "condition_colours": _g(_colours, True),
+        "overview_cells": _g(lambda g: _r(P.overview(g.edges, g.nodes), digits=5), True),
         "maps_url": _g(_maps_url, True),
         "output_names": _g(_names),
         "parse_latlon_literals": _g(_literals),
