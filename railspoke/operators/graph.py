@@ -476,21 +476,26 @@ def all_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, most: int
 
 
 #: Queries that one task searches on the edges it holds.
-BLOCK_QUERIES = 24
+BLOCK_QUERIES = 12
+
+
+#: Degrees of the cells by whose pair, of a trip's ends, queries are grouped.
+GROUP_DEG = 1.0
 
 
 def query_groups(queries: DataFrame, tubes: dict[str, tuple[float, float]], size: float = K.TILE_DEG) -> tuple[DataFrame, DataFrame]:
-    """(query_id, group) and (group, tile_row, tile_col): queries whose corridors touch the same tiles are one group."""
-    cells = None
-    for half, extend in tubes.values():
-        one = corridor_cells(queries, half, extend, size).select("query_id", "row", "col")
-        cells = one if cells is None else cells.unionByName(one)
-    sets = cells.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("row", "col"))).alias("_t"))
-    named = written(sets.withColumn("group", F.md5(F.to_json("_t"))), "groups")
-    tiles = named.groupBy("group").agg(F.first("_t").alias("_t")).select("group", F.explode("_t").alias("_c"))
-    return named.select("query_id", "group"), tiles.select(
-        "group", F.col("_c.row").cast("int").alias("tile_row"), F.col("_c.col").cast("int").alias("tile_col")
-    )
+    """(query_id, group) and (group, kind, tile_row, tile_col): queries between the same two cells of a degree are one
+    group, with the tiles that any of their corridors touches, for bike and for rail nodes.
+    """
+    key = F.concat_ws("/", *[F.floor(F.col(c) / GROUP_DEG) for c in _ENDS])
+    named = written(queries.select("query_id", key.alias("group")), "groups")
+    tiles = None
+    for kind, (half, extend) in tubes.items():
+        one = corridor_cells(queries, half, extend, size).select(
+            "query_id", F.lit(kind).alias("kind"), F.col("row").cast("int").alias("tile_row"), F.col("col").cast("int").alias("tile_col")
+        )
+        tiles = one if tiles is None else tiles.unionByName(one)
+    return named, tiles.join(named, "query_id").select("group", "kind", "tile_row", "tile_col").distinct()
 
 
 def _near(lat: np.ndarray, lon: np.ndarray, q: dict, half_km: float, extend_km: float) -> np.ndarray:
@@ -510,7 +515,7 @@ def _search_group(tubes: dict[str, tuple[float, float]]):
         lat, lon, rail = np.empty(len(ids)), np.empty(len(ids)), np.zeros(len(ids), bool)
         for part, side in ((codes[n:], "to"), (codes[:n], "from")):
             lat[part], lon[part] = edges[f"{side}_lat"].to_numpy(), edges[f"{side}_lon"].to_numpy()
-            rail[part] = edges[f"{side}_type"].to_numpy() == "rail"
+            rail[part] = edges["kind" if side == "from" else "to_type"].to_numpy() == "rail"
         tail, head, cost = codes[:n], codes[n:], edges["cost"].to_numpy("float64")
         order = np.argsort(tail, kind="stable")
         begin = np.searchsorted(tail[order], np.arange(len(ids) + 1)).tolist()
@@ -566,10 +571,10 @@ def routes(
     """(query_id, seq, osmid, reached): the cheapest path of each query within its corridor, none where there is none.
 
     ``queries``: query_id, source, target, lat_a, lon_a, lat_b, lon_b; ``edges``
-    has a cost. Queries whose corridors touch the same tiles share one copy of
-    these tiles' edges, at most ``block`` queries a task, and each is searched
-    within its own corridor there; so the edges moved grow with the groups and
-    not with the queries. Groups of more than ``most`` edges are answered query
+    has a cost. Queries between the same two cells of a degree share one copy of
+    the edges of their corridors' tiles, at most ``block`` queries a task, and each
+    is searched within its own corridor there; so the edges moved grow with the
+    groups and not with the queries. Groups of more than ``most`` edges are answered query
     by query, on corridor edges (``all_paths``). Trips that begin where they end
     have no corridor and no path.
     """
@@ -577,12 +582,13 @@ def routes(
     named, tiles = query_groups(queries, tubes)
     # edges of one kind between two nodes count once, the cheapest
     ends = with_ends(edges.select("from_node", "to_node", "cost"), nodes)
-    ends = ends.groupBy("from_node", "to_node", "from_lat", "from_lon", "to_lat", "to_lon", "from_type", "to_type").agg(F.min("cost").alias("cost"))
+    ends = ends.where("from_type in ('bike', 'rail')").groupBy("from_node", "to_node", "from_lat", "from_lon", "to_lat", "to_lon", "from_type", "to_type").agg(F.min("cost").alias("cost"))
     placed = ends.withColumn("tile_row", C.tile(F.col("from_lat"))).withColumn("tile_col", C.tile(F.col("from_lon")))
-    placed = written(placed, "placed")
+    placed = written(placed.withColumnRenamed("from_type", "kind"), "placed")
     # counts per tile, then per group: the edges themselves are not joined for it
-    per_tile = placed.groupBy("tile_row", "tile_col").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = tiles.join(per_tile, ["tile_row", "tile_col"]).groupBy("group").agg(F.sum("_n").alias("edges"))
+    per_tile = placed.groupBy("kind", "tile_row", "tile_col").agg(F.count(F.lit(1)).alias("_n"))
+    tiles = written(tiles, "tiles")
+    sizes = tiles.join(per_tile, ["kind", "tile_row", "tile_col"]).groupBy("group").agg(F.sum("_n").alias("edges"))
     sizes = written(sizes, "sizes")
     small = sizes.where(F.col("edges") <= most).select("group")
     w = Window.partitionBy("group").orderBy("query_id")
@@ -591,10 +597,13 @@ def routes(
     asked = written(asked.withColumns(axis).select("group", "block", "query_id", "source", "target", *C.AXIS), "asked")
     blocks = asked.groupBy("group").agg((F.max("block") + 1).alias("_blocks"))
     copies = blocks.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"))
-    shared = tiles.join(copies, "group").join(placed, ["tile_row", "tile_col"]).drop("tile_row", "tile_col")
+    shared = tiles.join(copies, "group").join(placed, ["kind", "tile_row", "tile_col"]).drop("tile_row", "tile_col")
+    # searching takes time, not bytes: as many tasks as blocks, which must not be merged for their size
+    tasks = min(10_000, max(1, 2 * asked.select("group", "block").distinct().count()))
     found = (
-        asked.groupBy("group", "block")
-        .cogroup(shared.groupBy("group", "block"))
+        asked.repartition(tasks, "group", "block")
+        .groupBy("group", "block")
+        .cogroup(shared.repartition(tasks, "group", "block").groupBy("group", "block"))
         .applyInPandas(_search_group(tubes), "query_id string, seq int, osmid long, reached double")
     )
     rest = queries.join(named, "query_id").join(sizes.where(F.col("edges") > most), "group", "left_semi").select(*queries.columns)

@@ -25,9 +25,18 @@ def _gap(line: str) -> Column:
 
 
 def vertex_gaps(edges: DataFrame, *keys: str) -> DataFrame:
-    """(keys, gap_m): the longest step between neighbouring vertices of each stored geometry; nothing is shuffled."""
-    rows = edges.select(*keys, C.parsed_wkt(F.col("geometry_wkt")).alias("_l")).where("_l is not null")
-    return rows.select(*keys, _gap("_l").alias("gap_m"))
+    """(keys, gap_m): the longest step between neighbouring vertices of each stored geometry.
+
+    Vertices are paired with the next one inside the row; only one number per
+    edge is shuffled. Lines of one vertex have a null gap.
+    """
+    texts = F.split(F.regexp_extract("geometry_wkt", r"\(([^)]*)\)", 1), ",")
+    rows = edges.where("geometry_wkt is not null").select(*keys, texts.alias("_a"))
+    pairs = rows.select(*keys, F.explode(F.arrays_zip("_a", F.slice("_a", 2, F.size("_a")).alias("_b"))).alias("_p"))
+    number = lambda v, k: F.get(F.split(F.trim(v), " "), F.lit(k)).try_cast("double")
+    a, b = F.col("_p._a"), F.col("_p._b")
+    step = C.haversine_m(number(a, 1), number(a, 0), number(b, 1), number(b, 0))
+    return pairs.select(*keys, step.alias("_d")).groupBy(*keys).agg(F.max("_d").alias("gap_m"))
 
 
 def geometry_faults(edges: DataFrame, *keys: str, most_gap_m: float = K.MAX_VERTEX_GAP_M, band_m: float = K.Z_BAND_M) -> DataFrame:

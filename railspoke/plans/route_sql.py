@@ -717,6 +717,14 @@ def oracle_sql() -> dict[str, str]:
         + f""", rc AS (SELECT floor((60.0::DOUBLE - lat) * 1000.0::DOUBLE)::INTEGER AS r, floor(lon * 1000.0::DOUBLE)::INTEGER AS c FROM n)
           SELECT {_r("min(c) / 1000.0::DOUBLE")} AS west, {_r("60.0::DOUBLE - (max(r) + 1) / 1000.0::DOUBLE")} AS south,
             {_r("(max(c) + 1) / 1000.0::DOUBLE")} AS east, {_r("60.0::DOUBLE - min(r) / 1000.0::DOUBLE")} AS north FROM rc""",
+        "consolidate_nodes": rec
+        + f""", bn AS MATERIALIZED (SELECT osmid, lat, lon FROM n WHERE node_type = 'bike'
+          ), lk AS MATERIALIZED (SELECT a.osmid AS from_node, b.osmid AS to_node FROM bn a JOIN bn b ON b.lat BETWEEN a.lat - 0.0005 AND a.lat + 0.0005 AND a.osmid < b.osmid
+            WHERE {_hav("a.lat", "a.lon", "b.lat", "b.lon")} <= {2 * K.MERGE_TOLERANCE_M})"""
+        + _labels("lk")
+        + f""", cl AS (SELECT bn.*, coalesce(lab.l, osmid) AS cluster FROM bn LEFT JOIN lab ON lab.u = osmid
+          ), mid AS (SELECT cluster, sum(lat::DECIMAL(12,8))::DOUBLE / count(*) AS c_lat, sum(lon::DECIMAL(12,8))::DOUBLE / count(*) AS c_lon, count(*) AS members FROM cl GROUP BY 1)
+          SELECT osmid, cluster, {_r("c_lat", 8)} AS lat, {_r("c_lon", 8)} AS lon, members FROM cl JOIN mid USING (cluster)""",
         "contracted_edges": rec
         + """, und2 AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT from_node AS u, to_node AS v FROM e WHERE mode = 'bike' AND from_node <> to_node
               UNION ALL SELECT to_node, from_node FROM e WHERE mode = 'bike' AND from_node <> to_node))

@@ -455,7 +455,7 @@ def _splits(g: Graph) -> DataFrame:
 
 
 def _consolidated(g: Graph) -> DataFrame:
-    return _r(B.consolidated(g.nodes), digits=6)
+    return _r(B.consolidated(g.nodes), digits=8)
 
 
 def _merged(g: Graph) -> DataFrame:
