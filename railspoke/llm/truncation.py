@@ -68,19 +68,27 @@ ABBREVIATIONS = ("st", "dr", "nr", "ca")
 # The text in lower case without closed quotes and inline mark-up, accents folded, each number as 0.
 # Patterns are tried only on texts that hold what they look for.
 _CLEAN = r"""
-  SELECT id, source, chars, bytes, regexp_replace(
-    translate(replace(IF(contains(t, '&'), regexp_replace(replace(t, '&szlig;', 'ss'),
-      r'&([a-z])(uml|acute|grave|circ|cedil|tilde);|&#39;|&nbsp;', '$1'), t), 'ß', 'ss'),
-      'äöüéèêëàâáçîïíôóûùúñ’', "aoueeeeaaaciiioouuun'"), '[0-9]+', '0') AS clean
+  SELECT id, source, chars, bytes, regexp_replace(IF(chars = bytes, t, {folded}), '[0-9]+', '0') AS clean
+  FROM (SELECT id, source, chars, bytes, IF(contains(t, '&'), regexp_replace(replace(t, '&szlig;', 'ss'),
+      r'&([a-z])(uml|acute|grave|circ|cedil|tilde);|&#39;|&nbsp;', '$1'), t) AS t
   FROM (SELECT id, source, chars, bytes, IF(contains(t, '['), regexp_replace(t, r'\[/?[a-z]+(=[^\]]*)?\]', ''), t) AS t
   FROM (SELECT id, source, chars, bytes, IF(startswith(t, '>') OR contains(t, '\n>'), regexp_replace(t, r'(?m)(^[^\n]*:\n)?(^>[^\n]*\n)+', '\n'), t) AS t
   FROM (SELECT id, source, chars, bytes, IF(contains(t, '<blockquote>'), {block2}, t) AS t
   FROM (SELECT id, source, chars, bytes, IF(contains(t, '[quote'), {quote2}, t) AS t
   FROM (SELECT {key} AS id, {source} AS source, length(text) AS chars, octet_length(text) AS bytes, lower(text) AS t
-    FROM {docs} WHERE text IS NOT NULL AND trim(text) <> '')))))
+    FROM {docs} WHERE text IS NOT NULL AND trim(text) <> ''))))))
 """
 
 
+def _folded(t: str) -> str:
+    """SQL of the text without accents: a replacement per letter, which costs a fraction of one by character."""
+    plain = {"a": "äàâá", "o": "öôó", "u": "üûùú", "e": "éèêë", "c": "ç", "i": "îïí", "n": "ñ", "ss": "ß", "\\'": "’"}
+    for to, letters in plain.items():
+        for x in letters:
+            t = f"replace({t}, '{x}', '{to}')"
+    return t
+
+
 def _twice(pattern: str) -> str:
     """Innermost blocks out, then those around them."""
     return f"regexp_replace(regexp_replace(t, r'{pattern}', '\\n'), r'{pattern}', '\\n')"
@@ -323,6 +331,7 @@ def truncated_texts(
         "token": _TOKEN.replace("{abbreviations}", "|".join(abbreviations)),
         "blanks": _BLANKS,
         "bracket": _BRACKET,
+        "folded": _folded("t"),
         "quote2": _QUOTE2,
         "block2": _BLOCK2,
         "common_share": f"{common_share!r}D",
