@@ -13,14 +13,13 @@ _OWN: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a temporary folder of this machine serves a local session
-    (tests); on a cluster, whose executors could not see it, that is an error.
+    Where it is unset, a temporary folder serves a session whose executors are all on
+    this machine (tests); elsewhere, where executors could not see it, that is an error.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
@@ -46,6 +45,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
 def forget(rows: DataFrame) -> None:
     """Deletes the files of a table made by ``written``, once nothing reads it any more (rounds of an iteration)."""
     for path in {f.rpartition("/")[0] for f in rows.inputFiles()}:

@@ -18,7 +18,7 @@ from railspoke.operators import report as P
 from railspoke.operators import simplify as S
 from railspoke.operators import track as T
 from railspoke.operators import validate as V
-from railspoke.operators.lineage import application_folder, forget, written
+from railspoke.operators.lineage import application_folder, exists, forget, written
 from railspoke.sources import tiles
 from railspoke.sources.tables import table
 
@@ -66,7 +66,7 @@ class Graph:
         """Over the tiled store of the clean graph, which a session builds once for the same files."""
         raw = [table(self.s, self.d, name) for name in ("nodes", "edges")]
         key = (self.s.sparkContext.applicationId, self.d, *(_contents(self.s, r.inputFiles()) for r in raw))
-        if key not in _STORES:
+        if key not in _STORES or not exists(self.s, _STORES[key]):
             path = f"{application_folder(self.s)}/store-{uuid.uuid4().hex}"
             nodes = written(G.clean_nodes(raw[0]), "nodes")
             edges = written(G.clean_edges(raw[1], nodes), "edges")
