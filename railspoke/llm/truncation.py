@@ -188,6 +188,10 @@ WITH classed AS (
   FROM classed GROUP BY 1, 2, 3, 4, 5
 """
 
+_BY_CLASS = r"""
+  SELECT m1, m2, m3, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {exact} GROUP BY 1, 2, 3, 4
+"""
+
 _FINAL = rf"""
   SELECT /*+ BROADCAST(a), BROADCAST(b), BROADCAST(c) */ id,
     {_CLASS.format("w1", "a")} AS m1, {_CLASS.format("w2", "b")} AS m2, w3, k3, coalesce(c.w, '*') AS m3, source, chars, bytes
@@ -231,14 +235,10 @@ _LONGER = _longer(
 _LONGER_WORDS = _longer("SELECT w, inside + stop AS n FROM {words}", "SELECT DISTINCT w3 AS p FROM {final} WHERE k3 = ''", "")
 
 _VERDICTS = rf"""
-WITH longer AS ({_LONGER}
-), longer_words AS ({_LONGER_WORDS}
-), by_class AS (
-  SELECT m1, m2, m3, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {{exact}} GROUP BY 1, 2, 3, 4
-), by_place AS (
-  SELECT m1, m2, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_class GROUP BY 1, 2, 3
+WITH by_place AS (
+  SELECT m1, m2, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {{by_class}} GROUP BY 1, 2, 3
 ), by_two AS (
-  SELECT m2, m3, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_class GROUP BY 1, 2, 3
+  SELECT m2, m3, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM {{by_class}} GROUP BY 1, 2, 3
 ), by_one AS (
   SELECT m3, k3, sum(inside) AS inside, sum(stop) AS stop, sum(last) AS last FROM by_two GROUP BY 1, 2
 ), by_mark AS (
@@ -265,10 +265,10 @@ WITH longer AS ({_LONGER}
     c.stop > c.last AS before_mark
   FROM (SELECT DISTINCT m1, m2, w3, k3, m3 FROM {{final}}) f
   LEFT JOIN {{exact}} e ON e.m1 = f.m1 AND e.m2 = f.m2 AND e.w3 = f.w3 AND e.k3 = f.k3
-  LEFT JOIN longer l ON l.m1 = f.m1 AND l.m2 = f.m2 AND l.p = f.w3 AND f.k3 = ''
+  LEFT JOIN {{longer}} l ON l.m1 = f.m1 AND l.m2 = f.m2 AND l.p = f.w3 AND f.k3 = ''
   LEFT JOIN {{words}} u ON u.w = f.w3
-  LEFT JOIN longer_words lw ON lw.p = f.w3 AND f.k3 = ''
-  LEFT JOIN by_class c ON c.m1 = f.m1 AND c.m2 = f.m2 AND c.m3 = f.m3 AND c.k3 = f.k3
+  LEFT JOIN {{longer_words}} lw ON lw.p = f.w3 AND f.k3 = ''
+  LEFT JOIN {{by_class}} c ON c.m1 = f.m1 AND c.m2 = f.m2 AND c.m3 = f.m3 AND c.k3 = f.k3
   LEFT JOIN by_place p ON p.m1 = f.m1 AND p.m2 = f.m2 AND p.k3 = f.k3
   LEFT JOIN by_two t ON t.m2 = f.m2 AND t.m3 = f.m3 AND t.k3 = f.k3
   LEFT JOIN by_one o ON o.m3 = f.m3 AND o.k3 = f.k3
@@ -359,7 +359,10 @@ def truncated_texts(
             ("words", _WORDS),
             ("common", _COMMON),
             ("exact", _EXACT),
+            ("by_class", _BY_CLASS),
             ("final", _FINAL),
+            ("longer", _LONGER),
+            ("longer_words", _LONGER_WORDS),
         ):
             view(name, written(spark.sql(_filled(text, **values)), name))
         return spark.sql(_filled(_VERDICTS, **values))
