@@ -765,6 +765,14 @@ def oracle_sql() -> dict[str, str]:
         "validate_types": w
         + f""" SELECT e0.row_id, e0.mode, f.node_type AS from_type, t.node_type AS to_type
             FROM edges e0 JOIN n f ON e0.from_node = f.osmid JOIN n t ON e0.to_node = t.osmid WHERE NOT coalesce({_FITS}, FALSE)""",
+        "validate_types_stored": f"""WITH n AS (SELECT osmid, max(node_type) AS node_type FROM nodes WHERE osmid IS NOT NULL GROUP BY 1)
+            SELECT e0.row_id, e0.mode, f.node_type AS from_type, t.node_type AS to_type
+            FROM edges e0 JOIN n f ON e0.from_node = f.osmid JOIN n t ON e0.to_node = t.osmid WHERE NOT coalesce({_FITS}, FALSE)""",
+        "validate_way_continuity": """SELECT way_id AS query_id, row_id AS seq, from_node, to_node FROM (
+              SELECT *, lag(to_node) OVER (PARTITION BY way_id ORDER BY row_id) AS b FROM edges WHERE way_id IS NOT NULL) WHERE b IS NOT NULL AND b <> from_node""",
+        "region_months": """WITH d AS (SELECT DISTINCT region_key, strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m') AS month FROM nodes)
+            SELECT r.region_key, m.month FROM build_regions r CROSS JOIN (SELECT DISTINCT month FROM d WHERE month IS NOT NULL) m
+            WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.region_key = r.region_key AND d.month = m.month)""",
         "validate_height_diff": w
         + f""" SELECT row_id, {_r("off")} AS off_m FROM (SELECT row_id, abs(height_diff_m - (t.elevation_m - f.elevation_m)) AS off
             FROM edges JOIN n f ON from_node = f.osmid JOIN n t ON to_node = t.osmid) WHERE off > 0.5""",

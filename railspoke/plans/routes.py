@@ -557,6 +557,29 @@ def _types(g: Graph) -> DataFrame:
     return rows.select("row_id", "mode", "from_type", "to_type")
 
 
+def _stored_types(g: Graph) -> DataFrame:
+    """Edges as delivered whose ends, with their kinds as delivered (unevenly written), do not fit the mode."""
+    kinds = table(g.s, g.d, "nodes").where("osmid is not null").groupBy("osmid").agg(F.max("node_type").alias("node_type"))
+    ends = kinds.select("osmid", *[F.lit(0.0).alias(c) for c in ("lat", "lon", "elevation_m")], "node_type")
+    rows = G.typed_edges(G.with_ends(table(g.s, g.d, "edges").select("row_id", "from_node", "to_node", "mode"), ends), False)
+    return rows.select("row_id", "mode", "from_type", "to_type")
+
+
+def _way_breaks(g: Graph) -> DataFrame:
+    """Ways whose edges, in the order of delivery, do not chain: continuity of what was delivered."""
+    ways = table(g.s, g.d, "edges").where("way_id is not null").select(F.col("way_id").alias("query_id"), F.col("row_id").alias("seq"), "from_node", "to_node")
+    return V.broken_paths(ways).select("query_id", "seq", "from_node", "to_node")
+
+
+def _region_months(g: Graph) -> DataFrame:
+    """Regions that no node was delivered for in a month in which others had deliveries."""
+    nodes = table(g.s, g.d, "nodes").select("region_key", F.date_format("loaded_at", "yyyy-MM").alias("month"))
+    # a row per month and region
+    months = nodes.select("month").where("month is not null").distinct()
+    due = g.regions.select("region_key").crossJoin(F.broadcast(months))
+    return due.join(nodes.distinct(), ["region_key", "month"], "left_anti").select("region_key", "month")
+
+
 def _heights(g: Graph) -> DataFrame:
     stored = table(g.s, g.d, "edges").select("row_id", "from_node", "to_node", "height_diff_m")
     return _r(V.height_mismatches(G.with_ends(stored, g.nodes)).select("row_id", "off_m"))
@@ -701,6 +724,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_edges_extrema": _g(_splits),
         # validation
         "validate_types": _g(_types),
+        "validate_types_stored": _g(_stored_types),
+        "validate_way_continuity": _g(_way_breaks),
+        "region_months": _g(_region_months),
         "validate_height_diff": _g(_heights),
         "validate_vertex_gap": _g(lambda g: _r(V.vertex_gaps(g.edges.where("mode = 'bike'"), "row_id"))),
         "validate_z_band": _g(lambda g: _r(V.z_excess(g.edges.where("mode = 'bike'"), "row_id"))),
