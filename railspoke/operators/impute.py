@@ -252,7 +252,10 @@ def fill_missing(
     if group:
         records = records.withColumn("e", F.when(F.col(group).isNotNull(), F.col("e")))
     fields = [f"_{f}" for f in posterior.seen()]
-    evidence = written(records.where("e is not null").select("e", *fields).distinct(), "evidence")
+    evidence = records.where("e is not null").select("e", *fields).distinct()
+    if len(fields) > 1:
+        # several messages read it
+        evidence = written(evidence, "evidence")
     fills = decode(posterior.of(evidence))
     return records.select(key, "e", "told_by").join(fills, "e", "left").select(key, "fill", "told_by")
 
