@@ -20,9 +20,9 @@
    posterior mean, for which each cell of the counts also holds its values' sum.
 
 Problem 4 fixes the fill to the rows of the same way or place (``group``). In the
-trees learned from its tables the target's only neighbour is that group, which
-hides all other fields where it is observed; so the posterior given all evidence
-is the one asked for. Two exact checks follow: records whose group is unknown
+trees learned from its larger tables the target's only neighbour is that group,
+which hides all other fields where it is observed; so the posterior given all
+evidence is the one asked for. Two exact checks follow: records whose group is unknown
 stay open; and should a tree come out in which other fields reach the target
 past the group, the group's own message is taken alone.
 
