@@ -57,28 +57,32 @@ def clean_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
-def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def clean_edges(edges: DataFrame, nodes: DataFrame, *carried: Column) -> DataFrame:
     """One row per (from_node, to_node, key, mode), the first delivered, with both ends and their elevation difference.
 
     ``row_id`` is unique per delivered row. Self-loops of bike edges are dropped, and edges whose ends do not fit their mode.
+    ``carried``: further columns, of what ``with_ends`` adds.
     """
-    # what repeats an earlier delivery is found over narrow columns; geometries are not regrouped for it
+    # everything is decided over narrow columns; geometries are moved once, for the rows that stay
     same = Window.partitionBy("from_node", "to_node", "key", "mode").orderBy("loaded_at", "row_id")
     narrow = edges.select("from_node", "to_node", "key", "mode", "loaded_at", "row_id")
-    again = narrow.withColumn("_nth", F.row_number().over(same)).where("_nth > 1").select("row_id")
-    rows = edges.join(again, "row_id", "left_anti").where("not (mode = 'bike' and from_node = to_node)")
-    return typed_edges(with_ends(rows, nodes), True).select(
+    first = narrow.withColumn("_nth", F.row_number().over(same)).where("_nth = 1 and not (mode = 'bike' and from_node = to_node)")
+    typed = typed_edges(with_ends(first.select("from_node", "to_node", "mode", "row_id"), nodes), True)
+    kept = typed.select("row_id", (F.col("to_elev") - F.col("from_elev")).alias("height_diff_m"), *carried)
+    added = [c for c in kept.columns if c not in ("row_id", "height_diff_m")]
+    return edges.drop("height_diff_m").join(kept.hint("merge"), "row_id").select(
         "from_node",
         "to_node",
         "key",
         "length_m",
-        (F.col("to_elev") - F.col("from_elev")).alias("height_diff_m"),
+        "height_diff_m",
         "surface",
         "highway",
         "mode",
         "geometry_wkt",
         "way_id",
         "row_id",
+        *added,
     )
 
 
@@ -133,32 +137,58 @@ def min_collapse(edges: DataFrame, *keys: str) -> DataFrame:
 _ENDS = ("lat_a", "lon_a", "lat_b", "lon_b")
 
 
-def corridor_cells(queries: DataFrame, half_km: float, extend_km: float, cell: float) -> DataFrame:
-    """(query_id, axis, row, col) of the grid cells that a corridor can touch; the exact test comes later."""
-    reach = (half_km + extend_km) * 1000.0 / K.METRES_PER_DEGREE
-    scale = F.cos(F.radians((F.col("lat_a") + F.col("lat_b")) / 2))
-    low = lambda a, b, r: F.floor((F.least(F.col(a), F.col(b)) - r) / cell)
-    high = lambda a, b, r: F.floor((F.greatest(F.col(a), F.col(b)) + r) / cell)
-    wide = F.lit(reach) / scale
-    cells = (
-        queries.where((F.col("lat_a") != F.col("lat_b")) | (F.col("lon_a") != F.col("lon_b")))
-        .withColumns(C.axis(*map(F.col, _ENDS)))
-        .withColumn("row", F.explode(F.sequence(low("lat_a", "lat_b", reach), high("lat_a", "lat_b", reach))))
-        .withColumn("col", F.explode(F.sequence(low("lon_a", "lon_b", wide), high("lon_a", "lon_b", wide))))
-    )
-    middle = [(F.col("row") + 0.5) * cell, (F.col("col") + 0.5) * cell]
-    reach = F.lit(half_km * 1000.0 / K.METRES_PER_DEGREE + cell * 0.7072)
-    return cells.where(C.near_axis(*middle, reach, extend_km)).select("query_id", *C.AXIS, "row", "col")
+#: Fine cells along each side of a coarse one.
+COARSE = 10
+
+
+def corridor_cells(
+    queries: DataFrame, half_km: float, extend_km: float, cell: float, occupied: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, axis, row, col) of the grid cells that a corridor can touch; the exact test comes later.
+
+    ``occupied`` has the row and col of the cells that hold anything: then only
+    those come out, met over coarse cells, and a corridor's empty cells are never made.
+    """
+    if occupied is not None:
+        coarse = corridor_cells(queries, half_km, extend_km, cell * COARSE)
+        coarse = coarse.withColumnsRenamed({"row": "_row", "col": "_col"})
+        fine = occupied.select("row", "col").distinct().withColumns({f"_{c}": F.floor(F.col(c) / COARSE) for c in ("row", "col")})
+        # cells of few queries and columns that repeat pack so well that their bytes look broadcastable: they are not
+        cells = coarse.hint("merge").join(fine.hint("merge"), ["_row", "_col"])
+    else:
+        reach = (half_km + extend_km) * 1000.0 / K.METRES_PER_DEGREE
+        scale = F.cos(F.radians((F.col("lat_a") + F.col("lat_b")) / 2))
+        low = lambda a, b, r: F.floor((F.least(F.col(a), F.col(b)) - r) / cell)
+        high = lambda a, b, r: F.floor((F.greatest(F.col(a), F.col(b)) + r) / cell)
+        wide = F.lit(reach) / scale
+        cells = (
+            queries.where((F.col("lat_a") != F.col("lat_b")) | (F.col("lon_a") != F.col("lon_b")))
+            .withColumns(C.axis(*map(F.col, _ENDS)))
+            .withColumn("row", F.explode(F.sequence(low("lat_a", "lat_b", reach), high("lat_a", "lat_b", reach))))
+            .withColumn("col", F.explode(F.sequence(low("lon_a", "lon_b", wide), high("lon_a", "lon_b", wide))))
+        )
+    return cells.where(_cell_near("row", "col", cell, half_km, extend_km, 1)).select("query_id", *C.AXIS, "row", "col")
+
+
+def _cell_near(row: str, col: str, cell: float, half_km: float, extend_km: float, sign: int) -> Column:
+    """Whether a corridor touches a cell (sign 1; a few more may pass) or holds all of it (sign -1; a few may fail)."""
+    middle = [(F.col(row) + 0.5) * cell, (F.col(col) + 0.5) * cell]
+    return C.near_axis(*middle, F.lit(half_km * 1000.0 / K.METRES_PER_DEGREE + sign * cell * 0.7072), extend_km)
+
+
+def _in_cells(rows: DataFrame, cell: float, side: str = "", to: str = "") -> DataFrame:
+    return rows.withColumns({f"{to}{c}": F.floor(F.col(f"{side}{x}") / cell) for c, x in (("row", "lat"), ("col", "lon"))})
 
 
 def corridor_nodes(
     queries: DataFrame, nodes: DataFrame, half_km: float, extend_km: float, cell: float = 0.05
 ) -> DataFrame:
     """(query_id, node columns) of the nodes in each query's corridor."""
-    cells = corridor_cells(queries, half_km, extend_km, cell)
-    placed = nodes.withColumn("row", F.floor(F.col("lat") / cell)).withColumn("col", F.floor(F.col("lon") / cell))
+    placed = _in_cells(nodes, cell)
+    cells = corridor_cells(queries, half_km, extend_km, cell, placed)
     inside = C.in_corridor(F.col("lat"), F.col("lon"), half_km, extend_km)
-    return cells.join(placed, ["row", "col"]).where(inside).select("query_id", *nodes.columns)
+    met = cells.hint("merge").join(placed.hint("merge"), ["row", "col"])
+    return met.where(inside).select("query_id", *nodes.columns)
 
 
 def corridor_edges(
@@ -174,25 +204,74 @@ def corridor_edges(
     A station link has one end in each tube, which its ends' kinds see to.
     """
     tubes = {"bike": bike, "rail": rail}
-    placed = with_ends(edges, nodes).withColumn("row", F.floor(F.col("from_lat") / cell)).withColumn(
-        "col", F.floor(F.col("from_lon") / cell)
-    )
-
-    def inside(side: str, kind: str) -> Column:
-        half, extend = tubes[kind]
-        return C.in_corridor(F.col(f"{side}_lat"), F.col(f"{side}_lon"), half, extend)
-
+    placed = _in_cells(with_ends(edges, nodes), cell, "from_")
     # one equi-join on the cell of the edge's start; the other end is tested by its own place
-    end = F.when(F.col("to_type") == "bike", inside("to", "bike")).otherwise(inside("to", "rail"))
     out = None
     for kind, (half, extend) in tubes.items():
-        cells = corridor_cells(queries, half, extend, cell)
-        rows = cells.join(placed.where(F.col("from_type") == kind), ["row", "col"]).where(inside("from", kind) & end)
+        own = placed.where(F.col("from_type") == kind)
+        cells = corridor_cells(queries, half, extend, cell, own)
+        rows = cells.hint("merge").join(own.hint("merge"), ["row", "col"]).where(_ends_inside(tubes, kind))
         rows = rows.select("query_id", *edges.columns)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _ends_inside(tubes: dict[str, tuple[float, float]], kind: str) -> Column:
+    """Whether an edge that starts at a node of ``kind`` has both ends in their tubes."""
+
+    def inside(side: str, kind: str) -> Column:
+        return C.in_corridor(F.col(f"{side}_lat"), F.col(f"{side}_lon"), *tubes[kind])
+
+    end = F.when(F.col("to_type") == "bike", inside("to", "bike")).otherwise(inside("to", "rail"))
+    return inside("from", kind) & end
+
+
+def corridor_edge_counts(
+    queries: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    *by: str,
+    bike: tuple[float, float] = (K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM),
+    rail: tuple[float, float] = (K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM),
+    cell: float = 0.05,
+) -> DataFrame:
+    """(query_id, by, n_edges): how many rows ``corridor_edges`` has, without making them.
+
+    Edges are counted once per pair of cells; a query adds the counts of the
+    pairs that it holds as a whole and tests single edges only where its rim passes.
+    """
+    tubes = {"bike": bike, "rail": rail}
+    pair = ["row", "col", "to_row", "to_col", "to_rail", *by]
+    placed = with_ends(edges.select("from_node", "to_node", *by), nodes)
+    placed = _in_cells(_in_cells(placed, cell, "from_"), cell, "to_", "to_").withColumn("to_rail", F.coalesce(F.col("to_type") != "bike", F.lit(True)))
+    ends = ["from_lat", "from_lon", "to_lat", "to_lon"]
+    placed = placed.select("from_type", "to_type", *ends, *pair)
+    # few, and a plan that made them over and over would be large
+    counts = written(placed.groupBy("from_type", *pair).agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    out = None
+    for kind, (half, extend) in tubes.items():
+        own = placed.where(F.col("from_type") == kind)
+        pairs = counts.where(F.col("from_type") == kind).drop("from_type")
+        cells = corridor_cells(queries, half, extend, cell, pairs)
+
+        def to(sign: int) -> Column:
+            one = {k: _cell_near("to_row", "to_col", cell, *tube, sign) for k, tube in tubes.items()}
+            return F.when(F.col("to_rail"), one["rail"]).otherwise(one["bike"])
+
+        met = cells.hint("merge").join(pairs.hint("merge"), ["row", "col"]).where(to(1))
+        whole = _cell_near("row", "col", cell, half, extend, -1) & to(-1)  # noqa: B023
+        met = met.withColumn("_whole", whole)
+        sums = met.where("_whole").select("query_id", *by, "_n")
+        rim = met.where("not _whole").select("query_id", *C.AXIS, *pair)
+        same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in pair])
+        tested = rim.alias("l").hint("merge").join(own.alias("r").hint("merge"), same)
+        tested = tested.select("query_id", *C.AXIS, "from_lat", "from_lon", "to_lat", "to_lon", "to_type", *[F.col(f"r.{c}").alias(c) for c in by])
+        tested = tested.where(_ends_inside(tubes, kind)).select("query_id", *by, F.lit(1).cast("long").alias("_n"))
+        both = sums.unionByName(tested)
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("query_id", *by).agg(F.sum("_n").alias("n_edges"))
+
+
 def too_large(edges: DataFrame, most: int = K.MAX_CORRIDOR_EDGES) -> DataFrame:
     """(query_id, edges) of queries whose corridor holds more edges than a search may take."""
     return edges.groupBy("query_id").agg(F.count(F.lit(1)).alias("edges")).where(F.col("edges") > most)
@@ -475,9 +554,12 @@ def all_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, most: int
     return found.unionByName(large_paths(*rest, nodes))
 
 
-#: Queries that one task searches on the edges it holds.
+#: Queries that one task searches on the edges it holds, while copies of its group's edges are few.
 BLOCK_QUERIES = 12
 
+#: Edges that a group's copies may hold together; a group has two copies even so, so edges moved do not grow with queries.
+COPIED_EDGES = 500_000
+
 
 #: Degrees of the cells by whose pair, of a trip's ends, queries are grouped.
 GROUP_DEG = 1.0
@@ -509,14 +591,17 @@ def _near(lat: np.ndarray, lon: np.ndarray, q: dict, half_km: float, extend_km:
 def _search_group(tubes: dict[str, tuple[float, float]]):
     """Binary-heap Dijkstra of the queries of a block, over the edges they share, each in its own corridor."""
 
-    def run(queries: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        ids, codes = np.unique(np.concatenate([edges["from_node"].to_numpy(), edges["to_node"].to_numpy()]), return_inverse=True)
-        n = len(edges)
-        lat, lon, rail = np.empty(len(ids)), np.empty(len(ids)), np.zeros(len(ids), bool)
-        for part, side in ((codes[n:], "to"), (codes[:n], "from")):
-            lat[part], lon[part] = edges[f"{side}_lat"].to_numpy(), edges[f"{side}_lon"].to_numpy()
-            rail[part] = edges["kind" if side == "from" else "to_type"].to_numpy() == "rail"
-        tail, head, cost = codes[:n], codes[n:], edges["cost"].to_numpy("float64")
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, y = (rows[c].to_numpy() for c in "abxy")
+        edge = np.isnan(y)
+        n = int(edge.sum())
+        ids, codes = np.unique(np.concatenate([a[edge], b[edge]]), return_inverse=True)
+        # a node without a row lies in no tile of the group, so in no corridor
+        lat, lon, rail = np.full(len(ids), np.nan), np.full(len(ids), np.nan), np.zeros(len(ids), bool)
+        node = ~edge & np.isin(a, ids)
+        part = np.searchsorted(ids, a[node])
+        lat[part], lon[part], rail[part] = x[node], y[node], b[node] == 1
+        tail, head, cost = codes[:n], codes[n:], x[edge]
         order = np.argsort(tail, kind="stable")
         begin = np.searchsorted(tail[order], np.arange(len(ids) + 1)).tolist()
         heads, costs = head[order].tolist(), cost[order].tolist()
@@ -571,48 +656,56 @@ def routes(
     """(query_id, seq, osmid, reached): the cheapest path of each query within its corridor, none where there is none.
 
     ``queries``: query_id, source, target, lat_a, lon_a, lat_b, lon_b; ``edges``
-    has a cost. Queries between the same two cells of a degree share one copy of
-    the edges of their corridors' tiles, at most ``block`` queries a task, and each
-    is searched within its own corridor there; so the edges moved grow with the
-    groups and not with the queries. Groups of more than ``most`` edges are answered query
+    has a cost. Queries between the same two cells of a degree share copies of
+    the edges of their corridors' tiles, one for every ``block`` queries while they hold
+    few edges together (``COPIED_EDGES``), else two, and each query is searched within its
+    own corridor there; so the edges moved grow with the groups and not with the queries. Groups of more than ``most`` edges are answered query
     by query, on corridor edges (``all_paths``). Trips that begin where they end
     have no corridor and no path.
     """
     tubes = {"bike": bike, "rail": rail}
     named, tiles = query_groups(queries, tubes)
-    # edges of one kind between two nodes count once, the cheapest
-    ends = with_ends(edges.select("from_node", "to_node", "cost"), nodes)
-    ends = ends.where("from_type in ('bike', 'rail')").groupBy("from_node", "to_node", "from_lat", "from_lon", "to_lat", "to_lon", "from_type", "to_type").agg(F.min("cost").alias("cost"))
-    placed = ends.withColumn("tile_row", C.tile(F.col("from_lat"))).withColumn("tile_col", C.tile(F.col("from_lon")))
-    placed = written(placed.withColumnRenamed("from_type", "kind"), "placed")
+    tile = {"tile_row": C.tile(F.col("lat")), "tile_col": C.tile(F.col("lon"))}
+    at = nodes.where("not isnan(lat) and not isnan(lon)").withColumn("rail", F.coalesce(F.col("node_type") == "rail", F.lit(False)))
+    at = at.withColumns(tile).withColumn("kind", F.when(F.col("rail"), "rail").otherwise("bike"))
+    start = at.where("node_type in ('bike', 'rail')").select(F.col("osmid").alias("from_node"), "kind", *tile)
+    # edges between two nodes count once, the cheapest: a and b are their ends, x the cost; nodes have kind, latitude and longitude there
+    slim = edges.select("from_node", "to_node", "cost").join(start, "from_node").groupBy("from_node", "to_node", "kind", *tile).agg(F.min("cost").alias("cost"))
+    here = ["kind", *tile]
+    slim = slim.select(*here, F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("cost").alias("x"), F.lit(None).cast("double").alias("y"))
+    known = at.select(*here, F.col("osmid").alias("a"), F.col("rail").cast("long").alias("b"), F.col("lat").alias("x"), F.col("lon").alias("y"))
+    placed = written(slim.unionByName(known), "placed")
     # counts per tile, then per group: the edges themselves are not joined for it
-    per_tile = placed.groupBy("kind", "tile_row", "tile_col").agg(F.count(F.lit(1)).alias("_n"))
+    per_tile = placed.where("y is null").groupBy(*here).agg(F.count(F.lit(1)).alias("_n"))
     tiles = written(tiles, "tiles")
-    sizes = tiles.join(per_tile, ["kind", "tile_row", "tile_col"]).groupBy("group").agg(F.sum("_n").alias("edges"))
+    sizes = tiles.join(per_tile, here).groupBy("group").agg(F.sum("_n").alias("edges"))
     sizes = written(sizes, "sizes")
-    small = sizes.where(F.col("edges") <= most).select("group")
-    w = Window.partitionBy("group").orderBy("query_id")
-    axis = C.axis(*map(F.col, _ENDS))
-    asked = queries.join(named, "query_id").join(small, "group").withColumn("block", F.floor((F.row_number().over(w) - 1) / block))
-    asked = written(asked.withColumns(axis).select("group", "block", "query_id", "source", "target", *C.AXIS), "asked")
-    blocks = asked.groupBy("group").agg((F.max("block") + 1).alias("_blocks"))
-    copies = blocks.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"))
-    shared = tiles.join(copies, "group").join(placed, ["kind", "tile_row", "tile_col"]).drop("tile_row", "tile_col")
-    # searching takes time, not bytes: as many tasks as blocks, which must not be merged for their size
-    tasks = min(10_000, max(1, 2 * asked.select("group", "block").distinct().count()))
+    small = sizes.where(F.col("edges") <= most)
+    w = Window.partitionBy("group")
+    # searching takes time, copies take room: many small blocks of small groups, two of large ones
+    copies = F.greatest(F.lit(2), F.floor(F.lit(COPIED_EDGES) / F.col("edges")))
+    asked = queries.join(named, "query_id").join(small, "group").withColumn("_blocks", F.least(copies, F.ceil(F.count(F.lit(1)).over(w) / block)))
+    asked = asked.withColumn("block", F.pmod(F.row_number().over(w.orderBy("query_id")), "_blocks"))
+    asked = written(asked.withColumns(C.axis(*map(F.col, _ENDS))).select("group", "block", "query_id", "source", "target", *C.AXIS), "asked")
+    blocks = asked.select("group", "block").distinct().toDF("group", "block")
+    shared = tiles.join(blocks, "group").join(placed, here).select("group", "block", "a", "b", "x", "y")
+    # as many tasks as blocks, which must not be merged for their size
+    tasks = min(10_000, max(1, 2 * blocks.count()))
     found = (
         asked.repartition(tasks, "group", "block")
         .groupBy("group", "block")
         .cogroup(shared.repartition(tasks, "group", "block").groupBy("group", "block"))
         .applyInPandas(_search_group(tubes), "query_id string, seq int, osmid long, reached double")
     )
-    rest = queries.join(named, "query_id").join(sizes.where(F.col("edges") > most), "group", "left_semi").select(*queries.columns)
+    found = written(found, "found")
+    rest = written(queries.join(named, "query_id").join(sizes.where(F.col("edges") > most), "group", "left_semi").select(*queries.columns), "rest")
+    for done in (placed, tiles, sizes, asked, named):
+        forget(done)
     if rest.isEmpty():
         return found
-    rest = written(rest, "rest")
     own = corridor_edges(rest, nodes, edges.select("from_node", "to_node", "cost"), bike, rail)
     own = own.groupBy("query_id", "from_node", "to_node").agg(F.min("cost").alias("cost"))
-    return found.unionByName(all_paths(rest, own, nodes, most))
+    return found.unionByName(written(all_paths(rest, own, nodes, most), "found"))
 
 
 def reach_all(sources: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
@@ -687,16 +780,16 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     for _ in range(rounds):
         # smallest label among a node's neighbours
         near = (
-            both.join(label.select(F.col("u").alias("v"), F.col("l").alias("nl")), "v")
+            both.join(label.select(F.col("u").alias("v"), F.col("l").alias("nl")).hint("merge"), "v")
             .groupBy("u")
             .agg(F.min("nl").alias("nl"))
         )
-        hooked = label.join(near, "u").select("u", "l", F.least("l", "nl").alias("m"))
+        hooked = label.join(near.hint("merge"), "u").select("u", "l", F.least("l", "nl").alias("m"))
         # every node of a label learns the smallest label that any of them saw
         root = hooked.groupBy(F.col("l").alias("r")).agg(F.min("m").alias("rm"))
-        joined = hooked.join(root, hooked["l"] == root["r"]).select("u", F.col("l").alias("old"), F.col("rm").alias("l"))
+        joined = hooked.join(root.hint("merge"), hooked["l"] == root["r"]).select("u", F.col("l").alias("old"), F.col("rm").alias("l"))
         jump = joined.select(F.col("u").alias("j"), F.col("l").alias("jl"))
-        stepped = joined.join(jump, joined["l"] == jump["j"], "left").select(
+        stepped = joined.join(jump.hint("merge"), joined["l"] == jump["j"], "left").select(
             "u", "old", F.least(F.col("l"), F.coalesce("jl", "l")).alias("l")
         )
         stepped = written(stepped, "labels")
@@ -714,11 +807,11 @@ def component_sizes(edges: DataFrame, labels: DataFrame) -> DataFrame:
     pair = [F.least("from_node", "to_node").alias("a"), F.greatest("from_node", "to_node").alias("b")]
     one = edges.groupBy(*pair).agg(F.max_by("length_m", F.struct("from_node", "to_node", "key")).alias("length_m"))
     lengths = (
-        one.join(labels, one["a"] == labels["osmid"])
+        one.join(labels.hint("merge"), one["a"] == labels["osmid"])
         .groupBy("component")
         .agg(F.round(F.sum(F.col("length_m").cast("decimal(20,4)")).cast("double"), 4).alias("length_m"))
     )
-    return labels.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).join(lengths, "component")
+    return labels.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).join(lengths.hint("merge"), "component")
 
 
 def prune(nodes: DataFrame, edges: DataFrame, min_bike_m: float = K.MIN_BIKE_COMPONENT_M) -> tuple[DataFrame, DataFrame]:
@@ -735,9 +828,11 @@ def prune(nodes: DataFrame, edges: DataFrame, min_bike_m: float = K.MIN_BIKE_COM
             good = sizes.where(F.col("length_m") >= min_bike_m)
         else:
             good = sizes.orderBy(F.desc("nodes"), "component").limit(1)
-        keep.append(labels.join(good.select("component"), "component", "left_semi").select("osmid"))
+        keep.append(labels.join(good.select("component").hint("merge"), "component", "left_semi").select("osmid"))
     kept = written(keep[0].unionByName(keep[1]).distinct(), "kept")
-    inner = edges.join(kept.withColumnRenamed("osmid", "from_node"), "from_node", "left_semi").join(
-        kept.withColumnRenamed("osmid", "to_node"), "to_node", "left_semi"
+    # node ids pack so well that their bytes look broadcastable: they are not
+    kept = kept.hint("merge")
+    inner = edges.join(kept.withColumnRenamed("osmid", "from_node").hint("merge"), "from_node", "left_semi").join(
+        kept.withColumnRenamed("osmid", "to_node").hint("merge"), "to_node", "left_semi"
     )
     return nodes.join(kept, "osmid", "left_semi"), inner.select(*edges.columns)

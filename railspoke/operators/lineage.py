@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +34,29 @@ def application_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/railspoke/{spark.sparkContext.applicationId}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table written once; lost executors cost no recomputation."""
     spark = rows.sparkSession
     path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    rows.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        rows.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 

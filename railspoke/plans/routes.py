@@ -69,7 +69,7 @@ class Graph:
         if key not in _STORES or not exists(self.s, _STORES[key]):
             path = f"{application_folder(self.s)}/store-{uuid.uuid4().hex}"
             nodes = written(G.clean_nodes(raw[0]), "nodes")
-            edges = written(G.clean_edges(raw[1], nodes), "edges")
+            edges = written(G.clean_edges(raw[1], nodes, *tiles.from_tile()), "edges")
             tiles.write_store(nodes, edges, path, extra=(["place_key", "region_key"], ["row_id", "way_id"]))
             forget(nodes)
             forget(edges)
@@ -137,15 +137,13 @@ class Graph:
             self.asked = written(self.guarded().where("verdict is null").drop("verdict", "trip_km"), "queries")
         return self.asked
 
-    def in_corridors(self) -> DataFrame:
-        return G.corridor_edges(self.queries(), self.nodes, self.edges.drop("geometry_wkt"))
-
     def paths(self) -> DataFrame:
         return G.routes(self.queries(), self.nodes, G.costed(self.edges, route_prefs()))
 
-    def hops(self) -> DataFrame:
-        paths = written(self.paths(), "paths")
-        return written(T.hops(G.path_edges(paths, G.costed(self.edges, route_prefs())), self.nodes), "hops")
+    def hops(self, geometry: bool = False) -> DataFrame:
+        """Geometries are moved only where they are asked for."""
+        edges = self.edges if geometry else self.edges.drop("geometry_wkt")
+        return written(T.hops(G.path_edges(self.paths(), G.costed(edges, route_prefs())), self.nodes), "hops")
 
 
 def route_prefs() -> dict:
@@ -259,7 +257,7 @@ def _track(g: Graph) -> DataFrame:
 
 
 def _dense(g: Graph) -> DataFrame:
-    return T.densified(g.hops())
+    return T.densified(g.hops(geometry=True))
 
 
 def _dense_numbered(g: Graph) -> DataFrame:
@@ -280,7 +278,7 @@ def _legs(g: Graph) -> DataFrame:
 
 
 def _waypoint_points(g: Graph) -> DataFrame:
-    h = T.mode_runs(T.hop_vertices(g.hops())).where("mode = 'bike'")
+    h = T.mode_runs(T.hop_vertices(g.hops(geometry=True))).where("mode = 'bike'")
     points = S.waypoints(S.joined_lines(h.withColumn("leg_id", F.concat_ws("/", "query_id", "run")), "leg_id"), "leg_id")
     return points.withColumn("points", S.thinned(F.col("points"), 0.2))
 
@@ -655,7 +653,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "view_state": _g(_view, True),
         "corridor_nodes_bike": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'bike'"), K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM).select("query_id", "osmid"), pruned=True),
         "corridor_nodes_rail": _g(lambda g: G.corridor_nodes(g.queries(), g.nodes.where("node_type = 'rail'"), K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM).select("query_id", "osmid"), pruned=True),
-        "corridor_edges_combined": _g(lambda g: g.in_corridors().groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("n_edges")), pruned=True),
+        "corridor_edges_combined": _g(lambda g: G.corridor_edge_counts(g.queries(), g.nodes, g.edges, "mode"), pruned=True),
         "snap_nearest_any": _g(lambda g: _snap(g, None), True),
         "snap_nearest_bike": _g(lambda g: _snap(g, "bike"), True),
         "nearest_place": _g(_nearest_place, True),

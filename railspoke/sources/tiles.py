@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from railspoke.functions import columns as C
 from railspoke.functions import constants as K
+from railspoke.operators.lineage import shuffles_dropped
 
 NODE_COLUMNS = ["osmid", "lat", "lon", "elevation_m", "node_type", "station_name"]
 EDGE_COLUMNS = [
@@ -27,8 +28,15 @@ def with_tile(rows: DataFrame, size: float = K.TILE_DEG) -> DataFrame:
     return rows.withColumn("tile_row", C.tile(F.col("lat"), size)).withColumn("tile_col", C.tile(F.col("lon"), size))
 
 
+def from_tile(size: float = K.TILE_DEG) -> list[Column]:
+    """The tile of an edge's start, over what ``graph.with_ends`` adds."""
+    return [C.tile(F.col("from_lat"), size).alias("tile_row"), C.tile(F.col("from_lon"), size).alias("tile_col")]
+
+
 def edges_with_tile(edges: DataFrame, nodes: DataFrame, size: float = K.TILE_DEG) -> DataFrame:
-    """Edges lie in the tile of the node they start from."""
+    """Edges lie in the tile of the node they start from; those that have their tile keep it."""
+    if set(_TILE) <= set(edges.columns):
+        return edges
     at = with_tile(nodes, size).select(F.col("osmid").alias("from_node"), *_TILE)
     return edges.join(at, "from_node")
 
@@ -74,7 +82,7 @@ def write_store(
     node_columns, edge_columns = [*NODE_COLUMNS, *extra[0]], [*EDGE_COLUMNS, *extra[1]]
     tiled = {
         "nodes": (with_tile(nodes.select(*node_columns), size), "osmid"),
-        "edges": (edges_with_tile(edges.select(*edge_columns), nodes, size).select(*edge_columns, *_TILE), "from_node"),
+        "edges": (edges_with_tile(edges.select(*edge_columns, *[c for c in _TILE if c in edges.columns]), nodes, size).select(*edge_columns, *_TILE), "from_node"),
     }
     for name, (rows, by) in tiled.items():
         # one row per tile
@@ -82,9 +90,10 @@ def write_store(
         spread = F.pmod(F.xxhash64(by), "_parts")
         # at most as many rows as the globe has tiles
         whole = rows.join(F.broadcast(parts), _TILE)
-        whole.repartition(*_TILE, spread).drop("_parts").write.partitionBy(*_TILE).option("compression", codec).mode(
-            "errorifexists"
-        ).parquet(f"{path}/{name}")
+        with shuffles_dropped(rows.sparkSession):
+            whole.repartition(*_TILE, spread).drop("_parts").write.partitionBy(*_TILE).option("compression", codec).mode(
+                "errorifexists"
+            ).parquet(f"{path}/{name}")
     meta(nodes, edges, size).coalesce(1).write.json(f"{path}/meta.json")
 
 
