@@ -8,6 +8,7 @@ one plan answers any number of route queries. Ties are always broken by node id
 from __future__ import annotations
 
 import heapq
+from array import array
 from functools import reduce
 
 import numpy as np
@@ -569,7 +570,8 @@ def query_groups(queries: DataFrame, tubes: dict[str, tuple[float, float]], size
     """(query_id, group) and (group, kind, tile_row, tile_col): queries between the same two cells of a degree are one
     group, with the tiles that any of their corridors touches, for bike and for rail nodes.
     """
-    key = F.concat_ws("/", *[F.floor(F.col(c) / GROUP_DEG) for c in _ENDS])
+    # a number, as it travels with every edge: cells are below 1000 in each direction
+    key = sum(((F.floor(F.col(c) / GROUP_DEG) + 500) * F.lit(1000**k) for k, c in enumerate(_ENDS)), F.lit(0).cast("long"))
     named = written(queries.select("query_id", key.alias("group")), "groups")
     tiles = None
     for kind, (half, extend) in tubes.items():
@@ -597,19 +599,26 @@ def _search_group(tubes: dict[str, tuple[float, float]]):
         n = int(edge.sum())
         ids, codes = np.unique(np.concatenate([a[edge], b[edge]]), return_inverse=True)
         # a node without a row lies in no tile of the group, so in no corridor
+        codes = codes.astype("int32")
         lat, lon, rail = np.full(len(ids), np.nan), np.full(len(ids), np.nan), np.zeros(len(ids), bool)
         node = ~edge & np.isin(a, ids)
         part = np.searchsorted(ids, a[node])
         lat[part], lon[part], rail[part] = x[node], y[node], b[node] == 1
         tail, head, cost = codes[:n], codes[n:], x[edge]
         order = np.argsort(tail, kind="stable")
-        begin = np.searchsorted(tail[order], np.arange(len(ids) + 1)).tolist()
-        heads, costs = head[order].tolist(), cost[order].tolist()
-        at = {int(o): k for k, o in enumerate(ids.tolist())}
+        # packed arrays, not lists of objects: a block may hold a million edges
+        begin = array("q", np.searchsorted(tail[order], np.arange(len(ids) + 1)).astype("int64").tobytes())
+        heads, costs = array("i", head[order].astype("int32").tobytes()), array("d", cost[order].tobytes())
+        del a, b, x, y, edge, node, codes, tail, head, cost, order, rows
+
+        def at(osmid: int, none: int) -> int:
+            k = int(np.searchsorted(ids, osmid))
+            return k if k < len(ids) and ids[k] == osmid else none
+
         out = []
         for q in queries.to_dict("records"):
-            inside = np.where(rail, _near(lat, lon, q, *tubes["rail"]), _near(lat, lon, q, *tubes["bike"])).tolist()
-            s, t = at.get(int(q["source"]), -1), at.get(int(q["target"]), -2)
+            inside = np.where(rail, _near(lat, lon, q, *tubes["rail"]), _near(lat, lon, q, *tubes["bike"])).tobytes()
+            s, t = at(int(q["source"]), -1), at(int(q["target"]), -2)
             if s < 0 or t < 0 or not inside[s] or not inside[t]:
                 continue
             best, before, settled, heap = {s: 0.0}, {s: -1}, set(), [(0.0, s)]

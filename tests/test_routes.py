@@ -268,3 +268,23 @@ def test_violations_come_out(spark, graph):
     assert {(r["row_id"], r["fault"]) for r in faults.collect()} == {(2, "no_geometry"), (3, "no_height"), (4, "gap"), (5, "band")}
     assert V.worst(faults, "off_m", "row_id").collect()[0]["row_id"] == 4
     assert V.reduction_ok(spark.range(30), spark.range(10)).collect()[0]["sound"] and not V.reduction_ok(spark.range(30), spark.range(20)).collect()[0]["sound"]
+
+
+def test_routes_leave_only_what_they_return(spark, graph):
+    from pathlib import Path
+
+    from railspoke.operators import lineage
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    lineage.clean(spark)
+    before = files()
+    sums = lineage.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    # the shuffle of the table written is gone
+    assert files() <= before
+    assert sums.count() == 7
+    lineage.clean(spark)
+    queries = spark.createDataFrame([("q", 1, 2, 48.0, 8.0, 48.0, 8.01)], "query_id string, source long, target long, lat_a double, lon_a double, lat_b double, lon_b double")
+    nodes, edges = graph
+    G.routes(queries, nodes, edges.select("from_node", "to_node", F.lit(1.0).alias("cost"))).count()
+    left = {p.name[:-33] for p in Path(lineage.application_folder(spark)).glob("*")}
+    assert left <= {"found", "rest"}, left

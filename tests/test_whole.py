@@ -134,3 +134,33 @@ def test_stations_are_linked_to_their_track(spark):
     assert set(got) == links
     assert got[-1, -3, "rail"] == pytest.approx(133.7, abs=0.5)
     assert {r["from_node"] for r in B.wired(stations, bike, track.limit(0)).collect()} == {-1, -2, -3, 1, 2}
+
+
+def _towns(spark, n=150, asked=30):
+    import random
+
+    rng = random.Random(5)
+    at = {i: (48.0 + rng.random() * 0.5, 8.0 + rng.random() * 0.7, "bike" if i % 5 else "rail") for i in range(1, n)}
+    nodes = spark.createDataFrame([(i, la, lo, 0.0, k) for i, (la, lo, k) in at.items()], "osmid long, lat double, lon double, elevation_m double, node_type string")
+    pairs = [(i, rng.randint(1, n - 1), float(rng.randint(1, 9)), rng.choice(["bike", "rail", None])) for i in at for _ in range(6)]
+    edges = spark.createDataFrame(pairs, "from_node long, to_node long, cost double, mode string")
+    ends = [(a, b) for a, b in ((rng.randint(1, n - 1), rng.randint(1, n - 1)) for _ in range(asked)) if a != b]
+    rows = [(f"q{i}", a, b, *at[a][:2], *at[b][:2]) for i, (a, b) in enumerate(ends)]
+    return spark.createDataFrame(rows, "query_id string, source long, target long, lat_a double, lon_a double, lat_b double, lon_b double"), nodes, edges
+
+
+TUBES = {"bike": (11.0, 2.0), "rail": (14.0, 3.0)}
+
+
+def test_corridor_edges_are_counted_without_making_them(spark):
+    queries, nodes, edges = _towns(spark)
+    made = G.corridor_edges(queries, nodes, edges, **TUBES).groupBy("query_id", "mode").count()
+    counted = G.corridor_edge_counts(queries, nodes, edges, "mode", **TUBES)
+    want = {tuple(r) for r in made.collect()}
+    assert len(want) > 40 and {tuple(r) for r in counted.collect()} == want
+
+
+def test_what_grows_with_the_input_is_never_broadcast(spark):
+    queries, nodes, edges = _towns(spark)
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(G.corridor_nodes(queries, nodes, 11.0, 2.0))
