@@ -8,7 +8,10 @@ one plan answers any number of route queries. Ties are always broken by node id
 from __future__ import annotations
 
 import heapq
+import math
+import zlib
 from array import array
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -555,12 +558,18 @@ def all_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, most: int
     return found.unionByName(large_paths(*rest, nodes))
 
 
-#: Queries that one task searches on the edges it holds, while copies of its group's edges are few.
-BLOCK_QUERIES = 12
+#: Queries that one task searches at most on the edges it holds, while copies of its group's edges are few.
+BLOCK_QUERIES = 250
 
 #: Edges that a group's copies may hold together; a group has two copies even so, so edges moved do not grow with queries.
 COPIED_EDGES = 500_000
 
+#: Queries of a connected part from which bounds for it are worth their searches, and from which twice as many are.
+BOUNDED_QUERIES, MORE_BOUNDS = 12, 100
+
+#: Rows that one packed chunk is made from, about.
+PACKED_ROWS = 500_000
+
 
 #: Degrees of the cells by whose pair, of a trip's ends, queries are grouped.
 GROUP_DEG = 1.0
@@ -590,65 +599,223 @@ def _near(lat: np.ndarray, lon: np.ndarray, q: dict, half_km: float, extend_km:
     return np.hypot(px - along * q["ax_ux"], py - along * q["ax_uy"]) <= reach
 
 
-def _search_group(tubes: dict[str, tuple[float, float]]):
-    """Binary-heap Dijkstra of the queries of a block, over the edges they share, each in its own corridor."""
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of 8-byte values, all first ones first: neighbours repeat, so that they pack well."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b, x, y = (rows[c].to_numpy() for c in "abxy")
-        edge = np.isnan(y)
-        n = int(edge.sum())
-        ids, codes = np.unique(np.concatenate([a[edge], b[edge]]), return_inverse=True)
-        # a node without a row lies in no tile of the group, so in no corridor
-        codes = codes.astype("int32")
-        lat, lon, rail = np.full(len(ids), np.nan), np.full(len(ids), np.nan), np.zeros(len(ids), bool)
-        node = ~edge & np.isin(a, ids)
-        part = np.searchsorted(ids, a[node])
-        lat[part], lon[part], rail[part] = x[node], y[node], b[node] == 1
-        tail, head, cost = codes[:n], codes[n:], x[edge]
-        order = np.argsort(tail, kind="stable")
-        # packed arrays, not lists of objects: a block may hold a million edges
-        begin = array("q", np.searchsorted(tail[order], np.arange(len(ids) + 1)).astype("int64").tobytes())
-        heads, costs = array("i", head[order].astype("int32").tobytes()), array("d", cost[order].tobytes())
-        del a, b, x, y, edge, node, codes, tail, head, cost, order, rows
-
-        def at(osmid: int, none: int) -> int:
-            k = int(np.searchsorted(ids, osmid))
-            return k if k < len(ids) and ids[k] == osmid else none
 
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges and nodes as chunks by kind and tile, a few bytes a row; ``_unpacked`` gives them back."""
+
+    def packed(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held)
+        rail, row, col, a, b, x, y = (rows[c].to_numpy() for c in ("rail", "tile_row", "tile_col", "a", "b", "x", "y"))
+        edge = np.isnan(y)
+        order = np.lexsort((b, a, edge, col, row, rail))
+        rail, row, col, a, b, x, y, edge = (v[order] for v in (rail, row, col, a, b, x, y, edge))
+        new = np.flatnonzero((np.diff(rail) != 0) | (np.diff(row) != 0) | (np.diff(col) != 0)) + 1
         out = []
-        for q in queries.to_dict("records"):
-            inside = np.where(rail, _near(lat, lon, q, *tubes["rail"]), _near(lat, lon, q, *tubes["bike"])).tobytes()
-            s, t = at(int(q["source"]), -1), at(int(q["target"]), -2)
-            if s < 0 or t < 0 or not inside[s] or not inside[t]:
+        for k, n in zip([0, *new.tolist()], [*new.tolist(), len(a)], strict=True):
+            nodes = int((~edge[k:n]).sum())
+            m = k + nodes
+            data = [np.diff(a[k:n], prepend=0), np.concatenate([b[k:m], b[m:n] - a[m:n]]), x[k:n], y[k:m]]
+            out.append(("rail" if rail[k] else "bike", row[k], col[k], n - m, nodes, zlib.compress(b"".join(map(_planes, data)), 1)))
+        return pd.DataFrame(out, columns=["kind", "tile_row", "tile_col", "edges", "nodes", "data"])
+
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= PACKED_ROWS:
+            yield packed(held)
+            held = []
+    if sum(map(len, held)):
+        yield packed(held)
+
+
+def _unpacked(chunks: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(ends and costs of edges; ids, whether rail, latitude and longitude of nodes)."""
+    edges: list[list] = [[], [], []]
+    nodes: list[list] = [[], [], [], []]
+    for n, m, data in zip(chunks["edges"].tolist(), chunks["nodes"].tolist(), chunks["data"].tolist(), strict=True):
+        flat = np.frombuffer(zlib.decompress(data), np.uint8)
+
+        def values(at: int, count: int, kind: str) -> np.ndarray:
+            return np.ascontiguousarray(flat[8 * at : 8 * (at + count)].reshape(8, count).T).view(kind).ravel()  # noqa: B023
+
+        a, b, x = np.cumsum(values(0, n + m, "int64")), values(n + m, n + m, "int64"), values(2 * (n + m), n + m, "float64")
+        for to, v in zip(edges, (a[m:], a[m:] + b[m:], x[m:]), strict=True):
+            to.append(v)
+        for to, v in zip(nodes, (a[:m], b[:m] == 1, x[:m], values(3 * (n + m), m, "float64")), strict=True):
+            to.append(v)
+    return [np.concatenate(v) for v in edges], [np.concatenate(v) for v in nodes]
+
+
+def _by_end(ends: np.ndarray, others: np.ndarray, cost: np.ndarray, n: int) -> tuple[array, array, array]:
+    """Edges by one end: where each node's begin, their other ends and their costs, in packed arrays."""
+    order = np.argsort(ends, kind="stable")
+    begin = np.searchsorted(ends[order], np.arange(n + 1)).astype("int64")
+    return array("q", begin.tobytes()), array("i", others[order].astype("int32").tobytes()), array("d", cost[order].tobytes())
+
+
+def _connected(n: int, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """A number per node, the same for all nodes that edges connect, whatever their direction."""
+    label = np.arange(n)
+    while True:
+        a, b = label[tail], label[head]
+        if (a == b).all():
+            return np.unique(label, return_inverse=True)[1]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _costs_from(s: int, n: int, begin: array, others: array, costs: array) -> np.ndarray:
+    """The cost from a node to every node, infinite where there is no way."""
+    best = [math.inf] * n
+    best[s] = 0.0
+    heap = [(0.0, s)]
+    while heap:
+        d, u = heapq.heappop(heap)
+        if d > best[u]:
+            continue
+        for k in range(begin[u], begin[u + 1]):
+            v, reached = others[k], d + costs[k]
+            if reached < best[v]:
+                best[v] = reached
+                heapq.heappush(heap, (reached, v))
+    return np.array(best)
+
+
+def _search_group(tubes: dict[str, tuple[float, float]], bounded: int = BOUNDED_QUERIES):
+    """The cheapest paths of the queries of a block, over the edges they share, each in its own corridor.
+
+    Where a connected part has many queries, the costs from and to a few of its
+    outermost nodes bound what is left to the target from below (by the triangle
+    inequality; a corridor only makes ways dearer), and a search leaves out what
+    cannot be on a cheapest path. Costs, paths and ties are those of a plain search.
+    """
+
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        (a, b, cost), (ids, rail, lat, lon) = _unpacked(rows)
+        ids, first = np.unique(ids, return_index=True)
+        rail, lat, lon, n = rail[first], lat[first], lon[first], len(ids)
+        found: dict[str, list] = {"query_id": [], "seq": [], "osmid": [], "reached": []}
+        asked = queries.to_dict("records") if n else []
+        if n:
+            # a node without a row lies in no tile of the group, so in no corridor
+            tail, head = (np.minimum(np.searchsorted(ids, v), n - 1) for v in (a, b))
+            known = (ids[tail] == a) & (ids[head] == b)
+            tail, head, cost = tail[known], head[known], cost[known]
+            part = _connected(n, tail, head)
+            begin, heads, costs = _by_end(tail, head, cost, n)
+            back = _by_end(head, tail, cost, n)
+            by_part = np.argsort(part, kind="stable")
+            starts = np.searchsorted(part[by_part], np.arange(part.max() + 2))
+            del tail, head, cost, known
+        del a, b, rows
+
+        def at(osmid: int) -> int:
+            k = int(np.searchsorted(ids, osmid))
+            return k if k < n and ids[k] == osmid else -1
+
+        ends = [(at(int(q["source"])), at(int(q["target"]))) for q in asked]
+        many: dict[int, int] = {}
+        for s, t in ends:
+            if s >= 0 and t >= 0 and part[s] == part[t]:
+                many[int(part[s])] = many.get(int(part[s]), 0) + 1
+        boxes: dict[int, list] = {}
+        bounds: dict[int, np.ndarray] = {}
+        free = array("d", bytes(8 * n))
+
+        def inside(q: dict, p: int) -> bytes | None:
+            """Which nodes are in the corridor, right for the nodes of a part; None: all of them."""
+            own = by_part[starts[p] : starts[p + 1]]
+            if p not in boxes:
+                boxes[p] = [
+                    (k, np.repeat([lat[m].min(), lat[m].max()], 2), np.tile([lon[m].min(), lon[m].max()], 2))
+                    for k, m in (("rail", own[rail[own]]), ("bike", own[~rail[own]]))
+                    if len(m)
+                ]
+            # a corridor is convex: it holds a box whose corners it holds
+            if all(_near(y, x, q, tubes[k][0] * (1 - 1e-9), tubes[k][1]).all() for k, y, x in boxes[p]):
+                return None
+            out = np.zeros(n, bool)
+            out[own] = np.where(rail[own], _near(lat[own], lon[own], q, *tubes["rail"]), _near(lat[own], lon[own], q, *tubes["bike"]))
+            return out.tobytes()
+
+        def bound(s: int, t: int, p: int) -> array | None:
+            """For every node of a part what is left to t at least; None where t cannot be reached from s."""
+            if many[p] < bounded:
+                return free
+            own = by_part[starts[p] : starts[p + 1]]
+            if p not in bounds:
+                sides = (lat[own] + lon[own], lat[own] - lon[own], lat[own], lon[own])[: 4 if many[p] >= MORE_BOUNDS else 2]
+                marks = sorted({int(own[f(v)]) for v in sides for f in (np.argmin, np.argmax)})
+                both = [_costs_from(m, n, *way)[own] * sign for way, sign in (((begin, heads, costs), -1.0), (back, 1.0)) for m in marks]
+                bounds[p] = np.vstack(both)
+            table = bounds[p]
+            k, m = (int(np.searchsorted(own, v)) for v in (s, t))
+            with np.errstate(invalid="ignore"):
+                best = np.nan_to_num(table[:, k] - table[:, m], nan=-math.inf, posinf=math.inf, neginf=-math.inf)
+                if best.max() == math.inf:
+                    return None
+                top = np.argsort(best)[-4:]
+                left = np.fmax(np.fmax.reduce(table[top] - table[top, m][:, None]), 0.0)
+            out = np.zeros(n)
+            # a little less, for what sums are rounded by
+            out[own] = left * (1 - 1e-9)
+            return array("d", out.tobytes())
+
+        for q, (s, t) in zip(asked, ends, strict=True):
+            if s < 0 or t < 0 or part[s] != part[t]:
                 continue
-            best, before, settled, heap = {s: 0.0}, {s: -1}, set(), [(0.0, s)]
+            p = int(part[s])
+            here = inside(q, p)
+            if here is not None and not (here[s] and here[t]):
+                continue
+            left = bound(s, t, p)
+            if left is None:
+                continue
+            best, before, heap, most = {s: 0.0}, {s: -1}, [(left[s], 0.0, s)], math.inf
             while heap:
-                d, u = heapq.heappop(heap)
-                if u in settled:
-                    continue
-                settled.add(u)
-                if u == t:
+                f, d, u = heapq.heappop(heap)
+                if f > most:
                     break
+                if d > best[u] or u == t:
+                    continue
                 for k in range(begin[u], begin[u + 1]):
                     v = heads[k]
-                    if not inside[v]:
+                    if here is not None and not here[v]:
                         continue
                     reached = d + costs[k]
                     old = best.get(v)
-                    if old is None or reached < old or (reached == old and u < before[v]):
+                    if old is None or reached < old:
+                        f = reached + left[v]
+                        # beyond the best way known, or no way to the target
+                        if f > most or f == math.inf:
+                            continue
                         best[v], before[v] = reached, u
-                        heapq.heappush(heap, (reached, v))
-            if t not in settled:
+                        heapq.heappush(heap, (f, reached, v))
+                        if v == t:
+                            # ways that cost the same, but for rounding, are still seen
+                            most = reached * (1 + 1e-9) + 1e-6
+                    elif reached == old and d < old and u < before[v]:
+                        before[v] = u
+            if t not in best:
                 continue
             path, u = [], t
             while u >= 0:
                 path.append(u)
                 u = before[u]
             path.reverse()
-            out.append(pd.DataFrame({"query_id": q["query_id"], "seq": np.arange(len(path), dtype="int32"), "osmid": ids[path], "reached": [best[u] for u in path]}))
-        if out:
-            return pd.concat(out)
-        return pd.DataFrame({"query_id": pd.Series([], dtype="object"), "seq": np.array([], "int32"), "osmid": np.array([], "int64"), "reached": np.array([], "float64")})
+            found["query_id"] += [q["query_id"]] * len(path)
+            found["seq"] += range(len(path))
+            found["osmid"] += ids[path].tolist()
+            found["reached"] += [best[u] for u in path]
+        kinds = {"seq": "int32", "osmid": "int64", "reached": "float64"}
+        return pd.DataFrame({c: pd.Series(v, dtype=kinds.get(c, "object")) for c, v in found.items()})
 
     return run
 
@@ -675,20 +842,22 @@ def routes(
     tubes = {"bike": bike, "rail": rail}
     named, tiles = query_groups(queries, tubes)
     tile = {"tile_row": C.tile(F.col("lat")), "tile_col": C.tile(F.col("lon"))}
-    at = nodes.where("not isnan(lat) and not isnan(lon)").withColumn("rail", F.coalesce(F.col("node_type") == "rail", F.lit(False)))
-    at = at.withColumns(tile).withColumn("kind", F.when(F.col("rail"), "rail").otherwise("bike"))
-    start = at.where("node_type in ('bike', 'rail')").select(F.col("osmid").alias("from_node"), "kind", *tile)
+    at = nodes.where("not isnan(lat) and not isnan(lon)").withColumn("rail", F.coalesce(F.col("node_type") == "rail", F.lit(False)).cast("int"))
+    at = at.withColumns(tile)
+    start = at.where("node_type in ('bike', 'rail')").select(F.col("osmid").alias("from_node"), "rail", *tile)
     # edges between two nodes count once, the cheapest: a and b are their ends, x the cost; nodes have kind, latitude and longitude there
-    slim = edges.select("from_node", "to_node", "cost").join(start, "from_node").groupBy("from_node", "to_node", "kind", *tile).agg(F.min("cost").alias("cost"))
-    here = ["kind", *tile]
-    slim = slim.select(*here, F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("cost").alias("x"), F.lit(None).cast("double").alias("y"))
-    known = at.select(*here, F.col("osmid").alias("a"), F.col("rail").cast("long").alias("b"), F.col("lat").alias("x"), F.col("lon").alias("y"))
-    placed = written(slim.unionByName(known), "placed")
+    slim = edges.select("from_node", "to_node", "cost").groupBy("from_node", "to_node").agg(F.min("cost").alias("cost")).where("cost is not null and not isnan(cost)").join(start, "from_node")
+    of = ["rail", *tile]
+    slim = slim.select(*of, F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("cost").alias("x"), F.lit(math.nan).alias("y"))
+    known = at.select(*of, F.col("osmid").alias("a"), F.col("rail").cast("long").alias("b"), F.col("lat").alias("x"), F.col("lon").alias("y"))
+    # chunks of many rows, as they travel with every copy
+    placed = slim.unionByName(known).mapInPandas(_packed, "kind string, tile_row int, tile_col int, edges long, nodes long, data binary")
+    placed, here = written(placed, "placed"), ["kind", *tile]
     # counts per tile, then per group: the edges themselves are not joined for it
-    per_tile = placed.where("y is null").groupBy(*here).agg(F.count(F.lit(1)).alias("_n"))
+    per_tile = placed.groupBy(*here).agg(F.sum("edges").alias("_n"))
     tiles = written(tiles, "tiles")
     sizes = tiles.join(per_tile, here).groupBy("group").agg(F.sum("_n").alias("edges"))
-    sizes = written(sizes, "sizes")
+    sizes = written(sizes.where("edges > 0"), "sizes")
     small = sizes.where(F.col("edges") <= most)
     w = Window.partitionBy("group")
     # searching takes time, copies take room: many small blocks of small groups, two of large ones
@@ -697,7 +866,7 @@ def routes(
     asked = asked.withColumn("block", F.pmod(F.row_number().over(w.orderBy("query_id")), "_blocks"))
     asked = written(asked.withColumns(C.axis(*map(F.col, _ENDS))).select("group", "block", "query_id", "source", "target", *C.AXIS), "asked")
     blocks = asked.select("group", "block").distinct().toDF("group", "block")
-    shared = tiles.join(blocks, "group").join(placed, here).select("group", "block", "a", "b", "x", "y")
+    shared = tiles.join(blocks, "group").join(placed, here).select("group", "block", "edges", "nodes", "data")
     # as many tasks as blocks, which must not be merged for their size
     tasks = min(10_000, max(1, 2 * blocks.count()))
     found = (
@@ -755,22 +924,34 @@ def reach_all(sources: DataFrame, edges: DataFrame, rounds: int = 10_000) -> Dat
     return every.groupBy("query_id", "osmid").agg(F.min("reached").alias("reached"))
 
 
+def path_hops(paths: DataFrame) -> DataFrame:
+    """(query_id, seq of the hop's end, from_node, to_node) of each hop."""
+    w = Window.partitionBy("query_id").orderBy("seq")
+    hops = paths.select("query_id", "seq", F.lag("osmid").over(w).alias("from_node"), F.col("osmid").alias("to_node"))
+    return hops.where("from_node is not null")
+
+
+def hop_edges(hops: DataFrame, edges: DataFrame) -> DataFrame:
+    """The cheapest edge of each pair of nodes that hops go between: from_node, to_node, edge columns and cost.
+
+    Many trips take the same edges: what is known of an edge is found once, not once a hop.
+    """
+    rest = [c for c in edges.columns if c not in ("from_node", "to_node")]
+    best = F.min_by(F.struct(*rest), F.struct("cost", "key"))
+    asked = hops.select("from_node", "to_node").distinct()
+    # node ids pack so well that their bytes look broadcastable: they are not
+    met = edges.join(asked.hint("merge"), ["from_node", "to_node"], "left_semi")
+    return met.groupBy("from_node", "to_node").agg(best.alias("_e")).select("from_node", "to_node", "_e.*")
+
+
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """The cheapest edge of each hop: query_id, seq (of the hop's end), edge columns and cost.
 
     ``edges`` has a cost of the same preferences as the search's.
     """
-    w = Window.partitionBy("query_id").orderBy("seq")
-    hops = paths.select("query_id", "seq", F.lag("osmid").over(w).alias("from_node"), F.col("osmid").alias("to_node"))
-    rest = [c for c in edges.columns if c not in ("from_node", "to_node")]
-    best = F.min_by(F.struct(*rest), F.struct("cost", "key"))
-    return (
-        hops.where("from_node is not null")
-        .join(edges, ["from_node", "to_node"])
-        .groupBy("query_id", "seq", "from_node", "to_node")
-        .agg(best.alias("_e"))
-        .select("query_id", "seq", "from_node", "to_node", "_e.*")
-    )
+    hops = path_hops(paths)
+    found = hops.join(hop_edges(hops, edges), ["from_node", "to_node"])
+    return found.select("query_id", "seq", "from_node", "to_node", *[c for c in edges.columns if c not in ("from_node", "to_node")])
 
 
 # --- components ---

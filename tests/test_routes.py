@@ -288,3 +288,65 @@ def test_routes_leave_only_what_they_return(spark, graph):
     G.routes(queries, nodes, edges.select("from_node", "to_node", F.lit(1.0).alias("cost"))).count()
     left = {p.name[:-33] for p in Path(lineage.application_folder(spark)).glob("*")}
     assert left <= {"found", "rest"}, left
+
+
+def _block(rng, side):
+    """A grid of a few one-way streets and steep costs, a part apart from it, rail nodes among the others; a block's chunks and queries."""
+    import pandas as pd
+
+    at = {r * side + c + 1: (48.0 + r * 0.002, 8.0 + c * 0.003, int(rng.random() < 0.1)) for r in range(side) for c in range(side)}
+    at |= {10_000 + k: (48.01, 8.01 + k * 1e-4, 0) for k in range(3)}
+    pairs = [(n, m) for n in at if n < 10_000 for m in (n + 1, n + side) if m in at and m % side != 1]
+    pairs = [p for a, b in pairs for p in ((a, b), (b, a)) if rng.random() < 0.9] + [(10_000, 10_001), (10_001, 10_002)]
+    edges = [(a, b, float(rng.randint(1, 9)) * 100.0) for a, b in pairs]
+    rows = [(at[a][2], 96, 16, a, b, x, float("nan")) for a, b, x in edges] + [(k, 96, 16, n, k, la, lo) for n, (la, lo, k) in at.items()]
+    rng.shuffle(rows)
+    frame = pd.DataFrame(rows, columns=["rail", "tile_row", "tile_col", "a", "b", "x", "y"])
+    chunks = pd.concat(list(G._packed(iter([frame[: len(frame) // 2], frame[len(frame) // 2 :]]))))
+    ends = [tuple(rng.sample(range(1, side * side + 1), 2)) for _ in range(60)] + [(1, 10_001), (10_000, 10_002), (10_002, 10_000)]
+    return at, edges, chunks, ends
+
+
+def _asked(at, ends):
+    import math
+
+    import pandas as pd
+
+    out = []
+    for k, (s, t) in enumerate(ends):
+        (ya, xa, _), (yb, xb, _) = at[s], at[t]
+        scale = math.cos(math.radians((ya + yb) / 2))
+        dx, dy = (xb - xa) * scale, yb - ya
+        n = math.hypot(dx, dy)
+        out.append((f"q{k}", s, t, scale, xa * scale, ya, n, dx / n, dy / n))
+    return pd.DataFrame(out, columns=["query_id", "source", "target", *C.AXIS])
+
+
+@pytest.mark.parametrize("tubes", [{"bike": (1.0, 0.3), "rail": (1.5, 0.5)}, {"bike": (50.0, 9.0), "rail": (50.0, 9.0)}])
+def test_bounded_search_gives_the_paths_of_a_plain_one(tubes):
+    import random
+
+    at, edges, chunks, ends = _block(random.Random(5), 20)
+    queries = _asked(at, ends)
+    got = G._search_group(tubes, 1)(queries, chunks)
+    for q in queries.to_dict("records"):
+        import numpy as np
+        import pandas as pd
+
+        inside = {n for n, (la, lo, rail) in at.items() if G._near(np.array([la]), np.array([lo]), q, *tubes["rail" if rail else "bike"])[0]}
+        own = pd.DataFrame([e for e in edges if e[0] in inside and e[1] in inside], columns=["from_node", "to_node", "cost"])
+        want = G._search(own.assign(query_id=q["query_id"], source=q["source"], target=q["target"])) if len(own) else got[:0]
+        mine = got[got["query_id"] == q["query_id"]]
+        assert mine[["seq", "osmid", "reached"]].values.tolist() == want[["seq", "osmid", "reached"]].values.tolist(), q["query_id"]
+    assert got["query_id"].nunique() > 15
+
+
+def test_copies_of_a_group_are_small():
+    """A row that travels with every copy takes a few bytes, and comes back as it was."""
+    import random
+
+    at, edges, chunks, _ = _block(random.Random(7), 60)
+    assert chunks["data"].map(len).sum() < 12 * (len(edges) + len(at))
+    (a, b, x), (ids, rail, lat, lon) = G._unpacked(chunks)
+    assert sorted(zip(a.tolist(), b.tolist(), x.tolist(), strict=True)) == sorted(edges)
+    assert {n: (y, z, int(k)) for n, k, y, z in zip(ids.tolist(), rail.tolist(), lat.tolist(), lon.tolist(), strict=True)} == at
