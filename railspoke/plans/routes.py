@@ -141,9 +141,17 @@ class Graph:
         return G.routes(self.queries(), self.nodes, G.costed(self.edges, route_prefs()))
 
     def hops(self, geometry: bool = False) -> DataFrame:
-        """Geometries are moved only where they are asked for."""
-        edges = self.edges if geometry else self.edges.drop("geometry_wkt")
-        return written(T.hops(G.path_edges(self.paths(), G.costed(edges, route_prefs())), self.nodes), "hops")
+        """Geometries are moved only where they are asked for; ends and speeds are found once an edge, not once a hop."""
+        paths = self.paths()
+        walked = written(G.path_hops(paths), "walked")
+        forget(paths)
+        kept = ["from_node", "to_node", "key", "length_m", "surface", "highway", "mode", *["geometry_wkt"] * geometry]
+        edges = G.costed(self.edges, route_prefs()).select(*kept, "cost")
+        best = written(T.hops(G.hop_edges(walked, edges), self.nodes), "best")
+        out = written(walked.join(best.hint("merge"), ["from_node", "to_node"]), "hops")
+        forget(walked)
+        forget(best)
+        return out
 
 
 def route_prefs() -> dict:

@@ -350,3 +350,13 @@ def test_copies_of_a_group_are_small():
     (a, b, x), (ids, rail, lat, lon) = G._unpacked(chunks)
     assert sorted(zip(a.tolist(), b.tolist(), x.tolist(), strict=True)) == sorted(edges)
     assert {n: (y, z, int(k)) for n, k, y, z in zip(ids.tolist(), rail.tolist(), lat.tolist(), lon.tolist(), strict=True)} == at
+
+
+def test_hop_edges_once_an_edge(spark):
+    """Two trips over the same edges: each edge is found once, the cheapest of a pair."""
+    paths = spark.createDataFrame([(q, k, n, 0.0) for q in "ab" for k, n in enumerate((1, 2, 3))], "query_id string, seq int, osmid long, reached double")
+    edges = spark.createDataFrame([(1, 2, 0, 5.0), (1, 2, 1, 4.0), (2, 3, 0, 1.0), (3, 1, 0, 1.0)], "from_node long, to_node long, key long, cost double")
+    hops = G.path_hops(paths)
+    assert hops.count() == 4
+    assert {tuple(r) for r in G.hop_edges(hops, edges).collect()} == {(1, 2, 1, 4.0), (2, 3, 0, 1.0)}
+    assert {tuple(r) for r in G.path_edges(paths, edges).collect()} == {(q, s, *e) for q in "ab" for s, e in ((1, (1, 2, 1, 4.0)), (2, (2, 3, 0, 1.0)))}
