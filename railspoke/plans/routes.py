@@ -312,7 +312,7 @@ def _gpx_documents(g: Graph) -> DataFrame:
 
 
 def _reports(g: Graph) -> DataFrame:
-    h = g.hops()
+    h = g.hops(geometry=True)
     return P.trip_reports(h, _r(T.route_stats(h), digits=3), T.track_points(h))
 
 
@@ -617,7 +617,7 @@ def _view(g: Graph) -> DataFrame:
 
 
 def _stats(g: Graph) -> DataFrame:
-    return _r(T.route_stats(g.hops()), digits=3)
+    return _r(T.route_stats(g.hops(geometry=True)), digits=3)
 
 
 def _one_to_all(g: Graph) -> DataFrame:
@@ -673,7 +673,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "track_points": _g(lambda g: _r(_track(g), digits=6), pruned=True),
         "track_cumulative_km": _g(lambda g: _r(T.cumulative_km(_track(g)).select("query_id", "seq", "leg_km", "km"), digits=6), pruned=True),
         "track_stats": _g(_stats, pruned=True),
-        "windowed_climb": _g(lambda g: _r(T.windowed_climb(g.hops()), digits=3), pruned=True),
+        "windowed_climb": _g(lambda g: _r(T.windowed_climb(g.hops(geometry=True)), digits=3), pruned=True),
         "mode_runs": _g(lambda g: T.mode_runs(g.hops()).select("query_id", "seq", "mode", "run"), pruned=True),
         "leg_lines": _g(_legs, pruned=True),
         "rail_leg_tooltips": _g(lambda g: T.rail_leg_lines(g.hops()).select("query_id", "leg", "tooltip"), pruned=True),

@@ -360,3 +360,13 @@ def test_hop_edges_once_an_edge(spark):
     assert hops.count() == 4
     assert {tuple(r) for r in G.hop_edges(hops, edges).collect()} == {(1, 2, 1, 4.0), (2, 3, 0, 1.0)}
     assert {tuple(r) for r in G.path_edges(paths, edges).collect()} == {(q, s, *e) for q in "ab" for s, e in ((1, (1, 2, 1, 4.0)), (2, (2, 3, 0, 1.0)))}
+
+
+def test_track_stats_reads_geometry(spark):
+    import os
+
+    from railspoke.plans.routes import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    assert "bike_ascent_m" in queries()["track_stats"](spark, "/root/testdata/sf0.001").columns
