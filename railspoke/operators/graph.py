@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from railspoke.functions import columns as C
 from railspoke.functions import constants as K
-from railspoke.operators.lineage import forget, written
+from railspoke.operators.lineage import forget, scratch, written
 from railspoke.operators.spatial import points_within
 
 
@@ -564,6 +564,13 @@ BLOCK_QUERIES = 250
 #: Edges that a group's copies may hold together; a group has two copies even so, so edges moved do not grow with queries.
 COPIED_EDGES = 500_000
 
+#: Edges that one task holds at most for the queries of a group: 82 bytes each were measured, with the states of a search.
+#: Larger groups are answered trip by trip, on copies of a trip's corridor.
+HELD_EDGES = 3_300_000
+
+#: Edges that the corridors copied at a time may hold, for each edge of the graph, and at least.
+WAVE_COPIES, LEAST_WAVE = 2, 5_000_000
+
 #: Queries of a connected part from which bounds for it are worth their searches, and from which twice as many are.
 BOUNDED_QUERIES, MORE_BOUNDS = 12, 100
 
@@ -826,7 +833,7 @@ def routes(
     edges: DataFrame,
     bike: tuple[float, float] = (K.BIKE_HALF_WIDTH_KM, K.BIKE_EXTEND_KM),
     rail: tuple[float, float] = (K.RAIL_HALF_WIDTH_KM, K.RAIL_EXTEND_KM),
-    most: int = K.MAX_CORRIDOR_EDGES,
+    most: int = HELD_EDGES,
     block: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """(query_id, seq, osmid, reached): the cheapest path of each query within its corridor, none where there is none.
@@ -836,8 +843,8 @@ def routes(
     the edges of their corridors' tiles, one for every ``block`` queries while they hold
     few edges together (``COPIED_EDGES``), else two, and each query is searched within its
     own corridor there; so the edges moved grow with the groups and not with the queries. Groups of more than ``most`` edges are answered query
-    by query, on corridor edges (``all_paths``). Trips that begin where they end
-    have no corridor and no path.
+    by query, on corridor edges (``all_paths``), in waves, so that copies grow with the graph and not with the queries. Trips that begin
+    where they end have no corridor and no path.
     """
     tubes = {"bike": bike, "rail": rail}
     named, tiles = query_groups(queries, tubes)
@@ -876,14 +883,32 @@ def routes(
         .applyInPandas(_search_group(tubes), "query_id string, seq int, osmid long, reached double")
     )
     found = written(found, "found")
-    rest = written(queries.join(named, "query_id").join(sizes.where(F.col("edges") > most), "group", "left_semi").select(*queries.columns), "rest")
+    # the copies of a wave hold together some edges for each of the graph and those of one corridor at most
+    held = max(LEAST_WAVE, WAVE_COPIES * (per_tile.agg(F.sum("_n")).first()[0] or 0))
+    rest = queries.join(named, "query_id").join(sizes.where(F.col("edges") > most), "group")
+    # narrow rows of the queries of large groups only
+    so_far = F.sum("edges").over(Window.orderBy("group", "query_id").rowsBetween(Window.unboundedPreceding, -1))
+    rest = written(rest.select(*queries.columns, F.floor(F.coalesce(so_far, F.lit(0)) / held).alias("_wave")), "rest")
+    waves = [r["_wave"] for r in rest.select("_wave").distinct().orderBy("_wave").collect()]
     for done in (placed, tiles, sizes, asked, named):
         forget(done)
-    if rest.isEmpty():
-        return found
-    own = corridor_edges(rest, nodes, edges.select("from_node", "to_node", "cost"), bike, rail)
-    own = own.groupBy("query_id", "from_node", "to_node").agg(F.min("cost").alias("cost"))
-    return found.unionByName(written(all_paths(rest, own, nodes, most), "found"))
+    every = [found]
+    for k in waves:
+        own = written(rest.where(F.col("_wave") == k).select(*queries.columns), "asked")
+        every.append(_wave_paths(own, nodes, edges, bike, rail, min(most, K.MAX_CORRIDOR_EDGES)))
+        forget(own)
+    forget(rest)
+    return found if not waves else queries.sparkSession.read.schema(found.schema).parquet(*sorted({f.rpartition("/")[0] for d in every for f in d.inputFiles()}))
+
+
+def _wave_paths(
+    queries: DataFrame, nodes: DataFrame, edges: DataFrame, bike: tuple[float, float], rail: tuple[float, float], most: int
+) -> DataFrame:
+    """``all_paths`` of a few queries on copies of their corridors; what it writes on the way is deleted."""
+    with scratch(queries.sparkSession) as kept:
+        own = corridor_edges(queries, nodes, edges.select("from_node", "to_node", "cost"), bike, rail)
+        own = own.groupBy("query_id", "from_node", "to_node").agg(F.min("cost").alias("cost"))
+        return kept(all_paths(queries, own, nodes, most), "found")
 
 
 def reach_all(sources: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:

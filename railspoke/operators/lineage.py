@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Tables written since each open ``scratch`` began, innermost last.
+_SCRATCH: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,6 +57,8 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table written once; lost executors cost no recomputation."""
     spark = rows.sparkSession
     path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     with shuffles_dropped(spark):
         rows.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
@@ -77,6 +81,23 @@ def forget(rows: DataFrame) -> None:
             _delete(rows.sparkSession, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Within it, tables written serve a result on its way: they are deleted at its end, but for what the given function writes."""
+    _SCRATCH.append([])
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        out = written(rows, name)
+        _SCRATCH[-1].pop()
+        return out
+
+    try:
+        yield kept
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes all tables this application has written, when their results have been read."""
     _delete(spark, application_folder(spark))

@@ -5,6 +5,7 @@ from railspoke.functions import columns as C
 from railspoke.functions import constants as K
 from railspoke.operators import build as B
 from railspoke.operators import graph as G
+from railspoke.operators import lineage
 from railspoke.operators import simplify as S
 from railspoke.operators import track as T
 from railspoke.plans.routes import params_token
@@ -245,6 +246,30 @@ def test_grouped_search_gives_the_same_as_single(spark):
         assert {tuple(r) for r in G.routes(queries, nodes, edges, **tubes, **how).collect()} == want, how
 
 
+def test_corridors_of_large_groups_are_copied_in_waves(spark, graph, monkeypatch):
+    """However many trips a group above the limit has, few of their corridors lie on disk at a time; all are answered."""
+    from pathlib import Path
+
+    n = 60
+    nodes = spark.range(1, n + 1).select(F.col("id").alias("osmid"), (F.lit(48.0) + F.col("id") * 1e-4).alias("lat"), F.lit(8.0).alias("lon"), F.lit(0.0).alias("elevation_m"), F.lit("bike").alias("node_type"), F.lit("x").alias("station_name"))
+    edges = spark.range(1, n).select(F.col("id").alias("from_node"), (F.col("id") + 1).alias("to_node"), F.lit(1.0).alias("cost"))
+    rows = [(f"q{k:02}", 1 + k, n - k, 48.0 + (1 + k) * 1e-4, 8.0, 48.0 + (n - k) * 1e-4, 8.0) for k in range(6)]
+    queries = spark.createDataFrame(rows, "query_id string, source long, target long, lat_a double, lon_a double, lat_b double, lon_b double")
+    copied, all_paths = [], G.all_paths
+
+    def counted(queries, edges, *rest):
+        copied.append(edges.count())
+        return all_paths(queries, edges, *rest)
+
+    monkeypatch.setattr(G, "all_paths", counted)
+    monkeypatch.setattr(G, "LEAST_WAVE", 1, raising=False)
+    lineage.clean(spark)
+    found = G.routes(queries, nodes, edges, most=n - 2)
+    assert sorted(tuple(r) for r in found.groupBy("query_id").count().collect()) == [(f"q{k:02}", n - 2 * k) for k in range(6)]
+    assert sum(copied) == 6 * (n - 1) and max(copied) <= 3 * (n - 1), copied
+    assert {p.name[:-33] for p in Path(lineage.application_folder(spark)).glob("*")} <= {"found"}
+
+
 def test_tiles_of_a_list():
     f = tiles.tile_filter([(1, 2), (1, 3), (1, 5), (2, 2)])
     assert str(f).count("tile_row") == 3
